@@ -90,9 +90,15 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "do
     # the block that the target cuts through: its parts in order until the target is nearest
     through = b.where("last = 2").select("skey", "block", (F.col("rest") - F.col("upto") + F.col("words")).alias("want"))
     parts = sized.join(through, ["skey", "block"]).groupBy("skey", "block", "want", "part").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(W.partitionBy("skey").orderBy("part"))
-    parts = parts.withColumn("upto", upto).where("upto - words / 2 <= want").groupBy("skey").agg(F.max("part").alias("last_part"))
+    upto = F.sum("words").over(W.partitionBy("skey").orderBy("part"))  # at most BLOCKS rows for each source
+    parts = cut(parts.withColumn("upto", upto).groupBy("skey", "want").agg(F.max(F.when(F.col("upto") <= F.col("want"), F.struct("part", "upto"))).alias("m")))
+    parts = parts.select("skey", F.coalesce("m.part", F.lit(-1)).alias("last_part"), (F.col("want") - F.coalesce("m.upto", F.lit(0))).alias("gap"))
     b = b.join(parts, "skey", "left").withColumn("last_part", F.when(F.col("last") == 2, F.coalesce("last_part", F.lit(-1))))
+    # and one document that this pass has not drawn, the one nearest to what is still missing
+    spare = sized.join(b.where("gap is not null and (last = 0 or last = 2)").select("skey", "block", "last_part", "gap"), ["skey", "block"])
+    spare = spare.where("(last_part is null or part > last_part) and abs(size - gap) < gap")
+    spare = spare.groupBy("skey").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), F.xxhash64("doc_id").alias("h"), "doc_id", "block")).alias("m"))
+    spare = spare.select("skey", F.col("m.block").alias("block"), F.col("m.doc_id").alias("extra"))
     quotas = b.groupBy("skey").agg(F.sum(F.col("passes") + F.sign("last").cast("int")).alias("quota"))
     shares = split_tree(quotas, shards, seed)
     along = W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
@@ -104,11 +110,15 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "do
     drawn = drawn.withColumn("spot", (F.col("epoch") * BLOCKS + F.col("pos")).cast("long"))
     drawn = drawn.withColumn("spot", (F.row_number().over(W.partitionBy("skey").orderBy("spot")) - 1).cast("long")).join(spots, ["skey", "spot"])
     one = F.struct(F.col("epoch").cast("int").alias("epoch"), F.col("shard").cast("int").alias("shard"), F.when(F.col("epoch") == F.col("passes"), F.col("last_part")).alias("upto"))
-    drawn = drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list(one)).alias("draws"))  # at most two or three
-    per_block = cut(b.select("skey", "block", "source_size", "target").join(drawn, ["skey", "block"], "left"))
+    drawn = cut(drawn.select("skey", "block", one.alias("draw")))
+    # the extra document goes where its source's cut block goes
+    spare = spare.join(drawn.where("draw.upto is not null"), "skey", "left").select(spare["skey"], spare["block"], "extra", F.struct(F.coalesce("draw.epoch", F.lit(0)).alias("epoch"), F.coalesce("draw.shard", F.lit(0)).alias("shard")).alias("extra_draw"))
+    drawn = drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list("draw")).alias("draws"))  # at most three
+    per_block = cut(b.select("skey", "block", "source_size", "target").join(drawn, ["skey", "block"], "left").join(spare, ["skey", "block"], "left"))
     out = sized.join(per_block, ["skey", "block"])
     draws = F.filter(F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int,upto:int>>")), lambda d: d["upto"].isNull() | (F.col("part") <= d["upto"]))
-    out = out.withColumn("draws", F.transform(draws, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"))))
+    draws = F.transform(draws, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))
+    out = out.withColumn("draws", F.when(F.col("doc_id") == F.col("extra"), F.array_append(draws, F.col("extra_draw"))).otherwise(draws))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws")
 
 

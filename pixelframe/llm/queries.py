@@ -7,6 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import learn_and_label
+
+    found = learn_and_label(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,7 +37,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_byte_bpe, op8_mix_sources)}
+    return {f.__name__: f for f in (op3_license_scan, op4_language_id, op7_byte_bpe, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
