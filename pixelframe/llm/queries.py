@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii, spans_text
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    digest = F.sha2(spans_text(F.col("base")), 256).alias("base_sha256")
+    spans = spans_text(F.array_sort(F.concat("base", "added"))).alias("spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, spans)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -37,7 +46,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op4_language_id, op7_byte_bpe, op8_mix_sources)}
+    return {f.__name__: f for f in (op2_pii, op3_license_scan, op4_language_id, op7_byte_bpe, op8_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
