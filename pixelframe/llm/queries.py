@@ -29,6 +29,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    found = judge(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined_tokens", " ").alias("mined_rule"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,8 +52,14 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("copies"))
 
 
+def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import as_calls, link_tools
+
+    return link_tools(*as_calls(table(spark, sf_dir, "conversations"))).withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_license_scan, op4_language_id, op7_byte_bpe, op8_mix_sources)}
+    return {f.__name__: f for f in (op2_pii, op3_license_scan, op4_language_id, op5_url_filter, op7_byte_bpe, op8_mix_sources, op10_chat_tools)}
 
 
 def oracle_sql() -> dict[str, str]:
