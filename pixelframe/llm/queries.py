@@ -52,6 +52,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("copies"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import as_calls, link_tools
 
@@ -59,7 +65,7 @@ def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_license_scan, op4_language_id, op5_url_filter, op7_byte_bpe, op8_mix_sources, op10_chat_tools)}
+    return {f.__name__: f for f in (op2_pii, op3_license_scan, op4_language_id, op5_url_filter, op7_byte_bpe, op8_mix_sources, op9_ngram_jaccard, op10_chat_tools)}
 
 
 def oracle_sql() -> dict[str, str]:
