@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 
 
+def op1_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii, spans_text
 
@@ -36,6 +42,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined_tokens", " ").alias("mined_rule"))
 
 
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +77,7 @@ def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_license_scan, op4_language_id, op5_url_filter, op7_byte_bpe, op8_mix_sources, op9_ngram_jaccard, op10_chat_tools)}
+    return {f.__name__: f for f in (op1_lattice_neardup, op2_pii, op3_license_scan, op4_language_id, op5_url_filter, op6_prefix_forest, op7_byte_bpe, op8_mix_sources, op9_ngram_jaccard, op10_chat_tools)}
 
 
 def oracle_sql() -> dict[str, str]:
