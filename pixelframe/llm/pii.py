@@ -66,13 +66,15 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     text is searched by position."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m, i: F.struct(m.alias("m"), (F.length(F.get(gaps, i))).alias("gap")))
+    # there is one gap more than matches; its partner is null and ends the positions
+    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
         b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.array_append(acc["spans"], F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("stop"), x["m"].alias("value"))).alias("spans"))
+        span = F.struct(b.alias("at"), F.array_append(acc["spans"], F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("stop"), x["m"].alias("value"))).alias("spans"))
+        return F.when(x["m"].isNull(), acc).otherwise(span)
 
     return F.when(text.rlike(pattern), F.aggregate(lengths, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
 
