@@ -1,0 +1,74 @@
+"""Patch scoring by a user's function, overlaps blended with a ramp."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .bands import binarise, sigmoid
+
+
+def starts(size: Column, patch: int, margin: int) -> Column:
+    """Patch origins along one side: steps of patch - margin, the last ones moved inside; repeats count twice."""
+    at = F.sequence(F.lit(0), size - 1, F.lit(patch - margin))
+    return F.transform(at, lambda v: F.least(v, size - patch))
+
+
+def ramp(i: Column, patch: int, margin: int) -> Column:
+    """0 at the border, growing over margin pixels to 1, and back."""
+    step = 1.0 / (margin - 1) if margin > 1 else 1.0
+    return F.least(F.lit(1.0), i * step, (patch - 1 - i) * step)
+
+
+def patch_weights(scenes: DataFrame, patch: int, margin: int) -> DataFrame:
+    """scenes with height, width -> p (patch number), y0, x0."""
+    fits = F.when((F.col("height") >= patch) & (F.col("width") >= patch), True).otherwise(F.raise_error(F.lit("scene smaller than a patch")).cast("boolean"))
+    rows = scenes.where(fits).select("*", F.posexplode(starts(F.col("height"), patch, margin)).alias("_py", "y0"))
+    rows = rows.select("*", F.posexplode(starts(F.col("width"), patch, margin)).alias("_px", "x0"))
+    return rows.withColumn("p", F.col("_py") * 100_000 + F.col("_px")).drop("_py", "_px")
+
+
+def blend(pixels: DataFrame, keys: list[str], scenes: DataFrame, value: Callable[[Column], Column] | None, patch: int, margin: int, col: str = "v", scorer: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """keys, y, x, p: sum(w * p) / sum(w) over the patches that hold the pixel, 0 where the weights are 0.
+
+    value is a column expression for pointwise scores; a scorer takes an array (patch, patch) and gives its scores, and
+    runs on groups of whole patches."""
+    w = patch_weights(scenes, patch, margin)
+    w = w.select(*keys, "p", "y0", "x0", F.explode(F.sequence(F.floor(F.col("y0") / patch), F.floor((F.col("y0") + patch - 1) / patch))).alias("_by"))
+    w = w.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("x0") / patch), F.floor((F.col("x0") + patch - 1) / patch))))
+    px = pixels.withColumn("_by", F.floor(F.col("y") / patch)).withColumn("_bx", F.floor(F.col("x") / patch))
+    m = px.join(w, [*keys, "_by", "_bx"]).where(f"y >= y0 and y < y0 + {patch} and x >= x0 and x < x0 + {patch}")
+    m = m.select(*keys, "p", "y", "x", (F.col("y") - F.col("y0")).alias("_i"), (F.col("x") - F.col("x0")).alias("_j"), F.col(col).alias("_v"))
+    if scorer is not None:
+
+        def score(pdf: pd.DataFrame) -> pd.DataFrame:
+            a = np.zeros((patch, patch))
+            a[pdf["_i"], pdf["_j"]] = pdf["_v"]
+            pdf["_v"] = scorer(a)[pdf["_i"], pdf["_j"]]
+            return pdf
+
+        m = m.withColumn("_v", F.col("_v").cast("double")).groupBy(*keys, "p").applyInPandas(score, m.withColumn("_v", F.col("_v").cast("double")).schema)
+    else:
+        m = m.withColumn("_v", value(F.col("_v")))
+    weight = ramp(F.col("_i"), patch, margin) * ramp(F.col("_j"), patch, margin)
+    s = m.groupBy(*keys, "y", "x").agg(F.sum(weight * F.col("_v")).alias("_a"), F.sum(weight).alias("_w"))
+    return s.select(*keys, "y", "x", F.when(F.col("_w") > 0, F.col("_a") / F.col("_w")).otherwise(0.0).alias("p"))
+
+
+def score_scenes(pixels: DataFrame, keys: list[str], scenes: DataFrame, nodata: str, patch: int, margin: int, col: str = "v", scorer=None, t: float = 0.5) -> DataFrame:
+    """keys, y, x, p (NaN for nodata), b (0, 1, 255)."""
+    s = blend(pixels, keys, scenes, sigmoid, patch, margin, col, scorer).join(pixels.select(*keys, "y", "x", F.col(nodata).alias("_nod")), [*keys, "y", "x"])
+    return s.select(*keys, "y", "x", F.when(F.col("_nod"), float("nan")).otherwise(F.col("p")).alias("p"), binarise(F.col("p"), F.col("_nod"), t).alias("b"))
+
+
+def map_patches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A user's model on Arrow batches of patches."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield scorer(pdf)
+
+    return df.mapInPandas(run, schema)
