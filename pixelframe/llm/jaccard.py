@@ -3,10 +3,10 @@
 1. signatures: each text's number of distinct word shingles and a fingerprint of the set; texts with equal sets are
    one from here on. A sketch of fixed size counts shingles by hash, and gives the order: shingles that share a
    hash cell with frequent ones come last.
-2. postings: a text's first n - ceil(0.75 n) + LEAST shingles in that order go to inverted lists. Texts that link share
-   LEAST of these at least. They are shuffled as packed arrays; lists of one text end there.
+2. postings: a text's first n - ceil(0.75 n) + k shingles in that order go to inverted lists, k growing with n. Texts
+   that link share k of these at least. They are shuffled as packed arrays; lists of one text end there.
 3. blocks: texts with the same smallest list neighbour make a block, a large one is split by hash. Two blocks meet if
-   texts in them share LEAST lists and their sizes allow a link.
+   texts in them share k lists and their sizes allow a link.
 4. each pair of blocks is searched by T-occurrence with the texts' whole sets: short lists are merged by counting, long
    ones are probed by binary search for what the merge leaves. A task gives a spanning forest of the links it
    found, never pairs by pairs.
@@ -29,9 +29,9 @@ from .common import U64, connected_components, cut, parts_for, shingle_sets
 
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT, WIDTH = 75, 5
-#: Shared list entries that a link needs; texts in a block; cells of the sketch and bits of the filter (fixed sizes: as
+#: A link needs LEAST shared list entries and one more for each PER shingles; texts in a block; cells of the sketch and bits of the filter (fixed sizes: as
 #: they fill up they order and filter less sharply, but lose nothing).
-LEAST, BLOCK, CELL_BITS, FILTER_BITS = 3, 1000, 18, 24
+LEAST, PER, BLOCK, CELL_BITS, FILTER_BITS = 3, 16, 1000, 18, 24
 #: Postings in a packed partition; weight of a probe against a merge step (fixed value of the DivideSkip rule).
 PACKED, PROBE = 1_000_000, 0.0085
 _SLICES = 64
@@ -42,6 +42,12 @@ def need(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def shared(n, percent: int = PERCENT):
+    """Entries that a text of n shingles adds to the shortest prefix. Two texts that link share as many entries as the
+    smaller of their numbers, which is at least shared(need(n)) for either n."""
+    return min(need(n, percent), LEAST + n // PER)
+
+
 def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -88,7 +94,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, np.ndarr
 
 def postings(docs: DataFrame, level: np.ndarray, total: int, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """token, id: the entries of inverted lists with two texts or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)
+    known = docs.sparkSession.sparkContext.broadcast(level)
     parts = max(parts_for(docs.sparkSession), total // PACKED + 1)
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
@@ -107,7 +113,7 @@ def postings(docs: DataFrame, level: np.ndarray, total: int, percent: int = PERC
         return pa.RecordBatch.from_arrays([pa.array(part[edge], pa.int32()), pa.array([tokens[a:b].tobytes() for a, b in zip(edge, end)], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in zip(edge, end)], pa.binary())], ["part", "tokens", "ids"])
 
     def run(batches):
-        levels = shared.value
+        levels = known.value
         held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -115,7 +121,7 @@ def postings(docs: DataFrame, level: np.ndarray, total: int, percent: int = PERC
                 if not len(s) or ids[row] is None:
                     continue
                 k = need(len(s), percent)
-                first = len(s) - k + min(LEAST, k)
+                first = len(s) - k + shared(len(s), percent)
                 lv = levels[(s >> U64(64 - CELL_BITS)).astype(np.int64)]
                 t = s[:first] if not lv.any() else s[np.argsort(lv, kind="stable")[:first]]
                 held.append((ids[row], t.copy(), s.sum().tobytes() + len(s).to_bytes(8, "big")))
@@ -134,8 +140,11 @@ def postings(docs: DataFrame, level: np.ndarray, total: int, percent: int = PERC
         if not tokens:
             return
         t, d = np.concatenate(tokens), np.concatenate(ids)
-        order = np.argsort(t, kind="stable")
+        order = np.lexsort((d, t))
         t, d = t[order], d[order]
+        new = np.ones(len(t), dtype=bool)  # repeated rows
+        new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+        t, d = t[new], d[new]
         same = np.zeros(len(t), dtype=bool)
         same[1:] = t[1:] == t[:-1]
         same[:-1] |= t[1:] == t[:-1]
@@ -248,13 +257,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = _docs(docs, id_col, text_col)
     spark = docs.sparkSession
     marks, level = signatures(docs, width)
-    total = marks.agg(F.sum(F.col("n") * (100 - percent) / 100 + LEAST)).first()[0] or 0
+    total = marks.agg(F.sum(F.col("n") * ((100 - percent) / 100 + 1 / PER) + LEAST)).first()[0] or 0
     stands = cut(marks.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
     copies = marks.where("n > 0").join(stands.where("copies > 1"), ["f1", "f2", "n"]).select(F.col("id").alias("a"), F.col("low").alias("b"))
 
     entries = cut(postings(docs, level, int(total), percent, width))
     own = stands.select(F.col("low").alias("id"), "n")
-    entries = entries.distinct().join(own, "id")
+    entries = entries.join(own, "id")
     lists = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("lo")).where("c > 1").drop("c")
     entries = cut(entries.join(lists, "token"))
     label = entries.groupBy("id").agg(F.min("lo").alias("label"))
@@ -263,14 +272,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = cut(entries.drop("lo").join(blocks, "id"))
     by_block = entries.groupBy("token", "blk").agg(F.count("*").alias("c"), F.min("n").alias("lo_n"), F.max("n").alias("hi_n")).withColumnRenamed("blk", "ob")
     near = entries.join(by_block, "token").where("blk != ob or c > 1").where(f"{percent} * n <= 100 * hi_n and {percent} * lo_n <= 100 * n")
-    near = near.groupBy("id", "blk", "ob", "n").agg(F.count("*").alias("c")).where(f"c >= least({LEAST}, ceil({percent} * n / 100))")
+    near = near.groupBy("id", "blk", "ob", "n").agg(F.count("*").alias("c")).withColumn("m", F.expr(f"cast(ceil({percent} * n / 100) as long)")).where(f"c >= least(ceil({percent} * m / 100), {LEAST} + m div {PER})")
     near = cut(near.select("id", "blk", F.least("blk", "ob").alias("t1"), F.greatest("blk", "ob").alias("t2")).distinct())
 
     bits = _sum_slices(_filter_slices(near.select("id")), np.uint8, np.bitwise_or)
-    shared = spark.sparkContext.broadcast(bits)  # 2 ** FILTER_BITS bits
+    known = spark.sparkContext.broadcast(bits)  # 2 ** FILTER_BITS bits
 
     def sets(batches):
-        have = shared.value
+        have = known.value
         for batch in batches:
             ids = np.array(batch.column(0).fill_null(0), dtype=np.int64)
             at = _bit(ids)
