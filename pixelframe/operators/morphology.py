@@ -26,12 +26,13 @@ def boundary(pixels: DataFrame, col: str, keys: list[str], k: int, height: Colum
 
 def focal_mean(pixels: DataFrame, col: str, keys: list[str], r: int, out: str = "focal_mean") -> DataFrame:
     """Mean over the disk of radius r, of the pixels that are there: sums of row intervals, one for each dy."""
-    parts = []
+    df, parts = pixels.select(*keys, "y", "x", col), []
     for d in range(r + 1):
         half = int((r * r - d * d) ** 0.5)
         w = W.partitionBy(*keys, "y").orderBy("x").rangeBetween(-half, half)
-        parts.append(F.struct(F.lit(d).alias("d"), F.sum(col).over(w).alias("s"), F.count(col).over(w).alias("n")))
-    rows = pixels.select(*keys, "y", "x", F.explode(F.array(*parts)).alias("p")).select(*keys, F.explode(F.when(F.col("p.d") == 0, F.array("y")).otherwise(F.array(F.col("y") - F.col("p.d"), F.col("y") + F.col("p.d")))).alias("y"), "x", "p.s", "p.n")
+        df = df.withColumn(f"_s{d}", F.sum(col).over(w)).withColumn(f"_n{d}", F.count(col).over(w))
+        parts += [F.struct((F.col("y") + dy).alias("y"), F.col(f"_s{d}").alias("s"), F.col(f"_n{d}").alias("n")) for dy in {d, -d}]
+    rows = df.select(*keys, "x", F.explode(F.array(*parts)).alias("p")).select(*keys, "p.y", "x", "p.s", "p.n")
     sums = rows.groupBy(*keys, "y", "x").agg((F.sum("s") / F.sum("n")).alias(out))
     return pixels.join(sums, [*keys, "y", "x"])
 
