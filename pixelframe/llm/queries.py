@@ -80,5 +80,21 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_lattice_neardup, op2_pii, op3_license_scan, op4_language_id, op5_url_filter, op6_prefix_forest, op7_byte_bpe, op8_mix_sources, op9_ngram_jaccard, op10_chat_tools)}
 
 
+_OP1_SQL = """with recursive v as (select vec_id, label, embedding::double[] e, sqrt(list_inner_product(embedding::double[], embedding::double[])) n from embeddings),
+l as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where a.n > 0 and b.n > 0 and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r(id, root) as (select vec_id, vec_id from embeddings union select l.b, r.root from r join l on l.a = r.id where r.root < l.b),
+c as (select id, min(root) component_id from r group by id), k as (select a, count(*) n_links from l group by a)
+select vec_id, coalesce(n_links, 0) n_links, component_id, component_id = vec_id kept from embeddings join c on id = vec_id left join k on a = vec_id"""
+
+_OP9_SQL = """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from w),
+n as materialized (select doc_id, len(s) n from s), t as materialized (select doc_id, unnest(s) t from s),
+i as (select x.doc_id a, y.doc_id b, count(*) c from t x join t y on x.t = y.t and x.doc_id <> y.doc_id group by all),
+l as materialized (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r(id, root) as (select doc_id, doc_id from documents union select l.b, r.root from r join l on l.a = r.id where r.root < l.b),
+c as (select id, min(root) component_id from r group by id)
+select n.doc_id, n.n n_shingles, component_id from n join c on id = n.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lattice_neardup": _OP1_SQL, "op9_ngram_jaccard": _OP9_SQL}
