@@ -1,42 +1,25 @@
-"""Shared helpers: cutting lineage, byte-level word splitting in Arrow batches, connected components."""
+"""Shared helpers: byte-level word splitting and shingles in Arrow batches; cutting lineage and components of links come from
+the library's graph operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from pixelframe.operators.graph import connected_components, cut, shared_dir  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text that one numpy step handles; a longer text is handled alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: the lineage ends there, and a
-    lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,7 +53,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
         have = np.full(max(n, PIECE), base, dtype=U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 8 * PIECE:
+        if n <= 16 * PIECE:
             _powers[name] = have
     return have[:n]
 
@@ -155,38 +138,3 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.nda
                 yield row, mix64(np.array([(h[a:b] * _STEP[: b - a]).sum() + U64(b - a)], dtype=U64))
             else:
                 yield row, np.zeros(0, dtype=U64)
-
-
-# ------------------------------------------------------------------ connected components
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): for each id in the links a-b the smallest id that it reaches.
-
-    Alternates the large-star and small-star steps until no link changes. Each step is one aggregated
-    minimum per id (combined before the shuffle) and one join, which splits hot ids when adaptive
-    execution finds them; nothing but two numbers per round reaches the driver. Empty links: no rows.
-    """
-
-    def stats(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        return r["n"], r["s"]
-
-    e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    now = stats(e)
-    if not now[0]:
-        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    for _ in range(60):
-        # large star: every larger neighbour of u is linked with u's smallest neighbour
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small star: u and its smaller neighbours are linked with the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        near = e.join(low, F.col("u") == F.col("k"))
-        e = cut(near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
-        was, now = now, stats(e)
-        if was == now:
-            break
-    roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    return roots.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
