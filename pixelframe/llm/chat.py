@@ -45,7 +45,8 @@ def as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def steps(deps: DataFrame, most: int = 40) -> DataFrame:
     """id, needs (one id or null; an id that is not there counts as null) -> id, step: 1 + the length of the chain of
-    needs, null in a cycle. Pointer doubling: a chain of n needs log2(n) rounds, each one join of ids."""
+    needs, null in a cycle. Pointer doubling: a chain of n needs log2(n) rounds, each one join of the ids that are
+    not done."""
     ids = cut(deps.groupBy("id").agg(F.min("needs").alias("up")))
     here = ids.select(F.col("id").alias("up"))
     now = cut(ids.join(here, "up", "left_semi").select("id", "up", F.lit(1).cast("long").alias("dist")).unionByName(ids.join(here, "up", "left_anti").select("id", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("dist"))))
@@ -53,8 +54,10 @@ def steps(deps: DataFrame, most: int = 40) -> DataFrame:
     limit = 1 << left.bit_length()
     far = 1
     while left and far <= limit and most:
+        # only ids whose chain is not at its end yet move on
         above = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("dist").alias("_dist"))
-        now = cut(now.join(above, F.col("up") == F.col("_id"), "left").select("id", F.col("_up").alias("up"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist")))
+        moved = now.where("up is not null").join(above, F.col("up") == F.col("_id"), "left").select("id", F.col("_up").alias("up"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"))
+        now = cut(now.where("up is null").unionByName(moved))
         left, far, most = now.where("up is not null").count(), far * 2, most - 1
     return now.select("id", F.when(F.col("up").isNull(), F.col("dist") + 1).alias("step"))
 
