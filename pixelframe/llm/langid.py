@@ -99,10 +99,15 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     n, k = scores.shape
     total = scores.sum(axis=0)
     best = int(total.argmax())
-    # if no other language gains more than one change costs over any run of words, the best one holds throughout
-    gain = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
-    low = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, k)), gain[:-1]]), axis=0), 0) if n else gain
-    if n == 0 or (gain - low).max() <= switch:
+    if n == 0 or k == 1:
+        return np.full(n, best)
+    # the best language holds throughout if no other gains more over any run of words than one change costs (a path that
+    # has the best one has a change for each run without it), and if the best of the others at every word gain no
+    # more either (a path without it has one change less than runs)
+    ahead = scores.astype(np.float64) - scores[:, best : best + 1]
+    gain = np.cumsum(ahead, axis=0)
+    low = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, k)), gain[:-1]]), axis=0), 0)
+    if (gain - low).max() <= switch and np.delete(ahead, best, axis=1).max(axis=1).sum() <= switch:
         return np.full(n, best)
     value, back = scores[0].astype(np.float64).tolist(), []
     rows = scores.tolist()
