@@ -91,9 +91,12 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str)
     return vectors.where(fine & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col).alias("label"), v.alias("v"))
 
 
-def _cells(reps: DataFrame, full: bool) -> DataFrame:
-    """key, home, id and, if full, w, keys, v: one row for each cell that a vector lives in or visits."""
+def _cells(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, home, id: one row for each cell that a vector lives in or visits; and id, w, keys, v: what a comparison needs."""
+    return _keyed(reps, False), _keyed(reps, True)
 
+
+def _keyed(reps: DataFrame, full: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             label = np.array(batch.column(1), dtype=np.int64)
@@ -109,21 +112,16 @@ def _cells(reps: DataFrame, full: bool) -> DataFrame:
                 keys = lattice_keys(unit, mix64(label[rows].view(U64) + U64(dim)).view(np.int64))
                 own = [k.tobytes() for k in keys]
                 per = keys.shape[1] * keys.shape[2]
-                flat_keys, home = keys.reshape(len(rows), per), np.tile(np.arange(per) % keys.shape[2] == 0, len(rows))
-                # a vector may come to one cell twice only by a clash of hashes, which changes nothing
-                at = np.repeat(rows, per)
-                cols = [pa.array(flat_keys.reshape(-1).view(np.int64)), pa.array(home)]
-                names = ["key", "home"]
+                ids = batch.column(0).take(pa.array(rows))
                 if full:
                     vb = [x.tobytes() for x in v]
-                    cols += [batch.column(0).take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array(own, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), per))), pa.array(vb, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), per)))]
-                    names += ["id", "w", "keys", "v"]
-                step = 20_000
-                out = pa.RecordBatch.from_arrays(cols, names)
-                for a in range(0, out.num_rows, step):
-                    yield out.slice(a, step)
-
-    schema = "key long, home boolean" + (", id long, w long, keys binary, v binary" if full else "")
+                    yield pa.RecordBatch.from_arrays([ids, batch.column(3).take(pa.array(rows)), pa.array(own, pa.binary()), pa.array(vb, pa.binary())], ["id", "w", "keys", "v"])
+                    continue
+                # a vector may come to one cell twice only by a clash of hashes, which changes nothing
+                home = np.tile(np.arange(per) % keys.shape[2] == 0, len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(home), ids.take(pa.array(np.repeat(np.arange(len(rows)), per)))], ["key", "home", "id"])
+
+    schema = "id long, w long, keys binary, v binary" if full else "key long, home boolean, id long"
     return reps.select("id", "label", "v", "w").mapInArrow(run, schema)
 
 
@@ -199,10 +197,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """id, n_links, component_id, kept."""
     every = valid_vectors(vectors, id_col, vec_col, label_col)
     reps = cut(every.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")))
-    count = _cells(reps, False).groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("lived")).where("c > 1 and lived")
-    count = cut(count.select("key", F.ceil(F.col("c") / PART).cast("int").alias("k")))
-    cells = _cells(reps, True).join(count, "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("k")).cast("int"))
+    places, payload = _cells(reps)
+    count = places.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("lived")).where("c > 1 and lived")
+    count = count.select("key", F.ceil(F.col("c") / PART).cast("int").alias("k"))
+    # short rows find the cells where anything meets; only for these do vectors travel
+    cells = places.join(count, "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("k")).cast("int"))
     cells = cells.withColumn("o", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
+    cells = cut(cells.select("key", "i", "j", "part", "home", "id")).join(payload, "id")
     found = cut(_search(cells, cosine))
     groups = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
