@@ -31,9 +31,10 @@ from .common import U64, connected_components, cut, parts_for, shingle_sets
 PERCENT, WIDTH = 75, 5
 #: A link needs LEAST shared list entries and one more for each PER shingles; texts in a block; cells of the sketch and bits of the filter (fixed sizes: as
 #: they fill up they order and filter less sharply, but lose nothing).
-LEAST, PER, BLOCK, CELL_BITS, FILTER_BITS = 3, 16, 1000, 18, 24
-#: Postings in a packed partition; weight of a probe against a merge step (fixed value of the DivideSkip rule).
-PACKED, PROBE = 1_000_000, 0.0085
+LEAST, PER, BLOCK, CELL_BITS, FILTER_BITS = 3, 16, 1000, 16, 22
+#: Postings in a packed partition, and those that a task holds before it packs them; weight of a probe against a merge step
+#: (fixed value of the DivideSkip rule).
+PACKED, HELD, PROBE = 1_000_000, 250_000, 0.0085
 _SLICES = 64
 
 
@@ -126,7 +127,7 @@ def postings(docs: DataFrame, level: np.ndarray, total: int, percent: int = PERC
                 t = s[:first] if not lv.any() else s[np.argsort(lv, kind="stable")[:first]]
                 held.append((ids[row], t.copy(), s.sum().tobytes() + len(s).to_bytes(8, "big")))
                 size += first
-                if size >= PACKED:
+                if size >= HELD:
                     yield pack(held)
                     held, size = [], 0
         if held:
