@@ -25,7 +25,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-IP_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+IP_PART = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})|0++)"
 #: A token with a digit or @; no brackets, quotes or stops at its ends.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 ROUNDS, LEAST, SUPPORT, PRIOR = 3, 0.8, 5, 1.0

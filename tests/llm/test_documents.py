@@ -127,6 +127,19 @@ def test_base_spans_match_brute_force(spark):
         assert [got[i][f"n_{k}"] for k in PATTERNS] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
 
 
+def test_addresses_with_zero_octets(spark):
+    rng = random.Random(6)
+    bits = ["0", "00", "000", "10", "01", "255", "256", "0256", "1", ".", ".", ".", ".", " ", "x"]
+    texts = ["10.0.0.1", "127.0.0.1", "192.168.0.5", "1.2.3.0", "0.0.0.0", "00.000.0.010", "0.0.0.256", "at 10.0.0.1, or 1.2.3.00"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(7, 40))) for _ in range(300)]
+    rows = pii.find_pii(frame(spark, texts)).select("doc_id", "n_ip", pii.spans_text(pii.F.col("base")).alias("s")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert [got[i].n_ip for i in range(8)] == [1, 1, 1, 1, 1, 1, 0, 2]
+    assert all(got[i].s == ",".join(brute_spans(t)) for i, t in enumerate(texts))
+    clean = pii.redact(frame(spark, texts[:4]), pii.find_pii(frame(spark, texts[:4]))).collect()
+    assert {r.text for r in clean} == {"[IP]"}
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     texts = [f"please write to mailbox user{i}@host{i % 7}.example.org for help" for i in range(30)]
     texts += ["please write to mailbox root@localhost for help", "nothing to see on 12th of May", None]
