@@ -21,13 +21,14 @@ from pixelframe.llm.pii import find_pii, redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go (null, or without a letter); lang is what the text is found to be in."""
-    found = learn_and_label(docs).where("lang_pred != 'und'").select(F.col("doc_id").alias("_id"), "lang_pred").dropDuplicates(["_id"])
-    return docs.join(found, F.col("doc_id") == F.col("_id")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Documents in no known language go (null, or without a letter); lang is what the text is found to be in. A row is
+    judged by its own text, whatever its id."""
+    found = learn_and_label(docs, carry=tuple(docs.columns)).where("lang_pred != 'und'")
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays, once; null ids come last."""
     return keep_one(docs).select(*docs.columns)
 
 

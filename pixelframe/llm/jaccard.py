@@ -319,6 +319,19 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those whose group has a smaller id. The decisions are an id column; texts are joined once."""
-    gone = cut(jaccard_groups(docs, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """Of each group the document with the smallest id, a null id last. Rows are told apart by a hash of id and text, so
+    that null and repeated ids are documents of their own; repeated rows of one that stays are reduced to one (the
+    smallest by its columns). The decisions are columns of hashes; texts are joined once."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    keyed = docs.withColumn("_key", key)
+    groups = cut(jaccard_groups(keyed, "_key", text_col).groupBy("_key", "component_id").agg(F.count("*").alias("copies")))
+    ids = keyed.select("_key", F.col(id_col).alias("_id")).distinct()
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("m")
+    stay = groups.join(ids, "_key").groupBy("component_id").agg(first).select(F.col("m._key").alias("_key"))
+    gone = cut(groups.join(stay, "_key", "left_anti").select("_key"))
+    kept = keyed.join(gone, "_key", "left_anti")
+    again = cut(groups.where("copies > 1").join(gone, "_key", "left_anti").select("_key"))
+    if not again.isEmpty():
+        one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        kept = kept.join(again, "_key", "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))
+    return kept.select(*docs.columns)

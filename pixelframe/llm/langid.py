@@ -133,9 +133,9 @@ def word_scores(words: np.ndarray, tri_sums: np.ndarray, script: np.ndarray, mod
     return np.where(ok, s, np.minimum(s, low - 10.0)).astype(np.float32)
 
 
-def label_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def label_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, lang_pred, score (share of the words that are in spans of lang_pred), spans
-    array<struct<lang, first_word, n_words>>."""
+    array<struct<lang, first_word, n_words>>; carry: columns of docs that stay on their row, named _0, _1, ..."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x 2 * BUCKETS numbers of 4 bytes
 
@@ -165,11 +165,18 @@ def label_languages(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
                     edge = np.flatnonzero(np.diff(path, prepend=-1))
                     spans[row] = [{"lang": langs[path[e]], "first_word": int(e), "n_words": int(f - e)} for e, f in zip(edge, [*edge[1:], len(path)])]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["id", "lang_pred", "score", "spans"])
+            found = [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(found + [batch.column(k) for k in places], ["id", "lang_pred", "score", "spans", *names])
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, lang_pred string, score double, spans array<struct<lang:string,first_word:int,n_words:int>>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    kinds = dict(docs.dtypes)
+    names = [f"_{k}" for k in range(len(carry))]
+    # a text that is carried comes to the batch once
+    once = [c == text_col and kinds[c] == "string" for c in carry]
+    more = [F.col(c).alias(n) for c, n, o in zip(carry, names, once) if not o]
+    free = iter(range(2, 2 + len(more)))
+    places = [1 if o else next(free) for o in once]
+    schema = ", ".join([f"id {kinds[id_col]}, lang_pred string, score double, spans array<struct<lang:string,first_word:int,n_words:int>>", *[f"{n} {kinds[c]}" for c, n in zip(carry, names)]])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -177,6 +184,6 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def learn_and_label(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def learn_and_label(docs: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     model = learn(docs.where(~held_out(id_col)))
-    return label_languages(docs, model, id_col).withColumn("held_out", held_out(id_col))
+    return label_languages(docs, model, id_col, carry=carry).withColumn("held_out", held_out(id_col))

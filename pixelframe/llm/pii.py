@@ -79,11 +79,16 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(lengths, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
 
 
+def _text_key(text_col: str) -> Column:
+    """With the id it tells rows apart whose ids are null or repeated; rows that share both have the same spans."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, one array of spans for each kind, and tokens: identifier-like tokens with their left context."""
+    """id, text_key, one array of spans for each kind, and tokens: identifier-like tokens with their left context."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # a digit or @ must be there for any match; most texts have none
-    df = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("some", F.col("t").rlike("[0-9@]"))
+    df = docs.select(F.col(id_col).alias("id"), text.alias("t"), _text_key(text_col).alias("text_key")).withColumn("some", F.col("t").rlike("[0-9@]"))
     for kind in KINDS:
         got = matches(F.col("t"), PATTERNS[kind], kind)
         good = F.filter(got, _checker(kind))
@@ -100,17 +105,18 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     every = F.concat(*KINDS)
     free = F.filter("tokens", lambda s: ~F.exists(every, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     seen = F.transform(F.concat(every, free), context)
-    return df.select("id", *KINDS, F.when(F.size(F.concat(every, F.col("tokens"))) > 0, seen).alias("seen"))
+    return df.select("id", "text_key", *KINDS, F.when(F.size(F.concat(every, F.col("tokens"))) > 0, seen).alias("seen"))
 
 
 def bootstrap(occurrences: DataFrame) -> DataFrame:
-    """occurrences: id, kind ('' if unknown), start, stop, value, one, two -> discovered spans id, kind, start, stop."""
+    """occurrences: id, text_key, kind ('' if unknown), start, stop, value, one, two -> discovered spans id, text_key,
+    kind, start, stop, value."""
     # an unknown token counts without the brackets, quotes and stops at its ends
     lead = F.when(F.col("kind") == "", F.length(F.regexp_extract("value", r"^[(\[{\"'<]+", 0))).otherwise(0)
     bare = F.when(F.col("kind") == "", F.regexp_replace("value", r"^[(\[{\"'<]+|[)\]}\"'>.,;:!?]+$", "")).otherwise(F.col("value"))
     occ = occurrences.withColumn("start", F.col("start") + lead).withColumn("value", bare).withColumn("stop", F.col("start") + F.length("value"))
     occ = occ.select(
-        "id", "kind", "start", "stop", "value",
+        "id", "text_key", "kind", "start", "stop", "value",
         F.explode(F.array_distinct(F.array(F.concat(F.lit("1:"), "one"), F.concat(F.lit("2:"), "two")))).alias("pattern"),
     ).where("pattern is not null and length(pattern) > 3")
     edges = cut(occ.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")))
@@ -129,17 +135,16 @@ def bootstrap(occurrences: DataFrame) -> DataFrame:
         belief = cut(seeds.unionByName(found.join(seeds.select("value"), "value", "left_anti")))
     sure = score.join(strong.select("pattern", F.col("kind").alias("k")), ["pattern", "k"], "left_semi").where(F.col("confidence") >= LEAST)
     new = occ.where("kind = ''").join(sure, "pattern").where(fits)
-    best = new.groupBy("id", "start", "stop", "value").agg(F.max(F.struct("confidence", "k")).alias("m"))
-    return best.select("id", F.col("m.k").alias("kind"), "start", "stop", "value")
+    best = new.groupBy("id", "text_key", "start", "stop", "value").agg(F.max(F.struct("confidence", "k")).alias("m"))
+    return best.select("id", "text_key", F.col("m.k").alias("kind"), "start", "stop", "value")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base array<span>, added array<span>: the base spans and those that the patterns discover."""
+    """id, base array<span>, added array<span>, text_key: the base spans and those that the patterns discover."""
     rows = cut(base_spans(docs, id_col, text_col))
-    occurrences = rows.where("seen is not null").select("id", F.explode("seen").alias("s")).select("id", "s.*")
-    added = bootstrap(occurrences).distinct().groupBy("id").agg(F.collect_list(F.struct("kind", "start", "stop", "value")).alias("added"))
-    added = added.withColumnRenamed("id", "_id")
-    out = rows.join(added, rows["id"].eqNullSafe(added["_id"]), "left")
+    occurrences = rows.where("seen is not null").select("id", "text_key", F.explode("seen").alias("s")).select("id", "text_key", "s.*")
+    added = bootstrap(occurrences).distinct().groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("kind", "start", "stop", "value")).alias("added"))
+    out = rows.join(added, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
 
     def ordered(spans: Column) -> Column:
@@ -148,7 +153,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     base = ordered(F.concat(*KINDS))
     more = ordered(F.coalesce("added", F.array().cast(_SPAN)))
-    return out.select(F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), more.alias("added"))
+    return out.select(F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), more.alias("added"), "text_key")
 
 
 def spans_text(spans: Column) -> Column:
@@ -156,9 +161,9 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; of overlapping spans the first one stands. Rows that
-    share an id must share their text."""
-    spans = found.select(F.col(id_col).alias("_id"), F.array_sort(F.concat("base", "added")).alias("_s")).where(F.size("_s") > 0).dropDuplicates(["_id"])
+    """docs with every span replaced by its kind in brackets; of overlapping spans the first one stands. Rows are
+    found by id and text."""
+    spans = found.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.array_sort(F.concat("base", "added")).alias("_s")).where(F.size("_s") > 0).dropDuplicates(["_id", "_key"])
     t = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -167,5 +172,5 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.array_append(acc["parts"], piece).alias("parts"))).otherwise(acc)
 
     clean = F.aggregate("_s", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    out = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]), "left")
-    return out.withColumn(text_col, F.when(F.col("_s").isNotNull(), clean).otherwise(t)).drop("_id", "_s")
+    out = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (_text_key(text_col) == F.col("_key")), "left")
+    return out.withColumn(text_col, F.when(F.col("_s").isNotNull(), clean).otherwise(t)).drop("_id", "_key", "_s")

@@ -182,6 +182,32 @@ def test_repeated_identifiers_unknown_tools_and_cycles(spark):
 # ------------------------------------------------------------------ pipeline
 
 
+def test_pipeline_keeps_null_and_repeated_ids(spark):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+    words = "the of and to in that was with this from".split()
+    prose = lambda k: " ".join(rng.choice(words) + f"w{k}x{j % 9}" * (j % 2) for j in range(40))
+    text = [prose(k) for k in range(40)]
+    rows = [(k, text[k], "en", "s1", k) for k in range(40)]
+    rows += [(None, prose(50) + " me@host.org", "en", "s1", 0), (None, "to a.b@c.de " + prose(51), "en", "s2", 0), (None, None, "en", "s1", 0)]
+    rows += [(3, "123 !!", "en", "s1", 0), (4, prose(52) + " 10.0.0.1", "en", "s1", 0)]  # one id, another text
+    rows += [(5, text[5], "en", "s1", 5), (5, text[5], "en", "s2", 5)]  # repeated rows
+    rows += [(60, text[6], "en", "s1", 6), (None, text[7], "en", "s1", 7)]  # copies of smaller ids
+    rows += [(None, rows[40][1], "en", "s1", 0)]  # a repeated row without an id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    lettered = [r[:2] for r in rows if r[1] and r[1] != "123 !!"]
+    known = C.language_id(spark, docs, "")
+    assert pairs(known) == sorted(lettered, key=str) and known.columns == docs.columns
+    one = C.near_duplicates(spark, known, "")
+    want = sorted(set(lettered) - {(60, text[6]), (None, text[7])}, key=str)
+    assert pairs(one) == want and one.columns == docs.columns
+    clean = [(i, t.replace("me@host.org", "[EMAIL]").replace("a.b@c.de", "[EMAIL]").replace("10.0.0.1", "[IP]")) for i, t in want]
+    assert pairs(C.pii(spark, one, "")) == sorted(clean, key=str)
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
