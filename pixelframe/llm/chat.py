@@ -1,6 +1,6 @@
 """Chat formatting: tool calls linked with results, ordered, checked against schemas, as canonical JSON.
 
-Calls and results meet by identifier in a hash join. A call's place in its conversation follows from its
+Calls and results meet by identifier in a hash join; each different result of a call is a link. A call's place in its conversation follows from its
 dependencies: it comes after every call whose result it names in its arguments, else after what stands before it
 in the conversation. Arguments are checked against the tool's schema (required fields, types). The result is one JSON
 text for each link, with sorted keys, no white space and null for what is missing.
@@ -12,7 +12,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut
 
@@ -34,44 +34,61 @@ def json_string(c: Column) -> Column:
 def as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """conv_id, turn, role, text -> calls and results. A turn that is not the assistant's calls 'reply' with its text, an
     assistant's turn behind another assistant's turn calls 'continue'; the next turn, if it is the assistant's, is the
-    result."""
+    result. A call needs the one before it in its conversation, over missing turns too."""
     m = messages.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     m = m.withColumn("call_id", F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("?")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit("?"))))
+    # the turn before, once for each different turn; a first turn over 0 names the one that is missing
+    turns = m.select("conv_id", "turn").distinct().where("turn is not null")
+    turns = turns.withColumn("before", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")))
+    turns = turns.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.coalesce("before", F.when(F.col("turn") > 0, F.col("turn") - 1)).alias("before"))
+    m = m.join(turns, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
     answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    calls = m.select("conv_id", "turn", "call_id", F.when(answer, "continue").otherwise("reply").alias("tool"), F.struct(F.col("text"), F.col("turn")).alias("arguments"), F.when(F.col("turn") > 0, F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("?")), F.lit(":"), (F.col("turn") - 1).cast("string"))).alias("needs"))
+    calls = m.select("conv_id", "turn", "call_id", F.when(answer, "continue").otherwise("reply").alias("tool"), F.struct(F.col("text"), F.col("turn")).alias("arguments"), F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("?")), F.lit(":"), F.col("before").cast("string")).alias("needs"))
     results = m.where(answer & F.col("turn").isNotNull()).select("conv_id", F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("?")), F.lit(":"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("result"))
     return calls, results
 
 
-def steps(deps: DataFrame, most: int = 40) -> DataFrame:
-    """id, needs (one id or null; an id that is not there counts as null) -> id, step: 1 + the length of the chain of
-    needs, null in a cycle. Pointer doubling: a chain of n needs log2(n) rounds, each one join of the ids that are
-    not done."""
-    ids = cut(deps.groupBy("id").agg(F.min("needs").alias("up")))
-    here = ids.select(F.col("id").alias("up"))
-    now = cut(ids.join(here, "up", "left_semi").select("id", "up", F.lit(1).cast("long").alias("dist")).unionByName(ids.join(here, "up", "left_anti").select("id", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("dist"))))
-    left = now.where("up is not null").count()
-    limit = 1 << left.bit_length()
-    far = 1
-    while left and far <= limit and most:
-        # only ids whose chain is not at its end yet move on
-        above = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("dist").alias("_dist"))
-        moved = now.where("up is not null").join(above, F.col("up") == F.col("_id"), "left").select("id", F.col("_up").alias("up"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"))
-        now = cut(now.where("up is null").unionByName(moved))
-        left, far, most = now.where("up is not null").count(), far * 2, most - 1
-    return now.select("id", F.when(F.col("up").isNull(), F.col("dist") + 1).alias("step"))
+def steps(deps: DataFrame) -> DataFrame:
+    """id, needs (one id or null, one row for each; an id that is not there counts as null) -> id, step: 1 + the length
+    of the longest chain of needs, null in or behind a cycle. Hops of 1, 2, 4, ... links are made by doubling until no
+    chain is that long; then every id takes them from its longest on, each one if a chain so long goes on from where
+    it stands. A chain of n needs takes 2 log2(n) joins."""
+    ids = cut(deps.select("id").distinct())
+    links = deps.where("needs is not null").select("id", F.col("needs").alias("up")).distinct()
+    hop = cut(links.join(ids.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))
+    most, far, hops = hop.count(), 1, []
+    # more links in a row than there are mean a cycle
+    while far <= most and not hop.isEmpty():
+        hops.append((far, hop))
+        above = hop.select(F.col("id").alias("_id"), F.col("up").alias("_up"))
+        hop = cut(hop.join(above, F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up")).distinct())
+        far *= 2
+    endless = longer = hop.select("id").distinct()
+    at = hop.select("id", "up", F.lit(0).cast("long").alias("dist")).limit(0)
+    for far, hop in reversed(hops):
+        # an id comes in with its longest hop; until then it is in no join
+        new = hop.join(longer, "id", "left_anti").select("id", "up", F.lit(far).cast("long").alias("dist"))
+        above = hop.select(F.col("id").alias("_id"), F.col("up").alias("_up"))
+        moved = cut(at.join(above, F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up"), (F.col("dist") + far).alias("dist")).distinct())
+        at = cut(at.join(moved.select("id").distinct(), "id", "left_anti").unionByName(moved).unionByName(new))
+        longer = hop.select("id").distinct()
+    first = ids.join(longer, "id", "left_anti").select("id", F.lit(1).cast("long").alias("step"))
+    known = at.select("id", (F.col("dist") + 1).alias("step")).distinct().unionByName(first)
+    return known.unionByName(endless.select("id", F.lit(None).cast("long").alias("step")))
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """calls: conv_id, turn, call_id, tool, arguments struct<text, turn>, needs; results: conv_id, call_id, result ->
-    one row for each different call and each identifier of results without a call: conv_id, call_id, step, tool, status,
-    n_calls (rows of this call), n_results, canonical. Of several results the smallest one is taken; a call whose
-    identifier other calls have too has status repeated_id."""
+    """calls: conv_id, turn, call_id, tool, arguments struct<text, turn>, needs (an identifier or an array of them);
+    results: conv_id, call_id, result -> one row for each different call and different result of its identifier, each
+    call without a result and each different result without a call: conv_id, call_id, step, tool, status, n_calls (rows
+    of this call), n_results (rows of this result), canonical. A call whose identifier other calls have too has
+    status repeated_id, and a row for each result of the identifier."""
+    several = dict(calls.dtypes)["needs"].startswith("array")
     key = ["conv_id", "turn", "call_id", "tool", "arguments", "needs"]
     calls = calls.groupBy(*key).agg(F.count("*").alias("n_calls")).withColumn("call_id", F.coalesce("call_id", F.lit("?")))
     ids = calls.groupBy("call_id").agg(F.count("*").alias("with_id"))
-    results = results.groupBy(F.coalesce("call_id", F.lit("?")).alias("call_id")).agg(F.min("conv_id").alias("_conv"), F.min("result").alias("result"), F.count("*").alias("n_results"))
-    order = steps(calls.select(F.col("call_id").alias("id"), "needs")).withColumnRenamed("id", "call_id")
+    results = results.groupBy(F.coalesce("call_id", F.lit("?")).alias("call_id"), "result").agg(F.min("conv_id").alias("_conv"), F.count("*").alias("n_results"))
+    order = steps(calls.select(F.col("call_id").alias("id"), (F.explode_outer("needs") if several else F.col("needs")).alias("needs"))).withColumnRenamed("id", "call_id")
     both = ids.join(results, "call_id", "full_outer").join(order, "call_id", "left")
     df = both.join(calls, "call_id", "left").withColumn("conv_id", F.coalesce("conv_id", "_conv")).drop("_conv")
     good = F.lit(False)
@@ -85,6 +102,7 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     status = F.when(F.col("n_calls").isNull(), "no_call").when(F.col("with_id") > 1, "repeated_id").when(~F.col("tool").isin(*schemas), "unknown_tool").when(F.col("step").isNull(), "cycle").when(~good, "bad_arguments").when(F.col("n_results").isNull(), "no_result").otherwise("ok")
     df = df.withColumn("status", status)
     arguments = F.when(F.col("n_calls").isNotNull(), F.concat(F.lit('{"text":'), json_string(F.col("arguments.text")), F.lit(',"turn":'), F.coalesce(F.col("arguments.turn").cast("string"), F.lit("null")), F.lit("}"))).otherwise("null")
-    canonical = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), json_string(F.col("call_id")), F.lit(',"needs":'), json_string(F.col("needs")), F.lit(',"result":'), json_string(F.col("result")), F.lit(',"status":'), json_string(F.col("status")), F.lit(',"tool":'), json_string(F.col("tool")), F.lit("}"))
+    needs = F.coalesce(F.concat(F.lit("["), F.array_join(F.transform("needs", json_string), ","), F.lit("]")), F.lit("null")) if several else json_string(F.col("needs"))
+    canonical = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), json_string(F.col("call_id")), F.lit(',"needs":'), needs, F.lit(',"result":'), json_string(F.col("result")), F.lit(',"status":'), json_string(F.col("status")), F.lit(',"tool":'), json_string(F.col("tool")), F.lit("}"))
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_calls", "n_results")]
     return df.select("conv_id", "call_id", "step", "tool", "status", *counts, canonical.alias("canonical"))

@@ -179,6 +179,28 @@ def test_repeated_identifiers_unknown_tools_and_cycles(spark):
     assert sorted((r.call_id, r.status, r.step) for r in rows) == [("a", "cycle", None), ("b", "cycle", None), ("c", "unknown_tool", 1), ("d", "repeated_id", 2), ("d", "repeated_id", 2), ("e", "ok", 2), ("z", "no_call", None)]
 
 
+def test_every_result_is_linked_and_turns_may_be_missing(spark):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (2, 3, "user", "r"), (2, 7, "assistant", "s"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 1, "assistant", "z")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = [(r.call_id, r.step, r.n_results, json.loads(r.canonical)) for r in chat.link_tools(*chat.as_calls(df)).collect()]
+    assert sorted((c, n, j["result"]) for c, _, n, j in rows if c in ("1:0", "?:0")) == [("1:0", 1, "b"), ("1:0", 2, "a"), ("?:0", 1, "y"), ("?:0", 1, "z")]
+    assert sorted((c, s, j["needs"]) for c, s, _, j in rows if s and c.startswith("2:")) == [("2:0", 1, None), ("2:3", 2, "2:0"), ("2:7", 3, "2:3")]
+
+
+def test_steps_follow_every_need(spark):
+    rng = random.Random(7)
+    edges = [(i, rng.randrange(i)) for i in range(1, 60) for _ in range(rng.randint(0, 3))] + [(i, i - 1) for i in range(61, 100)] + [(99, 5), (100, 102), (101, 100), (102, 101), (103, 100), (103, 0), (59, 999)]
+    deps = [(str(i), None) for i in range(104)] + [(str(a), str(b)) for a, b in edges]
+    want = {}
+    for i in range(100):
+        want[i] = 1 + max((want[b] for a, b in edges if a == i and b < i), default=0)
+    got = {int(r.id): r.step for r in chat.steps(spark.createDataFrame(deps, "id string, needs string")).collect()}
+    assert got == want | dict.fromkeys(range(100, 104))
+    calls = spark.createDataFrame([(1, k, c, "reply", ("t", k), n) for k, (c, n) in enumerate([("a", None), ("b", ["a"]), ("c", ["a", "b"]), ("d", [])])], "conv_id long, turn long, call_id string, tool string, arguments struct<text:string,turn:long>, needs array<string>")
+    rows = chat.link_tools(calls, spark.createDataFrame([], "conv_id long, call_id string, result string")).collect()
+    assert sorted((r.call_id, r.step, json.loads(r.canonical)["needs"]) for r in rows) == [("a", 1, None), ("b", 2, ["a"]), ("c", 3, ["a", "b"]), ("d", 1, [])]
+
+
 # ------------------------------------------------------------------ pipeline
 
 
