@@ -161,15 +161,15 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; of overlapping spans the first one stands. Rows are
-    found by id and text."""
+    """docs with every span replaced by its kind in brackets; overlapping spans are replaced together, by the kind
+    of the first one. Rows are found by id and text."""
     spans = found.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.array_sort(F.concat("base", "added")).alias("_s")).where(F.size("_s") > 0).dropDuplicates(["_id", "_key"])
     t = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.array_append(acc["parts"], piece).alias("parts"))).otherwise(acc)
+        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.array_append(acc["parts"], piece).alias("parts"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["parts"].alias("parts")))
 
     clean = F.aggregate("_s", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
     out = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (_text_key(text_col) == F.col("_key")), "left")

@@ -150,6 +150,19 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert clean[30] == "please write to mailbox [EMAIL] for help" and clean[31] == texts[31] and clean[32] is None
 
 
+def test_overlapping_spans_are_redacted_together(spark):
+    texts = ["pay 4111 1111 1111 1111@example.com now", "4111 1111 1111 1111.0.2.3 end", "a@b.cd and 1.2.3.4"]
+    spans = pii.find_pii(frame(spark, texts))
+    clean = {r.doc_id: r.text for r in pii.redact(frame(spark, texts), spans).collect()}
+    for r in spans.collect():
+        text, at, want = texts[r.doc_id], 0, ""
+        for s in sorted((*r.base, *r.added), key=lambda s: s.start):
+            want += text[at : s.start] + f"[{s.kind.upper()}]" if s.start >= at else ""
+            at = max(at, s.stop)
+        assert clean[r.doc_id] == want + text[at:]
+    assert clean[0] == "pay [CARD] now" and clean[2] == "[EMAIL] and [IP]"
+
+
 def test_pii_of_nothing(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
