@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelframe.operators.graph import connected_components, cut, shared_dir  # noqa: F401
@@ -43,21 +44,29 @@ LOWER[0x41:0x5B] += 32
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[bool, np.ndarray] = {}
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(name)
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers 0 .. n-1 of the hash's base, or of its inverse, modulo 2**64."""
+    have = _powers.get(inverse)
     if have is None or len(have) < n:
-        have = np.full(max(n, PIECE), base, dtype=U64)
+        have = np.full(max(n, PIECE), _RINV if inverse else _R, dtype=U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         if n <= 16 * PIECE:
-            _powers[name] = have
+            _powers[inverse] = have
     return have[:n]
 
 
+def byte_sums(buf: np.ndarray) -> np.ndarray:
+    """Sums of weighted bytes up to each place: a difference of two of them times powers(.., inverse=True) of its start
+    is the same for equal bytes wherever they stand."""
+    total = np.zeros(len(buf) + 1, dtype=U64)
+    np.cumsum(_BYTE[buf] * powers(len(buf)), out=total[1:])
+    return total
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
@@ -83,6 +92,18 @@ def text_pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         at = end
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, size: int = 8 * PIECE) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about size bytes of the text column, so that what is made of them stays small; a
+    longer text is a slice of its own."""
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
+        upto, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def words_of(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in buf, and the number of the first word of each row (n rows + 1)."""
     if not len(buf):
@@ -103,9 +124,8 @@ def words_of(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, equal for equal bytes wherever they stand."""
-    total = np.zeros(len(buf) + 1, dtype=U64)
-    np.cumsum(_BYTE[buf] * _power("r", _R, len(buf)), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("i", _RINV, len(buf) + 1)[starts]
+    total = byte_sums(buf)
+    h = (total[ends] - total[starts]) * powers(len(buf) + 1, inverse=True)[starts]
     return mix64(h + (ends - starts).astype(U64))
 
 
