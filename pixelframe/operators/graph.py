@@ -8,22 +8,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir). Where none is set, a local session gets a temporary one
+    and a cluster an error: its machines share no temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: the lineage ends there, and a
-    lost executor costs no recomputation."""
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: the lineage ends there, and a lost executor costs no
+    recomputation. The write's shuffle files go when it ends; so do the files of done, earlier cuts that nothing but
+    df still needed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    for old in done:
+        drop(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a cut."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -43,6 +67,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if not now[0]:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(60):
+        old = e
         # large star: every larger neighbour of u is linked with u's smallest neighbour
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -50,7 +75,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: u and its smaller neighbours are linked with the smallest of them
         low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         near = e.join(low, F.col("u") == F.col("k"))
-        e = cut(near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        e = cut(near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), old)
         was, now = now, stats(e)
         if was == now:
             break
