@@ -1,31 +1,36 @@
 """Nearest neighbours by a hash-prefix forest (LSH forest) under Euclidean distance.
 
-A tree gives each vector a long string of digits, each the cell of a random projection on a line. The strings of a
-shard of rows are held in sorted arrays. A query descends in every tree to the places with the longest common prefix,
-then all trees ascend together: one digit less in every step, which adds the rows that share the shorter prefix. The
-ascent ends when a row nearer than the K-th found would have been missed so far by all trees with a
-probability of at most MISS, which follows from the distance and the prefix length; there is no limit of candidates.
-Distances of the candidates are exact.
+Vectors are centred and lifted to a sphere. A tree turns its points by a random projection per digit; the digit is the
+nearest of the 2 * WIDE poles of the turned axes (a cross-polytope), one byte of the tree's string. The strings of all
+trees are sorted by range over the cluster. A query descends to the rows with the longest common prefixes in all trees; then
+all trees ascend together, one digit less in every step, which adds the rows that share the shorter prefix. The ascent of
+a query ends when rows as near as those found would have been missed by all trees with a mean probability of at most
+MISS; there is no limit of candidates. A query that has not ended when no digit is left is compared with all rows.
 
-Every row is indexed. The rows are dealt over shards of about SHARD rows, and every block of queries visits every
-shard; the best K of the shards' results are the answer.
+Strings and ids find the candidates; vectors move once for each step, to the cells (by hash of the id) where they are
+compared, and a query's vector to the cells that hold candidates of it. Equal vectors are one from the start.
+Only centre, radius and the chance of a common digit are fitted, on SAMPLE rows; every row is indexed.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; those of another
-length than the query's are no candidates; ties go to the smaller id; equal rows are separate candidates; an empty
-table gives no rows; other columns are ignored.
+length than the query's are no candidates; ties go to the smaller id; equal rows are separate candidates, and rows of one id
+and vector are one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-K, TREES, DIGITS, MISS, SHARD, QUERIES = 10, 8, 12, 0.02, 4096, 2048
-#: Rows of the sample from which the width of the cells is fitted.
-SAMPLE = 512
+from .common import cut, parts_for
+
+K, TREES, DIGITS, WIDE, MISS = 10, 80, 3, 128, 0.1
+#: Rows of the sample, and rows in a cell.
+SAMPLE, CELL = 512, 8192
 
 
 def _finite(vec: str):
@@ -34,112 +39,240 @@ def _finite(vec: str):
     return F.coalesce(fine, F.lit(False))
 
 
-def same_cell(distance: float, width: float) -> float:
-    """Probability that two points at this distance get the same digit."""
-    if distance <= 0:
-        return 1.0
-    r = width / distance
-    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+@functools.cache
+def same_digit() -> tuple[np.ndarray, np.ndarray]:
+    """Distances of two points on the unit sphere, and the probability that they get the same digit (by simulation)."""
+    rng, at = np.random.default_rng(5), np.linspace(0, 1.5, 101)
+    a, b = rng.normal(size=(2, 6000, WIDE))
+    pole = lambda x: np.where(x[np.arange(len(x)), i := np.abs(x).argmax(axis=1)] > 0, i, i + WIDE)
+    base = pole(a)
+    found = [float((pole((1 - d * d / 2) * a + math.sqrt(max(0.0, 1 - (1 - d * d / 2) ** 2)) * b) == base).mean()) for d in at]
+    return at, np.minimum.accumulate(np.array(found))
+
+
+def missed(square, radius: float, digits: int, trees: int = TREES):
+    """The probability that all trees miss a common prefix of so many digits with a row at this squared distance; at the
+    next larger of the simulated distances."""
+    at, p = same_digit()
+    chance = F.array(*[F.lit(float(x)) for x in (1 - p**digits) ** trees] + [F.lit(1.0)])
+    return F.element_at(chance, F.least(F.lit(len(at) + 1), F.ceil(F.sqrt(square) / F.lit(radius * at[1])) + 1).cast("int"))
+
 
+class Projections:
+    """What turns vectors into strings: centre and radius of the usual length's vectors, and the trees' projections."""
 
-class PrefixForest:
-    """The sorted arrays of a shard."""
+    def __init__(self, centre: np.ndarray | None, radius: float, seed: int = 3):
+        self.centre, self.radius, self.seed, self._lines = centre, radius, seed, {}
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, width: float, seed: int = 3):
-        self.ids, self.rows, self.width = ids, rows, width
-        dim = rows.shape[1]
-        rng = np.random.default_rng([seed, dim])
-        self.lines = rng.normal(size=(TREES, dim, DIGITS))
-        self.shift = rng.uniform(0, width, size=(TREES, DIGITS))
-        self.trees = []
+    def lift(self, v: np.ndarray) -> np.ndarray:
+        x = v - self.centre if self.centre is not None and v.shape[1] == len(self.centre) else v
+        square = (x * x).sum(axis=1)
+        top = np.maximum(self.radius, np.sqrt(square))
+        return np.concatenate([x, np.sqrt(np.maximum(0, self.radius**2 - square))[:, None]], axis=1) / top[:, None]
+
+    def strings(self, v: np.ndarray) -> np.ndarray:
+        """(rows, TREES): length, tree and digits as one number, so that a prefix is a shift."""
+        z, dim = self.lift(v).astype(np.float32), v.shape[1]
+        out = np.empty((len(v), TREES), dtype=np.int64)
         for t in range(TREES):
-            s = self.strings(rows, t)
-            order = np.argsort(s, kind="stable")
-            self.trees.append((s[order], order))
-        self.square = (rows * rows).sum(axis=1)
-
-    def strings(self, rows: np.ndarray, t: int) -> np.ndarray:
-        """Digits as two big-endian bytes each: byte order is digit order, a prefix is a byte prefix."""
-        digits = np.floor((rows @ self.lines[t] + self.shift[t]) / self.width)
-        digits = (np.clip(digits, -32768, 32767) + 32768).astype(">u2")
-        raw, size = np.ascontiguousarray(digits).tobytes(), 2 * DIGITS
-        out = np.empty(len(rows), dtype=object)
-        out[:] = [raw[i : i + size] for i in range(0, len(raw), size)]
+            word = np.full(len(v), dim * TREES + t, dtype=np.int64)
+            for d in range(DIGITS):
+                y = z @ np.random.default_rng([self.seed, dim, t, d]).normal(size=(dim + 1, WIDE)).astype(np.float32)
+                pole = np.abs(y).argmax(axis=1)
+                word = word << 8 | np.where(y[np.arange(len(y)), pole] > 0, pole, pole + WIDE)
+            out[:, t] = word
         return out
 
-    def range_of(self, sorted_strings: np.ndarray, s: bytes, digits: int) -> tuple[int, int]:
-        low, high = s[: 2 * digits], s[: 2 * digits] + b"\xff" * (2 * (DIGITS - digits) + 1)
-        return int(np.searchsorted(sorted_strings, low)), int(np.searchsorted(sorted_strings, high))
-
-    def search(self, query: np.ndarray, own: int, k: int = K, miss: float = MISS) -> list[tuple[float, int]]:
-        """The k nearest found: (distance, id)."""
-        strings = [self.strings(query[None], t)[0] for t in range(TREES)]
-        ranges = [(0, 0)] * TREES
-        seen = np.zeros(len(self.ids), dtype=bool)
-        best = np.full(len(self.ids), np.inf)
-        worst, base = math.inf, float(query @ query)
-        for digits in range(DIGITS, -1, -1):
-            fresh = []
-            for t in range(TREES):
-                a, b = self.range_of(self.trees[t][0], strings[t], digits)
-                c, d = ranges[t]
-                order = self.trees[t][1]
-                fresh += [order[a:b]] if c == d else [order[a:c], order[d:b]]
-                ranges[t] = (a, b)
-            new = np.unique(np.concatenate(fresh))
-            new = new[~seen[new] & (self.ids[new] != own)]
-            if len(new):
-                seen[new] = True
-                best[new] = np.maximum(0, self.square[new] - 2 * (self.rows[new] @ query) + base)
-                if seen.sum() >= k:
-                    worst = math.sqrt(float(np.partition(best, k - 1)[k - 1]))
-            if worst < math.inf and (1 - same_cell(worst, self.width) ** max(digits, 0)) ** TREES <= miss:
-                break
-        near = np.flatnonzero(best <= (worst * worst * (1 + 1e-9) + 1e-9 if worst < math.inf else math.inf))
-        near = near[seen[near]]
-        exact = np.sqrt(((self.rows[near] - query) ** 2).sum(axis=1))
-        order = np.lexsort((self.ids[near], exact))[:k]
-        return [(float(exact[i]), int(self.ids[near[i]])) for i in order]
-
-
-def fit_width(vectors: DataFrame, vec_col: str) -> float:
-    """Width of the cells: the usual distance to the nearest of SAMPLE rows taken by hash, doubled."""
-    rows = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).select(vec_col).collect()
-    by: dict[int, list] = {}
-    for (v,) in rows:
-        by.setdefault(len(v), []).append(v)
-    v = np.array(max(by.values(), key=len, default=[]), dtype=np.float64)
-    if len(v) < 2:
-        return 1.0
-    g = (v * v).sum(axis=1)
-    d = np.sqrt(np.maximum(0, g[:, None] + g[None] - 2 * v @ v.T))
-    np.fill_diagonal(d, np.inf)
-    usual = float(np.median(d.min(axis=1)))
-    return 2 * usual if usual > 0 else 1.0
+
+def fit(vectors: DataFrame) -> Projections:
+    """Centre and radius (three quarters of the rows lie within) of SAMPLE rows taken by hash, those of the usual length."""
+    rows = [r.v for r in vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()]
+    if not rows:
+        return Projections(None, 1.0)
+    sizes = [len(v) for v in rows]
+    usual = max(sorted(set(sizes)), key=sizes.count)
+    x = np.array([v for v in rows if len(v) == usual], dtype=np.float64)
+    centre = x.mean(axis=0) if len(x) > 1 else np.zeros(usual)
+    radius = float(np.quantile(np.sqrt(((x - centre) ** 2).sum(axis=1)), 0.75))
+    return Projections(centre, radius if radius > 0 else 1.0)
+
+
+def _matrices(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) for each length."""
+    offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    size = np.diff(offsets)
+    for dim in np.unique(size):
+        rows = np.flatnonzero(size == dim)
+        yield rows, flat[offsets[rows][:, None] + np.arange(dim)].astype(np.float64)
+
+
+def _forest(reps: DataFrame, projections: Projections) -> DataFrame:
+    """word, id: the strings of all trees."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                some = batch.slice(a, 2000)
+                ids = np.asarray(some.column(0))
+                for rows, v in _matrices(some.column(1)):
+                    words = projections.strings(v)
+                    yield pa.RecordBatch.from_arrays([pa.array(words.reshape(-1)), pa.array(np.repeat(ids[rows], TREES))], ["word", "id"])
+
+    return reps.select("id", "v").mapInArrow(run, "word long, id long")
+
+
+class _Cell:
+    """Compares the queries of one cell with its rows. Rows come in order: kind 0 the cell's vectors, 1 the queries' vectors
+    (whole: against all rows), 2 pairs."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.asks, self.best = k, {}, {}, {}
+
+    def matrix(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        got = self.rows.get(dim)
+        if isinstance(got, list):
+            ids = np.array([i for i, _ in got], np.int64)
+            order = np.argsort(ids)
+            got = self.rows[dim] = (ids[order], np.array([v for _, v in got], np.float64)[order])
+        return got if got is not None else (np.zeros(0, np.int64), np.zeros((0, dim)))
+
+    def keep(self, q: int, ids: np.ndarray, square: np.ndarray, seen: int) -> None:
+        old = self.best.get(q)
+        if old is not None:
+            new = ~np.isin(ids, old[0])
+            ids, square, seen = np.concatenate([old[0], ids[new]]), np.concatenate([old[1], square[new]]), seen + old[2]
+        order = np.lexsort((ids, square))[: self.k + 1]
+        self.best[q] = (ids[order], square[order], seen)
+
+    def compare(self, q: int, ids: np.ndarray | None) -> None:
+        v = self.asks[q]
+        have, rows = self.matrix(len(v))
+        if ids is not None:
+            rows = rows[np.searchsorted(have, ids)]
+            have = ids
+        for a in range(0, len(have), 4096):
+            part = rows[a : a + 4096] - v
+            self.keep(q, have[a : a + 4096], (part * part).sum(axis=1), len(part))
+
+
+def _compared(reps: DataFrame, asks: DataFrame, pairs: DataFrame | None, cells: int, k: int) -> DataFrame:
+    """q, id, square (of the distance), seen: for each query and cell the k + 1 nearest of the pairs (q, id), or of all rows if
+    there are no pairs; seen (on one row of them) is how many were looked at."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).cast("int").alias("cell")
+    none = F.lit(None).cast("long")
+    rows = reps.select(cell("id"), F.lit(0).alias("kind"), none.alias("q"), "id", "v")
+    if pairs is None:
+        need = asks.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), F.col("id").alias("q"), none.alias("id"), "v")
+    else:
+        pairs = pairs.select(cell("id"), F.lit(2).alias("kind"), "q", "id")
+        need = pairs.select("cell", "q").distinct().join(asks.select(F.col("id").alias("q"), "v"), "q").select("cell", F.lit(1).alias("kind"), "q", none.alias("id"), "v")
+        need = need.unionByName(pairs.withColumn("v", F.lit(None).cast(reps.schema["v"].dataType)))
+    whole = pairs is None
+
+    def run(batches):
+        now, state, held = None, None, {}
+
+        def flush() -> None:
+            for q, ids in held.items():
+                state.compare(q, np.unique(np.concatenate(ids)))
+            held.clear()
+
+        def done():
+            flush()
+            if whole:
+                for q in state.asks:
+                    state.compare(q, None)
+            for q, (ids, square, seen) in state.best.items():
+                yield from zip([q] * len(ids), ids.tolist(), square.tolist(), [seen] + [0] * len(ids))
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["q", "id", "square", "seen"])
+
+        waiting, out = 0, []
+        for batch in batches:
+            cell_of, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edge = np.flatnonzero(np.diff(cell_of * 4 + kind, prepend=-1))
+            for a, b in zip(edge, [*edge[1:], len(kind)]):
+                if cell_of[a] != now:
+                    out += done() if state else []
+                    now, state, waiting = cell_of[a], _Cell(k), 0
+                some = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    for i, v in zip(some.column(3).to_pylist(), some.column(4)):
+                        v = np.asarray(v.values)
+                        state.rows.setdefault(len(v), []).append((i, v))
+                elif kind[a] == 1:
+                    for q, v in zip(some.column(2).to_pylist(), some.column(4)):
+                        state.asks[q] = np.asarray(v.values).astype(np.float64)
+                else:
+                    q, ids = np.asarray(some.column(2)), np.asarray(some.column(3))
+                    order = np.argsort(q, kind="stable")
+                    q, ids = q[order], ids[order]
+                    first = np.flatnonzero(np.diff(q, prepend=q[0] - 1))
+                    for x, part in zip(q[first].tolist(), np.split(ids, first[1:])):
+                        held.setdefault(x, []).append(part)
+                    waiting += b - a
+                    if waiting > 2_000_000:
+                        flush()
+                        waiting = 0
+            if len(out) > 20_000:
+                yield batch_of(out)
+                out = []
+        out += done() if state else []
+        if out:
+            yield batch_of(out)
+
+    dealt = rows.unionByName(need).repartition(max(parts_for(reps.sparkSession), 1), "cell").sortWithinPartitions("cell", "kind")
+    return dealt.mapInArrow(run, "q long, id long, square double, seen long")
 
 
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, miss: float = MISS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row where is_query holds its k nearest among all others."""
-    every = vectors.where(_finite(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    n, asked = every.agg(F.count("*"), F.count_if("q")).first()
-    width = fit_width(every, "v")
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-(asked or 0) // QUERIES))
-    # each shard's rows go to every block of queries, each block of queries to every shard
-    rows = every.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    asks = every.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-
-    def run(key, mine: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        sizes = mine["v"].map(len) if len(mine) else None
-        for dim, part in queries.groupby(queries["v"].map(len)) if len(queries) and len(mine) else ():
-            own = mine[sizes == dim]
-            if not len(own):
-                continue
-            forest = PrefixForest(own["id"].to_numpy(np.int64), np.stack(own["v"].to_numpy()), width)
-            for q, v in zip(part["id"], part["v"]):
-                out += [(int(q), i, d) for d, i in forest.search(np.asarray(v), int(q), k, miss)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = rows.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    """query_id, rank, vec_id, score, examined (rows that the query was compared with, equal ones once for each step): for each row where is_query
+    holds its k nearest among all others."""
+    every = vectors.where(_finite(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    every = every.groupBy("id", "v").agg(F.max("q").alias("q"))
+    # of equal vectors the k + 1 smallest ids can be among anyone's k nearest
+    key = F.xxhash64("v")
+    first = F.row_number().over(W.partitionBy("h", "v").orderBy("id"))
+    ranked = every.withColumn("h", key).withColumn("place", first)
+    members = ranked.where(F.col("place") <= k + 1)
+    reps = cut(members.groupBy("h", "v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
+    queries = cut(every.where("q").join(reps.select("h", "v", F.col("id").alias("rep")), (F.xxhash64(every["v"]) == F.col("h")) & (every["v"] == reps["v"])).select(F.col("id").alias("query_id"), "rep"))
+    n = reps.count()
+    cells = max(1, -(-n // CELL))
+    projections = fit(reps)
+    forest = cut(_forest(reps, projections).repartitionByRange("word").sortWithinPartitions("word"))
+    active = reps.join(queries.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "v")
+    active, found = cut(active), None
+    asked = cut(forest.join(active.select("id"), "id", "left_semi").select(F.col("word").alias("own"), F.col("id").alias("q")))
+    for digits in range(DIGITS, -1, -1):
+        if digits:
+            shift = 8 * (DIGITS - digits)
+            prefix = lambda c: F.shiftright(c, shift)
+            mine = asked.join(active.select(F.col("id").alias("q")), "q", "left_semi").withColumn("at", prefix("own"))
+            near = mine.join(forest.withColumn("at", prefix("word")), "at")
+            if digits < DIGITS:  # rows that share more have been looked at
+                near = near.where(F.shiftright("own", shift - 8) != F.shiftright("word", shift - 8))
+            got = _compared(reps, active, near.select("q", "id"), cells, k)
+        else:
+            got = _compared(reps, active, None, cells, k)
+        got = got if found is None else got.unionByName(found)
+        # a pair may come from several steps; seen is added up
+        once = got.groupBy("q", "id").agg(F.min("square").alias("square"), F.sum("seen").alias("seen"))
+        best = once.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("square", "id")))
+        best = best.withColumn("seen", F.sum("seen").over(W.partitionBy("q"))).where(F.col("place") <= k + 1)
+        rows = best.select("q", "id", "square", F.when(F.col("place") == 1, F.col("seen")).otherwise(0).cast("long").alias("seen"))
+        found = cut(rows, *([found] if found is not None else []))
+        if digits:
+            chance = F.avg(missed(F.col("square"), projections.radius, digits)).alias("missed")
+            settled = found.groupBy("q").agg(F.count("*").alias("c"), chance).where((F.col("c") > k) & (F.col("missed") <= miss)).select(F.col("q").alias("id"))
+            active = cut(active.join(settled, "id", "left_anti"), active)
+            if active.isEmpty():
+                break
+    groups = queries.join(found.withColumnRenamed("q", "rep"), "rep")
+    each = groups.join(reps.select("id", "ids"), "id").select("query_id", "square", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("square", "vec_id"))
+    out = each.withColumn("rank", rank).where(F.col("rank") <= k)
+    seen = groups.groupBy("query_id").agg(F.sum("seen").alias("examined"))
+    return out.join(seen, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("square").alias("score"), "examined")
+

@@ -1,23 +1,34 @@
 """Chat formatting: tool calls linked with results, ordered, checked against schemas, as canonical JSON.
 
-Calls and results meet by identifier in a hash join; each different result of a call is a link. A call's place in its conversation follows from its
-dependencies: it comes after every call whose result it names in its arguments, else after what stands before it
-in the conversation. Arguments are checked against the tool's schema (required fields, types). The result is one JSON
-text for each link, with sorted keys, no white space and null for what is missing.
+Calls and results meet by identifier in a hash join on the identifiers; each different result of a call is a link. A call's
+place in its conversation follows from its dependencies: it comes after every call whose result it names in its needs.
+Arguments (a struct of any fields) are checked against the tool's schema: required fields must be there, and a field that is
+there must be of the schema's type and no empty string where it is required; a field that the schema does not know is
+wrong unless it is null. The result is one JSON text for each link, with sorted keys, no white space and null for
+what is missing.
 
 Defined results: a result without a call, a call without a result, a repeated identifier and a wrong argument
-each have a status of their own (see STATUS); null texts are null in JSON; repeated rows are counted in one row; an empty
-table gives no rows; other columns are ignored.
+each have a status of their own (see STATUS); null texts are null in JSON; a null identifier counts as '?'; repeated rows are
+counted in one row; ties of steps have no order; texts may be of any length; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .common import cut
 
-#: Tools and their arguments: name -> {argument: (type, required)}. Types: string (not empty), integer.
+#: Tools and their arguments: name -> {argument: (type, required)}. Types: those of TYPES.
 SCHEMAS = {"reply": {"text": ("string", True), "turn": ("integer", True)}, "continue": {"text": ("string", False), "turn": ("integer", True)}}
+TYPES = {
+    "string": (T.StringType,),
+    "integer": (T.ByteType, T.ShortType, T.IntegerType, T.LongType),
+    "number": (T.NumericType,),
+    "boolean": (T.BooleanType,),
+    "array": (T.ArrayType,),
+    "object": (T.StructType, T.MapType),
+}
 STATUS = ("ok", "no_result", "no_call", "bad_arguments", "unknown_tool", "repeated_id", "cycle")
 
 
@@ -31,6 +42,45 @@ def json_string(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit('"'), s, F.lit('"')), F.lit("null"))
 
 
+def json_of(c: Column, kind: T.DataType) -> Column:
+    """Canonical JSON of a value of any type: keys in order, no white space, null for what JSON cannot say."""
+    null = F.lit("null")
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(json_string(F.lit(f.name)), F.lit(":"), json_of(c[f.name], f.dataType)) for f in fields]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: json_of(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_keys(c), lambda k: F.struct(k.cast("string").alias("k"), F.element_at(c, k).alias("v"))))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_string(e["k"]), F.lit(":"), json_of(e["v"], kind.valueType))), ","), F.lit("}"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c.cast("string"))
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        text = c.cast("string")
+    else:
+        return json_string(c.cast("string"))
+    return F.coalesce(F.when(c.isNotNull(), text), null)
+
+
+def fits_schema(c: Column, kind: T.StructType, fields: dict[str, tuple[str, bool]]) -> Column:
+    """Whether the struct c has the fields that the schema requires, each value of its type, and no others."""
+    have = {f.name: f.dataType for f in kind.fields}
+    good = F.lit(True)
+    for name in sorted(set(have) | set(fields)):
+        there = c[name].isNotNull() if name in have else F.lit(False)
+        if name not in fields:
+            good &= ~there
+            continue
+        want, required = fields[name]
+        if name in have and want == "string" and required:
+            there &= F.length(c[name].cast("string")) > 0
+        typed = name not in have or isinstance(have[name], TYPES[want])
+        good &= there if required else F.lit(True)
+        good &= F.lit(True) if typed else c[name].isNull()
+    return F.coalesce(good, F.lit(False))
+
+
 def as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """conv_id, turn, role, text -> calls and results. A turn that is not the assistant's calls 'reply' with its text, an
     assistant's turn behind another assistant's turn calls 'continue'; the next turn, if it is the assistant's, is the
@@ -78,7 +128,7 @@ def steps(deps: DataFrame) -> DataFrame:
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """calls: conv_id, turn, call_id, tool, arguments struct<text, turn>, needs (an identifier or an array of them);
+    """calls: conv_id, turn, call_id, tool, arguments (a struct), needs (an identifier or an array of them);
     results: conv_id, call_id, result -> one row for each different call and different result of its identifier, each
     call without a result and each different result without a call: conv_id, call_id, step, tool, status, n_calls (rows
     of this call), n_results (rows of this result), canonical. A call whose identifier other calls have too has
@@ -89,19 +139,16 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     ids = calls.groupBy("call_id").agg(F.count("*").alias("with_id"))
     results = results.groupBy(F.coalesce("call_id", F.lit("?")).alias("call_id"), "result").agg(F.min("conv_id").alias("_conv"), F.count("*").alias("n_results"))
     order = steps(calls.select(F.col("call_id").alias("id"), (F.explode_outer("needs") if several else F.col("needs")).alias("needs"))).withColumnRenamed("id", "call_id")
-    both = ids.join(results, "call_id", "full_outer").join(order, "call_id", "left")
+    # the side that is hashed has one row for each identifier
+    both = results.join(ids.hint("shuffle_hash"), "call_id", "full_outer").join(order.hint("shuffle_hash"), "call_id", "left")
     df = both.join(calls, "call_id", "left").withColumn("conv_id", F.coalesce("conv_id", "_conv")).drop("_conv")
+    kind = df.schema["arguments"].dataType
     good = F.lit(False)
     for tool, fields in schemas.items():
-        fits = F.lit(True)
-        for name, (kind, required) in fields.items():
-            v = F.col(f"arguments.{name}")
-            there = v.isNotNull() & (F.length(v) > 0 if kind == "string" else F.lit(True))
-            fits &= there if required else F.lit(True)
-        good = F.when(F.col("tool") == tool, fits).otherwise(good)
+        good = F.when(F.col("tool") == tool, fits_schema(F.col("arguments"), kind, fields)).otherwise(good)
     status = F.when(F.col("n_calls").isNull(), "no_call").when(F.col("with_id") > 1, "repeated_id").when(~F.col("tool").isin(*schemas), "unknown_tool").when(F.col("step").isNull(), "cycle").when(~good, "bad_arguments").when(F.col("n_results").isNull(), "no_result").otherwise("ok")
     df = df.withColumn("status", status)
-    arguments = F.when(F.col("n_calls").isNotNull(), F.concat(F.lit('{"text":'), json_string(F.col("arguments.text")), F.lit(',"turn":'), F.coalesce(F.col("arguments.turn").cast("string"), F.lit("null")), F.lit("}"))).otherwise("null")
+    arguments = json_of(F.col("arguments"), kind)
     needs = F.coalesce(F.concat(F.lit("["), F.array_join(F.transform("needs", json_string), ","), F.lit("]")), F.lit("null")) if several else json_string(F.col("needs"))
     canonical = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), json_string(F.col("call_id")), F.lit(',"needs":'), needs, F.lit(',"result":'), json_string(F.col("result")), F.lit(',"status":'), json_string(F.col("status")), F.lit(',"tool":'), json_string(F.col("tool")), F.lit("}"))
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_calls", "n_results")]

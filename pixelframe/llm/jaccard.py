@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, connected_components, cut, drop, mix64, parts_for, shingle_sets, small_batches
+from .common import U64, connected_components, cut, drop, fresh, mix64, parts_for, shingle_sets, small_batches
 
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT, WIDTH = 75, 5
@@ -39,7 +39,7 @@ LEAST, PER, BLOCK, SHINGLES, CELL_BITS, FILTER_BITS = 3, 16, 1000, 400_000, 18,
 #: Entries in a packed part (of which a task holds one at a time), and those that a task holds before it packs them; parts
 #: in a stage at most; weight of a probe against a merge step (fixed value of the DivideSkip rule).
 PACKED, HELD, PARTS, PROBE = 400_000, 250_000, 20_000, 0.0085
-_SLICES = 64
+_SLICES = 16
 
 
 def need(n, percent: int = PERCENT):
@@ -463,16 +463,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Of each group the document with the smallest id, a null id last. Rows are told apart by a hash of id and text, so
     that null and repeated ids are documents of their own; repeated rows of one that stays are reduced to one (the
     smallest by its columns). The decisions are columns of hashes; texts are joined once."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-    keyed = docs.withColumn("_key", key)
-    groups = cut(jaccard_groups(keyed, "_key", text_col).groupBy("_key", "component_id").agg(F.count("*").alias("copies")))
-    ids = keyed.select("_key", F.col(id_col).alias("_id")).distinct()
-    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("m")
-    stay = groups.join(ids, "_key").groupBy("component_id").agg(first).select(F.col("m._key").alias("_key"))
-    gone = cut(groups.join(stay, "_key", "left_anti").select("_key"))
-    kept = keyed.join(gone, "_key", "left_anti")
-    again = cut(groups.where("copies > 1").join(gone, "_key", "left_anti").select("_key"))
+    key, own, row = fresh(docs, "_key", "_id", "_row")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    groups = cut(jaccard_groups(keyed, key, text_col).groupBy(key, "component_id").agg(F.count("*").alias("copies")))
+    ids = keyed.select(key, F.col(id_col).alias(own)).distinct()
+    first = F.min(F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), F.col(key).alias("key"))).alias("m")
+    stay = groups.join(ids, key).groupBy("component_id").agg(first).select(F.col("m.key").alias(key))
+    gone = cut(groups.join(stay, key, "left_anti").select(key))
+    kept = keyed.join(gone, key, "left_anti")
+    again = cut(groups.where("copies > 1").join(gone, key, "left_anti").select(key))
     if not again.isEmpty():
-        one = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-        kept = kept.join(again, "_key", "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))
+        one = kept.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(row))
+        kept = kept.join(again, key, "left_anti").select(*docs.columns).unionByName(one.select(f"{row}.*"))
     return kept.select(*docs.columns)

@@ -6,8 +6,10 @@ are split along a binary tree over the output shards: a node draws its left chil
 multivariate hypergeometric distribution, so that shards get the mix's proportions without any block being given
 twice. Shards then take disjoint runs of each source's permuted blocks, and shuffle their documents locally.
 
-Defined results: a null text has size 0; a null source is a source of its own, ordered last; repeated rows are
-separate documents; an empty table gives no rows; other columns are left alone.
+Defined results: a null or empty text has size 0 (it may be drawn, which takes nothing); a null source is a source of its
+own, ordered last; repeated rows are separate documents, but rows of one id are drawn together; ties go by hashes of ids, so
+that reruns agree; texts may be of any length; an empty table gives no rows; other columns are left alone, whatever
+their names. There may be at most SOURCES sources: each is one row of one task.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the mix: weights by source in order, and the share of all words that the mix holds.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Blocks of a source, and parts of the one block that a quota cuts through.
 BLOCKS = 1024
+#: Most sources: their targets and a node of the tree are made in one task, a row for each.
+SOURCES = 1_000_000
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -79,6 +83,8 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "do
         .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(BLOCKS)).cast("int"))
     )
     blocks = cut(sized.groupBy("skey", "source", "block").agg(F.sum("size").alias("words")))
+    if blocks.select("skey").distinct().count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     targets = cut(source_targets(blocks.groupBy("skey", "source").agg(F.sum("words").alias("source_size")), weights, share))
     # whole passes, and the words of the last one
     targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
@@ -123,11 +129,12 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "do
 
 
 def mix(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mixed corpus: docs' rows, one for each draw, with shard and epoch, shuffled within shards. A shard is
-    dealt over several tasks by a salt, each of which sorts its rows by a random key. Rows that share an id are
-    drawn together."""
-    draws = plan_mix(docs, shards, seed, id_col, **how).select(F.col("doc_id").alias("_id"), F.explode("draws").alias("_d"))
-    draws = draws.distinct().select("_id", F.col("_d.epoch").alias("epoch"), F.col("_d.shard").alias("shard"))
-    out = docs.join(draws, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    key = F.xxhash64(id_col, "epoch", F.lit(seed + 3))
-    return out.repartition("shard", F.pmod(key, F.lit(16))).sortWithinPartitions("shard", key)
+    """The mixed corpus: docs' rows, one for each draw, with shard and epoch (with underscores behind them if docs has such
+    columns), shuffled within shards. A shard is dealt over several tasks by a salt, each of which sorts its rows by a
+    random key. Rows that share an id are drawn together."""
+    key_, epoch, shard = fresh(docs, "_id", "epoch", "shard")
+    draws = plan_mix(docs, shards, seed, id_col, **how).select(F.col("doc_id").alias(key_), F.explode("draws").alias("_d"))
+    draws = draws.distinct().select(key_, F.col("_d.epoch").alias(epoch), F.col("_d.shard").alias(shard))
+    out = docs.join(draws, F.col(id_col).eqNullSafe(F.col(key_))).drop(key_)
+    key = F.xxhash64(id_col, epoch, F.lit(seed + 3))
+    return out.repartition(shard, F.pmod(key, F.lit(16))).sortWithinPartitions(shard, key)

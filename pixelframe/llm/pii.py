@@ -1,20 +1,25 @@
 """PII by base patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
-Base: four kinds of identifiers by pattern and check. They are the seeds. Every identifier-like token (one with a
-digit or @) is an instance; the one or two words before it are its lexical patterns. The bipartite graph of patterns
-and instances is scored in rounds: a pattern's confidence in a kind is the (smoothed) share of its occurrences whose
-instance is believed to be of that kind; an instance's belief is the best of its patterns' confidences. Patterns
-over LEAST with SUPPORT distinct instances then discover instances that no base pattern knows, if their shape fits.
-
-Defined results: null texts are empty; repeated rows are scanned alike; an empty table gives no rows; other columns
-are ignored. Positions are code points, ends exclusive.
+Base: four kinds of identifiers by pattern and check. They are seeds, and so are tokens that look random (a fifth kind,
+secret: never a span by its looks alone). Every identifier-like token (one with a digit or @, or a long run of capitals)
+is an instance; its lexical patterns are the one and the two words before it with their punctuation, what stands before it
+in its own token (password=), and its first four letters if it is a run of capitals and digits. The bipartite
+graph of patterns and instances is scored in rounds: a pattern's confidence in a kind is the (smoothed) share of its
+occurrences whose instance is believed to be of that kind; an instance's belief is the best of its patterns' confidences.
+Patterns of at least LEAST with SUPPORT distinct instances then discover instances that no base pattern knows, if their
+shape fits.
+
+Defined results: null texts are empty; texts are scanned whole, and words of any length count; repeated rows are scanned
+alike (and count as often as they stand); a tie of confidences goes to the kind last in the alphabet; overlapping spans of
+different kinds all stay; an empty table gives no rows; other columns are ignored, whatever their names. Positions are code
+points, ends exclusive.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns, written so that no text can make them slow: a run of characters is entered at its start
@@ -26,12 +31,20 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 IP_PART = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})|0++)"
-#: A token with a digit or @; no brackets, quotes or stops at its ends.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Kinds that contexts alone find, after the base kinds in order.
+MORE = ("secret",)
+#: A token with a digit or @, or one of 16 capitals and digits or more; and what a text with any match must hold.
+TOKEN = r"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+|[A-Z]{16,}+(?!\S))"
+SOME = "[0-9@]|[A-Z]{16}"
+#: A random-looking token: letters and digits mixed, no less than 16 characters.
+SEED = r"^(?=(?:[^0-9]*[0-9]){2})(?=(?:[^A-Za-z]*[A-Za-z]){2})[A-Za-z0-9+/_-]{16,}={0,2}$"
+#: What may open a token, close it, and name a value in it (name=value).
+OPEN, CLOSE, NAME = r"^[(\[{\"'<]+", r"[)\]}\"'>.,;:!?]+$", r"^[A-Za-z][A-Za-z0-9_.-]*+[=:][\"']*+(?=.)"
 ROUNDS, LEAST, SUPPORT, PRIOR = 3, 0.8, 5, 1.0
 #: What an unseen instance of a kind may look like.
-SHAPES = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^[0-9]{1,5}([.:][0-9]{1,5}){2,7}$", "card": r"^[0-9][0-9-]{6,30}$", "phone": r"^[+(]?[0-9][0-9().-]{5,24}$"}
+SHAPES = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^[0-9]{1,5}([.:][0-9]{1,5}){2,7}$", "card": r"^[0-9][0-9-]{6,30}$", "phone": r"^[+(]?[0-9][0-9().-]{5,24}$", "secret": r"^[A-Za-z0-9+/_.-]{12,}={0,2}$"}
 _SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
+_TOKEN = "array<struct<start:int,stop:int,value:string,one:string,two:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -79,62 +92,94 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(lengths, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
 
 
+def tokens_of(text: Column) -> Column:
+    """All identifier-like tokens with positions, and the one and the two words before each. The words are looked for in
+    what stands between a token and the one before it, from its end on, and in that token."""
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    pairs = F.zip_with(F.split(text, TOKEN, -1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(_TOKEN).alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        back = F.reverse(F.concat(acc["before"], x["gap"]))
+        one = F.reverse(F.regexp_extract(back, r"^\s*+(\S++)", 1))
+        two = F.reverse(F.regexp_extract(back, r"^\s*+(\S++\s++\S++)", 1))
+        a = acc["at"] + F.length(x["gap"])
+        b = a + F.length(x["m"])
+        word = lambda w: F.nullif(F.regexp_replace(F.regexp_replace(F.lower(w), "[0-9]+", "#"), r"\s+", " "), F.lit(""))
+        token = F.struct(a.alias("start"), b.alias("stop"), x["m"].alias("value"), word(one).alias("one"), word(two).alias("two"))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), x["m"].alias("before"), F.array_append(acc["found"], token).alias("found")))
+
+    return F.when(text.rlike(TOKEN), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(_TOKEN))
+
+
 def _text_key(text_col: str) -> Column:
     """With the id it tells rows apart whose ids are null or repeated; rows that share both have the same spans."""
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key, one array of spans for each kind, and tokens: identifier-like tokens with their left context."""
+    """id, text_key, one array of spans for each kind, and seen: the spans and the tokens that are in none, each with the
+    token around it."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # a digit or @ must be there for any match; most texts have none
-    df = docs.select(F.col(id_col).alias("id"), text.alias("t"), _text_key(text_col).alias("text_key")).withColumn("some", F.col("t").rlike("[0-9@]"))
+    # most texts have nothing that any match must hold
+    df = docs.select(F.col(id_col).alias("id"), text.alias("t"), _text_key(text_col).alias("text_key")).withColumn("some", F.col("t").rlike(SOME))
     for kind in KINDS:
         got = matches(F.col("t"), PATTERNS[kind], kind)
         good = F.filter(got, _checker(kind))
         df = df.withColumn(kind, F.when(F.col("some"), good).otherwise(F.array().cast(_SPAN)))
-    tokens = F.when(F.col("some"), matches(F.col("t"), TOKEN, "")).otherwise(F.array().cast(_SPAN))
-    df = df.withColumn("tokens", tokens)
+    df = df.withColumn("tokens", F.when(F.col("some"), tokens_of(F.col("t"))).otherwise(F.array().cast(_TOKEN)))
+    every = F.concat(*KINDS)
 
-    def context(s: Column) -> Column:
-        left = F.substring(F.col("t"), F.greatest(s["start"] - 59, F.lit(1)), F.least(s["start"], F.lit(60)))
-        words = F.regexp_extract_all(F.lower(left), F.lit(r"[\p{L}_]+"), F.lit(0))
-        one, two = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), one.alias("one"), F.concat_ws(" ", two, one).alias("two"))
+    def around(s: Column) -> Column:
+        own = F.filter("tokens", lambda t: (t["start"] <= s["start"]) & (s["start"] < t["stop"]))[0]
+        lead = F.substring(own["value"], F.lit(1), s["start"] - own["start"])
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), lead.alias("lead"), own["one"].alias("one"), own["two"].alias("two"))
 
-    every = F.concat(*KINDS)
-    free = F.filter("tokens", lambda s: ~F.exists(every, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    seen = F.transform(F.concat(every, free), context)
-    return df.select("id", "text_key", *KINDS, F.when(F.size(F.concat(every, F.col("tokens"))) > 0, seen).alias("seen"))
+    def alone(t: Column) -> Column:
+        opened = F.length(F.regexp_extract(t["value"], OPEN, 0))
+        bare = F.regexp_replace(t["value"], f"{OPEN}|{CLOSE}", "")
+        lead = F.regexp_extract(bare, NAME, 0)
+        start = t["start"] + opened + F.length(lead)
+        value = F.substring(bare, F.length(lead) + 1, F.length(bare))
+        kind = F.when(value.rlike(SEED), "secret").otherwise("")
+        return F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), lead.alias("lead"), t["one"].alias("one"), t["two"].alias("two"))
+
+    free = F.filter("tokens", lambda t: ~F.exists(every, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    seen = F.concat(F.transform(every, around), F.transform(free, alone))
+    return df.select("id", "text_key", *KINDS, F.when(F.size("tokens") > 0, seen).alias("seen"))
+
+
+def patterns_of(value: Column, lead: Column, one: Column, two: Column) -> Column:
+    """The lexical patterns of an occurrence; each holds a letter."""
+    names = F.array(
+        F.concat(F.lit("1:"), one),
+        F.concat(F.lit("2:"), two),
+        F.concat(F.lit("in:"), F.regexp_replace(F.lower(lead), "[0-9]+", "#")),
+        F.when(value.rlike("^[A-Z]{4}[A-Z0-9]{8,}$"), F.concat(F.lit("as:"), F.substring(value, 1, 4))),
+    )
+    return F.filter(F.array_distinct(names), lambda p: p.isNotNull() & F.regexp_replace(p, "^[a-z0-9]+:", "").rlike(r"\p{L}"))
 
 
 def bootstrap(occurrences: DataFrame) -> DataFrame:
-    """occurrences: id, text_key, kind ('' if unknown), start, stop, value, one, two -> discovered spans id, text_key,
+    """occurrences: id, text_key, kind ('' if unknown), start, stop, value, lead, one, two -> discovered spans id, text_key,
     kind, start, stop, value."""
-    # an unknown token counts without the brackets, quotes and stops at its ends
-    lead = F.when(F.col("kind") == "", F.length(F.regexp_extract("value", r"^[(\[{\"'<]+", 0))).otherwise(0)
-    bare = F.when(F.col("kind") == "", F.regexp_replace("value", r"^[(\[{\"'<]+|[)\]}\"'>.,;:!?]+$", "")).otherwise(F.col("value"))
-    occ = occurrences.withColumn("start", F.col("start") + lead).withColumn("value", bare).withColumn("stop", F.col("start") + F.length("value"))
-    occ = occ.select(
-        "id", "text_key", "kind", "start", "stop", "value",
-        F.explode(F.array_distinct(F.array(F.concat(F.lit("1:"), "one"), F.concat(F.lit("2:"), "two")))).alias("pattern"),
-    ).where("pattern is not null and length(pattern) > 3")
+    occ = occurrences.select("id", "text_key", "kind", "start", "stop", "value", F.explode(patterns_of(*map(F.col, ("value", "lead", "one", "two")))).alias("pattern"))
     edges = cut(occ.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")))
     # only a pattern with enough seeds of one kind can ever discover anything
-    strong = edges.where("kind != ''").groupBy("pattern", "kind").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT)
-    edges = cut(edges.join(strong.select("pattern").distinct(), "pattern", "left_semi"))
+    strong = cut(edges.where("kind != ''").groupBy("pattern", "kind").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT))
+    edges = cut(edges.join(strong.select("pattern").distinct(), "pattern", "left_semi"), edges)
     belief = edges.select("value", "kind").distinct().where("kind != ''").select("value", F.col("kind").alias("k"), F.lit(1.0).alias("belief"))
+    fits = F.coalesce(*[F.when(F.col("k") == k, F.col("value").rlike(SHAPES[k])) for k in (*KINDS, *MORE)], F.lit(False))
     for _ in range(ROUNDS):
         total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
         score = edges.groupBy("pattern", "value").agg(F.sum("n").alias("n")).join(belief, "value").groupBy("pattern", "k").agg(F.sum(F.col("n") * F.col("belief")).alias("b"))
         score = cut(score.join(total, "pattern").select("pattern", "k", (F.col("b") / (F.col("total") + PRIOR)).alias("confidence")))
         unknown = edges.where("kind = ''").select("pattern", "value").distinct()
-        fits = F.coalesce(*[F.when(F.col("k") == k, F.col("value").rlike(SHAPES[k])) for k in KINDS], F.lit(False))
         found = unknown.join(score, "pattern").where(fits).groupBy("value", "k").agg(F.max("confidence").alias("belief"))
         seeds = edges.where("kind != ''").select("value", F.col("kind").alias("k")).distinct().withColumn("belief", F.lit(1.0))
-        belief = cut(seeds.unionByName(found.join(seeds.select("value"), "value", "left_anti")))
+        belief = cut(seeds.unionByName(found.join(seeds.select("value").distinct(), "value", "left_anti")))
     sure = score.join(strong.select("pattern", F.col("kind").alias("k")), ["pattern", "k"], "left_semi").where(F.col("confidence") >= LEAST)
-    new = occ.where("kind = ''").join(sure, "pattern").where(fits)
+    new = occ.where(~F.col("kind").isin(*KINDS)).join(sure, "pattern").where(fits)
     best = new.groupBy("id", "text_key", "start", "stop", "value").agg(F.max(F.struct("confidence", "k")).alias("m"))
     return best.select("id", "text_key", F.col("m.k").alias("kind"), "start", "stop", "value")
 
@@ -145,7 +190,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     occurrences = rows.where("seen is not null").select("id", "text_key", F.explode("seen").alias("s")).select("id", "text_key", "s.*")
     added = bootstrap(occurrences).distinct().groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("kind", "start", "stop", "value")).alias("added"))
     out = rows.join(added, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, *MORE)) for x in (k, i)])
 
     def ordered(spans: Column) -> Column:
         keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))
@@ -163,7 +208,9 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are replaced together, by the kind
     of the first one. Rows are found by id and text."""
-    spans = found.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.array_sort(F.concat("base", "added")).alias("_s")).where(F.size("_s") > 0).dropDuplicates(["_id", "_key"])
+    names = fresh(docs, "_id", "_key", "_s")
+    i, k, s_ = names
+    spans = found.select(F.col(id_col).alias(i), F.col("text_key").alias(k), F.array_sort(F.concat("base", "added")).alias(s_)).where(F.size(s_) > 0).dropDuplicates([i, k])
     t = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -171,6 +218,6 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         piece = F.concat(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.array_append(acc["parts"], piece).alias("parts"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["parts"].alias("parts")))
 
-    clean = F.aggregate("_s", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    out = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (_text_key(text_col) == F.col("_key")), "left")
-    return out.withColumn(text_col, F.when(F.col("_s").isNotNull(), clean).otherwise(t)).drop("_id", "_key", "_s")
+    clean = F.aggregate(s_, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    out = docs.join(spans, docs[id_col].eqNullSafe(spans[i]) & (_text_key(text_col) == F.col(k)), "left")
+    return out.withColumn(text_col, F.when(F.col(s_).isNotNull(), clean).otherwise(t)).drop(*names)

@@ -18,8 +18,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_pii(table(spark, sf_dir, "documents"))
     digest = F.sha2(spans_text(F.col("base")), 256).alias("base_sha256")
-    spans = spans_text(F.array_sort(F.concat("base", "added"))).alias("spans")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, spans)
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, spans_text(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan_mix
 
     plan = plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("copies"))
+    shards = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["epoch"].cast("string"), d["shard"].cast("string"))), ",")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("copies"), shards.alias("shards"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

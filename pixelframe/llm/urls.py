@@ -7,7 +7,9 @@ judges is matched by an inverted index: tokens are joined with the mined rules'
 its tokens are there. The fired rule of the highest confidence gives the verdict; without one the URL is allowed.
 
 Defined results: a null URL or one without :// has empty host and path, no rule, and is allowed; repeated rows are
-judged alike; an empty table gives no rows; other columns are ignored.
+judged alike (and count as often as they stand); of rules of equal confidence the one with more support fires, then the one
+with more tokens, then block; URLs may be of any length, but only their frequent tokens are mined; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,5 +99,5 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     hits = sets.select("set_id", "tokens", F.explode("tokens").alias("token")).join(index, "token").groupBy("set_id", "tokens", "rule_id").agg(F.count("*").alias("shared"), F.first("k").alias("k")).where("shared = k")
     fired = hits.join(mined.select("rule_id", F.col("tokens").alias("mined_tokens"), "verdict", "confidence", "support"), "rule_id")
     best = fired.groupBy("set_id", "tokens").agg(F.max(F.struct("confidence", "support", F.size("mined_tokens").alias("k"), "verdict", "mined_tokens")).alias("m"))
-    out = df.join(best.select("set_id", F.col("m.verdict").alias("found"), F.col("m.mined_tokens").alias("mined_tokens"), F.col("m.confidence").alias("confidence")), (F.xxhash64(df["tokens"]) == F.col("set_id")) & F.col("given").isNull(), "left")
+    out = df.join(best.select("set_id", F.col("tokens").alias("set"), F.col("m.verdict").alias("found"), F.col("m.mined_tokens").alias("mined_tokens"), F.col("m.confidence").alias("confidence")), (F.xxhash64(df["tokens"]) == F.col("set_id")) & (df["tokens"] == F.col("set")) & F.col("given").isNull(), "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("given", "found", F.lit("allow")).alias("verdict"), "mined_tokens", "confidence")

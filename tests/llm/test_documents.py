@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelframe.llm import bpe, jaccard, langid, licenses, mixing, pii
 
@@ -163,6 +164,87 @@ def test_overlapping_spans_are_redacted_together(spark):
     assert clean[0] == "pay [CARD] now" and clean[2] == "[EMAIL] and [IP]"
 
 
+def brute_discovery(texts):
+    """Added spans of each text: tokens, patterns and rounds with dictionaries."""
+    occ = []
+    for i, t in enumerate(texts):
+        t = t or ""
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_spans(t))]
+        tokens, at, before = [], 0, ""
+        for m in re.finditer(pii.TOKEN, t):
+            words = re.findall(r"\S+", before + t[at : m.start()])[-2:]
+            norm = lambda w: re.sub(r"\s+", " ", re.sub("[0-9]+", "#", w.lower()))
+            tail = re.search(r"(\S+\s+\S+)\s*$", before + t[at : m.start()])
+            tokens.append((m.start(), m.end(), m[0], norm(words[-1]) if words else None, norm(tail[1]) if tail else None))
+            at, before = m.end(), m[0]
+        for k, a, b in base:
+            own = next(x for x in tokens if x[0] <= a < x[1])
+            occ.append((i, k, a, b, t[a:b], own[2][: a - own[0]], own[3], own[4]))
+        for a, b, v, one, two in tokens:
+            if any(x[1] < b and a < x[2] for x in base):
+                continue
+            opened = re.match(pii.OPEN, v)
+            bare = re.sub(pii.CLOSE, "", re.sub(pii.OPEN, "", v))
+            lead = re.match(pii.NAME, bare)
+            lead = lead[0] if lead else ""
+            a += (len(opened[0]) if opened else 0) + len(lead)
+            value = bare[len(lead) :]
+            occ.append((i, "secret" if re.match(pii.SEED, value) else "", a, a + len(value), value, lead, one, two))
+    rows = []
+    for i, k, a, b, v, lead, one, two in occ:
+        names = {one and "1:" + one, two and "2:" + two, "in:" + re.sub("[0-9]+", "#", lead.lower()), "as:" + v[:4] if re.match("^[A-Z]{4}[A-Z0-9]{8,}$", v) else None}
+        rows += [(i, k, a, b, v, p) for p in names if p and re.search(r"[^\W\d_]", p.split(":", 1)[1])]
+    edges = {}
+    for i, k, a, b, v, p in rows:
+        edges[p, v, k] = edges.get((p, v, k), 0) + 1
+    per = {}
+    for p, v, k in edges:
+        if k:
+            per[p, k] = per.get((p, k), 0) + 1
+    strong = {x for x, n in per.items() if n >= pii.SUPPORT}
+    edges = {x: n for x, n in edges.items() if x[0] in {p for p, _ in strong}}
+    seeds = {(v, k): 1.0 for p, v, k in edges if k}
+    belief = dict(seeds)
+    fits = lambda v, k: re.search(pii.SHAPES[k], v)
+    for _ in range(pii.ROUNDS):
+        score, total = {}, {}
+        for (p, v, _), n in edges.items():
+            total[p] = total.get(p, 0) + n
+            for (w, k), x in belief.items():
+                if w == v:
+                    score[p, k] = score.get((p, k), 0) + n * x
+        score = {x: y / (total[x[0]] + pii.PRIOR) for x, y in score.items()}
+        belief = dict(seeds)
+        for p, v, k0 in edges:
+            for q, k in score:
+                if q == p and k0 == "" and fits(v, k) and v not in {w for w, _ in seeds}:
+                    belief[v, k] = max(belief.get((v, k), 0), score[q, k])
+    out = {}
+    for i, k0, a, b, v, p in rows:
+        for q, k in strong:
+            if q == p and k0 not in pii.KINDS and fits(v, k) and score.get((p, k), 0) >= pii.LEAST:
+                out[i, a, b, v] = max(out.get((i, a, b, v), (0, "")), (score[p, k], k))
+    return sorted((i, k, a, b) for (i, a, b, v), (_, k) in out.items())
+
+
+def test_rounds_match_brute_force(spark):
+    rng = random.Random(12)
+    hex_ = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    makers = [lambda: f"password={hex_(18)}", lambda: f'token = "{hex_(40)}"', key, lambda: f"mail to {hex_(4)}@h{hex_(2)}.org", lambda: f"mail to {hex_(3)}@local", lambda: f"host: 10.{rng.randrange(300)}.3.{rng.randrange(99)}", lambda: f"code=({rng.randrange(99)})", lambda: f"see [{rng.randrange(10**6)}], (v{rng.randrange(9)}.2)", lambda: f"call +1 (253) 555-{rng.randrange(1000, 9999)}", lambda: f"call {rng.randrange(10**8)}", lambda: "A" * 20]
+    texts = ODD + [" ".join(rng.choice(makers)() if rng.random() < 0.3 else prose(rng, 1) for _ in range(rng.randint(1, 25))) for _ in range(120)] + ["w " * 100_000 + makers[0]() + " end"]
+    df = frame(spark, texts).withColumnsRenamed({"size": "_id", "n": "_s"})
+    rows = pii.find_pii(df).collect()
+    got = sorted((r.doc_id, s.kind, s.start, s.stop) for r in rows for s in r.added)
+    assert got == brute_discovery(texts)
+    found = {(i, texts[i][a:b]) for i, k, a, b in got if k == "secret"}
+    for i, t in enumerate(texts):
+        for v in re.findall(r'password=([0-9a-f]{18})|"([0-9a-f]{40})"|(AKIA[A-Z0-9]{16})', t or ""):
+            assert (i, "".join(v)) in found
+    clean = pii.redact(df, pii.find_pii(df))
+    assert clean.columns == df.columns and {r._s for r in clean.collect()} == {"z"}
+
+
 def test_pii_of_nothing(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
@@ -174,7 +256,11 @@ def test_license_scan_matches_brute_force(spark):
     rng = random.Random(9)
     bits = ["Under the MIT License", "apache license, version 2", "CC-BY-NC", "the", "license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "GNU General Public License version 3", "x", "é", "under the mit"]
     texts = ODD + [" ".join(rng.choice(bits) if rng.random() < 0.3 else prose(rng, 3) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    assert licenses.scan_licenses(frame(spark, ["w0 " + " ".join(f"w{i}" for i in range(100))]), templates={"x": [" ".join(f"w{i}" for i in range(100))]}).first().labels == "x"
+    long = [t for ts in licenses.TEMPLATES.values() for t in ts if len(t) > 300]
+    texts += [prose(rng, 300) + " " + t.upper() + " " + prose(rng, 50) for t in long] + [prose(rng, 100_000) + " " + long[0]] + long + long
     got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    assert all(got[len(texts) - 1 - k].labels and got[len(texts) - 1 - k].score == 1 for k in range(len(long)))
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
         places, labels, more = [], set(), {}
@@ -183,13 +269,15 @@ def test_license_scan_matches_brute_force(spark):
             hits = [k for k in range(len(w)) if w[k : k + len(p)] == p]
             places += hits
             labels |= {label} if hits else set()
-        for b in range(0, len(w), licenses.BLOCK // 2):
-            block = set(w[b : b + licenses.BLOCK])
-            met = {(label, n): len(set(n.split()) & block) / len(set(n.split())) for label, ns in licenses.TEMPLATES.items() for n in ns}
-            met = {k: v for k, v in met.items() if v >= licenses.THRESHOLD}
-            for (label, n), share in met.items():
-                if not any(set(n.split()) < set(o.split()) for _, o in met):
-                    more[label] = max(more.get(label, 0), share)
+        said = {n: licenses.words_in(n) for ns in licenses.TEMPLATES.values() for n in ns}
+        for run in {licenses.run_of(len(x)) for x in said.values()}:
+            for b in range(0, len(w), run):
+                block = set(w[b : b + 2 * run])
+                met = {(label, n): len(set(said[n]) & block) / len(set(said[n])) for label, ns in licenses.TEMPLATES.items() for n in ns if licenses.run_of(len(said[n])) == run}
+                met = {k: v for k, v in met.items() if v >= licenses.THRESHOLD}
+                for (label, n), share in met.items():
+                    if not any(set(said[n]) < set(said[o]) for _, o in met):
+                        more[label] = max(more.get(label, 0), share)
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
         assert r.base_labels == ",".join(sorted(labels)) and r.labels == ",".join(sorted(labels | set(more)))
@@ -257,6 +345,24 @@ def test_bpe_matches_and_round_trips(spark, tokenizer):
     assert bpe.encode(frame(spark, []), path, pattern).count() == 0
 
 
+def test_bpe_of_other_patterns_and_long_texts(spark, tokenizer):
+    path, pattern, b, enc = tokenizer
+    import regex
+    import tiktoken
+
+    other = r"\w+ \w+|(?s:.)"
+    e2 = tiktoken.Encoding("two", pat_str=other, mergeable_ranks=b.ranks, special_tokens={})
+    rng = random.Random(5)
+    texts = ["ab cd ef", " x y", prose(rng, 200), "日本 語x y"]
+    got = {r.doc_id: r.ids for r in bpe.encode(frame(spark, texts), path, other).collect()}
+    assert [got[i] for i in range(len(texts))] == [np.array(e2.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    texts = [prose(rng, 100_000), "ab" * 100_000, "é " * 50_000 + "\n", " " * 1000, "x\t y \n\n z " * 500]
+    got = {r.doc_id: r.ids for r in bpe.encode(frame(spark, texts), path, pattern).collect()}
+    for i, t in enumerate(texts):
+        want = [x for m in regex.findall(pattern, t) for x in (b.encode_piece(m.encode()))] if i == 1 else enc.encode_ordinary(t)
+        assert got[i] == np.array(want, "<u4").tobytes()
+
+
 def test_appends_and_edits(tokenizer):
     b, rng = tokenizer[2], random.Random(6)
     for _ in range(200):
@@ -300,7 +406,19 @@ def test_mix_reaches_targets(spark):
         taken[s] += r.taken
     assert all(abs(taken[s] - target[s]) <= 30 for s in names)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.plan_mix(df.repartition(3)).collect()))
+    # shards take disjoint runs of a pass, which together are what the mix takes
+    shard_of = {}
+    for r in rows:
+        for d in r.draws:
+            shard_of.setdefault((r.doc_id, d.epoch), set()).add(d.shard)
+        assert len({d.epoch for d in r.draws}) == len(r.draws)
+    assert all(len(x) == 1 and 0 <= min(x) < 16 for x in shard_of.values())
+    per_shard = [sum(sizes[i] for (i, _), x in shard_of.items() if s in x) for s in range(16)]
+    assert sum(per_shard) == sum(taken.values()) and max(per_shard) < 3 * sum(per_shard) / 16
     mixed = mixing.mix(df)
+    order = [(r.shard, r.doc_id, r.epoch) for r in mixed.collect()]
+    assert {(i, e): {s} for s, i, e in order} == shard_of and order != sorted(order)
+    assert {"shard", "epoch", "shard_", "epoch_"} <= set(mixing.mix(df.withColumn("shard", F.lit(1)).withColumn("epoch", F.lit("x"))).columns)
     assert set(df.columns) < set(mixed.columns) and mixed.count() == sum(len(r.draws) for r in rows)
     assert mixing.plan_mix(frame(spark, [])).count() == 0
 
