@@ -26,15 +26,20 @@ def boundary(pixels: DataFrame, col: str, keys: list[str], k: int, height: Colum
 
 def focal_mean(pixels: DataFrame, col: str, keys: list[str], r: int, out: str = "focal_mean") -> DataFrame:
     """Mean over the disk of radius r, of the pixels that are there: sums of row intervals, one for each dy."""
-    df, parts = pixels.select(*keys, "y", "x", col), []
+    rows, total, count = W.partitionBy(*keys, "y").orderBy("x"), [], []
+    column = W.partitionBy(*keys, "x").orderBy("y")
+    df = pixels
     for d in range(r + 1):
         half = int((r * r - d * d) ** 0.5)
-        w = W.partitionBy(*keys, "y").orderBy("x").rangeBetween(-half, half)
+        w = rows.rangeBetween(-half, half)
         df = df.withColumn(f"_s{d}", F.sum(col).over(w)).withColumn(f"_n{d}", F.count(col).over(w))
-        parts += [F.struct((F.col("y") + dy).alias("y"), F.col(f"_s{d}").alias("s"), F.col(f"_n{d}").alias("n")) for dy in {d, -d}]
-    rows = df.select(*keys, "x", F.explode(F.array(*parts)).alias("p")).select(*keys, "p.y", "x", "p.s", "p.n")
-    sums = rows.groupBy(*keys, "y", "x").agg((F.sum("s") / F.sum("n")).alias(out))
-    return pixels.join(sums, [*keys, "y", "x"])
+        for at in {d, -d}:  # the interval of the row that is at rows away, where the column has a pixel there
+            w = column.rangeBetween(at, at)
+            total.append(F.coalesce(F.sum(f"_s{d}").over(w), F.lit(0)))
+            count.append(F.coalesce(F.sum(f"_n{d}").over(w), F.lit(0)))
+    df = df.withColumns({f"_t{i}": x for i, x in enumerate(total)} | {f"_c{i}": x for i, x in enumerate(count)})
+    add = lambda c: sum((F.col(f"{c}{i}") for i in range(1, len(total))), F.col(f"{c}0"))
+    return df.select(*pixels.columns, F.try_divide(add("_t"), add("_c")).alias(out))
 
 
 def slope(pixels: DataFrame, col: str, keys: list[str], res: float = 1.0, out: str = "slope") -> DataFrame:
@@ -60,10 +65,15 @@ def signed_distance(pixels: DataFrame, col: str, keys: list[str], t: int = 16, o
         a, b = F.last(hit, ignorenulls=True).over(back), F.first(hit, ignorenulls=True).over(ahead)
         return F.least(F.col("x") - a, b - F.col("x"))
 
-    rows = pixels.select(*keys, "y", "x", near(0).alias("_n0"), near(1).alias("_n1"))
-    spread = rows.withColumn("_d", F.explode(F.sequence(F.lit(-t), F.lit(t)))).select(*keys, (F.col("y") + F.col("_d")).alias("y"), "x", (F.col("_d") * F.col("_d")).alias("_dd"), *[F.when(F.col(c) <= t, F.col(c)).alias(c) for c in ("_n0", "_n1")])
-    best = spread.groupBy(*keys, "y", "x").agg(*[F.min(F.col("_dd") + F.col(c) * F.col(c)).alias(c) for c in ("_n0", "_n1")])
+    rows = pixels.withColumn("_n0", near(0)).withColumn("_n1", near(1))
+    near_by = F.collect_list(F.struct("y", *[F.when(F.col(c) <= t, F.col(c)).alias(c) for c in ("_n0", "_n1")])).over(W.partitionBy(*keys, "x").orderBy("y").rangeBetween(-t, t))
+    rows = rows.withColumn("_near", near_by)
+
+    def nearest(c: str) -> Column:
+        return F.array_min(F.transform("_near", lambda p: (p["y"] - F.col("y")) * (p["y"] - F.col("y")) + p[c] * p[c]))
+
+    best = rows.withColumn("_b_n0", nearest("_n0")).withColumn("_b_n1", nearest("_n1"))
     far = F.lit(t * t)
-    d2 = F.when(F.col(col) == 1, F.col("_n0")).otherwise(F.col("_n1"))
+    d2 = F.when(F.col(col) == 1, F.col("_b_n0")).otherwise(F.col("_b_n1"))
     d = F.sqrt(F.least(F.coalesce(d2, far), far).cast("double")) / t
-    return pixels.join(best, [*keys, "y", "x"]).withColumn(out, F.when(F.col(col) == 1, d).otherwise(-d)).drop("_n0", "_n1")
+    return best.select(*pixels.columns, F.when(F.col(col) == 1, d).otherwise(-d).alias(out))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .graph import connected_components, cut
 
+#: Rows of a scene that are labelled together.
+BAND = 1024
+
 
 def to_runs(pixels: DataFrame, cond: Column, keys: list[str]) -> DataFrame:
     """keys, y, x0, x1 of the pixels where cond holds. The window works within one row of one scene."""
@@ -27,17 +32,60 @@ def merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return g.groupBy(*keys, "y", "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
 
 
+def joined_up(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that it reaches by the links a-b."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def neighbours(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs in rows next to each other that meet; runs come sorted by y and x0 and are apart in their row."""
+    wide = int(x1.max(initial=0)) + reach + 2 - min(0, int(x0.min(initial=0)) - reach)
+    ends, starts = y * wide + x1, y * wide + x0
+    first = np.searchsorted(ends, (y - 1) * wide + x0 - reach)
+    stop = np.searchsorted(starts, (y - 1) * wide + x1 + reach, side="right")
+    count = np.maximum(stop - first, 0)
+    run = np.repeat(np.arange(len(y)), count)
+    other = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return run, other
+
+
 def components(runs: DataFrame, keys: list[str], width: int, connectivity: int = 8) -> DataFrame:
-    """runs with label: the smallest y * width + x of the component. Runs in rows next to each other are linked by an
-    equi-join on the row; the graph is one of runs, not of pixels."""
-    runs = cut(runs.withColumn("_id", F.xxhash64(*keys, "y", "x0")))
+    """runs (apart in their row) with label: the smallest y * width + x of the component. Bands of BAND rows of a scene are
+    labelled by themselves, one Arrow table each; labels that meet where two bands do are joined up as a graph,
+    whose nodes are keys and label."""
     reach = 1 if connectivity == 8 else 0
-    above = runs.select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("_p0"), F.col("x1").alias("_p1"), F.col("_id").alias("_up"))
-    edges = runs.join(above, [*keys, "y"]).where((F.col("_p0") <= F.col("x1") + reach) & (F.col("x0") <= F.col("_p1") + reach))
-    groups = connected_components(edges.select(F.col("_id").alias("a"), F.col("_up").alias("b")))
-    g = runs.join(groups.withColumnRenamed("id", "_id"), "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
-    labels = g.groupBy(*keys, "_c").agg(F.min(F.col("y").cast("long") * width + F.col("x0")).alias("label"))
-    return g.join(labels, [*keys, "_c"]).select(*keys, "y", "x0", "x1", "label")
+
+    def label(t: pa.Table) -> pa.Table:
+        y, x0, x1 = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        order = np.lexsort((x0, y))
+        run, other = neighbours(y[order], x0[order], x1[order], reach)
+        root = joined_up(len(order), run, other)
+        # the first run of a component in this order holds its smallest pixel
+        first = (y * width + x0)[order][root]
+        return t.take(pa.array(order)).append_column("label", pa.array(first)).select(names)
+
+    names = [*keys, "y", "x0", "x1", "label"]
+    rows = runs.select(*names[:-1]).withColumn("_band", F.floor(F.col("y") / BAND))
+    schema = T.StructType([f for f in rows.schema if f.name != "_band"]).add("label", "long")
+    found = cut(rows.groupBy(*keys, "_band").applyInArrow(label, schema))
+    low = found.where(F.pmod("y", F.lit(BAND)) == 0)
+    high = found.where(F.pmod("y", F.lit(BAND)) == BAND - 1).select(*keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("_p0"), F.col("x1").alias("_p1"), F.col("label").alias("_up"))
+    seams = low.join(high, [*keys, "y"]).where((F.col("_p0") <= F.col("x1") + reach) & (F.col("x0") <= F.col("_p1") + reach))
+    node = lambda c: F.struct(*keys, F.col(c).alias("label"))
+    seams = cut(seams.select(node("label").alias("a"), node("_up").alias("b")).distinct())
+    if seams.isEmpty():
+        return found
+    groups = connected_components(seams).select(F.col("id").alias("_id"), F.col("component.label").alias("_label"))
+    out = found.withColumn("_node", node("label")).join(groups, F.col("_node") == F.col("_id"), "left")
+    return out.select(*names[:-1], F.coalesce("_label", "label").alias("label"))
 
 
 def component_stats(labelled: DataFrame, keys: list[str]) -> DataFrame:

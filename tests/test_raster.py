@@ -33,8 +33,9 @@ def brute_labels(m, eight=True):
     return lab
 
 
-@pytest.mark.parametrize("connectivity", [4, 8])
-def test_components_match_flood_fill(spark, connectivity):
+@pytest.mark.parametrize("connectivity, band", [(4, 1024), (8, 1024), (8, 5), (4, 1)])
+def test_components_match_flood_fill(spark, connectivity, band, monkeypatch):
+    monkeypatch.setattr(runs, "BAND", band)  # scenes of one band, and of several
     rng = np.random.default_rng(connectivity)
     masks = [rng.random((14, 17)) < p for p in (0.0, 0.3, 0.5, 0.65, 1.0)]
     df = pixels(spark, masks)
