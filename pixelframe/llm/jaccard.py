@@ -353,8 +353,10 @@ def _blocks(rows: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
         h = F.xxhash64("id", F.lit(-1 - level))
         ends = [f(F.struct(*x)) for f in (F.min, F.max) for x in (("id", "n"), (h.alias("h"), "id", "n"))]
         picks = large.groupBy("label", "blk").agg(F.array(*[F.struct(e["id"].alias("id"), e["n"].alias("n")) for e in ends]).alias("p"))
+        if large.isEmpty():
+            break
         rows = cut(picks.select("label", F.explode(F.array_distinct("p")).alias("p")).select("p.id", "p.n", "label").distinct())
-        if 2 * rows.count() > large.count() or rows.isEmpty():
+        if 2 * rows.count() > large.count():
             drop(rows)
             break
     return first, levels
@@ -369,11 +371,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stands = cut(marks.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("key").alias("key")))
     copies = marks.where("n > 0").join(stands.where("copies > 1"), ["f1", "f2", "n"]).select(F.col("id").alias("a"), F.col("low").alias("b"))
 
-    found = cut(entries(docs, level, int(total), percent, width))
+    found = entries(docs, level, int(total), percent, width)
     m = F.expr(f"cast(ceil({percent} * n / 100) as long)")
     least = F.expr(f"least(ceil({percent} * m / 100), {LEAST} + m div {PER})")  # what it shares with any text it links with
     rows = found.join(stands.select(F.col("low").alias("id"), "n", "key"), "key").withColumn("m", m).withColumn("least", least)
-    rows = cut(rows.where("size(tokens) >= least").select("id", "n", "label", "least", "tokens"), found)
+    rows = cut(rows.where("size(tokens) >= least").select("id", "n", "label", "least", "tokens"))
     first, levels = _blocks(rows.select("id", "n", "label"), percent)
     meet = None
     for x in levels:
