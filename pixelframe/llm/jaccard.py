@@ -338,7 +338,7 @@ def verify(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _blocks(rows: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def _blocks(rows: DataFrame, count: int) -> tuple[DataFrame, list[DataFrame]]:
     """rows (id, n, label) -> id, blk; and where all of these meet: id, blk for each level. A label's texts are split by hash
     so that a block is small in texts and shingles; of each part up to four texts go on to the next level."""
     levels, first = [], None
@@ -346,7 +346,7 @@ def _blocks(rows: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
         k = F.greatest(F.ceil(F.count("*") / BLOCK), F.least(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / 4))).cast("int")
         split = rows.groupBy("label").agg(k.alias("k"))
         mine = rows.join(split, "label").select("id", "n", "label", "k", F.xxhash64("label", F.lit(level), F.pmod(F.xxhash64("id", F.lit(level)), F.col("k"))).alias("blk"))
-        mine = cut(mine)
+        mine = cut(mine, rows=count)
         levels.append(mine)
         first = first or mine
         large = mine.where("k > 1")
@@ -355,8 +355,10 @@ def _blocks(rows: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
         picks = large.groupBy("label", "blk").agg(F.array(*[F.struct(e["id"].alias("id"), e["n"].alias("n")) for e in ends]).alias("p"))
         if large.isEmpty():
             break
-        rows = cut(picks.select("label", F.explode(F.array_distinct("p")).alias("p")).select("p.id", "p.n", "label").distinct())
-        if 2 * rows.count() > large.count():
+        was = large.count()
+        rows = cut(picks.select("label", F.explode(F.array_distinct("p")).alias("p")).select("p.id", "p.n", "label").distinct(), rows=was)
+        count = rows.count()
+        if 2 * count > was:
             drop(rows)
             break
     return first, levels
@@ -367,27 +369,28 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = _docs(docs, id_col, text_col)
     spark = docs.sparkSession
     marks, level = signatures(docs, width)
-    total = marks.agg(F.sum(F.col("n") * ((100 - percent) / 100 + 1 / PER) + LEAST)).first()[0] or 0
-    stands = cut(marks.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("key").alias("key")))
+    total, count = marks.agg(F.sum(F.col("n") * ((100 - percent) / 100 + 1 / PER) + LEAST), F.count("*")).first()
+    stands = cut(marks.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("key").alias("key")), rows=count)
     copies = marks.where("n > 0").join(stands.where("copies > 1"), ["f1", "f2", "n"]).select(F.col("id").alias("a"), F.col("low").alias("b"))
 
-    found = entries(docs, level, int(total), percent, width)
+    found = entries(docs, level, int(total or 0), percent, width)
     m = F.expr(f"cast(ceil({percent} * n / 100) as long)")
     least = F.expr(f"least(ceil({percent} * m / 100), {LEAST} + m div {PER})")  # what it shares with any text it links with
     rows = found.join(stands.select(F.col("low").alias("id"), "n", "key"), "key").withColumn("m", m).withColumn("least", least)
-    rows = cut(rows.where("size(tokens) >= least").select("id", "n", "label", "least", "tokens"))
-    first, levels = _blocks(rows.select("id", "n", "label"), percent)
+    rows = cut(rows.where("size(tokens) >= least").select("id", "n", "label", "least", "tokens"), rows=4 * count)
+    count = rows.count()
+    first, levels = _blocks(rows.select("id", "n", "label"), count)
     meet = None
     for x in levels:
         with_others = x.join(x.groupBy("blk").agg(F.count("*").alias("c")).where("c > 1").select("blk"), "blk", "left_semi").select("id", "blk")
         meet = with_others if meet is None else meet.unionByName(with_others)
-    meet = cut(meet.distinct())
+    meet = cut(meet.distinct(), rows=2 * count)
     links = cut(verify(_with_sets(docs, meet.select("id", "blk", F.col("blk").alias("t1"), F.col("blk").alias("t2")), width), percent), meet)
     groups = connected_components(links).select(F.col("id").alias("_id"), "component")
 
     # what lists still connect: entries of lists with two groups, of texts with enough of them
     rows2 = rows.join(first.select("id", "blk"), "id").join(groups, F.col("id") == F.col("_id"), "left")
-    rows2 = cut(rows2.select("id", "n", "least", "blk", F.coalesce("component", "id").alias("grp"), "tokens"), rows, *levels)
+    rows2 = cut(rows2.select("id", "n", "least", "blk", F.coalesce("component", "id").alias("grp"), "tokens"), rows, *levels, rows=4 * count)
     each = rows2.select("id", "n", "least", "blk", "grp", F.explode("tokens").alias("token"))
     alive = each.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("token")
     alive = cut(alive)
@@ -471,9 +474,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ids = keyed.select(key, F.col(id_col).alias(own)).distinct()
     first = F.min(F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), F.col(key).alias("key"))).alias("m")
     stay = groups.join(ids, key).groupBy("component_id").agg(first).select(F.col("m.key").alias(key))
-    gone = cut(groups.join(stay, key, "left_anti").select(key))
+    count = groups.count()
+    gone = cut(groups.join(stay, key, "left_anti").select(key), rows=count)
     kept = keyed.join(gone, key, "left_anti")
-    again = cut(groups.where("copies > 1").join(gone, key, "left_anti").select(key))
+    again = cut(groups.where("copies > 1").join(gone, key, "left_anti").select(key), rows=count)
     if not again.isEmpty():
         one = kept.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(row))
         kept = kept.join(again, key, "left_anti").select(*docs.columns).unionByName(one.select(f"{row}.*"))

@@ -53,6 +53,8 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     def halve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("skey", ignore_index=True)
         node, width = int(pdf["node"].iloc[0]), int(pdf["width"].iloc[0])
+        if width == 1:
+            return pdf
         q = pdf["n"].to_numpy(np.int64)
         left_width = width // 2
         draw = int(q.sum()) * left_width // width
@@ -62,9 +64,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
     tree = quotas.select("skey", F.lit(0).cast("long").alias("node"), F.lit(shards).cast("long").alias("width"), F.col("quota").cast("long").alias("n"))
     for _ in range((shards - 1).bit_length()):
-        inner, leaf = tree.where("width > 1"), tree.where("width = 1")
-        tree = leaf.unionByName(inner.groupBy("node", "width").applyInPandas(halve, tree.schema))
-        tree = cut(tree)
+        tree = tree.groupBy("node", "width").applyInPandas(halve, tree.schema)
     return tree.select("skey", F.col("node").alias("shard"), "n")
 
 
@@ -85,19 +85,20 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "do
     blocks = cut(sized.groupBy("skey", "source", "block").agg(F.sum("size").alias("words")))
     if blocks.select("skey").distinct().count() > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
-    targets = cut(source_targets(blocks.groupBy("skey", "source").agg(F.sum("words").alias("source_size")), weights, share))
+    count = blocks.count()
+    targets = source_targets(blocks.groupBy("skey", "source").agg(F.sum("words").alias("source_size")), weights, share)
     # whole passes, and the words of the last one
     targets = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     targets = targets.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     at = W.partitionBy("skey").orderBy("rank", "block")  # at most BLOCKS rows for each source
     b = blocks.withColumn("rank", F.xxhash64("block", "skey", F.lit(seed + 2))).withColumn("pos", F.row_number().over(at) - 1)
     b = b.withColumn("upto", F.sum("words").over(at.rowsBetween(W.unboundedPreceding, 0))).join(targets.drop("source"), "skey")
-    b = cut(b.withColumn("last", F.when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") < F.col("rest"), 2).otherwise(0)))
+    b = cut(b.withColumn("last", F.when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("words") < F.col("rest"), 2).otherwise(0)), rows=count)
     # the block that the target cuts through: its parts in order until the target is nearest
     through = b.where("last = 2").select("skey", "block", (F.col("rest") - F.col("upto") + F.col("words")).alias("want"))
     parts = sized.join(through, ["skey", "block"]).groupBy("skey", "block", "want", "part").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(W.partitionBy("skey").orderBy("part"))  # at most BLOCKS rows for each source
-    parts = cut(parts.withColumn("upto", upto).groupBy("skey", "want").agg(F.max(F.when(F.col("upto") <= F.col("want"), F.struct("part", "upto"))).alias("m")))
+    parts = parts.withColumn("upto", upto).groupBy("skey", "want").agg(F.max(F.when(F.col("upto") <= F.col("want"), F.struct("part", "upto"))).alias("m"))
     parts = parts.select("skey", F.coalesce("m.part", F.lit(-1)).alias("last_part"), (F.col("want") - F.coalesce("m.upto", F.lit(0))).alias("gap"))
     b = b.join(parts, "skey", "left").withColumn("last_part", F.when(F.col("last") == 2, F.coalesce("last_part", F.lit(-1))))
     # and one document that this pass has not drawn, the one nearest to what is still missing
@@ -116,11 +117,11 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "do
     drawn = drawn.withColumn("spot", (F.col("epoch") * BLOCKS + F.col("pos")).cast("long"))
     drawn = drawn.withColumn("spot", (F.row_number().over(W.partitionBy("skey").orderBy("spot")) - 1).cast("long")).join(spots, ["skey", "spot"])
     one = F.struct(F.col("epoch").cast("int").alias("epoch"), F.col("shard").cast("int").alias("shard"), F.when(F.col("epoch") == F.col("passes"), F.col("last_part")).alias("upto"))
-    drawn = cut(drawn.select("skey", "block", one.alias("draw")))
+    drawn = cut(drawn.select("skey", "block", one.alias("draw")), rows=3 * count)
     # the extra document goes where its source's cut block goes
     spare = spare.join(drawn.where("draw.upto is not null"), "skey", "left").select(spare["skey"], spare["block"], "extra", F.struct(F.coalesce("draw.epoch", F.lit(0)).alias("epoch"), F.coalesce("draw.shard", F.lit(0)).alias("shard")).alias("extra_draw"))
     drawn = drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list("draw")).alias("draws"))  # at most three
-    per_block = cut(b.select("skey", "block", "source_size", "target").join(drawn, ["skey", "block"], "left").join(spare, ["skey", "block"], "left"))
+    per_block = cut(b.select("skey", "block", "source_size", "target").join(drawn, ["skey", "block"], "left").join(spare, ["skey", "block"], "left"), rows=count)
     out = sized.join(per_block, ["skey", "block"])
     draws = F.filter(F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int,upto:int>>")), lambda d: d["upto"].isNull() | (F.col("part") <= d["upto"]))
     draws = F.transform(draws, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))

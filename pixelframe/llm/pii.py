@@ -165,19 +165,21 @@ def bootstrap(occurrences: DataFrame) -> DataFrame:
     kind, start, stop, value."""
     occ = occurrences.select("id", "text_key", "kind", "start", "stop", "value", F.explode(patterns_of(*map(F.col, ("value", "lead", "one", "two")))).alias("pattern"))
     edges = cut(occ.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")))
+    count = edges.count()
     # only a pattern with enough seeds of one kind can ever discover anything
-    strong = cut(edges.where("kind != ''").groupBy("pattern", "kind").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT))
-    edges = cut(edges.join(strong.select("pattern").distinct(), "pattern", "left_semi"), edges)
+    strong = cut(edges.where("kind != ''").groupBy("pattern", "kind").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT), rows=count)
+    edges = cut(edges.join(strong.select("pattern").distinct(), "pattern", "left_semi"), edges, rows=count)
+    count = edges.count()
     belief = edges.select("value", "kind").distinct().where("kind != ''").select("value", F.col("kind").alias("k"), F.lit(1.0).alias("belief"))
     fits = F.coalesce(*[F.when(F.col("k") == k, F.col("value").rlike(SHAPES[k])) for k in (*KINDS, *MORE)], F.lit(False))
     for _ in range(ROUNDS):
         total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
         score = edges.groupBy("pattern", "value").agg(F.sum("n").alias("n")).join(belief, "value").groupBy("pattern", "k").agg(F.sum(F.col("n") * F.col("belief")).alias("b"))
-        score = cut(score.join(total, "pattern").select("pattern", "k", (F.col("b") / (F.col("total") + PRIOR)).alias("confidence")))
+        score = cut(score.join(total, "pattern").select("pattern", "k", (F.col("b") / (F.col("total") + PRIOR)).alias("confidence")), rows=5 * count)
         unknown = edges.where("kind = ''").select("pattern", "value").distinct()
         found = unknown.join(score, "pattern").where(fits).groupBy("value", "k").agg(F.max("confidence").alias("belief"))
         seeds = edges.where("kind != ''").select("value", F.col("kind").alias("k")).distinct().withColumn("belief", F.lit(1.0))
-        belief = cut(seeds.unionByName(found.join(seeds.select("value").distinct(), "value", "left_anti")))
+        belief = cut(seeds.unionByName(found.join(seeds.select("value").distinct(), "value", "left_anti")), rows=count)
     sure = score.join(strong.select("pattern", F.col("kind").alias("k")), ["pattern", "k"], "left_semi").where(F.col("confidence") >= LEAST)
     new = occ.where(~F.col("kind").isin(*KINDS)).join(sure, "pattern").where(fits)
     best = new.groupBy("id", "text_key", "start", "stop", "value").agg(F.max(F.struct("confidence", "k")).alias("m"))
