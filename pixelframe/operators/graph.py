@@ -24,11 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+#: Rows of a file, where a cut knows how many rows it has at most.
+PER_FILE = 20_000
+
+
+def cut(df: DataFrame, *done: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: the lineage ends there, and a lost executor costs no
     recomputation. The write's shuffle files go when it ends; so do the files of done, earlier cuts that nothing but
-    df still needed."""
+    df still needed. rows: how many there are at most, so that few rows make few files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // PER_FILE)))
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -75,7 +81,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: u and its smaller neighbours are linked with the smallest of them
         low = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         near = e.join(low, F.col("u") == F.col("k"))
-        e = cut(near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), old)
+        e = cut(near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), old, rows=2 * now[0])
         was, now = now, stats(e)
         if was == now:
             break
