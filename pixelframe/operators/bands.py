@@ -52,12 +52,33 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def activated(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
+    """df with the sigmoid of col where any value of the batch (keys) lies outside 0..1, else as it is."""
+    some = df.groupBy(*keys).agg(F.max((F.col(col) < 0) | (F.col(col) > 1)).alias("_any"))
+    both = df.join(some, keys) if keys else df.crossJoin(F.broadcast(some))  # one row
+    return both.withColumn(col, F.when(F.col("_any"), sigmoid(F.col(col))).otherwise(F.col(col))).drop("_any")
+
+
+def masked_pixels(image: DataFrame, mask: DataFrame, keys: list[str], bands: list[str], usable: str = "usable", value: float = 0) -> DataFrame:
+    """Image pixels with bands set to value where the mask of the same pixel is not usable; pixels without a mask fail."""
+    m = image.join(mask.select(*keys, "y", "x", F.col(usable).alias("_ok")), [*keys, "y", "x"], "left")
+    m = m.where(F.when(F.col("_ok").isNotNull(), True).otherwise(F.raise_error(F.lit("pixel without a mask")).cast("boolean")))
+    return burn_mask(m, bands, F.col("_ok"), value).drop("_ok")
+
+
+def trim(bands: Column, n: int) -> Column:
+    """The first n bands, NaN as 0."""
+    return F.transform(F.slice(bands, 1, n), lambda v: F.nanvl(v, F.lit(0.0)))
+
+
 def binarise(p: Column, nodata: Column, t: float = 0.5) -> Column:
     return F.when(nodata, 255).otherwise(above(p, t, False).cast("int")).cast("smallint")
 
 
-def relative_elevation(dem: Column, focal_mean: Column) -> Column:
-    return ((dem - focal_mean + 30) * 300).cast("int").cast("smallint")
+def relative_elevation(dem: Column, focal_mean: Column, decimals: int | None = None) -> Column:
+    """Cut to an integer; with decimals the value is rounded to these first, so that sums in any order agree."""
+    raw = (dem - focal_mean + 30) * 300
+    return (raw if decimals is None else F.round(raw, decimals)).cast("int").cast("smallint")
 
 
 def encoder_preprocess(bands: Column, mean: list[float], std: list[float], flip: bool = False, unit_range: bool = True) -> Column:

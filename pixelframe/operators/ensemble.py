@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bands import above
-from .runs import component_stats, components, dilate_disk, drop_edge, drop_touching, remove_small, to_runs
+from .runs import component_stats, components, dilate_disk, drop_edge, drop_touching, on_edge, remove_small, runs_to_pixels, to_runs
 
 
 def ensemble_mean(probs: DataFrame, keys: list[str], models: list[str], model: str = "model", p: str = "p") -> DataFrame:
@@ -19,14 +19,16 @@ def by_threshold(mean: DataFrame, thresholds: list[float]) -> DataFrame:
     return mean.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(above(F.col("p"), F.col("threshold")))
 
 
-def ensemble_clean(mean: DataFrame, keys: list[str], width: int, height: Column, scene_width: Column, thresholds=(0.5,), border: int = 10, min_size: int = 32, connectivity: int = 8, min_connectivity: int = 4) -> DataFrame:
+def ensemble_clean(mean: DataFrame, keys: list[str], width: int, height: Column, scene_width: Column, thresholds=(0.5,), border: int = 10, min_size: int = 32, connectivity: int = 8, min_connectivity: int = 4, scenes: DataFrame | None = None, disk: int | None = None) -> DataFrame:
     """keys, threshold, y, x0, x1, label: objects of each threshold, without those that touch nodata (NaN, dilated by
     a disk of radius border) or the edge band, and without small ones (measured with min_connectivity; what is left of
-    an object keeps the label of its part)."""
+    an object keeps the label of its part). scenes: keys and the columns that height and scene_width name; disk: the
+    radius around nodata, if it is not the border's."""
     k = [*keys, "threshold"]
     objects = components(to_runs(by_threshold(mean, list(thresholds)), F.lit(True), k), k, width, connectivity)
-    nodata = dilate_disk(to_runs(mean, F.isnan("p"), keys), keys, border)
-    kept = drop_edge(drop_touching(objects, nodata, k), k, height, scene_width, border)
+    nodata = dilate_disk(to_runs(mean, F.isnan("p"), keys), keys, border if disk is None else disk)
+    kept = drop_touching(objects, nodata, k)
+    kept = drop_edge(kept if scenes is None else kept.join(scenes, keys), k, height, scene_width, border).select(*k, "y", "x0", "x1", "label")
     if min_size <= 1:
         return kept
     if min_connectivity != connectivity:
@@ -38,7 +40,21 @@ def object_table(labelled: DataFrame, keys: list[str]) -> DataFrame:
     return component_stats(labelled, keys)
 
 
-def ensemble_negative(probs: DataFrame, keys: list[str], negative: str, negative_t: float = 0.8, models=("p1", "p2")) -> DataFrame:
-    """Mean of two models, 0 where the negative class reaches negative_t; NaN stays NaN."""
-    mean = (F.col(models[0]) + F.col(models[1])) / 2
-    return probs.withColumn("p", F.when(F.isnan(mean), mean).otherwise(mean * above(F.lit(negative_t), F.col(negative), False).cast("double")))
+def erode_valid(pixels: DataFrame, col: str, keys: list[str], r: int, height: Column, width: Column) -> DataFrame:
+    """col is NaN within a disk of radius r around NaN pixels, and in the first and last r rows and columns."""
+    hit = runs_to_pixels(dilate_disk(to_runs(pixels, F.isnan(col), keys), keys, r)).withColumn("_hit", F.lit(True))
+    out = pixels.join(hit, [*keys, "y", "x"], "left")
+    gone = F.coalesce("_hit", F.lit(False)) | on_edge(F.col("y"), F.col("x"), height, width, r)
+    return out.withColumn(col, F.when(gone, float("nan")).otherwise(F.col(col))).drop("_hit")
+
+
+def ensemble_negative(probs: DataFrame, keys: list[str], negative: str | None = None, negative_t: float = 0.8, models=("p1", "p2"), erode: int = 0, height: Column | None = None, width: Column | None = None) -> DataFrame:
+    """Mean of two models; NaN stays NaN, and is widened by erode pixels, as is the edge; 0 where the negative class reaches
+    negative_t (or is NaN)."""
+    out = probs.withColumn("p", (F.col(models[0]) + F.col(models[1])) / 2)
+    if erode:
+        out = erode_valid(out, "p", keys, erode, height, width)
+    if negative is None:
+        return out
+    low = F.when(F.isnan(negative), 0.0).otherwise((F.col(negative) < negative_t).cast("double"))
+    return out.withColumn("p", F.when(F.isnan("p"), F.col("p")).otherwise(F.col("p") * low))

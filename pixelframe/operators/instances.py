@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .bands import above
 from .metrics import _div
-from .morphology import boundary
+from .morphology import boundary, boundary_width
 from .runs import components, overlaps, to_runs
 
 
@@ -34,11 +34,13 @@ def instance_boundaries(labelled: DataFrame, keys: list[str], k: int, height: in
     return g.groupBy(*keys, "label", "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
 
 
-def match(target: DataFrame, pred: DataFrame, keys: list[str], images: DataFrame, iou: float = 0.5, metric: str = "iou", dilation: int = 1, height: int = 0, width: int = 0) -> DataFrame:
+def match(target: DataFrame, pred: DataFrame, keys: list[str], images: DataFrame, iou: float = 0.5, metric: str = "iou", dilation: int | float = 0.02, height: int = 0, width: int = 0) -> DataFrame:
     """keys, tp, fp, fn for every row of images (keys); tp counts pairs. With metric 'boundary' a pair's IoU is the
-    smaller of that of the objects and that of their boundaries."""
+    smaller of that of the objects and that of their boundaries, whose width is dilation in pixels, or that share of the
+    diagonal of height and width."""
     pairs = pair_iou(target, pred, keys)
     if metric == "boundary":
+        dilation = boundary_width(dilation, height, width)
         edges = pair_iou(instance_boundaries(target, keys, dilation, height, width), instance_boundaries(pred, keys, dilation, height, width), keys)
         pairs = pairs.join(edges.select(*keys, "t", "p", F.col("iou").alias("_b")), [*keys, "t", "p"], "left").withColumn("iou", F.least("iou", F.coalesce("_b", F.lit(0.0))))
     tp = pairs.groupBy(*keys).agg(F.count_if(F.col("iou") >= iou).alias("tp"))
@@ -85,8 +87,12 @@ def instance_average_precision(curve: DataFrame) -> DataFrame:
     return curve.withColumn("s", (F.col("recall") - F.coalesce(after, F.lit(0.0))) * F.col("precision")).agg(F.sum("s").alias("average_precision"))
 
 
-def boundary_iou(df: DataFrame, keys: list[str], k: int, height: Column, width: Column, pred: str = "pred", target: str = "target", by: tuple = ()) -> DataFrame:
-    """Intersection over union of the boundaries of dense 0/1 columns."""
+def boundary_iou(df: DataFrame, keys: list[str], k: int | float, height: Column, width: Column, pred: str = "pred", target: str = "target", by: tuple = ()) -> DataFrame:
+    """Intersection over union of the boundaries of dense 0/1 columns; k is their width in pixels, or as a share of the
+    diagonal (of the largest scene)."""
+    if isinstance(k, float):
+        size = df.agg(F.max(height), F.max(width)).first()
+        k = boundary_width(k, size[0] or 0, size[1] or 0)
     b = boundary(boundary(df, pred, keys, k, height, width, "_p"), target, keys, k, height, width, "_t")
     s = b.groupBy(*by).agg(F.sum(F.col("_p") * F.col("_t")).alias("common"), F.sum(F.greatest("_p", "_t")).alias("either"))
     return s.withColumn("boundary_iou", _div(F.col("common").cast("double"), F.col("either").cast("double")))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .graph import cut
 from .metrics import class_weights
 
 
@@ -15,6 +16,9 @@ def bce(x: Column, y: Column) -> Column:
 
 
 def _reduce(df: DataFrame, loss: Column, by: tuple, reduction: str, name: str) -> DataFrame:
+    """mean or sum over by; batchwise_mean is the sum over a batch for each place, which by names; none keeps the rows."""
+    if reduction == "batchwise_mean":
+        reduction = "sum"
     return df.withColumn(name, loss) if reduction == "none" else df.groupBy(*by).agg((F.sum if reduction == "sum" else F.avg)(loss).alias(name))
 
 
@@ -38,9 +42,17 @@ def log_softmax(logits: Column) -> Column:
     return F.transform(logits, lambda x: x - lse)
 
 
-def softmax_focal(df: DataFrame, logits: Column, cls: Column, by: tuple = (), gamma: float = 2.0) -> DataFrame:
+def softmax_focal(df: DataFrame, logits: Column, cls: Column, by: tuple = (), gamma: float = 2.0, reduced_threshold: float | None = None, normalized: bool = False, reduction: str = "mean", ignore: Column | None = None) -> DataFrame:
+    """Focal loss over classes; ignored pixels are left out."""
+    df = df if ignore is None else df.where(~ignore)
     lp = F.get(log_softmax(logits), cls)
-    return df.groupBy(*by).agg(F.avg(F.pow(1 - F.exp(lp), F.lit(gamma)) * -lp).alias("softmax_focal"))
+    pt = F.exp(lp)
+    weight = F.pow(1 - pt, F.lit(gamma)) if reduced_threshold is None else F.when(pt < reduced_threshold, 1.0).otherwise(F.pow((1 - pt) / reduced_threshold, F.lit(gamma)))
+    loss = weight * -lp
+    if normalized:
+        top = F.sum(loss) if reduction == "sum" else F.avg(loss)
+        return df.groupBy(*by).agg((top / F.greatest(F.sum(weight), F.lit(1e-5))).alias("softmax_focal"))
+    return _reduce(df, loss, by, reduction, "softmax_focal")
 
 
 def _overlap_loss(df: DataFrame, p: Column, y: Column, by: tuple, cls: tuple, smooth: float, eps: float, log: bool, union: bool, name: str) -> DataFrame:
@@ -58,21 +70,49 @@ def jaccard(df: DataFrame, p: Column, y: Column, by: tuple = (), cls: tuple = ()
     return _overlap_loss(df, p, y, by, cls, smooth, eps, log, True, "jaccard_loss")
 
 
-def soft_bce(df: DataFrame, x: Column, y: Column, by: tuple = (), smooth: float = 0.1, weight: Column | None = None, ignore: Column | None = None) -> DataFrame:
-    """Smoothed targets; ignored pixels count as 0 and stay in the denominator."""
-    loss = bce(x, (1 - y) * smooth + y * (1 - smooth))
+def soft_bce(df: DataFrame, x: Column, y: Column, by: tuple = (), smooth: float = 0.1, weight: Column | None = None, ignore: Column | None = None, pos_weight: float = 1.0) -> DataFrame:
+    """Smoothed targets; ignored pixels count as 0 and stay in the denominator; pos_weight multiplies the part of the
+    positive class."""
+    soft = (1 - y) * smooth + y * (1 - smooth)
+    loss = bce(x, soft) if pos_weight == 1.0 else pos_weight * soft * bce(x, F.lit(1.0)) + (1 - soft) * bce(x, F.lit(0.0))
     loss = loss if weight is None else loss * weight
     return df.groupBy(*by).agg(F.avg(loss if ignore is None else F.when(ignore, 0.0).otherwise(loss)).alias("soft_bce"))
 
 
-def soft_ce(df: DataFrame, logits: Column, cls: Column, by: tuple = (), smooth: float = 0.1) -> DataFrame:
-    """(1 - s) * nll + s / C * -sum(log p)."""
+def soft_ce(df: DataFrame, logits: Column, cls: Column, by: tuple = (), smooth: float = 0.1, ignore: Column | None = None) -> DataFrame:
+    """(1 - s) * nll + s / C * -sum(log p); ignored pixels count as 0 and stay in the denominator."""
     lp = log_softmax(logits)
-    return df.groupBy(*by).agg(F.avg(-(1 - smooth) * F.get(lp, cls) - smooth / F.size(logits) * F.aggregate(lp, F.lit(0.0), lambda a, v: a + v)).alias("soft_ce"))
+    loss = -(1 - smooth) * F.get(lp, cls) - smooth / F.size(logits) * F.aggregate(lp, F.lit(0.0), lambda a, v: a + v)
+    return df.groupBy(*by).agg(F.avg(loss if ignore is None else F.when(ignore, 0.0).otherwise(loss)).alias("soft_ce"))
+
+
+def combined(df: DataFrame, weights: dict[str, float], out: str = "loss") -> DataFrame:
+    """A loss made of multiples of others: the sum of columns by weight."""
+    parts = [F.col(c) * w for c, w in weights.items()]
+    return df.withColumn(out, sum(parts[1:], parts[0]))
+
+
+def lovasz_grad_sum_spread(df: DataFrame, error: Column, y: Column, keys: tuple, order: list) -> DataFrame:
+    """The same for keys that may hold any share of the rows: rows are dealt by range of their errors over the tasks, each of
+    which ranks its own; counts of the parts before give the rest."""
+    e = df.select(*keys, error.alias("e"), y.cast("double").alias("y"), *[F.col(o) for o in order if o not in keys])
+    ends = [*keys, F.col("e").desc(), *order]
+    e = cut(e.repartitionByRange(*ends).withColumn("_part", F.spark_partition_id()))
+    parts = e.groupBy(*keys, "_part").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    every = W.partitionBy(*keys)
+    before = every.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("p").over(before), F.lit(0.0)).alias("_p"), F.sum("p").over(every).alias("g"))
+    own = W.partitionBy(*keys, "_part").orderBy(F.col("e").desc(), *order)
+    e = e.withColumns({"k": F.row_number().over(own), "cp": F.sum("y").over(own.rowsBetween(W.unboundedPreceding, 0))}).join(parts, [*keys, "_part"])
+    k, cp, g = F.col("k") + F.col("_n"), F.col("cp") + F.col("_p"), F.col("g")
+    last = F.when(k > 1, 1 - (g - cp + F.col("y")) / (g + k - 1 - cp + F.col("y"))).otherwise(0.0)
+    grad = 1 - (g - cp) / (g + k - cp) - last
+    return e.groupBy(*keys).agg(F.sum(F.greatest("e", F.lit(0.0)) * grad).alias("loss"), F.sum("y").alias("positives"))
 
 
 def lovasz_grad_sum(df: DataFrame, error: Column, y: Column, keys: tuple, order: list) -> DataFrame:
-    """keys, loss, positives: the Lovasz extension of the Jaccard loss over errors from large to small within keys."""
+    """keys, loss, positives: the Lovasz extension of the Jaccard loss over errors from large to small within keys, each of
+    which is small (one image)."""
     e = df.select(*keys, error.alias("e"), y.cast("double").alias("y"), *[F.col(o) for o in order if o not in keys])
     ordered = W.partitionBy(*keys).orderBy(F.col("e").desc(), *order)
     upto, every = ordered.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
@@ -89,7 +129,7 @@ def lovasz_hinge(df: DataFrame, x: Column, y: Column, image: tuple, order: list,
 
 def lovasz_softmax(df: DataFrame, p: Column, y: Column, cls: str, order: list, by: tuple = ()) -> DataFrame:
     """df: one row per pixel and class; mean over the classes that are present."""
-    per = lovasz_grad_sum(df, F.abs(y - p), y, (*by, cls), order)
+    per = lovasz_grad_sum_spread(df, F.abs(y - p), y, (*by, cls), order)
     return per.where("positives > 0").groupBy(*by).agg(F.avg("loss").alias("lovasz_softmax"))
 
 

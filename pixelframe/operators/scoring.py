@@ -58,9 +58,11 @@ def blend(pixels: DataFrame, keys: list[str], scenes: DataFrame, value: Callable
     return s.select(*keys, "y", "x", F.when(F.col("_w") > 0, F.col("_a") / F.col("_w")).otherwise(0.0).alias("p"))
 
 
-def score_scenes(pixels: DataFrame, keys: list[str], scenes: DataFrame, nodata: str, patch: int, margin: int, col: str = "v", scorer=None, t: float = 0.5) -> DataFrame:
-    """keys, y, x, p (NaN for nodata), b (0, 1, 255)."""
+def score_scenes(pixels: DataFrame, keys: list[str], scenes: DataFrame, nodata: str, patch: int, margin: int, col: str = "v", scorer=None, t: float = 0.5, decimals: int | None = None) -> DataFrame:
+    """keys, y, x, p (NaN for nodata; rounded if decimals are given), b (0, 1, 255)."""
     s = blend(pixels, keys, scenes, sigmoid, patch, margin, col, scorer).join(pixels.select(*keys, "y", "x", F.col(nodata).alias("_nod")), [*keys, "y", "x"])
+    if decimals is not None:
+        s = s.withColumn("p", F.round("p", decimals))
     return s.select(*keys, "y", "x", F.when(F.col("_nod"), float("nan")).otherwise(F.col("p")).alias("p"), binarise(F.col("p"), F.col("_nod"), t).alias("b"))
 
 

@@ -92,6 +92,36 @@ def dihedral(tiles: DataFrame, col: str, size: int) -> DataFrame:
     return tiles.withColumn("op", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn(col, permute(F.col(col), size, bit(2), bit(1), bit(4)))
 
 
+def blur(tile: Column, n: int) -> Column:
+    """Mean of the 3 x 3 square around each pixel; beyond the edge the tile is mirrored at its outermost pixels."""
+    inside = lambda v: F.when(v < 0, -v).when(v >= n, 2 * n - 2 - v).otherwise(v)
+
+    def at(v: Column, i: Column) -> Column:
+        y, x = F.floor(i / n).cast("int"), (i % n).cast("int")
+        near = [F.get(tile, (inside(y + a) * n + inside(x + b)).cast("int")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        return (sum(near[1:], near[0]) / 9).cast("float")
+
+    return F.transform(tile, at)
+
+
+def join_sources(tiles: DataFrame, aux: dict[str, DataFrame], keys: tuple = ("scene_id", "row", "col")) -> DataFrame:
+    """Tiles with the arrays of further sources (keys, array) of the same scene, row and column, each as a column of its name;
+    a tile that lacks one is left out."""
+    out = tiles
+    for name, df in aux.items():
+        out = out.join(df.select(*keys, F.col(df.columns[-1]).alias(name)), list(keys))
+    return out
+
+
+def tile_dataset(parts: list[DataFrame], batch_size: int, order: list[str], transform=None, shuffle: bool = False, seed: int = 0) -> DataFrame:
+    """Tiles of several scenes as one set: put together, changed by transform (a function of a table) and dealt into batches by
+    scene."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return batches(out if transform is None else transform(out), batch_size, order, shuffle=shuffle, seed=seed)
+
+
 #: Augmentations by name; each takes (tile, random number in 0..1, size).
 AUGMENTATIONS = {
     "HorizontalFlip": lambda t, r, n: permute(t, n, F.lit(False), r < 0.5, F.lit(False)),
@@ -99,7 +129,7 @@ AUGMENTATIONS = {
     "RandomRotate90": lambda t, r, n: permute(t, n, (r >= 0.25) & (r < 0.75), r >= 0.5, ((r >= 0.25) & (r < 0.5)) | (r >= 0.75)),
     "RandomBrightnessContrast": lambda t, r, n: F.transform(t, lambda v: (v * (0.8 + 0.4 * r) + 0.2 * (r - 0.5)).cast("float")),
     "MultiplicativeNoise": lambda t, r, n: F.transform(t, lambda v: (v * (0.9 + 0.2 * r)).cast("float")),
-    "Blur": lambda t, r, n: F.transform(t, lambda v, i: F.when((i % n > 0) & (i % n < n - 1), ((F.get(t, i - 1) + v + F.get(t, i + 1)) / 3).cast("float")).otherwise(v)),
+    "Blur": lambda t, r, n: blur(t, n),
 }
 GEOMETRY = ("HorizontalFlip", "VerticalFlip", "RandomRotate90")
 

@@ -14,10 +14,14 @@ def px(s, d):
     return e.select(F.expr("vec_id div 64").alias("scene_id"), (F.col("vec_id") % 64).cast("int").alias("y"), "x", F.col("v").cast("double").alias("v"))
 
 
+def scenes(s, d):
+    """scene_id and height."""
+    return table(s, d, "embeddings").groupBy(F.expr("vec_id div 64").alias("scene_id")).agg(F.count("*").cast("int").alias("height"))
+
+
 def dense(s, d, t=0.06):
     """px with height and width of its scene and the mask m = v >= t."""
-    h = table(s, d, "embeddings").groupBy(F.expr("vec_id div 64").alias("scene_id")).agg(F.count("*").cast("int").alias("height"))
-    return px(s, d).join(F.broadcast(h), "scene_id").withColumn("width", F.lit(64)).withColumn("m", (F.col("v") >= t).cast("int"))
+    return px(s, d).join(scenes(s, d), "scene_id").withColumn("width", F.lit(64)).withColumn("m", (F.col("v") >= t).cast("int"))
 
 
 def bands(s, d):
@@ -40,7 +44,11 @@ def scored(s, d):
 
 
 def scene_names(s, d):
-    o, day = table(s, d, "orders"), "yyyyMMdd"
+    return names_of(table(s, d, "orders"))
+
+
+def names_of(o):
+    day = "yyyyMMdd"
     k, c, dt = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
     pad = lambda v, n: F.lpad(v.cast("string"), n, "0")
     name = F.when(k % 3 == 0, F.concat_ws("_", F.date_format(dt, day), pad(k, 6), F.lit("104e"))).when(k % 3 == 1, F.concat_ws("_", F.date_format(dt, day), pad(k, 6), pad(c % 100, 2), F.lit("241d"))).otherwise(F.concat_ws("_", pad(k, 7), pad(c, 7), F.date_format(dt, "yyyy-MM-dd"), F.lit("0f17")))

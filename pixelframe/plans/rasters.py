@@ -121,15 +121,44 @@ def instance_scores(s, d):
     return I.instance_scores(m).crossJoin(conf).select("tp", "fp", "fn", *r6("precision", "recall", "accuracy", "f_beta", "n01", "n11"))
 
 
-@query()
+def _edges_sql(lab: str, name: str) -> str:
+    return f", {name} as materialized (select a.g, a.y, a.x, a.label from {lab} a join {lab} b on a.g=b.g and a.label=b.label and abs(a.y-b.y)<=2 and abs(a.x-b.x)<=2 group by all having count(*)<25)"
+
+
+_BY_EDGE = _edges_sql("ta", "te") + _edges_sql("pa", "pe") + """,
+er as (select g, te.label t, pe.label p, count(*) c from te join pe using(g,y,x) group by all),
+ea as (select g, label t, count(*) a from te group by 1,2), eb as (select g, label p, count(*) b from pe group by 1,2),
+ei as (select g, t, p, c/(a+b-c) j from er join ea using(g,t) join eb using(g,p)),
+mb as (select g, (select count(*) from iou left join ei using(g,t,p) where iou.g=mt.g and least(i, coalesce(j,0))>=0.5) tp, (select count(distinct p) from bb where bb.g=mt.g) np, (select count(distinct t) from aa where aa.g=mt.g) nt from mt)"""
+
+
+@query(views("px", more=_TWO + _BY_EDGE, recursive=True) + "select g scene_id, tp, np-tp fp, nt-tp fn from mb")
 def instance_matching_by_boundary(s, d):
-    return _matches(s, d, metric="boundary", dilation=1, height=64)
+    """Boundaries of the default width, 0.02 of the diagonal (two pixels of a scene of 64 x 64)."""
+    return _matches(s, d, metric="boundary", height=64)
 
 
-@query()
-def instance_pr_curve(s, d):
+_T3 = "th as (select unnest([0.06::double, 0.08, 0.1]) t), " + labels_sql("ta", "select scene_id g, y, x from px where v>=0.06") + ",\n" + labels_sql("pa", "select struct_pack(s := scene_id, t := t) g, y, x from px, th where v>=t") + """,
+aa as (select g, label t, count(*) a from ta group by 1,2), bb as (select g, label p, count(*) b from pa group by 1,2),
+pr as (select pa.g, ta.label t, pa.label p, count(*) c from pa join ta on ta.g=pa.g.s and ta.y=pa.y and ta.x=pa.x group by all),
+io as (select pr.g.t th, c/(a+b-c) i from pr join aa on aa.g=pr.g.s and aa.t=pr.t join bb on bb.g=pr.g and bb.p=pr.p),
+cv as (select t threshold, (select count(*) from io where io.th=th.t and i>=0.5)::double tp, (select count(*) from bb where bb.g.t=th.t)::double np, (select count(*) from aa)::double nt from th),
+c2 as (select threshold, tp, np-tp fp, nt-tp fn, case when np>0 then tp/np else 0 end pr, case when nt>0 then tp/nt else 0 end rc from cv)"""
+
+
+def _curve(s, d):
     df = X.px(s, d).withColumn("target", (F.col("v") >= 0.06).cast("int"))
-    return I.instance_pr_curve(df, K, 64, [0.06, 0.08, 0.1], score="v").select("threshold", "tp", "fp", "fn", *r6("precision", "recall"))
+    return I.instance_pr_curve(df, K, 64, [0.06, 0.08, 0.1], score="v")
+
+
+@query(views("px", more=_T3, recursive=True) + 'select threshold, tp::bigint tp, fp::bigint fp, fn::bigint fn, round(pr,6) "precision", round(rc,6) recall from c2')
+def instance_pr_curve(s, d):
+    return _curve(s, d).select("threshold", "tp", "fp", "fn", *r6("precision", "recall"))
+
+
+@query(views("px", more=_T3 + ", c3 as (select pr, rc-lead(rc,1,0.0) over (order by threshold) d from c2)", recursive=True) + "select round(sum(pr*d),6) average_precision from c3")
+def instance_average_precision(s, d):
+    return I.instance_average_precision(_curve(s, d)).select(*r6("average_precision"))
 
 
 @query(views("px", more="nb as (select a.scene_id, a.y, a.x, a.v, count(*) filter (b.v>=0.0) n, count(*) filter (b.v>=0.02) k from px a join px b on a.scene_id=b.scene_id and abs(a.y-b.y)<=1 and abs(a.x-b.x)<=1 group by all), e as (select scene_id, (v>=0.0 and n<9)::int t, (v>=0.02 and k<9)::int p from nb)") + "select scene_id, sum(t*p)::bigint common, sum(greatest(t,p))::bigint either, round(sum(t*p)/sum(greatest(t,p)),6) boundary_iou from e group by 1")
@@ -138,6 +167,13 @@ def boundary_iou(s, d):
     return I.boundary_iou(df, K, 1, F.col("height"), F.col("width"), "pred", "m", ("scene_id",)).select("scene_id", "common", "either", *r6("boundary_iou"))
 
 
+@query(views("px", more="nb as (select a.scene_id, a.y, a.x, a.v, count(*) filter (b.v>=-0.1) n, count(*) filter (b.v>=-0.09) k from px a join px b on a.scene_id=b.scene_id and abs(a.y-b.y)<=2 and abs(a.x-b.x)<=2 group by all), e as (select scene_id, (v>=-0.1 and n<25)::int t, (v>=-0.09 and k<25)::int p from nb)") + "select scene_id, sum(t*p)::bigint common, sum(greatest(t,p))::bigint either, round(sum(t*p)/sum(greatest(t,p)),6) boundary_iou from e group by 1")
+def boundary_iou_by_diagonal(s, d):
+    """The width is 0.02 of the diagonal."""
+    df = X.dense(s, d, -0.1).withColumn("pred", (F.col("v") >= -0.09).cast("int"))
+    return I.boundary_iou(df, K, 0.02, F.col("height"), F.col("width"), "pred", "m", ("scene_id",)).select("scene_id", "common", "either", *r6("boundary_iou"))
+
+
 # ------------------------------------------------------------------ ensembles
 
 
@@ -170,21 +206,27 @@ kept as (select * from lab where (g, label) not in (select (g, label) from bad))
 @query(views("px", "hs", "prob", more=_clean_sql(_XT), recursive=True) + "select g scene_id, 0.55::double threshold, label, count(*) area, min(y) y_min, max(y) y_max, min(x) x_min, max(x) x_max from lb2 group by g, label having count(*)>=4")
 def clean_ensemble_objects(s, d):
     """The flagship: mean of two models, objects, without those at nodata, edges or under the minimum size."""
-    h = X.table(s, d, "embeddings").groupBy(F.expr("vec_id div 64").alias("scene_id")).agg(F.count("*").cast("int").alias("height"))
-    mean = E.ensemble_mean(_models(s, d), K, ["m1", "m2"])
-    k = ["scene_id", "threshold"]
-    objects = R.components(R.to_runs(E.by_threshold(mean, [_XT]), F.lit(True), k), k, 64, 8)
-    nodata = R.dilate_disk(R.to_runs(mean, F.isnan("p"), K), K, 3)
-    kept = R.drop_touching(objects, nodata, k).join(F.broadcast(h), "scene_id")  # one row for each scene
-    kept = R.drop_edge(kept, k, F.col("height"), F.lit(64), 2).drop("height")
-    parts = R.components(kept.drop("label"), k, 64, 4)
-    return R.component_stats(R.remove_small(parts, k, 4), k)
-
-
-@query(views("prob") + "select scene_id, y, x, round((p1+p2)/2*(p2<0.6)::int,6) p from prob where not nod")
+    mean = cut(E.ensemble_mean(_models(s, d), K, ["m1", "m2"]))
+    objects = E.ensemble_clean(mean, K, 64, F.col("height"), F.lit(64), (_XT,), border=2, min_size=4, scenes=X.scenes(s, d), disk=3)
+    return E.object_table(objects, ["scene_id", "threshold"])
+
+
+def _with_nan(s, d):
+    """p1 and p2, NaN at nodata pixels."""
+    return X.prob(s, d).withColumns({c: F.when(F.col("nod"), float("nan")).otherwise(F.col(c)) for c in ("p1", "p2")})
+
+
+@query(views("prob") + "select scene_id, y, x, case when not nod then round((p1+p2)/2*(p2<0.6)::int,6) end p from prob")
 def negative_class_ensemble(s, d):
-    p = E.ensemble_negative(X.prob(s, d).where("not nod"), K, "p2", 0.6)
-    return p.select("scene_id", "y", "x", *r6("p"))
+    p = E.ensemble_negative(_with_nan(s, d), K, "p2", 0.6)
+    return p.select("scene_id", "y", "x", F.round(F.nullif(F.col("p"), F.lit(float("nan"))), 6).alias("p"))
+
+
+@query(views("prob", "hs", more="n as (select distinct p.scene_id, p.y, p.x from prob p join prob m on m.nod and m.scene_id=p.scene_id and (m.y-p.y)*(m.y-p.y)+(m.x-p.x)*(m.x-p.x)<=4)") + "select scene_id, count(*) n, round(sum(case when p2<0.6 then (p1+p2)/2 else 0 end),4) total from prob join hs using(scene_id) where (scene_id, y, x) not in (select (scene_id, y, x) from n) and y>=2 and x>=2 and y<height-2 and x<62 group by 1")
+def eroded_negative_ensemble(s, d):
+    """The valid area shrinks by two pixels from nodata and from the edge."""
+    p = E.ensemble_negative(_with_nan(s, d).join(X.scenes(s, d), "scene_id"), K, "p2", 0.6, erode=2, height=F.col("height"), width=F.lit(64))
+    return p.where(~F.isnan("p")).groupBy("scene_id").agg(F.count("*").alias("n"), F.round(F.sum("p"), 4).alias("total"))
 
 
 # ------------------------------------------------------------------ tiles and patches
@@ -250,11 +292,11 @@ def blended_scores(s, d):
     return SC.blend(df.select("scene_id", "y", "x", "v"), K, scenes, B.sigmoid, 16, 4).select("scene_id", "y", "x", *r6("p"))
 
 
-@query(views("px", "hs", more=_BL) + "select scene_id, y, x, (case when (y*64+x)%997=0 then 255 else (p>0.5)::int end)::int b from bs where abs(p-0.5)>1e-9")
+@query(views("px", "hs", more=_BL) + "select scene_id, y, x, (case when (y*64+x)%997=0 then 255 else (round(p,9)>0.5)::int end)::int b from bs")
 def scored_scenes(s, d):
     df = X.dense(s, d).withColumn("nod", (F.col("y") * 64 + F.col("x")) % 997 == 0)
-    out = SC.score_scenes(df.select("scene_id", "y", "x", "v", "nod"), K, df.select("scene_id", "height", "width").distinct(), "nod", 16, 4)
-    return out.where("isnan(p) or abs(p - 0.5) > 1e-9").select("scene_id", "y", "x", F.col("b").cast("int").alias("b"))
+    out = SC.score_scenes(df.select("scene_id", "y", "x", "v", "nod"), K, df.select("scene_id", "height", "width").distinct(), "nod", 16, 4, decimals=9)
+    return out.select("scene_id", "y", "x", F.col("b").cast("int").alias("b"))
 
 
 # ------------------------------------------------------------------ vectors
@@ -325,18 +367,31 @@ def merged_detections(s, d):
 # ------------------------------------------------------------------ other grids
 
 
-def _grid(s, d):
-    return X.px(s, d).where("y < 26 and x < 32").select("scene_id", "y", "x")
+def _grid(s, d, scale):
+    return RS.target_grid(X.scenes(s, d).withColumn("width", F.lit(64)), K, (scale, scale))
+
 
+def _grid_sql(scale: float, name: str = "gr") -> str:
+    return f"{name} as (select scene_id, a.i y, b.i x from hs, range(0,1000) a(i), range(0,{int(64 / scale)}) b(i) where a.i<floor(height/{scale}))"
 
-@query(views("px") + "select a.scene_id, a.y, a.x, b.v from px a left join px b on a.scene_id=b.scene_id and b.y=floor((a.y+0.5)*2)::int and b.x=floor((a.x+0.5)*2)::int where a.y<26 and a.x<32")
+
+@query(views("px", "hs", more=_grid_sql(2.0)) + "select a.scene_id, a.y::int y, a.x::int x, b.v from gr a left join px b on a.scene_id=b.scene_id and b.y=floor((a.y+0.5)*2)::int and b.x=floor((a.x+0.5)*2)::int")
 def nearest_resampling(s, d):
-    return RS.align_nearest(X.px(s, d), _grid(s, d), K, "v", (2.0, 2.0))
+    return RS.align_nearest(X.px(s, d), _grid(s, d, 2.0), K, "v", (2.0, 2.0))
+
+
+@query(views("px", "hs", more=_grid_sql(1.0)) + "select a.scene_id, a.y::int y, a.x::int x, b.v from gr a left join px b on a.scene_id=b.scene_id and b.y=floor((a.y+0.5)*1.25-3.5)::int and b.x=floor((a.x+0.5)*1.25+2.25)::int")
+def shifted_resampling(s, d):
+    """A target grid of 3.75 m pixels that begins 10.5 m above and 6.75 m right of the scene's, whose pixels are 3 m."""
+    geo = lambda x, y, r: F.struct(F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(r).alias("xres"), F.lit(-r).alias("yres"))
+    grid = _grid(s, d, 1.0).withColumn("src", geo(500000.0, 7600000.0, 3.0)).withColumn("to", geo(500006.75, 7600010.5, 3.75))
+    scale, offset = RS.grid_step(F.col("src"), F.col("to"))
+    return RS.align_nearest(X.px(s, d), grid, K, "v", scale, offset)
 
 
 _W = "case when {0}<=1 then 1.5*{0}**3-2.5*{0}**2+1 when {0}<2 then -0.5*{0}**3+2.5*{0}**2-4*{0}+2 else 0 end"
 
 
-@query(views("px", more="t as (select scene_id, y, x, (y+0.5)*1.5-0.5 fy, (x+0.5)*1.5-0.5 fx from px where y<26 and x<32), n as (select t.scene_id, t.y, t.x, v, abs(fy-b.y) dy, abs(fx-b.x) dx from t join px b on b.scene_id=t.scene_id and b.y between floor(fy)-1 and floor(fy)+2 and b.x between floor(fx)-1 and floor(fx)+2), w as (select *, (" + _W.format("dy") + ")*(" + _W.format("dx") + ") w from n)") + "select scene_id, y, x, round(sum(w*v)/sum(w),6) v from w group by 1,2,3")
+@query(views("px", "hs", more=_grid_sql(1.5) + ", t as (select scene_id, y::int y, x::int x, (y+0.5)*1.5-0.5 fy, (x+0.5)*1.5-0.5 fx from gr), n as (select t.scene_id, t.y, t.x, v, abs(fy-b.y) dy, abs(fx-b.x) dx from t join px b on b.scene_id=t.scene_id and b.y between floor(fy)-1 and floor(fy)+2 and b.x between floor(fx)-1 and floor(fx)+2), w as (select *, (" + _W.format("dy") + ")*(" + _W.format("dx") + ") w from n)") + "select scene_id, y, x, round(sum(w*v)/sum(w),6) v from w group by 1,2,3")
 def cubic_resampling(s, d):
-    return RS.align_cubic(X.px(s, d), _grid(s, d), K, "v", (1.5, 1.5)).select("scene_id", "y", "x", *r6("v"))
+    return RS.align_cubic(X.px(s, d), _grid(s, d, 1.5), K, "v", (1.5, 1.5)).select("scene_id", "y", "x", *r6("v"))

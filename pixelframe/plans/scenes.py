@@ -126,10 +126,11 @@ def stage_status(s, d):
     return m.select("name", F.element_at("m", "mask").alias("mask"), F.element_at("m", "ndvi").alias("ndvi"))
 
 
-@query("select * from (values ('ndvi',1,0),('planet',4,1),('relative_elevation',1,5),('slope',1,6),('tcvis',3,7)) t(name, channels, channel_offset) where (select count(*) from embeddings)>0")
+@query(views("bands", more="c as (select case when band<3 then 'planet' else 'ndvi' end \"name\", count(distinct band) channels from bands group by 1)") + "select \"name\", channels, (sum(channels) over (order by \"name\")-channels)::bigint channel_offset from c")
 def channel_offsets(s, d):
-    few = s.createDataFrame([(k, v[0]) for k, v in B.SOURCES.items()], "name string, channels int").join(X.table(s, d, "embeddings").limit(1).select(F.lit(1).alias("one")))
-    return B.channel_offsets(few.drop("one"))
+    """Three bands of the pixels belong to one source, the fourth to another."""
+    name = F.when(F.col("band") < 3, "planet").otherwise("ndvi").alias("name")
+    return B.channel_offsets(X.bands(s, d).groupBy(name).agg(F.count_distinct("band").alias("channels")))
 
 
 # ------------------------------------------------------------------ bands
@@ -190,12 +191,11 @@ def binary_raster(s, d):
     return X.prob(s, d).select("scene_id", "y", "x", B.binarise(F.col("p1"), F.col("nod")).cast("int").alias("b"))
 
 
-@query(views("px", more="m as (select scene_id, y, x, avg(v) over (partition by scene_id, y order by x range between 2 preceding and 2 following) fm, v from px)") + "select scene_id, y, x, trunc((v-fm+30)*300)::smallint rel from m where abs((v-fm+30)*300-round((v-fm+30)*300))>1e-6")
+@query(views("px", more="m as (select scene_id, y, x, avg(v) over (partition by scene_id, y order by x range between 2 preceding and 2 following) fm, v from px)") + "select scene_id, y, x, trunc(round((v-fm+30)*300,6))::smallint rel from m")
 def relative_elevation(s, d):
     fm = F.avg("v").over(W.partitionBy("scene_id", "y").orderBy("x").rangeBetween(-2, 2))
     p = X.px(s, d).withColumn("fm", fm)
-    raw = (F.col("v") - F.col("fm") + 30) * 300
-    return p.where(F.abs(raw - F.round(raw)) > 1e-6).select("scene_id", "y", "x", B.relative_elevation(F.col("v"), F.col("fm")).alias("rel"))
+    return p.select("scene_id", "y", "x", B.relative_elevation(F.col("v"), F.col("fm"), 6).alias("rel"))
 
 
 # ------------------------------------------------------------------ pixel metrics
@@ -273,11 +273,15 @@ def focal_losses(s, d):
 _C3 = "c3 as (select grp, [x, -x, 0.5::double] l, (l_linenumber%3)::int c from lx), c4 as (select grp, l, c, l[c+1]-ln(exp(l[1])+exp(l[2])+exp(l[3])) lp, (l[1]+l[2]+l[3])-3*ln(exp(l[1])+exp(l[2])+exp(l[3])) s from c3)"
 
 
-@query(views("scored", more=_LX + ", " + _C3) + "select grp, round(avg((1-exp(lp))**2*-lp),6) softmax_focal, round(avg(-0.9*lp-0.1/3*s),6) soft_ce from c4 group by 1")
+@query(views("scored", more=_LX + ", " + _C3) + "select grp, round(avg((1-exp(lp))**2*-lp),6) softmax_focal, round(avg(-0.9*lp-0.1/3*s),6) soft_ce, round(avg(case when exp(lp)<0.4 then 1 else ((1-exp(lp))/0.4)**2 end*-lp) filter (c<>2),6) focal_reduced, round(1000*avg((1-exp(lp))**2*-lp)/sum((1-exp(lp))**2),6) focal_normalized, round(avg(case when c=2 then 0 else -0.9*lp-0.1/3*s end),6) ce_ignore from c4 group by 1")
 def class_losses(s, d):
     df = _logits(s, d).select("grp", F.array("x", -F.col("x"), F.lit(0.5)).alias("l"), (F.col("l_linenumber") % 3).cast("int").alias("c"))
     a = L.softmax_focal(df, F.col("l"), F.col("c"), ("grp",)).join(L.soft_ce(df, F.col("l"), F.col("c"), ("grp",)), "grp")
-    return a.select("grp", *r6("softmax_focal", "soft_ce"))
+    no2, by, lc = F.col("c") == 2, ("grp",), (F.col("l"), F.col("c"))
+    a = a.join(L.softmax_focal(df, *lc, by, reduced_threshold=0.4, ignore=no2).withColumnRenamed("softmax_focal", "focal_reduced"), "grp")
+    a = a.join(L.softmax_focal(df, *lc, by, normalized=True).select("grp", (F.col("softmax_focal") * 1000).alias("focal_normalized")), "grp")
+    a = a.join(L.soft_ce(df, *lc, by, ignore=no2).withColumnRenamed("soft_ce", "ce_ignore"), "grp")
+    return a.select("grp", *r6("softmax_focal", "soft_ce", "focal_reduced", "focal_normalized", "ce_ignore"))
 
 
 @query(views("scored", more="o as (select grp, image, sum(score*target) i, sum(score+target) c, sum(target) t from scored group by 1,2)") + "select grp, round(avg((1-2*i/greatest(c,1e-7))*(t>0)::int),6) dice, round(avg((1-i/greatest(c-i,1e-7))*(t>0)::int),6) jaccard_loss, round(avg(-ln(greatest(2*i/greatest(c,1e-7),1e-7))*(t>0)::int),6) log_dice from o group by 1")
@@ -287,11 +291,26 @@ def overlap_losses(s, d):
     return a.join(L.dice(df, p, y, ("grp",), ("image",), log=True).withColumnRenamed("dice", "log_dice"), "grp").select("grp", *r6("dice", "jaccard_loss", "log_dice"))
 
 
-@query(views("scored", more=_LX) + "select grp, round(avg(case when l_linenumber=7 then 0 else greatest(x,0)-x*((1-y)*0.1+y*0.9)+ln(1+exp(-abs(x))) end),6) soft_bce, round(avg(y*(1-p)**2*(greatest(x,0)-x+ln(1+exp(-abs(x))))+(1-y)*p**2*(greatest(x,0)+ln(1+exp(-abs(x))))),6) symmetric_focal, round(avg(case when abs(y-score)<5 then 5*ln(1+abs(y-score)/0.5) else abs(y-score)-5+5*ln(11) end),6) wing from lb group by 1")
+@query(views("scored", more=_LX) + "select grp, round(avg(case when l_linenumber=7 then 0 else greatest(x,0)-x*((1-y)*0.1+y*0.9)+ln(1+exp(-abs(x))) end),6) soft_bce, round(avg(y*(1-p)**2*(greatest(x,0)-x+ln(1+exp(-abs(x))))+(1-y)*p**2*(greatest(x,0)+ln(1+exp(-abs(x))))),6) symmetric_focal, round(avg(case when abs(y-score)<5 then 5*ln(1+abs(y-score)/0.5) else abs(y-score)-5+5*ln(11) end),6) wing, round(avg((2+score)*(3*(0.1+0.8*y)*(b-greatest(x,0)+x*y+greatest(x,0)-x)+(0.9-0.8*y)*(b-greatest(x,0)+x*y+greatest(x,0)))),6) bce_weighted from lb group by 1")
 def pointwise_losses(s, d):
     df, x, y = _logits(s, d), F.col("x"), F.col("y")
     a = L.soft_bce(df, x, y, ("grp",), ignore=F.col("l_linenumber") == 7).join(L.symmetric_focal(df, x, y, ("grp",)), "grp")
-    return a.join(L.wing(df, F.col("score"), y, ("grp",)), "grp").select("grp", *r6("soft_bce", "symmetric_focal", "wing"))
+    weighted = L.soft_bce(df, x, y, ("grp",), weight=2 + F.col("score"), pos_weight=3.0).withColumnRenamed("soft_bce", "bce_weighted")
+    a = a.join(L.wing(df, F.col("score"), y, ("grp",)), "grp").join(weighted, "grp")
+    return a.select("grp", *r6("soft_bce", "symmetric_focal", "wing", "bce_weighted"))
+
+
+@query(views("scored", more=_LX + ", z as (select image, l_linenumber, sum((1-exp(-b))**2*b) s from lb group by all), u as (select image, bool_or(score<0 or score>1) o1, bool_or(x<0 or x>1) o2 from lx group by 1), q as (select lx.image, case when o1 then 1/(1+exp(-score)) else score end a1, case when o2 then 1/(1+exp(-x)) else x end a2 from lx join u using(image)), m as (select image, avg(a1) a1, avg(a2) a2 from q group by 1), w as (select image, 2*sum(s)-0.5*avg(s) loss from z group by 1)") + "select image, round(a1,6) a1, round(a2,6) a2, round(loss,4) loss from m join w using(image)")
+def activations_and_batch_sums(s, d):
+    """Scores as they are and logits through the sigmoid, since these leave 0..1; focal sums by place (line number) over a batch
+    (image), and a loss made of two multiples of them."""
+    df, batch = _logits(s, d), ["image"]
+    a = B.activated(df.select("image", "score"), "score", batch).groupBy("image").agg(F.avg("score").alias("a1"))
+    b = B.activated(df.select("image", "x"), "x", batch).groupBy("image").agg(F.avg("x").alias("a2"))
+    by_place = L.focal(df, F.col("x"), F.col("y"), ("image", "l_linenumber"), reduction="batchwise_mean")
+    two = by_place.groupBy("image").agg(F.sum("focal").alias("total"), F.avg("focal").alias("mean"))
+    c = L.combined(two, {"total": 2.0, "mean": -0.5})
+    return a.join(b, "image").join(c, "image").select("image", *r6("a1", "a2"), F.round("loss", 4).alias("loss"))
 
 
 _LV = "sum(y) over (partition by grp, image) g, sum(y) over (partition by grp, image order by e desc, l_orderkey, l_linenumber rows unbounded preceding) cp, row_number() over (partition by grp, image order by e desc, l_orderkey, l_linenumber) k"
@@ -336,10 +355,11 @@ def metrics_log(s, d):
     return store.parse_metrics_log(X.log_lines(s, d))
 
 
-@query("select ['accuracy','iou','loss'] metric_names from events where event_id=0 union select ['accuracy','iou','loss']")
+@query(views("log_lines", more="n as (select distinct string_split(k,':')[1] k from (select unnest(string_split(string_split(line,': ')[2],', ')) k from log_lines))") + "select list(k order by k) metric_names from n where k not in ('loss','f1')")
 def metric_names(s, d):
-    rows = X.table(s, d, "events").select(F.when(F.col("event_id") % 2 == 0, F.array(F.lit("loss"), F.lit("epoch"), F.lit("iou"))).otherwise(F.array(F.lit("accuracy"), F.lit("val_type"))).alias("names"))
-    return store.metric_names(rows, "names", ["epoch", "val_type"])
+    """The names in all lines of the log but two."""
+    names = F.transform(F.split(F.element_at(F.split("line", ": "), 2), ", "), lambda k: F.element_at(F.split(k, ":"), 1))
+    return store.metric_names(X.log_lines(s, d).select(names.alias("names")), "names", ["loss", "f1"])
 
 
 @query("select event_type, event_id, round(avg(\"value\") over w,6) mean, case when count(*) over w = 1 then null else round(stddev_samp(\"value\") over w,6) end std from events window w as (partition by event_type order by event_id rows unbounded preceding)")

@@ -7,16 +7,20 @@ import uuid
 from pyspark.sql import Window as W, functions as F
 
 from ..operators.graph import shared_dir
-from ..streaming import meter_value, running_meter
+from ..streaming import incremental_scenes, meter_value, running_meter
 from . import fixtures as X
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def _stream(s, d, name):
+def _arrivals(d, name):
     # a pattern, since a table may be one file or a folder of files
-    return s.readStream.schema(X.table(s, d, name).schema).parquet(f"{d}/{name[:-1]}[{name[-1]}].parquet")
+    return f"{d}/{name[:-1]}[{name[-1]}].parquet"
+
+
+def _stream(s, d, name):
+    return s.readStream.schema(X.table(s, d, name).schema).parquet(_arrivals(d, name))
 
 
 def running_meter_stream(s, d):
@@ -24,7 +28,7 @@ def running_meter_stream(s, d):
     at = f"{shared_dir(s).rstrip('/')}/meter-{uuid.uuid4().hex}"
 
     def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     running_meter(_stream(s, d, "events"), ["event_type"], "value", keep, f"{at}/state").awaitTermination()
     last = F.row_number().over(W.partitionBy("event_type").orderBy(F.col("batch").desc()))
@@ -36,18 +40,19 @@ ORACLES["running_meter_stream"] = 'select event_type, count(*) n, round(avg("val
 
 
 def incremental_intake_stream(s, d):
-    """Orders arrive as scenes; each is taken in once by its name, and those not finished are handed on."""
+    """Orders arrive as scenes; each is taken in once, and those not finished are handed on by their names. What arrived
+    before is not taken in again."""
     at = f"{shared_dir(s).rstrip('/')}/intake-{uuid.uuid4().hex}"
-    orders = _stream(s, d, "orders").select((F.col("o_orderkey") % 1000).alias("name"), (F.col("o_orderkey") % 7 == 0).alias("finished")).where("not finished")
 
     def process(batch, number):
-        batch.select("name").write.mode("append").parquet(f"{at}/out")
+        X.names_of(batch).where("o_orderkey % 7 != 0").write.mode("overwrite").parquet(f"{at}/out/run={run}/batch={number}")
 
-    orders.dropDuplicates(["name"]).writeStream.foreachBatch(process).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{at}/out")
+    for run in range(2):  # the second run finds nothing new
+        incremental_scenes(s, _arrivals(d, "orders"), X.table(s, d, "orders").schema, process, f"{at}/state", "o_orderkey").awaitTermination()
+    return s.read.parquet(f"{at}/out").select("name")
 
 
-ORACLES["incremental_intake_stream"] = "select distinct o_orderkey%1000 as name from orders where o_orderkey%7<>0"
+ORACLES["incremental_intake_stream"] = X.views("scene_names") + "select name from scene_names where o_orderkey%7<>0"
 
 QUERIES |= {f.__name__: f for f in (running_meter_stream, incremental_intake_stream)}
 
@@ -99,12 +104,34 @@ ORACLES["metric_csv"] = X.views("scored") + "select grp, count(*) filter (score>
 
 
 def scene_files(s, d):
-    """Files under the data folder by scene folder (here: by table), without reading them."""
+    """Tiles written in a folder for each scene, then listed without being read: how many files each scene has."""
     from ..operators import catalog as C
+    from ..sources import store
 
-    files = C.scene_files(s, d).where(F.col("path").contains("customer") | F.col("path").contains("orders"))
-    return files.select(F.regexp_extract("path", r"(customer|orders)", 1).alias("table_name"), (F.col("length") > 0).alias("some")).distinct()
+    at = f"{shared_dir(s).rstrip('/')}/listed-{uuid.uuid4().hex}"
+    t = X.tile(s, d).select("scene_id", F.col("vec_id").alias("tile_idx"), F.col("img").alias("ndvi"), "mask")
+    store.write_tiles(t.repartition("scene_id"), at)
+    files = C.scene_files(s, at).where(F.col("file").endswith(".parquet") & (F.col("length") > 0))
+    return C.file_counts(files).select(F.regexp_extract("name", "([0-9]+)$", 1).cast("int").alias("scene_id"), "n_files")
 
 
 QUERIES["scene_files"] = scene_files
-ORACLES["scene_files"] = "select t table_name, true as \"some\" from (values ('customer'),('orders')) v(t) where (select count(*) from orders)>0"
+ORACLES["scene_files"] = "select distinct label::int scene_id, 1 n_files from embeddings"
+
+
+def product_folders(s, d):
+    """Products of an ensemble written by threshold label and of single scenes' scores, read back: pixels and their sum."""
+    from ..functions.names import threshold_label
+    from ..operators import ensemble as E
+    from ..sources import store
+
+    at = f"{shared_dir(s).rstrip('/')}/products-{uuid.uuid4().hex}"
+    mean = X.prob(s, d).where("not nod").select("scene_id", "y", "x", ((F.col("p1") + F.col("p2")) / 2).alias("p"))
+    store.write_products(E.by_threshold(mean, [0.4, 0.5]).withColumn("threshold_label", threshold_label(F.col("threshold"))), f"{at}/ensemble")
+    store.write_products(mean.withColumn("threshold_label", F.lit("proba")), f"{at}/scores")
+    both = s.read.parquet(f"{at}/ensemble").select("threshold_label", "p").unionByName(s.read.parquet(f"{at}/scores").select("threshold_label", "p"))
+    return both.groupBy("threshold_label").agg(F.count("*").alias("n"), F.round(F.sum("p"), 4).alias("total"))
+
+
+QUERIES["product_folders"] = product_folders
+ORACLES["product_folders"] = X.views("prob") + "select l threshold_label, count(*) n, round(sum((p1+p2)/2),4) total from prob, (values (0.4::double,'class_04'),(0.5,'class_05'),(0.0,'proba')) r(t,l) where not nod and (p1+p2)/2>=t group by 1"

@@ -7,24 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def incremental_scenes(spark: SparkSession, path: str, schema: str, process: Callable[[DataFrame, int], None], checkpoint: str, key: str = "name"):
-    """Scenes that arrive under path are handed to process(batch, number) once each; the checkpoint remembers the rest.
-    Runs over what is there and ends."""
-    seen = spark.readStream.schema(schema).parquet(path).dropDuplicates([key])
-    return seen.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def incremental_scenes(spark: SparkSession, path: str, schema, process: Callable[[DataFrame, int], None], checkpoint: str, key: str = "name"):
+    """Scenes that arrive under path are handed to process(batch, number) once each. What has been taken in is a table beside
+    the checkpoint, one folder for each batch, so that a replayed batch finds the same scenes new and memory does not
+    grow with them. Runs over what is there and ends."""
+    seen = f"{checkpoint}/taken"
+
+    def take(batch: DataFrame, number: int) -> None:
+        kind = batch.schema[key].dataType.simpleString()
+        batch.select(key).limit(0).write.mode("ignore").parquet(f"{seen}/batch=-1")
+        old = batch.sparkSession.read.schema(f"{key} {kind}, batch long").parquet(seen).where(F.col("batch") < number).select(key)
+        fresh = batch.dropDuplicates([key]).join(old, key, "left_anti")
+        fresh.select(key).write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        now = batch.sparkSession.read.schema(f"{key} {kind}").parquet(f"{seen}/batch={number}")
+        process(batch.dropDuplicates([key]).join(now, key, "left_semi"), number)
+
+    stream = spark.readStream.schema(schema).parquet(path)
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/offsets").trigger(availableNow=True).start()
 
 
 def meter_parts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Counts and sums whose merge is exact: the state of a running mean and deviation, batch or stream."""
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("squares"))
+    """Count, mean and squared deviations from it: the state of a running mean and deviation, batch or stream. Spark merges
+    them without loss for large means."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
 
 
 def meter_value(parts: DataFrame) -> DataFrame:
     """mean and sample deviation: NaN without values, infinite deviation for one."""
     n, nan = F.col("n"), F.lit(float("nan"))
-    var = (F.col("squares") - F.col("total") * F.col("total") / n) / (n - 1)
-    std = F.when(n == 0, nan).when(n == 1, F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(var, F.lit(0.0))))
-    return parts.withColumn("mean", F.when(n == 0, nan).otherwise(F.col("total") / n)).withColumn("std", std)
+    std = F.when(n == 0, nan).when(n == 1, F.lit(float("inf"))).otherwise(F.sqrt(F.col("m2") / (n - 1)))
+    return parts.withColumn("mean", F.when(n == 0, nan).otherwise(F.col("mean"))).withColumn("std", std)
 
 
 def running_meter(stream: DataFrame, keys: list[str], value: str, sink: Callable[[DataFrame, int], None], checkpoint: str):
