@@ -1,15 +1,16 @@
 """Nearest neighbours by a hash-prefix forest (LSH forest) under Euclidean distance.
 
 Vectors are centred and lifted to a sphere. A tree turns its points by a random projection per digit; the digit is the
-nearest of the 2 * WIDE poles of the turned axes (a cross-polytope), one byte of the tree's string. The strings of all
-trees are sorted by range over the cluster. A query descends to the rows with the longest common prefixes in all trees; then
-all trees ascend together, one digit less in every step, which adds the rows that share the shorter prefix. The ascent of
-a query ends when rows as near as those found would have been missed by all trees with a mean probability of at most
-MISS; there is no limit of candidates. A query that has not ended when no digit is left is compared with all rows.
+nearest of the 2 * WIDE poles of the turned axes (a cross-polytope), one byte of the tree's string. Rows are dealt over
+shards by hash; a shard's forest holds, for each tree, its rows in the order of their strings, and is built once. Every
+query (the stated set) comes to every shard. It descends to the rows with the longest common prefixes in all trees; then
+all trees ascend together, one digit less in every step, which adds the rows that share the shorter prefix. The ascent
+ends when rows as near as those found would have been missed by all trees with a mean probability of at most MISS; there
+is no limit of candidates. A query that has not ended when no digit is left is compared with all rows of the shard.
 
-Strings and ids find the candidates; vectors move once for each step, to the cells (by hash of the id) where they are
-compared, and a query's vector to the cells that hold candidates of it. Equal vectors are one from the start.
-Only centre, radius and the chance of a common digit are fitted, on SAMPLE rows; every row is indexed.
+Equal vectors are one from the start. Only centre, radius and the chance of a common digit are fitted, on SAMPLE rows; every
+row is indexed. One forest over the whole cluster, with queries joined to ranges of prefixes, would have to carry each pair of
+a query and a candidate through a shuffle, which on vectors without structure is a share of all pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; those of another
 length than the query's are no candidates; ties go to the smaller id; equal rows are separate candidates, and rows of one id
@@ -26,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut, parts_for
+from .common import cut
 
 K, TREES, DIGITS, WIDE, MISS = 10, 80, 3, 128, 0.1
-#: Rows of the sample, and rows in a cell.
-SAMPLE, CELL = 512, 8192
+#: Rows of the sample, rows in a shard, and queries that are looked up together.
+SAMPLE, SHARD, QUERIES = 512, 8192, 256
 
 
 def _finite(vec: str):
@@ -50,12 +51,10 @@ def same_digit() -> tuple[np.ndarray, np.ndarray]:
     return at, np.minimum.accumulate(np.array(found))
 
 
-def missed(square, radius: float, digits: int, trees: int = TREES):
-    """The probability that all trees miss a common prefix of so many digits with a row at this squared distance; at the
-    next larger of the simulated distances."""
+def missed(distance: np.ndarray, digits: int) -> np.ndarray:
+    """The probability that all trees miss a common prefix of so many digits with a row at this distance on the sphere."""
     at, p = same_digit()
-    chance = F.array(*[F.lit(float(x)) for x in (1 - p**digits) ** trees] + [F.lit(1.0)])
-    return F.element_at(chance, F.least(F.lit(len(at) + 1), F.ceil(F.sqrt(square) / F.lit(radius * at[1])) + 1).cast("int"))
+    return (1 - np.interp(distance, at, p) ** digits) ** TREES
 
 
 class Projections:
@@ -106,128 +105,88 @@ def _matrices(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[offsets[rows][:, None] + np.arange(dim)].astype(np.float64)
 
 
-def _forest(reps: DataFrame, projections: Projections) -> DataFrame:
-    """word, id: the strings of all trees."""
+class PrefixForest:
+    """The forest of a shard's rows of one length."""
 
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                some = batch.slice(a, 2000)
-                ids = np.asarray(some.column(0))
-                for rows, v in _matrices(some.column(1)):
-                    words = projections.strings(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(words.reshape(-1)), pa.array(np.repeat(ids[rows], TREES))], ["word", "id"])
-
-    return reps.select("id", "v").mapInArrow(run, "word long, id long")
-
-
-class _Cell:
-    """Compares the queries of one cell with its rows. Rows come in order: kind 0 the cell's vectors, 1 the queries' vectors
-    (whole: against all rows), 2 pairs."""
-
-    def __init__(self, k: int):
-        self.k, self.rows, self.asks, self.best = k, {}, {}, {}
-
-    def matrix(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        got = self.rows.get(dim)
-        if isinstance(got, list):
-            ids = np.array([i for i, _ in got], np.int64)
-            order = np.argsort(ids)
-            got = self.rows[dim] = (ids[order], np.array([v for _, v in got], np.float64)[order])
-        return got if got is not None else (np.zeros(0, np.int64), np.zeros((0, dim)))
-
-    def keep(self, q: int, ids: np.ndarray, square: np.ndarray, seen: int) -> None:
-        old = self.best.get(q)
-        if old is not None:
-            new = ~np.isin(ids, old[0])
-            ids, square, seen = np.concatenate([old[0], ids[new]]), np.concatenate([old[1], square[new]]), seen + old[2]
-        order = np.lexsort((ids, square))[: self.k + 1]
-        self.best[q] = (ids[order], square[order], seen)
-
-    def compare(self, q: int, ids: np.ndarray | None) -> None:
-        v = self.asks[q]
-        have, rows = self.matrix(len(v))
-        if ids is not None:
-            rows = rows[np.searchsorted(have, ids)]
-            have = ids
-        for a in range(0, len(have), 4096):
-            part = rows[a : a + 4096] - v
-            self.keep(q, have[a : a + 4096], (part * part).sum(axis=1), len(part))
-
-
-def _compared(reps: DataFrame, asks: DataFrame, pairs: DataFrame | None, cells: int, k: int) -> DataFrame:
-    """q, id, square (of the distance), seen: for each query and cell the k + 1 nearest of the pairs (q, id), or of all rows if
-    there are no pairs; seen (on one row of them) is how many were looked at."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)).cast("int").alias("cell")
-    none = F.lit(None).cast("long")
-    rows = reps.select(cell("id"), F.lit(0).alias("kind"), none.alias("q"), "id", "v")
-    if pairs is None:
-        need = asks.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), F.col("id").alias("q"), none.alias("id"), "v")
-    else:
-        pairs = pairs.select(cell("id"), F.lit(2).alias("kind"), "q", "id")
-        need = pairs.select("cell", "q").distinct().join(asks.select(F.col("id").alias("q"), "v"), "q").select("cell", F.lit(1).alias("kind"), "q", none.alias("id"), "v")
-        need = need.unionByName(pairs.withColumn("v", F.lit(None).cast(reps.schema["v"].dataType)))
-    whole = pairs is None
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, projections: Projections):
+        order = np.argsort(ids)
+        self.ids, self.rows, self.projections = ids[order], rows[order], projections
+        words = np.concatenate([projections.strings(self.rows[a : a + 2000]) for a in range(0, len(ids), 2000)]).T
+        self.order = np.argsort(words, axis=1, kind="stable").astype(np.int32)
+        self.words = np.take_along_axis(words, self.order, axis=1)
 
-    def run(batches):
-        now, state, held = None, None, {}
+    def search(self, asked: np.ndarray, k: int, miss: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query the places and squared distances of the k + 1 nearest found, and how many rows it was compared
+        with."""
+        own = self.projections.strings(asked).T
+        found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(len(self.ids), dtype=bool)) for _ in asked]
+        live = list(range(len(asked)))
+        for digits in range(DIGITS, -1, -1):
+            shift = 8 * (DIGITS - digits)
+            low = own[:, live] >> shift << shift
+            span = [(np.searchsorted(w, x), np.searchsorted(w, x + (1 << shift))) for w, x in zip(self.words, low)] if digits else None
+            still = []
+            for at, q in enumerate(live):
+                near, square, seen = found[q]
+                new = np.ones(len(seen), dtype=bool) if digits == 0 else np.zeros(len(seen), dtype=bool)
+                if digits:
+                    for order, (a, b) in zip(self.order, span):
+                        new[order[a[at] : b[at]]] = True
+                new = np.flatnonzero(new & ~seen)
+                seen[new] = True
+                part = self.rows[new] - asked[q]
+                near, square = np.concatenate([near, new]), np.concatenate([square, (part * part).sum(axis=1)])
+                best = np.lexsort((self.ids[near], square))[: k + 1]
+                found[q] = near[best], square[best], seen
+                far = len(best) <= k or missed(np.sqrt(square[best]) / self.projections.radius, digits).mean() > miss
+                still += [q] if far else []
+            live = still
+            if not live:
+                break
+        return ((near, square, int(seen.sum())) for near, square, seen in found)
 
-        def flush() -> None:
-            for q, ids in held.items():
-                state.compare(q, np.unique(np.concatenate(ids)))
-            held.clear()
 
-        def done():
-            flush()
-            if whole:
-                for q in state.asks:
-                    state.compare(q, None)
-            for q, (ids, square, seen) in state.best.items():
-                yield from zip([q] * len(ids), ids.tolist(), square.tolist(), [seen] + [0] * len(ids))
+def _searched(reps: DataFrame, asks: DataFrame, shards: int, projections: Projections, k: int, miss: float) -> DataFrame:
+    """q, id, square (of the distance), seen: for each query and shard the k + 1 nearest found; seen (on one row of them) is how
+    many rows were looked at."""
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    rows = reps.select(shard, F.lit(0).alias("kind"), "id", "v")
+    queries = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
 
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["q", "id", "square", "seen"])
+    def run(batches):
+        now, held, forests, asked = None, {}, {}, {}
+
+        def answer(dim: int):
+            ids, v = zip(*asked.pop(dim))
+            if dim in held and dim not in forests:
+                own, rows = zip(*held.pop(dim))
+                forests[dim] = PrefixForest(np.array(own, np.int64), np.array(rows, np.float64), projections)
+            if dim in forests:
+                forest = forests[dim]
+                out = [(np.full(len(n), q), forest.ids[n], s, np.where(np.arange(len(n)) == 0, seen, 0)) for q, (n, s, seen) in zip(ids, forest.search(np.array(v, np.float64), k, miss))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["q", "id", "square", "seen"])
 
-        waiting, out = 0, []
         for batch in batches:
-            cell_of, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            edge = np.flatnonzero(np.diff(cell_of * 4 + kind, prepend=-1))
-            for a, b in zip(edge, [*edge[1:], len(kind)]):
-                if cell_of[a] != now:
-                    out += done() if state else []
-                    now, state, waiting = cell_of[a], _Cell(k), 0
-                some = batch.slice(a, b - a)
-                if kind[a] == 0:
-                    for i, v in zip(some.column(3).to_pylist(), some.column(4)):
-                        v = np.asarray(v.values)
-                        state.rows.setdefault(len(v), []).append((i, v))
-                elif kind[a] == 1:
-                    for q, v in zip(some.column(2).to_pylist(), some.column(4)):
-                        state.asks[q] = np.asarray(v.values).astype(np.float64)
-                else:
-                    q, ids = np.asarray(some.column(2)), np.asarray(some.column(3))
-                    order = np.argsort(q, kind="stable")
-                    q, ids = q[order], ids[order]
-                    first = np.flatnonzero(np.diff(q, prepend=q[0] - 1))
-                    for x, part in zip(q[first].tolist(), np.split(ids, first[1:])):
-                        held.setdefault(x, []).append(part)
-                    waiting += b - a
-                    if waiting > 2_000_000:
-                        flush()
-                        waiting = 0
-            if len(out) > 20_000:
-                yield batch_of(out)
-                out = []
-        out += done() if state else []
-        if out:
-            yield batch_of(out)
-
-    dealt = rows.unionByName(need).repartition(max(parts_for(reps.sparkSession), 1), "cell").sortWithinPartitions("cell", "kind")
+            for at, kind, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if at != now:
+                    for dim in list(asked):
+                        yield from answer(dim)
+                    now, held, forests = at, {}, {}
+                v = np.asarray(v.values)
+                into = (asked if kind else held).setdefault(len(v), [])
+                into.append((i, v))
+                if kind and len(into) == QUERIES:
+                    yield from answer(len(v))
+        for dim in list(asked):
+            yield from answer(dim)
+
+    dealt = rows.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     return dealt.mapInArrow(run, "q long, id long, square double, seen long")
 
 
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, miss: float = MISS) -> DataFrame:
-    """query_id, rank, vec_id, score, examined (rows that the query was compared with, equal ones once for each step): for each row where is_query
+    """query_id, rank, vec_id, score, examined (rows that the query was compared with, equal ones
+    once): for each row where is_query
     holds its k nearest among all others."""
     every = vectors.where(_finite(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     every = every.groupBy("id", "v").agg(F.max("q").alias("q"))
@@ -238,41 +197,14 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     members = ranked.where(F.col("place") <= k + 1)
     reps = cut(members.groupBy("h", "v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
     queries = cut(every.where("q").join(reps.select("h", "v", F.col("id").alias("rep")), (F.xxhash64(every["v"]) == F.col("h")) & (every["v"] == reps["v"])).select(F.col("id").alias("query_id"), "rep"))
-    n = reps.count()
-    cells = max(1, -(-n // CELL))
-    projections = fit(reps)
-    forest = cut(_forest(reps, projections).repartitionByRange("word").sortWithinPartitions("word"))
-    active = reps.join(queries.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "v")
-    active, found = cut(active), None
-    asked = cut(forest.join(active.select("id"), "id", "left_semi").select(F.col("word").alias("own"), F.col("id").alias("q")))
-    for digits in range(DIGITS, -1, -1):
-        if digits:
-            shift = 8 * (DIGITS - digits)
-            prefix = lambda c: F.shiftright(c, shift)
-            mine = asked.join(active.select(F.col("id").alias("q")), "q", "left_semi").withColumn("at", prefix("own"))
-            near = mine.join(forest.withColumn("at", prefix("word")), "at")
-            if digits < DIGITS:  # rows that share more have been looked at
-                near = near.where(F.shiftright("own", shift - 8) != F.shiftright("word", shift - 8))
-            got = _compared(reps, active, near.select("q", "id"), cells, k)
-        else:
-            got = _compared(reps, active, None, cells, k)
-        got = got if found is None else got.unionByName(found)
-        # a pair may come from several steps; seen is added up
-        once = got.groupBy("q", "id").agg(F.min("square").alias("square"), F.sum("seen").alias("seen"))
-        best = once.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("square", "id")))
-        best = best.withColumn("seen", F.sum("seen").over(W.partitionBy("q"))).where(F.col("place") <= k + 1)
-        rows = best.select("q", "id", "square", F.when(F.col("place") == 1, F.col("seen")).otherwise(0).cast("long").alias("seen"))
-        found = cut(rows, *([found] if found is not None else []))
-        if digits:
-            chance = F.avg(missed(F.col("square"), projections.radius, digits)).alias("missed")
-            settled = found.groupBy("q").agg(F.count("*").alias("c"), chance).where((F.col("c") > k) & (F.col("missed") <= miss)).select(F.col("q").alias("id"))
-            active = cut(active.join(settled, "id", "left_anti"), active)
-            if active.isEmpty():
-                break
+    shards = max(1, -(-reps.count() // SHARD))
+    asks = reps.join(queries.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "v")
+    got = _searched(reps, asks, shards, fit(reps), k, miss)
+    ranked = got.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("square", "id"))).withColumn("all", F.sum("seen").over(W.partitionBy("q")))
+    found = cut(ranked.where(F.col("place") <= k + 1).select("q", "id", "square", "place", "all"))
     groups = queries.join(found.withColumnRenamed("q", "rep"), "rep")
-    each = groups.join(reps.select("id", "ids"), "id").select("query_id", "square", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    each = groups.join(reps.select("id", "ids"), "id").select("query_id", "square", "all", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("square", "vec_id"))
     out = each.withColumn("rank", rank).where(F.col("rank") <= k)
-    seen = groups.groupBy("query_id").agg(F.sum("seen").alias("examined"))
-    return out.join(seen, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("square").alias("score"), "examined")
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("square").alias("score"), F.col("all").alias("examined"))
 
