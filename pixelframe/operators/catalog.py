@@ -20,6 +20,14 @@ def file_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("scene_dir", "name").agg(F.count("*").alias("n_files"))
 
 
+def clip_renames(files: DataFrame, folder: str = "scene_dir", file: str = "file") -> DataFrame:
+    """folder, file, target, renamed, status for every file with _clip in its name: a target that is there already is kept, and
+    the file stays as it is. status is 1 for each folder with such files (2 would be a folder without)."""
+    there = files.select(folder, F.col(file).alias("target"), F.lit(True).alias("_there")).distinct()
+    clips = files.where(F.col(file).contains("_clip")).select(folder, file, N.strip_clip(F.col(file)).alias("target"))
+    return clips.join(there, [folder, "target"], "left").select(folder, file, "target", F.col("_there").isNull().alias("renamed"), F.lit(1).alias("status"))
+
+
 def scene_catalog(scenes: DataFrame, preprocessed: bool = False, path: str = "path") -> DataFrame:
     """name (and path) -> the catalog's six columns; no rows give the empty schema."""
     at = F.col(path) if path in scenes.columns else F.lit(None).cast("string")

@@ -81,7 +81,9 @@ def auroc(curve: DataFrame, by: tuple = ()) -> DataFrame:
     return curve.withColumn("a", (F.col("fpr") - f2) * (F.col("tpr") + t2) / 2).groupBy(*by).agg(F.sum("a").alias("auroc"))
 
 
-def smoothed_scores(df: DataFrame, score: str = "score", target: str = "target", by: tuple = (), eps: float = 1e-7, beta: float = 1.0, threshold: float | None = None) -> DataFrame:
+def smoothed_scores(df: DataFrame, score: str = "score", target: str = "target", by: tuple = (), eps: float = 1e-7, beta: float = 1.0, threshold: float | None = None, ignore: Column | None = None) -> DataFrame:
+    """Scores of sums; rows of ignored channels are left out."""
+    df = df if ignore is None else df.where(~ignore)
     p = F.col(score) if threshold is None else above(F.col(score), threshold, False).cast("double")
     y = F.col(target).cast("double")
     s = df.groupBy(*by).agg(F.sum(p * y).alias("tp"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.avg((p == y).cast("double")).alias("accuracy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import names as N
 from .runs import components
@@ -148,10 +148,59 @@ def lonlat_to_utm(lon: Column, lat: Column, zone: Column, south: bool = False) -
     return _E0 + _K0 * _AA * x, _K0 * _AA * y + (1e7 if south else 0.0)
 
 
+# EPSG:3413, fixed values: polar stereographic, true at 70 degrees north, centred on 45 degrees west
+_TRUE, _CENTRE, _E2 = math.radians(70.0), -45.0, _F * (2 - _F)
+_ECC = math.sqrt(_E2)
+_POLAR = _A * (math.cos(_TRUE) / math.sqrt(1 - _E2 * math.sin(_TRUE) ** 2)) / (math.tan(math.pi / 4 - _TRUE / 2) / ((1 - _ECC * math.sin(_TRUE)) / (1 + _ECC * math.sin(_TRUE))) ** (_ECC / 2))
+
+
+def polar_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
+    """Degrees of EPSG:3413 coordinates; the latitude is a series in the conformal one."""
+    chi = math.pi / 2 - 2 * F.atan(F.hypot(x, y) / F.lit(_POLAR))
+    e2, e4, e6, e8 = (_E2**k for k in (1, 2, 3, 4))
+    series = ((2, e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360), (4, 7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520), (6, 7 * e6 / 120 + 81 * e8 / 1120), (8, 4279 * e8 / 161280))
+    lat = sum((c * F.sin(k * chi) for k, c in series), chi)
+    return F.degrees(F.atan2(x, -y)) + _CENTRE, F.degrees(lat)
+
+
+def lonlat_to_polar(lon: Column, lat: Column) -> tuple[Column, Column]:
+    s = F.sin(F.radians(lat))
+    rho = _POLAR * F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow((1 - _ECC * s) / (1 + _ECC * s), F.lit(_ECC / 2))
+    turn = F.radians(lon - _CENTRE)
+    return rho * F.sin(turn), -rho * F.cos(turn)
+
+
+def has_projection(epsg: Column) -> Column:
+    """Whether reproject knows the code; false for null."""
+    zone = epsg % 100
+    utm = F.floor(epsg / 100).isin(326, 327) & (zone >= 1) & (zone <= 60)
+    return F.coalesce(utm | epsg.isin(3413, 4326), F.lit(False))
+
+
+def bounds_lonlat(scenes: DataFrame, geo: str, epsg: int, buffer: float = 1000.0) -> DataFrame:
+    """scenes with west, south, east, north: the lower left and the upper right corner of the widened bounds in degrees."""
+    out = scenes.withColumn("_b", bounds(F.col(geo), buffer))
+    for a, b, names in (("left", "bottom", ("west", "south")), ("right", "top", ("east", "north"))):
+        out = out.withColumn("_x", F.col(f"_b.{a}")).withColumn("_y", F.col(f"_b.{b}"))
+        out = reproject(out, epsg, "_x", "_y").withColumnsRenamed(dict(zip(("lon", "lat"), names)))
+    return out.drop("_b", "_x", "_y")
+
+
+def read_detections(spark: SparkSession, path: str, schema: str, water: DataFrame | None = None, ident: str = "poly_id") -> DataFrame:
+    """Detections of all scenes (JSON lines below path) with their scene's metadata; lines that are no detections are left
+    out, and so are files that cannot be read. water: ident and share, of which those over 0.2 go."""
+    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("ignoreCorruptFiles", "true").json(path)
+    rows = attach_scene_metadata(rows.where("_bad is null").drop("_bad"))
+    return rows if water is None else rows.join(water.where("share <= 0.2").select(ident), ident, "left_semi")
+
+
 def reproject(vertices: DataFrame, epsg: int, x: str = "x", y: str = "y") -> DataFrame:
-    """vertices with lon, lat; UTM zones on WGS84 (326zz, 327zz) and EPSG:4326 only."""
+    """vertices with lon, lat; UTM zones on WGS84 (326zz, 327zz), the northern polar grid (3413) and EPSG:4326."""
     if epsg == 4326:
         return vertices.withColumn("lon", F.col(x)).withColumn("lat", F.col(y))
+    if epsg == 3413:
+        lon, lat = polar_to_lonlat(F.col(x), F.col(y))
+        return vertices.withColumn("lon", lon).withColumn("lat", lat)
     if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
         raise ValueError(f"no projection for EPSG:{epsg}")
     lon, lat = utm_to_lonlat(F.col(x), F.col(y), F.lit(epsg % 100), epsg // 100 == 327)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators.graph import cut
+from ..operators.graph import cut, shared_dir
 from ..operators import bands as B, ensemble as E, instances as I, morphology as MO, resample as RS, runs as R, scoring as SC, tiling as T, vector as V
 from . import fixtures as X
 from .fixtures import labels_sql, views
@@ -273,6 +275,24 @@ def dihedral_tiles(s, d):
     return t.select("vec_id", "op", F.round(digest, 5).alias("digest"))
 
 
+@query(views("tile", more="a as (select vec_id, list_reverse(img) slope from tile where vec_id%5<>0)") + "select scene_id, (vec_id//8)::int \"row\", (vec_id%8)::int col, round(img[1]::double,6) \"first\", round(slope[1]::double,6) \"second\" from tile join a using(vec_id)")
+def tile_sources(s, d):
+    """Tiles and a second source of the same scene, row and column."""
+    t = X.tile(s, d).withColumn("row", F.expr("cast(vec_id div 8 as int)")).withColumn("col", (F.col("vec_id") % 8).cast("int"))
+    aux = t.where("vec_id % 5 != 0").select("scene_id", "row", "col", F.reverse("img").alias("slope"))
+    both = T.join_sources(t, {"slope": aux})
+    return both.select("scene_id", "row", "col", *[F.round(F.get(c, F.lit(0)).cast("double"), 6).alias(n) for c, n in (("img", "first"), ("slope", "second"))])
+
+
+@query(views("tile", more="n as (select scene_id, count(*) n, round(sum(list_sum(list_transform(img, lambda v: v::double))),4) total from tile group by 1)") + "select scene_id, n, ceil(n/4)::bigint n_batches, least(n,4) largest, total from n")
+def tile_set_batches(s, d):
+    """Tiles of two parts as one set in shuffled batches of four: what is in each scene's batches."""
+    t = X.tile(s, d)
+    b = T.tile_dataset([t.where("vec_id % 2 = 0"), t.where("vec_id % 2 = 1")], 4, ["vec_id"], lambda x: x.withColumn("total", F.aggregate("img", F.lit(0.0), lambda a, v: a + v)), shuffle=True)
+    per = b.groupBy("scene_id", "batch_id").agg(F.count("*").alias("size"), F.sum("total").alias("total"))
+    return per.groupBy("scene_id").agg(F.sum("size").alias("n"), F.count("*").alias("n_batches"), F.max("size").alias("largest"), F.round(F.sum("total"), 4).alias("total"))
+
+
 @query()
 def augmented_tiles(s, d):
     return T.augment(X.tile(s, d), ["HorizontalFlip", "VerticalFlip", "Blur", "RandomRotate90", "RandomBrightnessContrast", "MultiplicativeNoise"], 8, ["vec_id"])
@@ -317,6 +337,13 @@ def rasterized_polygons(s, d):
     return _burnt(s, d).select("scene_id", "poly_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
 
 
+@query(views("tpx", "tri", more="b as (select tpx.*, w from tpx join tri using(poly_id))") + "select scene_id, y, x, max_by(w, poly_id) \"value\" from b group by 1,2,3")
+def burnt_polygons(s, d):
+    """The last polygon wins."""
+    b = V.burn(_burnt(s, d), K, "w", "poly_id")
+    return b.select("scene_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "value")
+
+
 @query(views("tpx", "px") + "select poly_id, count(*) n, round(avg(v),6) mean from tpx join px using(scene_id, y, x) group by 1")
 def zonal_means(s, d):
     return V.zonal_mean(_burnt(s, d), X.px(s, d), K, "poly_id", "v").select("poly_id", "n", *r6("mean"))
@@ -357,6 +384,52 @@ def scene_bounds(s, d):
     return t.select("poly_id", V.bounds(F.col("geo"), 5.0).alias("b")).select("poly_id", "b.*")
 
 
+_POLAR = "p as (select poly_id, x0*9000.0-200000 x, y0*8000.0-900000 y, w, h from tri), e as (select *, 6378137.0 a, 1/298.257223563::double*(2-1/298.257223563::double) e2, radians(70) c from p), k as (select *, sqrt(e2) ec, a*(cos(c)/sqrt(1-e2*sin(c)**2))/(tan(pi()/4-c/2)/((1-sqrt(e2)*sin(c))/(1+sqrt(e2)*sin(c)))**(sqrt(e2)/2)) r from e)"
+
+
+def _polar_sql(x: str, y: str, lon: str, lat: str, source: str = "k") -> str:
+    chi = f"(pi()/2-2*atan(sqrt(({x})**2+({y})**2)/r))"
+    series = f"{chi}+(e2/2+5*e2**2/24+e2**3/12+13*e2**4/360)*sin(2*{chi})+(7*e2**2/48+29*e2**3/240+811*e2**4/11520)*sin(4*{chi})+(7*e2**3/120+81*e2**4/1120)*sin(6*{chi})+(4279*e2**4/161280)*sin(8*{chi})"
+    return f"round(degrees(atan2({x}, -({y})))-45,6) {lon}, round(degrees({series}),6) {lat}"
+
+
+def _polar(s, d):
+    return X.tri(s, d).select("poly_id", (F.col("x0") * 9000.0 - 200000).alias("x"), (F.col("y0") * 8000.0 - 900000).alias("y"), "w", "h")
+
+
+@query(views("tri", more=_POLAR) + f"select poly_id, {_polar_sql('x', 'y', 'lon', 'lat')}, 0.0::double dx, 0.0::double dy from k")
+def polar_coordinates(s, d):
+    """Vertices of the northern polar grid in degrees, and what is left after the way back, in metres to two decimals."""
+    g = V.reproject(_polar(s, d), 3413)
+    x, y = V.lonlat_to_polar(F.col("lon"), F.col("lat"))
+    return g.select("poly_id", *r6("lon", "lat"), F.round(F.abs(x - F.col("x")), 2).alias("dx"), F.round(F.abs(y - F.col("y")), 2).alias("dy"))
+
+
+@query(views("tri", more=_POLAR) + f"select poly_id, {_polar_sql('x-1000', 'y-h*3-1000', 'west', 'south')}, {_polar_sql('x+w*3+1000', 'y+1000', 'east', 'north')} from k")
+def scene_bounds_lonlat(s, d):
+    geo = F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit(3.0).alias("xres"), F.lit(-3.0).alias("yres"), F.col("w").alias("width"), F.col("h").alias("height"))
+    return V.bounds_lonlat(_polar(s, d).withColumn("geo", geo), "geo", 3413).select("poly_id", *r6("west", "south", "east", "north"))
+
+
+@query("select c_custkey, case when c_custkey%9=0 then null when c_custkey%4=0 then 3413 else 32570+c_custkey%150 end epsg, coalesce(c_custkey%9<>0 and (c_custkey%4=0 or (32570+c_custkey%150 between 32601 and 32660) or (32570+c_custkey%150 between 32701 and 32760)), false) known from customer")
+def known_projections(s, d):
+    c = F.col("c_custkey")
+    e = X.table(s, d, "customer").select("c_custkey", F.when(c % 9 != 0, F.when(c % 4 == 0, F.lit(3413).cast("long")).otherwise(32570 + c % 150)).cast("int").alias("epsg"))
+    return e.withColumn("known", V.has_projection(F.col("epsg")))
+
+
+@query(views("scene_names") + "select o_orderkey poly_id, name image_id, string_split(name,'_')[-1] satellite, round((o_orderkey%10)/10.0,6)::double score from scene_names where o_orderkey%7<>0 and o_orderkey%10<=2")
+def detections_of_files(s, d):
+    """JSON lines of all scenes, some of which are cut off, and the water filter."""
+    at = f"{shared_dir(s).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    n = X.scene_names(s, d).select(F.col("o_orderkey").alias("poly_id"), "name", ((F.col("o_orderkey") % 10) / F.lit(10.0)).alias("score"))
+    line = F.to_json(F.struct("poly_id", "name", "score"))
+    n.select(F.when(F.col("poly_id") % 7 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(at)
+    water = n.select("poly_id", F.col("score").alias("share"))
+    found = V.read_detections(s, at, "poly_id long, name string, score double", water)
+    return found.select("poly_id", "image_id", "satellite", *r6("score"))
+
+
 @query(views("scene_names") + "select name image_id, o_orderkey DN, case when o_orderkey%3=2 then string_split(name,'_')[2] end tile_id, string_split(name,'_')[-1] satellite, 1.5::double score from scene_names where o_orderkey%2=0 union all select name, o_orderkey, case when o_orderkey%3=2 then string_split(name,'_')[2] end, string_split(name,'_')[-1], null from scene_names where o_orderkey%2=1")
 def merged_detections(s, d):
     n = X.scene_names(s, d).withColumnRenamed("o_orderkey", "DN")

@@ -71,6 +71,16 @@ def clip_names(s, d):
     return n.select("name", N.strip_clip(F.col("name")).alias("clean"), F.when(F.col("name").endswith("_clip"), 1).otherwise(2).alias("status"))
 
 
+@query(views("scene_names", more="f as (select o_orderkey%50 scene_dir, case when o_orderkey%2=0 then name||'_clip.tif' else name||'.tif' end file from scene_names union all select o_orderkey%50, name||'.tif' from scene_names where o_orderkey%6=0)") + "select scene_dir, file, replace(file,'_clip','') target, not exists(select 1 from f g where g.scene_dir=f.scene_dir and g.file=replace(f.file,'_clip','')) renamed, 1 status from f where file like '%\\_clip%' escape '\\'")
+def clip_targets(s, d):
+    """Some files have their target beside them already."""
+    k = F.col("o_orderkey")
+    n = X.scene_names(s, d).withColumn("scene_dir", k % 50)
+    files = n.select("scene_dir", F.when(k % 2 == 0, F.concat("name", F.lit("_clip.tif"))).otherwise(F.concat("name", F.lit(".tif"))).alias("file"))
+    files = files.unionByName(n.where(k % 6 == 0).select("scene_dir", F.concat("name", F.lit(".tif")).alias("file")))
+    return C.clip_renames(files)
+
+
 def _status(s, d):
     st = X.status(s, d)
     return C.processing_status(st, st.where("processed"), st.where("finished"))
@@ -186,6 +196,22 @@ def usable_data_masks(s, d):
     return B.burn_mask(u, ["burnt"], F.col("usable"))
 
 
+@query(views("px") + "select scene_id, y, x, case when (y*64+x)%5<>0 then v else 0 end v from px")
+def masked_image(s, d):
+    """Pixels of an image joined with those of its mask."""
+    px = X.px(s, d)
+    mask = px.select("scene_id", "y", "x", ((F.col("y") * 64 + F.col("x")) % 5 != 0).alias("usable"))
+    return B.masked_pixels(px, mask, ["scene_id"], ["v"]).select("scene_id", "y", "x", "v")
+
+
+@query(views("tile", more="t as (select vec_id, list_transform(img[1:10], lambda v: case when v>0.1::float then 0 else v::double end) b from tile)") + "select vec_id, len(b)::int n, round(list_sum(b),6) total from t")
+def trimmed_bands(s, d):
+    """The first ten bands, NaN (here: over 0.1) as 0."""
+    nan = F.transform("img", lambda v: F.when(v > F.lit(0.1).cast("float"), F.lit(float("nan"))).otherwise(v.cast("double")))
+    t = X.tile(s, d).select("vec_id", B.trim(nan, 10).alias("b"))
+    return t.select("vec_id", F.size("b").alias("n"), F.round(F.aggregate("b", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
 @query(views("prob") + "select scene_id, y, x, case when nod then 255 else (p1>0.5)::int end b from prob")
 def binary_raster(s, d):
     return X.prob(s, d).select("scene_id", "y", "x", B.binarise(F.col("p1"), F.col("nod")).cast("int").alias("b"))
@@ -240,6 +266,13 @@ def smoothed_scores(s, d):
     return M.smoothed_scores(X.scored(s, d), by=("grp",)).select("grp", *r6("iou", "f_score", "accuracy", "precision", "recall"))
 
 
+@query(views("scored", more="t as (select grp, (score>0.5)::int::double p, target from scored where image not in (3, 5)), u as (select grp, sum(p*target) tp, sum(p) sp, sum(target) sy, avg((p=target)::int) accuracy from t group by 1)") + "select grp, round((tp+1e-7)/(sp+sy-tp+1e-7),6) iou, round((5*tp+1e-7)/(5*tp+4*(sy-tp)+(sp-tp)+1e-7),6) f_score, round(accuracy,6) accuracy from u")
+def smoothed_scores_of_channels(s, d):
+    """Over a threshold, without two channels."""
+    m = M.smoothed_scores(X.scored(s, d), by=("grp",), beta=2.0, threshold=0.5, ignore=F.col("image").isin(3, 5))
+    return m.select("grp", *r6("iou", "f_score", "accuracy"))
+
+
 @query(views("scored") + "select image, 'val/loss' metric, round(avg(score),6) \"value\" from scored group by 1 union all select image, 'val/positives', round(avg(target),6) from scored group by 1")
 def metric_log_rows(s, d):
     m = X.scored(s, d).groupBy("image").agg(F.avg("score").alias("loss"), F.avg("target").alias("positives"))
