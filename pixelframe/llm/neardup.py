@@ -8,7 +8,8 @@ counted without ever listing pairs. Cells with many vectors are dealt out as pai
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those without a label, link
 with nothing and are kept; vectors of different length or label are not compared; equal vectors are compared once and count
-as often as they stand; an empty table gives no rows; other columns are ignored.
+as often as they stand; a pair at the threshold is a link; repeated rows (an id with one vector) stand as often as they are
+there in the counts and once in the result; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,38 +92,29 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str)
     return vectors.where(fine & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col).alias("label"), v.alias("v"))
 
 
-def _cells(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, home, id: one row for each cell that a vector lives in or visits; and id, w, keys, v: what a comparison needs."""
-    return _keyed(reps, False), _keyed(reps, True)
+def _keyed(reps: DataFrame) -> DataFrame:
+    """id, w, cells (the own cell of each table and those that the vector visits), keys (the same as bytes), v: what a
+    comparison needs, written once."""
 
-
-def _keyed(reps: DataFrame, full: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            label = np.array(batch.column(1), dtype=np.int64)
-            lists = batch.column(2)
-            size = np.diff(np.array(lists.offsets))
-            for dim in np.unique(size):
-                rows = np.flatnonzero(size == dim)
-                flat = np.array(lists.values)
-                v = np.stack([flat[lists.offsets[r].as_py() : lists.offsets[r].as_py() + dim] for r in rows])
-                big = np.abs(v).max(axis=1, keepdims=True)
-                unit = v / big
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                keys = lattice_keys(unit, mix64(label[rows].view(U64) + U64(dim)).view(np.int64))
-                own = [k.tobytes() for k in keys]
-                per = keys.shape[1] * keys.shape[2]
-                ids = batch.column(0).take(pa.array(rows))
-                if full:
-                    vb = [x.tobytes() for x in v]
-                    yield pa.RecordBatch.from_arrays([ids, batch.column(3).take(pa.array(rows)), pa.array(own, pa.binary()), pa.array(vb, pa.binary())], ["id", "w", "keys", "v"])
-                    continue
-                # a vector may come to one cell twice only by a clash of hashes, which changes nothing
-                home = np.tile(np.arange(per) % keys.shape[2] == 0, len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(home), ids.take(pa.array(np.repeat(np.arange(len(rows)), per)))], ["key", "home", "id"])
-
-    schema = "id long, w long, keys binary, v binary" if full else "key long, home boolean, id long"
-    return reps.select("id", "label", "v", "w").mapInArrow(run, schema)
+            for a in range(0, batch.num_rows, 5000):
+                some = batch.slice(a, 5000)
+                label, lists = np.array(some.column(1), dtype=np.int64), some.column(2)
+                offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+                size = np.diff(offsets)
+                for dim in np.unique(size):
+                    rows = np.flatnonzero(size == dim)
+                    v = flat[offsets[rows][:, None] + np.arange(dim)]
+                    unit = v / np.abs(v).max(axis=1, keepdims=True)
+                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                    keys = lattice_keys(unit, mix64(label[rows].view(U64) + U64(dim)).view(np.int64)).reshape(len(rows), -1)
+                    at, per = pa.array(rows), keys.shape[1]
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * per), pa.array(keys.reshape(-1).view(np.int64)))
+                    own, vb = [k.tobytes() for k in keys], [x.tobytes() for x in v]
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(3).take(at), cells, pa.array(own, pa.binary()), pa.array(vb, pa.binary())], ["id", "w", "cells", "keys", "v"])
+
+    return reps.select("id", "label", "v", "w").mapInArrow(run, "id long, w long, cells array<long>, keys binary, v binary")
 
 
 def _owner(kx: np.ndarray, ky: np.ndarray) -> np.ndarray:
@@ -158,8 +150,7 @@ def _compare(key: int, i: int, j: int, held: list, cosine: float):
         p, q = p[exact], q[exact]
         mine = _owner(keys[p], keys[q]) == U64(key & (2**64 - 1))
         p, q = p[mine], q[mine]
-        np.add.at(links, p, weight[q])
-        np.add.at(links, q, weight[p])
+        links += np.bincount(p, weights=weight[q], minlength=n).astype(np.int64) + np.bincount(q, weights=weight[p], minlength=n).astype(np.int64)
         for b, c in zip(p.tolist(), q.tolist()):
             if forest.join(b, c):
                 out.append((int(ids[b]), 0, int(ids[c])))
@@ -197,14 +188,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """id, n_links, component_id, kept."""
     every = valid_vectors(vectors, id_col, vec_col, label_col)
     reps = cut(every.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")))
-    places, payload = _cells(reps)
+    keyed = cut(_keyed(reps))
+    payload = keyed.drop("cells")
+    # a vector may come to one cell twice only by a clash of hashes, which changes nothing
+    places = keyed.select("id", F.posexplode("cells").alias("at", "key")).select("key", (F.col("at") % (1 + PROBES) == 0).alias("home"), "id")
     count = places.groupBy("key").agg(F.count("*").alias("c"), F.max("home").alias("lived")).where("c > 1 and lived")
     count = count.select("key", F.ceil(F.col("c") / PART).cast("int").alias("k"))
     # short rows find the cells where anything meets; only for these do vectors travel
     cells = places.join(count, "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), F.col("k")).cast("int"))
     cells = cells.withColumn("o", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("i", F.least("part", "o")).withColumn("j", F.greatest("part", "o"))
-    cells = cut(cells.select("key", "i", "j", "part", "home", "id")).join(payload, "id")
-    found = cut(_search(cells, cosine))
+    cells = cut(cells.select("key", "i", "j", "part", "home", "id"))
+    found = cut(_search(cells.join(payload, "id"), cosine), cells, keyed)
     groups = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
     per_rep = reps.select("label", "v", "id", "w").join(links, F.col("id") == F.col("a"), "left").drop("a").join(groups.withColumnRenamed("id", "g"), F.col("id") == F.col("g"), "left")
