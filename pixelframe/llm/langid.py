@@ -6,7 +6,7 @@ sequence of languages for a text's words, where every change costs SWITCH, gives
 
 Defined results: a null text or one without a letter is 'und' with score 0; with nothing learned all texts are
 'und'; repeated rows are labelled alike; an empty table gives no rows; lang, source and ids are never inputs of a
-prediction. Ties go to the language that is first in order.
+prediction; texts are scored whole, however long. Ties go to the language that is first in order.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def _features(buf: np.ndarray, offsets: np.ndarray):
     buf = LOWER[buf]
     starts, ends, first = words_of(buf, offsets, LETTERS)
     inside = np.zeros(len(buf) + 1, dtype=np.int32)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
+    inside[starts] += 1
+    inside[ends] -= 1
     inside = np.cumsum(inside[:-1]).astype(bool)
     clean = np.where(inside, buf, 0x20).astype(np.uint32)
     # words that touch across two rows keep apart: the trigram at a row's edge sees a space
@@ -63,19 +63,17 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     N_FEATURES. -> {"langs": [...], "logp": float32 (L, 2 * BUCKETS), "allowed": bool (L, scripts)}"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        number: dict[str, int] = {}
+        counts = np.zeros((0, N_FEATURES), dtype=np.int64)
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            of = np.array([number.setdefault(x, len(number)) for x in batch.column(0).to_pylist()], dtype=np.int64) * N_FEATURES
+            counts = np.concatenate([counts, np.zeros((len(number) - len(counts), N_FEATURES), dtype=np.int64)])
             for at, end, buf, offsets in text_pieces(batch.column(1)):
                 starts, ends, first, tri, inside, words, script = _features(buf, offsets)
-                for row in range(at, end):
-                    c = counts.setdefault(langs[row], np.zeros(N_FEATURES, dtype=np.int64))
-                    a, b = offsets[row - at], offsets[row - at + 1]
-                    u, v = first[row - at], first[row - at + 1]
-                    np.add.at(c, tri[a:b][inside[a:b]], 1)
-                    np.add.at(c, BUCKETS + words[u:v], 1)
-                    np.add.at(c, 2 * BUCKETS + script[u:v], 1)
-        for lang, c in counts.items():
+                by_byte, by_word = np.repeat(of[at:end], np.diff(offsets)), np.repeat(of[at:end], np.diff(first))
+                f = np.concatenate([by_byte[inside] + tri[inside], by_word + BUCKETS + words, by_word + 2 * BUCKETS + script])
+                counts += np.bincount(f, minlength=counts.size).reshape(counts.shape)
+        for lang, c in zip(number, counts):
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "f", "n"])
 
