@@ -1,7 +1,12 @@
 """The corpus pipeline: five operators of pixelframe.llm in a row over documents, each written and read again.
 
 A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. Columns that documents lack or have besides are left as they are.
+columns of documents. Columns that documents have besides are carried along, whatever their names.
+
+Defined results: an empty table gives no rows. Null and empty texts have no language and go at the first stage, null sources
+are a source of their own. A row is judged by its own text, so null and repeated ids are rows like others until the
+second stage, where repeated rows are reduced to one; rows of one id and different texts stay apart and are drawn
+together. Of equal or similar texts the smallest id stays, a null id last. Texts may be of any length.
 """
 
 from __future__ import annotations
