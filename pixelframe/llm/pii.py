@@ -38,9 +38,10 @@ TOKEN = r"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+|[A-Z]{16,}+(?!\S))"
 SOME = "[0-9@]|[A-Z]{16}"
 #: A random-looking token: letters and digits mixed, no less than 16 characters.
 SEED = r"^(?=(?:[^0-9]*[0-9]){2})(?=(?:[^A-Za-z]*[A-Za-z]){2})[A-Za-z0-9+/_-]{16,}={0,2}$"
-#: What may open a token, close it, and name a value in it (name=value).
-OPEN, CLOSE, NAME = r"^[(\[{\"'<]+", r"[)\]}\"'>.,;:!?]+$", r"^[A-Za-z][A-Za-z0-9_.-]*+[=:][\"']*+(?=.)"
-ROUNDS, LEAST, SUPPORT, PRIOR = 3, 0.8, 5, 1.0
+#: What may open a token (ASCII signs but +), close it (ASCII signs but =), and name a value in it (name=value).
+OPEN, CLOSE = r"^[\x00-\x2A\x2C-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x3C\x3E-\x40\x5B-\x60\x7B-\x7F]+$"
+NAME = r"^[A-Za-z][A-Za-z0-9_.-]*+[=:][\"']*+(?=.)"
+ROUNDS, LEAST, SUPPORT, PRIOR = 3, 0.8, 3, 0.5
 #: What an unseen instance of a kind may look like.
 SHAPES = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^[0-9]{1,5}([.:][0-9]{1,5}){2,7}$", "card": r"^[0-9][0-9-]{6,30}$", "phone": r"^[+(]?[0-9][0-9().-]{5,24}$", "secret": r"^[A-Za-z0-9+/_.-]{12,}={0,2}$"}
 _SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
