@@ -131,7 +131,23 @@ def test_utm_known_point(spark):
     assert (a.lon, a.lat) == pytest.approx((-81.0, 0.0))
     assert (b.lon, b.lat) == pytest.approx((-79.387139, 43.642567), abs=1e-5)
     with pytest.raises(ValueError):
-        vector.reproject(df, 3413)
+        vector.reproject(df, 3031)
+
+
+def test_polar_grid(spark):
+    """A point on the circle of true scale and the central meridian, and the way back from many points."""
+    rows = spark.createDataFrame([(0.0, -2187927.9), (1e6, 1e6), (-2.5e6, 3e5)], "x double, y double")
+    got = vector.reproject(rows, 3413)
+    x, y = vector.lonlat_to_polar(F.col("lon"), F.col("lat"))
+    got = got.withColumn("bx", x).withColumn("by", y).collect()
+    assert got[0].lon == pytest.approx(-45) and got[0].lat == pytest.approx(70, abs=1e-3)
+    assert all(r.bx == pytest.approx(r.x, abs=1e-3) and r.by == pytest.approx(r.y, abs=1e-3) for r in got)
+
+
+def test_blur_of_a_constant_and_a_point(spark):
+    flat, point = [2.0] * 9, [0.0] * 4 + [9.0] + [0.0] * 4
+    rows = spark.createDataFrame([(1, flat), (2, point)], "k int, t array<float>").withColumn("b", tiling.blur(F.col("t"), 3)).orderBy("k").collect()
+    assert rows[0].b == flat and rows[1].b == [4.0, 2.0, 4.0, 2.0, 1.0, 2.0, 4.0, 2.0, 4.0]
 
 
 def test_rasterize_matches_point_in_polygon(spark):
