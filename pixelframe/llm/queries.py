@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies one operator to its whole table."""
+"""The registered queries of the operators: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -77,8 +77,27 @@ def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tools(*as_calls(table(spark, sf_dir, "conversations"))).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn_and_score
+
+    return learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_words")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infill, restored
+
+    cut_up = infill(table(spark, sf_dir, "documents"))
+    return cut_up.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lattice_neardup, op2_pii, op3_license_scan, op4_language_id, op5_url_filter, op6_prefix_forest, op7_byte_bpe, op8_mix_sources, op9_ngram_jaccard, op10_chat_tools)}
+    return {f.__name__: f for f in (op1_lattice_neardup, op2_pii, op3_license_scan, op4_language_id, op5_url_filter, op6_prefix_forest, op7_byte_bpe, op8_mix_sources, op9_ngram_jaccard, op10_chat_tools, op11_toxicity, op12_infill, op13_whitening)}
 
 
 _OP1_SQL = """with recursive v as (select vec_id, label, embedding::double[] e, sqrt(list_inner_product(embedding::double[], embedding::double[])) n from embeddings),
@@ -97,5 +116,14 @@ c as (select id, min(root) component_id from r group by id)
 select n.doc_id, n.n n_shingles, component_id from n join c on id = n.doc_id"""
 
 
+_OP12_SQL = """with d as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(doc_id::varchar, '')) h from documents),
+u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') u, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+n as (select *, len(u) n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) b,
+case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end form from u),
+p as (select doc_id, n, form, t, array_to_string(u[1:a], '') pre, array_to_string(u[a+1:b], '') mid, array_to_string(u[b+1:], '') suf from n)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end prefix_chars, case when form <> 'plain' then length(mid) end middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lattice_neardup": _OP1_SQL, "op9_ngram_jaccard": _OP9_SQL}
+    return {"op1_lattice_neardup": _OP1_SQL, "op9_ngram_jaccard": _OP9_SQL, "op12_infill": _OP12_SQL}
