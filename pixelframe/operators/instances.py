@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .bands import above
 from .metrics import _div
-from .morphology import boundary, boundary_width
-from .runs import components, overlaps, to_runs
+from .graph import cut
+from .runs import boundary_runs, boundary_width, components, overlaps, to_runs
 
 
 def _areas(labelled: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -20,28 +20,20 @@ def pair_iou(target: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.withColumn("iou", F.col("common") / (F.col("t_area") + F.col("p_area") - F.col("common")))
 
 
-def instance_boundaries(labelled: DataFrame, keys: list[str], k: int, height: int, width: int) -> DataFrame:
+def instance_boundaries(labelled: DataFrame, keys: list[str], k: Column) -> DataFrame:
     """Each instance's boundary of width k, as runs with label: eroded within its own pixels only."""
-    px = labelled.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
-    # a pixel is inside if all 2k + 1 columns of its row belong to the instance, and so do those of 2k + 1 rows
-    along = W.partitionBy(*keys, "label", "y").orderBy("x").rangeBetween(-k, k)
-    up = W.partitionBy(*keys, "label", "x").orderBy("y").rangeBetween(-k, k)
-    px = px.withColumn("_r", (F.count("*").over(along) == 2 * k + 1).cast("int"))
-    px = px.withColumn("_c", F.sum("_r").over(up))
-    edge = px.where(F.col("_c") < 2 * k + 1)
-    w = W.partitionBy(*keys, "label", "y").orderBy("x")
-    g = edge.select(*keys, "label", "y", "x", (F.col("x") - F.row_number().over(w)).alias("_g"))
-    return g.groupBy(*keys, "label", "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
-
-
-def match(target: DataFrame, pred: DataFrame, keys: list[str], images: DataFrame, iou: float = 0.5, metric: str = "iou", dilation: int | float = 0.02, height: int = 0, width: int = 0) -> DataFrame:
+    return boundary_runs(labelled, [*keys, "label"], k)
+
+
+def match(target: DataFrame, pred: DataFrame, keys: list[str], images: DataFrame, iou: float = 0.5, metric: str = "iou", dilation: int | float = 0.02) -> DataFrame:
     """keys, tp, fp, fn for every row of images (keys); tp counts pairs. With metric 'boundary' a pair's IoU is the
-    smaller of that of the objects and that of their boundaries, whose width is dilation in pixels, or that share of the
-    diagonal of height and width."""
+    smaller of that of the objects and that of their boundaries, whose width is dilation in pixels, or that share of each
+    image's own diagonal (images then have height and width, one row each)."""
     pairs = pair_iou(target, pred, keys)
     if metric == "boundary":
-        dilation = boundary_width(dilation, height, width)
-        edges = pair_iou(instance_boundaries(target, keys, dilation, height, width), instance_boundaries(pred, keys, dilation, height, width), keys)
+        k = boundary_width(dilation, F.col("height"), F.col("width"))
+        with_size = lambda df: df if isinstance(dilation, int) else df.join(images.select(*keys, "height", "width"), keys)
+        edges = pair_iou(instance_boundaries(with_size(target), keys, k), instance_boundaries(with_size(pred), keys, k), keys)
         pairs = pairs.join(edges.select(*keys, "t", "p", F.col("iou").alias("_b")), [*keys, "t", "p"], "left").withColumn("iou", F.least("iou", F.coalesce("_b", F.lit(0.0))))
     tp = pairs.groupBy(*keys).agg(F.count_if(F.col("iou") >= iou).alias("tp"))
     nt = target.groupBy(*keys).agg(F.count_distinct("label").alias("nt"))
@@ -50,11 +42,11 @@ def match(target: DataFrame, pred: DataFrame, keys: list[str], images: DataFrame
     return m.select(*keys, "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
 
 
-def match_pixels(df: DataFrame, keys: list[str], width: int, score: str = "score", target: str = "target", t: float = 0.5, **how) -> DataFrame:
-    """Dense pixels -> match of their components."""
+def match_pixels(df: DataFrame, keys: list[str], width: int, score: str = "score", target: str = "target", t: float = 0.5, images: DataFrame | None = None, **how) -> DataFrame:
+    """Dense pixels -> match of their components; images as for match."""
     tg = components(to_runs(df, F.col(target) == 1, keys), keys, width)
     pr = components(to_runs(df, above(F.col(score), t, False), keys), keys, width)
-    return match(tg, pr, keys, df, width=width, **how)
+    return match(tg, pr, keys, df if images is None else images, **how)
 
 
 def instance_scores(matches: DataFrame, by: tuple = (), beta: float = 1.0) -> DataFrame:
@@ -88,11 +80,16 @@ def instance_average_precision(curve: DataFrame) -> DataFrame:
 
 
 def boundary_iou(df: DataFrame, keys: list[str], k: int | float, height: Column, width: Column, pred: str = "pred", target: str = "target", by: tuple = ()) -> DataFrame:
-    """Intersection over union of the boundaries of dense 0/1 columns; k is their width in pixels, or as a share of the
-    diagonal (of the largest scene)."""
-    if isinstance(k, float):
-        size = df.agg(F.max(height), F.max(width)).first()
-        k = boundary_width(k, size[0] or 0, size[1] or 0)
-    b = boundary(boundary(df, pred, keys, k, height, width, "_p"), target, keys, k, height, width, "_t")
-    s = b.groupBy(*by).agg(F.sum(F.col("_p") * F.col("_t")).alias("common"), F.sum(F.greatest("_p", "_t")).alias("either"))
+    """Intersection over union of the boundaries of dense 0/1 columns; k is their width in pixels, or as a share of each
+    scene's own diagonal. What is outside the scene is 0. by: a part of keys."""
+    size = [] if isinstance(k, int) else ["_h", "_w"]
+    px = df.withColumns({"_h": height, "_w": width}) if size else df
+    edges = {}
+    for c in (pred, target):
+        runs = to_runs(px, F.col(c) == 1, [*keys, *size])
+        edges[c] = cut(boundary_runs(runs, [*keys, *size], boundary_width(k, F.col("_h"), F.col("_w"))).select(*keys, "y", "x0", "x1"))
+    o = edges[target].select(*keys, "y", F.col("x0").alias("_q0"), F.col("x1").alias("_q1"))
+    met = edges[pred].join(o, [*keys, "y"]).where("x0 <= _q1 and _q0 <= x1").select(*by, F.lit(0).alias("_n"), (F.least("x1", "_q1") - F.greatest("x0", "_q0") + 1).alias("_c"))
+    each = edges[pred].unionByName(edges[target]).select(*by, (F.col("x1") - F.col("x0") + 1).alias("_n"), F.lit(0).alias("_c"))
+    s = df.select(*by, F.lit(0).alias("_n"), F.lit(0).alias("_c")).distinct().unionByName(each).unionByName(met).groupBy(*by).agg(F.sum("_c").alias("common"), (F.sum("_n") - F.sum("_c")).alias("either"))
     return s.withColumn("boundary_iou", _div(F.col("common").cast("double"), F.col("either").cast("double")))

@@ -1,5 +1,5 @@
-"""Windows over rows and columns of pixels: erosion, focal mean, slope, signed distance. Every window works within one
-row or one column of a scene."""
+"""Windows over rows and columns of pixels: erosion and slope. Every window works within one row or one column of a
+scene. What looks further is in chunks.py."""
 
 from __future__ import annotations
 
@@ -15,33 +15,6 @@ def erode_square(pixels: DataFrame, col: str, keys: list[str], k: int, height: C
     return df.withColumn(out, F.when(inside, F.col("_s")).otherwise(0)).drop("_r", "_s")
 
 
-def boundary_width(d: int | float, height: int, width: int) -> int:
-    return d if isinstance(d, int) else max(1, round(d * (height * height + width * width) ** 0.5))
-
-
-def boundary(pixels: DataFrame, col: str, keys: list[str], k: int, height: Column, width: Column, out: str = "boundary") -> DataFrame:
-    df = erode_square(pixels, col, keys, k, height, width, "_e")
-    return df.withColumn(out, F.col(col) - F.col("_e")).drop("_e")
-
-
-def focal_mean(pixels: DataFrame, col: str, keys: list[str], r: int, out: str = "focal_mean") -> DataFrame:
-    """Mean over the disk of radius r, of the pixels that are there: sums of row intervals, one for each dy."""
-    rows, total, count = W.partitionBy(*keys, "y").orderBy("x"), [], []
-    column = W.partitionBy(*keys, "x").orderBy("y")
-    df = pixels
-    for d in range(r + 1):
-        half = int((r * r - d * d) ** 0.5)
-        w = rows.rangeBetween(-half, half)
-        df = df.withColumn(f"_s{d}", F.sum(col).over(w)).withColumn(f"_n{d}", F.count(col).over(w))
-        for at in {d, -d}:  # the interval of the row that is at rows away, where the column has a pixel there
-            w = column.rangeBetween(at, at)
-            total.append(F.coalesce(F.sum(f"_s{d}").over(w), F.lit(0)))
-            count.append(F.coalesce(F.sum(f"_n{d}").over(w), F.lit(0)))
-    df = df.withColumns({f"_t{i}": x for i, x in enumerate(total)} | {f"_c{i}": x for i, x in enumerate(count)})
-    add = lambda c: sum((F.col(f"{c}{i}") for i in range(1, len(total))), F.col(f"{c}0"))
-    return df.select(*pixels.columns, F.try_divide(add("_t"), add("_c")).alias(out))
-
-
 def slope(pixels: DataFrame, col: str, keys: list[str], res: float = 1.0, out: str = "slope") -> DataFrame:
     """Degrees, from central differences (one-sided at the edge)."""
 
@@ -52,28 +25,3 @@ def slope(pixels: DataFrame, col: str, keys: list[str], res: float = 1.0, out: s
 
     x, y = W.partitionBy(*keys, "y").orderBy("x"), W.partitionBy(*keys, "x").orderBy("y")
     return pixels.withColumn("_gx", diff(x)).withColumn("_gy", diff(y)).withColumn(out, F.degrees(F.atan(F.hypot("_gx", "_gy")))).drop("_gx", "_gy")
-
-
-def signed_distance(pixels: DataFrame, col: str, keys: list[str], t: int = 16, out: str = "distance") -> DataFrame:
-    """Distance to the nearest pixel of the other class within t rows and columns, at most t, over t; negative outside
-    (class 0). Each row finds its nearest column of either class once; rows within t are then compared."""
-    w = W.partitionBy(*keys, "y").orderBy("x")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-
-    def near(cls: int) -> Column:
-        hit = F.when(F.col(col) == cls, F.col("x"))
-        a, b = F.last(hit, ignorenulls=True).over(back), F.first(hit, ignorenulls=True).over(ahead)
-        return F.least(F.col("x") - a, b - F.col("x"))
-
-    rows = pixels.withColumn("_n0", near(0)).withColumn("_n1", near(1))
-    near_by = F.collect_list(F.struct("y", *[F.when(F.col(c) <= t, F.col(c)).alias(c) for c in ("_n0", "_n1")])).over(W.partitionBy(*keys, "x").orderBy("y").rangeBetween(-t, t))
-    rows = rows.withColumn("_near", near_by)
-
-    def nearest(c: str) -> Column:
-        return F.array_min(F.transform("_near", lambda p: (p["y"] - F.col("y")) * (p["y"] - F.col("y")) + p[c] * p[c]))
-
-    best = rows.withColumn("_b_n0", nearest("_n0")).withColumn("_b_n1", nearest("_n1"))
-    far = F.lit(t * t)
-    d2 = F.when(F.col(col) == 1, F.col("_b_n0")).otherwise(F.col("_b_n1"))
-    d = F.sqrt(F.least(F.coalesce(d2, far), far).cast("double")) / t
-    return best.select(*pixels.columns, F.when(F.col(col) == 1, d).otherwise(-d).alias(out))

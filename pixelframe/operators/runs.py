@@ -138,3 +138,33 @@ def dilate_disk(runs: DataFrame, keys: list[str], r: int, height: int | None = N
     if height is not None:
         wide = wide.where((F.col("y") >= 0) & (F.col("y") < height)).select(*keys, "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.lit(width - 1)).alias("x1"))
     return merge_runs(wide, keys)
+
+
+def covered(ranges: DataFrame, keys: list[str], times: Column) -> DataFrame:
+    """keys, y, x0, x1 of the stretches of a row that as many ranges cover as times says (a column that is equal for
+    equal keys). A range adds one from x0 on and takes it away behind x1."""
+    ends = ranges.select(*keys, "y", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e"), times.alias("_n"))
+    steps = ends.groupBy(*keys, "y", "e.x").agg(F.sum("e.d").alias("_d"), F.min("_n").alias("_n")).where("_d != 0")
+    w = W.partitionBy(*keys, "y").orderBy("x")
+    steps = steps.withColumn("_c", F.sum("_d").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_e", F.lead("x").over(w))
+    return steps.where(F.col("_c") == F.col("_n")).select(*keys, "y", F.col("x").alias("x0"), (F.col("_e") - 1).alias("x1"))
+
+
+def erode_runs(runs: DataFrame, keys: list[str], k: Column) -> DataFrame:
+    """Runs (apart in their row) of the pixels whose (2k + 1) x (2k + 1) square is covered: each run shrinks by k at both
+    ends and goes to 2k + 1 rows; what all of these cover stays. keys may have a label: then each object erodes within
+    its own pixels."""
+    thin = runs.select(*keys, "y", (F.col("x0") + k).alias("x0"), (F.col("x1") - k).alias("x1"), k.alias("_k")).where("x0 <= x1")
+    spread = thin.withColumn("_d", F.explode(F.sequence(-F.col("_k"), F.col("_k")))).withColumn("y", F.col("y") + F.col("_d"))
+    return covered(spread, keys, 2 * F.col("_k") + 1)
+
+
+def boundary_runs(runs: DataFrame, keys: list[str], k: Column) -> DataFrame:
+    """Runs less their erosion by k."""
+    both = runs.select(*keys, "y", "x0", "x1").unionByName(erode_runs(runs, keys, k))
+    return covered(both, keys, F.lit(1))
+
+
+def boundary_width(d: int | float, height: Column, width: Column) -> Column:
+    """A width in pixels, or as a share of the diagonal, at least one pixel."""
+    return F.lit(d) if isinstance(d, int) else F.greatest(F.lit(1), F.bround(F.lit(d) * F.sqrt(height * height + width * width)).cast("int"))

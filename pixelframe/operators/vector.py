@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import names as N
-from .runs import components
+from .chunks import SIZE, zonal_sums
+from .runs import components, runs_to_pixels
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -76,8 +77,8 @@ def polygonize(runs: DataFrame, keys: list[str], width: int, connectivity: int =
 
 
 def rasterize(polygons: DataFrame, keys: list[str], ident: str, rings: str, attr: str, order: str) -> DataFrame:
-    """keys, y, x, value: pixels whose centre is inside (even-odd), the last polygon in order wins. Scanlines: each edge
-    meets the rows it crosses, crossings of a row are paired in order."""
+    """keys, ident, attr, order, y, x0, x1: runs of the pixels whose centre is inside (even-odd). Scanlines: each edge meets the
+    rows it crosses, crossings of a row are paired in order."""
     seg = polygons.select(*keys, ident, attr, order, F.explode(rings).alias("_r")).select("*", F.explode(F.sequence(F.lit(0), F.size("_r") - 2)).alias("_i"))
     seg = seg.select(*keys, ident, attr, order, F.get("_r", F.col("_i")).alias("a"), F.get("_r", F.col("_i") + 1).alias("b")).where("a.y != b.y")
     lo, hi = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
@@ -87,22 +88,24 @@ def rasterize(polygons: DataFrame, keys: list[str], ident: str, rings: str, attr
     row = seg.groupBy(*keys, ident, attr, order, "y").agg(F.array_sort(F.collect_list(cross)).alias("_c"))  # one polygon's crossings of one row
     pair = row.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.size("_c") / 2).cast("int") - 1)))
     runs = pair.select(*keys, ident, attr, order, "y", F.ceil(F.get("_c", F.col("_k") * 2) - 0.5).cast("int").alias("x0"), (F.ceil(F.get("_c", F.col("_k") * 2 + 1) - 0.5) - 1).cast("int").alias("x1")).where("x0 <= x1")
-    return runs.withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return runs
 
 
-def burn(pixels_of_polygons: DataFrame, keys: list[str], attr: str, order: str) -> DataFrame:
-    return pixels_of_polygons.groupBy(*keys, "y", "x").agg(F.max_by(attr, order).alias("value"))
+def burn(runs_of_polygons: DataFrame, keys: list[str], attr: str, order: str) -> DataFrame:
+    """keys, y, x, value: the last polygon in order wins."""
+    return runs_to_pixels(runs_of_polygons).groupBy(*keys, "y", "x").agg(F.max_by(attr, order).alias("value"))
 
 
-def zonal_mean(pixels_of_polygons: DataFrame, pixels: DataFrame, keys: list[str], ident: str, col: str) -> DataFrame:
-    """ident, n, mean of col over the polygon's pixels that are in the raster."""
-    return pixels_of_polygons.select(*keys, ident, "y", "x").join(pixels.select(*keys, "y", "x", col), [*keys, "y", "x"]).groupBy(ident).agg(F.count("*").alias("n"), F.avg(col).alias("mean"))
+def zonal_mean(runs_of_polygons: DataFrame, chunks: DataFrame, keys: list[str], ident: str, band: str, size: int = SIZE) -> DataFrame:
+    """ident, n, mean of the band over the polygon's pixels that are in the raster."""
+    z = zonal_sums(runs_of_polygons, chunks, keys, ident, band, size).where("there > 0")
+    return z.select(ident, F.col("there").alias("n"), (F.col("total") / F.col("there")).alias("mean"))
 
 
-def filter_water(polygons: DataFrame, pixels_of_polygons: DataFrame, water: DataFrame, keys: list[str], ident: str, col: str = "water", t: float = 0.2) -> DataFrame:
-    """Polygons whose mean water share is at most t; pixels without a water value count as water."""
-    m = pixels_of_polygons.select(*keys, ident, "y", "x").join(water.select(*keys, "y", "x", col), [*keys, "y", "x"], "left")
-    ok = m.groupBy(ident).agg(F.avg(F.coalesce(F.col(col).cast("double"), F.lit(1.0))).alias("_w")).where(F.col("_w") <= t)
+def filter_water(polygons: DataFrame, runs_of_polygons: DataFrame, water: DataFrame, keys: list[str], ident: str, band: str = "water", t: float = 0.2, size: int = SIZE) -> DataFrame:
+    """Polygons whose mean water share (_w) is at most t; pixels without a water value count as water. water: chunks."""
+    z = zonal_sums(runs_of_polygons, water, keys, ident, band, size)
+    ok = z.select(ident, ((F.col("total") + F.col("n") - F.col("there")) / F.col("n")).alias("_w")).where(F.col("_w") <= t)
     return polygons.join(ok, ident)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import chunks as C
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -19,6 +21,12 @@ def scenes(s, d):
     return table(s, d, "embeddings").groupBy(F.expr("vec_id div 64").alias("scene_id")).agg(F.count("*").cast("int").alias("height"))
 
 
+def chunks(s, d, size=32):
+    """px as chunks with the band v, straight from the rows of the scenes."""
+    e = table(s, d, "embeddings").select(F.expr("vec_id div 64").alias("scene_id"), (F.col("vec_id") % 64).cast("int").alias("y"), F.lit(0).alias("x0"), F.col("embedding").alias("v"))
+    return C.strips_to_chunks(e, ["scene_id"], "v", scenes(s, d).withColumn("width", F.lit(64)), size)
+
+
 def dense(s, d, t=0.06):
     """px with height and width of its scene and the mask m = v >= t."""
     return px(s, d).join(scenes(s, d), "scene_id").withColumn("width", F.lit(64)).withColumn("m", (F.col("v") >= t).cast("int"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators.graph import cut, shared_dir
-from ..operators import bands as B, ensemble as E, instances as I, morphology as MO, resample as RS, runs as R, scoring as SC, tiling as T, vector as V
+from ..operators import bands as B, chunks as C, ensemble as E, instances as I, morphology as MO, resample as RS, runs as R, tiling as T, vector as V
 from . import fixtures as X
 from .fixtures import labels_sql, views
 from .scenes import r6
@@ -83,7 +84,8 @@ def erosion_and_boundary(s, d):
 
 @query(views("px") + "select a.scene_id, a.y, a.x, round(avg(b.v),6) focal_mean from px a join px b on a.scene_id=b.scene_id and (a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)<=9 group by all")
 def focal_mean(s, d):
-    return MO.focal_mean(X.px(s, d), "v", K, 3).select("scene_id", "y", "x", *r6("focal_mean"))
+    out = C.focal_mean(X.chunks(s, d), K, "v", 3, size=32)
+    return C.to_pixels(out, K, ["focal_mean"]).select("scene_id", "y", "x", *r6("focal_mean"))
 
 
 @query(views("px", more="w as (select scene_id, y, x, v, lag(v) over a xa, lead(v) over a xb, lag(v) over b ya, lead(v) over b yb from px window a as (partition by scene_id, y order by x), b as (partition by scene_id, x order by y)), g as (select scene_id, y, x, (coalesce(xb,v)-coalesce(xa,v))/case when xa is null or xb is null then 1 else 2 end gx, (coalesce(yb,v)-coalesce(ya,v))/case when ya is null or yb is null then 1 else 2 end gy from w)") + "select scene_id, y, x, round(degrees(atan(sqrt(gx*gx+gy*gy))),6) slope from g")
@@ -93,8 +95,27 @@ def terrain_slope(s, d):
 
 @query(views("px", more="o as (select a.scene_id, a.y, a.x, min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) d from px a join px b on a.scene_id=b.scene_id and abs(a.y-b.y)<=4 and abs(a.x-b.x)<=4 and (a.v>=0.1)<>(b.v>=0.1) group by all)") + "select scene_id, y, x, round(case when v>=0.1 then 1 else -1 end*sqrt(least(coalesce(d,16),16))/4,6) distance from px left join o using(scene_id,y,x)")
 def signed_distance(s, d):
-    df = X.px(s, d).withColumn("m", (F.col("v") >= 0.1).cast("int"))
-    return MO.signed_distance(df, "m", K, 4).select("scene_id", "y", "x", *r6("distance"))
+    return _distance(s, d, 0.1, 4)
+
+
+def _distance(s, d, t, far):
+    """Of the pixels of v >= t."""
+    mask = X.chunks(s, d).withColumn("m", F.transform("v", lambda v: (v >= t).cast("double")))
+    out = C.signed_distance(mask, K, "m", far, size=32)
+    return C.to_pixels(out, K, ["distance"]).select("scene_id", "y", "x", *r6("distance"))
+
+
+@query(views("px", more="q as (select scene_id, y, x, v from px where v>=0.24), o as (select a.scene_id, a.y, a.x, min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) d from px a join q b on a.scene_id=b.scene_id where a.v<0.24 group by all), u as (select a.scene_id, a.y, a.x, min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) d from q a join px b on a.scene_id=b.scene_id and b.v<0.24 and abs(a.y-b.y)<=9 and abs(a.x-b.x)<=9 group by all)") + "select scene_id, y, x, round(case when v>=0.24 then 1 else -1 end*sqrt(least(coalesce(o.d,u.d,4096),4096))/64,6) distance from px left join o using(scene_id,y,x) left join u using(scene_id,y,x)")
+def far_signed_distance(s, d):
+    """Up to 64 pixels from few set pixels, over several chunks."""
+    return _distance(s, d, 0.24, 64)
+
+
+@query(views("px", "hs", more="g as (select scene_id, y, x, r.half, r.dy from px, (select dy, floor(sqrt(400-dy*dy))::int half from range(-20,21) t(dy)) r), cs as (select scene_id, y, x, sum(v) over (partition by scene_id, y order by x) c from px), m as (select g.scene_id, g.y, g.x, sum(e.c-coalesce(f.c,0)) s, sum(least(g.x+half,63)-greatest(g.x-half,0)+1) n from g join cs e on e.scene_id=g.scene_id and e.y=g.y+dy and e.x=least(g.x+half,63) left join cs f on f.scene_id=g.scene_id and f.y=g.y+dy and f.x=g.x-half-1 group by all)") + "select scene_id, y, x, round(s/n,6) wide_mean from m")
+def wide_focal_mean(s, d):
+    """A disk of 20 pixels, so that windows reach over several chunks."""
+    out = C.focal_mean(X.chunks(s, d, 16), K, "v", 20, "wide_mean", size=16)
+    return C.to_pixels(out, K, ["wide_mean"]).select("scene_id", "y", "x", *r6("wide_mean"))
 
 
 # ------------------------------------------------------------------ object metrics: objects of v >= 0.06 against those of v >= 0.08
@@ -123,21 +144,24 @@ def instance_scores(s, d):
     return I.instance_scores(m).crossJoin(conf).select("tp", "fp", "fn", *r6("precision", "recall", "accuracy", "f_beta", "n01", "n11"))
 
 
+_WIDTH = "kw as (select scene_id, greatest(1, round_even(0.02*sqrt(height*height+64*64), 0))::int k from hs)"
+
+
 def _edges_sql(lab: str, name: str) -> str:
-    return f", {name} as materialized (select a.g, a.y, a.x, a.label from {lab} a join {lab} b on a.g=b.g and a.label=b.label and abs(a.y-b.y)<=2 and abs(a.x-b.x)<=2 group by all having count(*)<25)"
+    return f", {name} as materialized (select a.g, a.y, a.x, a.label from {lab} a join kw on kw.scene_id=a.g join {lab} b on a.g=b.g and a.label=b.label and abs(a.y-b.y)<=k and abs(a.x-b.x)<=k group by a.g, a.y, a.x, a.label, k having count(*)<(2*k+1)*(2*k+1))"
 
 
-_BY_EDGE = _edges_sql("ta", "te") + _edges_sql("pa", "pe") + """,
+_BY_EDGE = ", " + _WIDTH + _edges_sql("ta", "te") + _edges_sql("pa", "pe") + """,
 er as (select g, te.label t, pe.label p, count(*) c from te join pe using(g,y,x) group by all),
 ea as (select g, label t, count(*) a from te group by 1,2), eb as (select g, label p, count(*) b from pe group by 1,2),
 ei as (select g, t, p, c/(a+b-c) j from er join ea using(g,t) join eb using(g,p)),
 mb as (select g, (select count(*) from iou left join ei using(g,t,p) where iou.g=mt.g and least(i, coalesce(j,0))>=0.5) tp, (select count(distinct p) from bb where bb.g=mt.g) np, (select count(distinct t) from aa where aa.g=mt.g) nt from mt)"""
 
 
-@query(views("px", more=_TWO + _BY_EDGE, recursive=True) + "select g scene_id, tp, np-tp fp, nt-tp fn from mb")
+@query(views("px", "hs", more=_TWO + _BY_EDGE, recursive=True) + "select g scene_id, tp, np-tp fp, nt-tp fn from mb")
 def instance_matching_by_boundary(s, d):
-    """Boundaries of the default width, 0.02 of the diagonal (two pixels of a scene of 64 x 64)."""
-    return _matches(s, d, metric="boundary", height=64)
+    """Boundaries of the default width, 0.02 of each scene's own diagonal."""
+    return _matches(s, d, metric="boundary", images=X.scenes(s, d).withColumn("width", F.lit(64)))
 
 
 _T3 = "th as (select unnest([0.06::double, 0.08, 0.1]) t), " + labels_sql("ta", "select scene_id g, y, x from px where v>=0.06") + ",\n" + labels_sql("pa", "select struct_pack(s := scene_id, t := t) g, y, x from px, th where v>=t") + """,
@@ -169,9 +193,9 @@ def boundary_iou(s, d):
     return I.boundary_iou(df, K, 1, F.col("height"), F.col("width"), "pred", "m", ("scene_id",)).select("scene_id", "common", "either", *r6("boundary_iou"))
 
 
-@query(views("px", more="nb as (select a.scene_id, a.y, a.x, a.v, count(*) filter (b.v>=-0.1) n, count(*) filter (b.v>=-0.09) k from px a join px b on a.scene_id=b.scene_id and abs(a.y-b.y)<=2 and abs(a.x-b.x)<=2 group by all), e as (select scene_id, (v>=-0.1 and n<25)::int t, (v>=-0.09 and k<25)::int p from nb)") + "select scene_id, sum(t*p)::bigint common, sum(greatest(t,p))::bigint either, round(sum(t*p)/sum(greatest(t,p)),6) boundary_iou from e group by 1")
+@query(views("px", "hs", more=_WIDTH + ", nb as (select a.scene_id, a.y, a.x, a.v, (2*k+1)*(2*k+1) s, count(*) filter (b.v>=-0.1) n, count(*) filter (b.v>=-0.09) m from px a join kw using(scene_id) join px b on a.scene_id=b.scene_id and abs(a.y-b.y)<=k and abs(a.x-b.x)<=k group by all), e as (select scene_id, (v>=-0.1 and n<s)::int t, (v>=-0.09 and m<s)::int p from nb)") + "select scene_id, sum(t*p)::bigint common, sum(greatest(t,p))::bigint either, round(sum(t*p)/sum(greatest(t,p)),6) boundary_iou from e group by 1")
 def boundary_iou_by_diagonal(s, d):
-    """The width is 0.02 of the diagonal."""
+    """The width is 0.02 of each scene's own diagonal."""
     df = X.dense(s, d, -0.1).withColumn("pred", (F.col("v") >= -0.09).cast("int"))
     return I.boundary_iou(df, K, 0.02, F.col("height"), F.col("width"), "pred", "m", ("scene_id",)).select("scene_id", "common", "either", *r6("boundary_iou"))
 
@@ -307,16 +331,44 @@ bs as (select scene_id, y, x, case when sum(w)>0 then sum(w*s)/sum(w) else 0 end
 
 @query(views("px", "hs", more=_BL) + "select scene_id, y, x, round(p,6) p from bs")
 def blended_scores(s, d):
-    df = X.dense(s, d)
-    scenes = df.select("scene_id", "height", "width").distinct()
-    return SC.blend(df.select("scene_id", "y", "x", "v"), K, scenes, B.sigmoid, 16, 4).select("scene_id", "y", "x", *r6("p"))
+    out = C.score_patches(X.chunks(s, d), K, ["v"], lambda a: 1 / (1 + np.exp(-a[0])), 16, 4, size=32)
+    return C.to_pixels(out, K, ["p"]).select("scene_id", "y", "x", *r6("p"))
+
+
+def _mean_of_nine(a: np.ndarray) -> np.ndarray:
+    """A model that looks at neighbours, 0 outside the patch."""
+    b = np.pad(a[0], 1)
+    return sum(b[i : i + a.shape[1], j : j + a.shape[2]] for i in range(3) for j in range(3)) / 9 * 40
+
+
+def _scored_by_nine(s, d):
+    """v in tenths over a factor of 0.1, NaN for every 29th pixel, zero for every 31st (nodata)."""
+    at = lambda v, i: (F.col("y0") + F.floor(i / F.col("w"))) * 64 + F.col("x0") + i % F.col("w")
+    px = F.transform("v", lambda v, i: F.when(at(v, i) % 31 == 0, 0.0).when(at(v, i) % 29 == 0, float("nan")).otherwise(v / 10))
+    return C.score_scenes(X.chunks(s, d).withColumn("v", px), K, {"v": 0.1}, _mean_of_nine, 16, 4, size=32, decimals=9)
+
+
+_NINE = """st as (select scene_id, height, a.i pi, b.i pj, least(a.i*12, height-16) y0, least(b.i*12, 48) x0 from hs, range(0,6) a(i), range(0,6) b(i) where a.i*12<height and b.i*12<64),
+vv as (select scene_id, y, x, case when (y*64+x)%31=0 or (y*64+x)%29=0 then 0 else v end v from px),
+nn as (select st.scene_id, pi, pj, y0, x0, a.y, a.x, sum(b.v)/9*40 s from st join vv a on a.scene_id=st.scene_id and a.y>=y0 and a.y<y0+16 and a.x>=x0 and a.x<x0+16 join (select -1 dy union all select 0 union all select 1) e on true join (select -1 dx union all select 0 union all select 1) f on true join vv b on b.scene_id=a.scene_id and b.y=a.y+dy and b.x=a.x+dx and b.y>=y0 and b.y<y0+16 and b.x>=x0 and b.x<x0+16 group by all),
+nw as (select scene_id, y, x, 1/(1+exp(-s)) s, least(1.0::double, (y-y0)/3.0::double, (15-y+y0)/3.0::double)*least(1.0::double, (x-x0)/3.0::double, (15-x+x0)/3.0::double) w from nn),
+np as (select scene_id, y, x, round(case when sum(w)>0 then sum(w*s)/sum(w) else 0 end,9) p from nw group by 1,2,3),
+nb as (select scene_id, y, x, v, case when v<>0 then p end p, case when v=0 then 255 else (p>0.5)::int end b from np join vv using(scene_id, y, x))"""
+
+
+@query(views("px", "hs", more=_NINE) + "select scene_id, y, x, p, b::int b from nb")
+def patch_model_scores(s, d):
+    """A model over whole patches, normalised input and nodata, as chunks all the way."""
+    out = C.to_pixels(_scored_by_nine(s, d), K, ["p", "b"])
+    return out.select("scene_id", "y", "x", F.nullif("p", F.lit(float("nan"))).alias("p"), F.col("b").cast("int").alias("b"))
 
 
 @query(views("px", "hs", more=_BL) + "select scene_id, y, x, (case when (y*64+x)%997=0 then 255 else (round(p,9)>0.5)::int end)::int b from bs")
 def scored_scenes(s, d):
-    df = X.dense(s, d).withColumn("nod", (F.col("y") * 64 + F.col("x")) % 997 == 0)
-    out = SC.score_scenes(df.select("scene_id", "y", "x", "v", "nod"), K, df.select("scene_id", "height", "width").distinct(), "nod", 16, 4, decimals=9)
-    return out.select("scene_id", "y", "x", F.col("b").cast("int").alias("b"))
+    """Every 997th pixel is nodata."""
+    v = F.transform("v", lambda v, i: F.when(((F.col("y0") + F.floor(i / F.col("w"))) * 64 + F.col("x0") + i % F.col("w")) % 997 == 0, 0.0).otherwise(v))
+    out = C.score_scenes(X.chunks(s, d).withColumn("v", v), K, {"v": 1.0}, lambda a: a[0], 16, 4, size=32, decimals=9)
+    return C.to_pixels(out, K, ["b"]).select("scene_id", "y", "x", F.col("b").cast("int").alias("b"))
 
 
 # ------------------------------------------------------------------ vectors
@@ -334,7 +386,7 @@ def _burnt(s, d):
 
 @query(views("tpx") + "select scene_id, poly_id, y, x from tpx")
 def rasterized_polygons(s, d):
-    return _burnt(s, d).select("scene_id", "poly_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    return R.runs_to_pixels(_burnt(s, d)).select("scene_id", "poly_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
 
 
 @query(views("tpx", "tri", more="b as (select tpx.*, w from tpx join tri using(poly_id))") + "select scene_id, y, x, max_by(w, poly_id) \"value\" from b group by 1,2,3")
@@ -346,13 +398,14 @@ def burnt_polygons(s, d):
 
 @query(views("tpx", "px") + "select poly_id, count(*) n, round(avg(v),6) mean from tpx join px using(scene_id, y, x) group by 1")
 def zonal_means(s, d):
-    return V.zonal_mean(_burnt(s, d), X.px(s, d), K, "poly_id", "v").select("poly_id", "n", *r6("mean"))
+    return V.zonal_mean(_burnt(s, d), X.chunks(s, d), K, "poly_id", "v", 32).select("poly_id", "n", *r6("mean"))
 
 
 @query(views("tpx", "px", more="w as (select scene_id, y, x, (v>0.12)::int water from px where (y*64+x)%31<>0), m as (select poly_id, avg(coalesce(water,1)) share from tpx left join w using(scene_id,y,x) group by 1)") + "select poly_id, w, h, round(share,6) share from tri join m using(poly_id) where share<=0.2".replace("tri join", "tri join"))
 def water_filter(s, d):
-    water = X.px(s, d).where("(y * 64 + x) % 31 != 0").withColumn("water", (F.col("v") > 0.12).cast("int"))
-    kept = V.filter_water(X.tri(s, d), _burnt(s, d), water, K, "poly_id")
+    at = lambda i: (F.col("y0") + F.floor(i / F.col("w"))) * 64 + F.col("x0") + i % F.col("w")
+    water = X.chunks(s, d).withColumn("water", F.transform("v", lambda v, i: F.when(at(i) % 31 != 0, (v > 0.12).cast("double"))))
+    kept = V.filter_water(X.tri(s, d), _burnt(s, d), water, K, "poly_id", size=32)
     return kept.select("poly_id", "w", "h", F.round("_w", 6).alias("share"))
 
 

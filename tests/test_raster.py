@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelframe.operators import bands, ensemble, instances, morphology, runs, scoring, tiling, vector
+from pixelframe.operators import bands, chunks, ensemble, instances, morphology, runs, tiling, vector
 
 SCHEMA = "scene_id long, y int, x int, v double"
 
@@ -79,10 +79,11 @@ def test_morphology_matches_numpy(spark):
     pad = [np.pad(m, 1) for m in masks]
     for q in ero.collect():
         assert q.eroded == pad[q.scene_id][q.y : q.y + 3, q.x : q.x + 3].min()
-    for q in morphology.signed_distance(df, "v", k, 3).collect():
-        m = masks[q.scene_id]
-        other = [a * a + b * b for a in range(-3, 4) for b in range(-3, 4) if 0 <= q.y + a < h and 0 <= q.x + b < w and m[q.y + a, q.x + b] != q.v]
-        assert q.distance == pytest.approx((1 if q.v else -1) * min([9, *other]) ** 0.5 / 3)
+    for width in (1, 2):
+        eroded = runs.erode_runs(runs.to_runs(df, F.col("v") == 1, k), k, F.lit(width))
+        got = {(q.scene_id, q.y, q.x) for q in runs.runs_to_pixels(eroded).collect()}
+        wide = [np.pad(m, width) for m in masks]
+        assert got == {(i, y, x) for i in range(3) for y in range(h) for x in range(w) if wide[i][y : y + 2 * width + 1, x : x + 2 * width + 1].min() == 1}
 
 
 def test_clean_ensemble_drops_edges_and_nodata(spark):
@@ -160,7 +161,7 @@ def test_rasterize_matches_point_in_polygon(spark):
         polys.append((1, i, [[{"x": float(x), "y": float(y)} for x, y in [*pts, pts[0]]]]))
     df = spark.createDataFrame(polys, f"scene_id long, id int, rings array<{vector.RING}>")
     burnt = vector.rasterize(df.withColumns({"attr": F.col("id"), "ord": F.col("id")}), ["scene_id"], "id", "rings", "attr", "ord")
-    got = {(r.id, r.y, r.x) for r in burnt.select("id", "y", "x").collect()}
+    got = {(r.id, r.y, r.x) for r in runs.runs_to_pixels(burnt).select("id", "y", "x").collect()}
 
     def inside(ring, x, y):
         ok = False
@@ -172,18 +173,6 @@ def test_rasterize_matches_point_in_polygon(spark):
     assert got == {(i, y, x) for _, i, r in polys for y in range(-1, 22) for x in range(-1, 22) if inside(r[0], x + 0.5, y + 0.5)}
 
 
-def test_constant_scores_blend_to_a_constant(spark):
-    df = pixels(spark, [np.full((20, 23), 0.3)])
-    scenes = spark.createDataFrame([(0, 20, 23)], "scene_id long, height int, width int")
-    plain = scoring.blend(df, ["scene_id"], scenes, lambda c: c, 8, 3)
-    scored = scoring.blend(df, ["scene_id"], scenes, None, 8, 3, scorer=lambda a: a)
-    for out in (plain, scored):
-        p = {(r.y, r.x): r.p for r in out.collect()}
-        assert all(v == pytest.approx(0.3) for (y, x), v in p.items() if 0 < y < 19 and 0 < x < 22) and p[0, 0] == 0 and len(p) == 460
-    with pytest.raises(Exception, match="smaller"):
-        scoring.blend(df, ["scene_id"], scenes, lambda c: c, 32, 3).collect()
-
-
 def test_dihedral_turns(spark):
     t = np.arange(9.0).reshape(3, 3)
     df = spark.createDataFrame([(1, t.ravel().tolist())], "id int, img array<double>")
