@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .bands import above
+from .chunks import SIZE, band_runs
 from .metrics import _div
 from .graph import cut
 from .runs import boundary_runs, boundary_width, components, overlaps, to_runs
+from .tree import component_curves
 
 
 def _areas(labelled: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -63,15 +65,14 @@ def instance_confusion(matches: DataFrame, normalize: bool = False) -> DataFrame
     return s.select(F.lit(0.0).alias("n00"), *[_div(F.col(c), n).alias(o) for c, o in (("fp", "n01"), ("fn", "n10"), ("tp", "n11"))])
 
 
-def instance_pr_curve(df: DataFrame, keys: list[str], width: int, thresholds: list[float], score: str = "score", target: str = "target") -> DataFrame:
-    """threshold, tp, fp, fn, precision, recall; the threshold is one more key, so that all are labelled in one go."""
-    grid = F.explode(F.array(*map(F.lit, thresholds)))
-    all_t = df.withColumn("threshold", grid)
-    k = [*keys, "threshold"]
-    pr = components(to_runs(all_t, above(F.col(score), F.col("threshold")), k), k, width)
-    tg = components(to_runs(df, F.col(target) == 1, keys), keys, width).withColumn("threshold", grid)
-    m = match(tg, pr, k, df.select(*keys).distinct().withColumn("threshold", grid))
-    return instance_scores(m, ("threshold",)).drop("accuracy", "f_beta")
+def instance_pr_curve(chunks: DataFrame, keys: list[str], width: int, thresholds: list[float], score: str = "score", target: str = "target", iou: float = 0.5, size: int = SIZE) -> DataFrame:
+    """threshold, tp, fp, fn, precision, recall. chunks: bands of scores and of 0/1 targets. The components of all
+    thresholds come out of one tree of merges."""
+    tg = cut(components(band_runs(chunks, keys, target, 1.0), keys, width))
+    found = component_curves(chunks, keys, score, thresholds, tg, iou, size=size).groupBy("threshold").agg(F.sum("hits").alias("tp"), F.sum("objects").alias("_n"))
+    n = tg.select(*keys, "label").distinct().agg(F.count("*").alias("_t"))
+    m = found.crossJoin(F.broadcast(n))  # one row
+    return instance_scores(m.select("threshold", "tp", (F.col("_n") - F.col("tp")).alias("fp"), (F.col("_t") - F.col("tp")).alias("fn")), ("threshold",)).drop("accuracy", "f_beta")
 
 
 def instance_average_precision(curve: DataFrame) -> DataFrame:

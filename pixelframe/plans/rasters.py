@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators.graph import cut, shared_dir
+from ..operators.tree import component_curves
 from ..operators import bands as B, chunks as C, ensemble as E, instances as I, morphology as MO, resample as RS, runs as R, tiling as T, vector as V
 from . import fixtures as X
 from .fixtures import labels_sql, views
@@ -172,9 +173,25 @@ cv as (select t threshold, (select count(*) from io where io.th=th.t and i>=0.5)
 c2 as (select threshold, tp, np-tp fp, nt-tp fn, case when np>0 then tp/np else 0 end pr, case when nt>0 then tp/nt else 0 end rc from cv)"""
 
 
-def _curve(s, d):
-    df = X.px(s, d).withColumn("target", (F.col("v") >= 0.06).cast("int"))
-    return I.instance_pr_curve(df, K, 64, [0.06, 0.08, 0.1], score="v")
+def _curve(s, d, least=0.06, thresholds=(0.06, 0.08, 0.1)):
+    both = X.chunks(s, d).withColumn("target", F.transform("v", lambda v: (v >= least).cast("double")))
+    return I.instance_pr_curve(both, K, 64, list(thresholds), score="v", size=32)
+
+
+_HUNDRED = [round(0.18 + 0.001 * k, 3) for k in range(100)]
+
+
+@query(views("px", more=_T3.replace("select unnest([0.06::double, 0.08, 0.1]) t", "select round(0.18+0.001*i, 3)::double t from range(0,100) r(i)").replace("v>=0.06", "v>=0.2"), recursive=True) + "select threshold, tp::bigint tp, fp::bigint fp, fn::bigint fn from c2")
+def instance_curve_of_hundred(s, d):
+    """A hundred thresholds from one tree."""
+    return _curve(s, d, 0.2, _HUNDRED).select("threshold", "tp", "fp", "fn")
+
+
+@query(views("px", more="th as (select unnest([0.05::double, 0.07, 0.09, 0.11]) t), " + labels_sql("pa", "select struct_pack(s := scene_id, t := t) g, y, x from px, th where v>=t", False) + ", bb as (select g, label, count(*) n from pa group by all)", recursive=True) + "select g.s scene_id, g.t threshold, count(*) objects from bb where n>=3 group by all")
+def objects_by_threshold(s, d):
+    """Objects of at least three pixels (4-connected) at several thresholds, from one tree."""
+    out = component_curves(X.chunks(s, d, 16), K, "v", [0.05, 0.07, 0.09, 0.11], min_size=3, connectivity=4, size=16)
+    return out.select("scene_id", "threshold", "objects").where("objects > 0")
 
 
 @query(views("px", more=_T3, recursive=True) + 'select threshold, tp::bigint tp, fp::bigint fp, fn::bigint fn, round(pr,6) "precision", round(rc,6) recall from c2')
