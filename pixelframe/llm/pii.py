@@ -9,7 +9,8 @@ occurrences whose instance is believed to be of that kind; an instance's belief
 Patterns of at least LEAST with SUPPORT distinct instances then discover instances that no base pattern knows, if their
 shape fits.
 
-Defined results: null texts are empty; texts are scanned whole, and words of any length count; repeated rows are scanned
+Defined results: null texts are empty; texts are scanned whole, and words of any length count (a text of n matches
+costs n log n); repeated rows are scanned
 alike (and count as often as they stand); a tie of confidences goes to the kind last in the alphabet; overlapping spans of
 different kinds all stay; an empty table gives no rows; other columns are ignored, whatever their names. Positions are code
 points, ends exclusive.
@@ -17,7 +18,7 @@ points, ends exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut, fresh
 
@@ -45,7 +46,7 @@ ROUNDS, LEAST, SUPPORT, PRIOR = 3, 0.8, 3, 0.5
 #: What an unseen instance of a kind may look like.
 SHAPES = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^[0-9]{1,5}([.:][0-9]{1,5}){2,7}$", "card": r"^[0-9][0-9-]{6,30}$", "phone": r"^[+(]?[0-9][0-9().-]{5,24}$", "secret": r"^[A-Za-z0-9+/_.-]{12,}={0,2}$"}
 _SPAN = "array<struct<kind:string,start:int,stop:int,value:string>>"
-_TOKEN = "array<struct<start:int,stop:int,value:string,one:string,two:string>>"
+_PIECE = "array<struct<kind:string,k:int,gap:int,value:string,one:string,two:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -71,46 +72,18 @@ def valid(kind: str, value: Column) -> Column:
     return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
 
 
-def _checker(kind: str):
-    return lambda span: valid(kind, span["value"])
+def pieces(found: Column, gaps: Column, kind: str, words: bool = False) -> Column:
+    """The matches in order, each with the length of what stands between it and the one before it, from which positions
+    are summed up later: no text is searched by position. words: also the one and the two words before each, looked for
+    in that gap and in the match before it. found and gaps are columns of their own, not computed for each match."""
 
+    def piece(x: Column, i: Column) -> Column:
+        word = lambda w: F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.reverse(w)), "[0-9]+", "#"), r"\s+", " "), F.lit(""))
+        back = F.reverse(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), x["gap"]))
+        more = [word(F.regexp_extract(back, p, 1)) if words else F.lit(None).cast("string") for p in (r"^\s*+(\S++)", r"^\s*+(\S++\s++\S++)")]
+        return F.struct(F.lit(kind).alias("kind"), i.alias("k"), F.length(x["gap"]).alias("gap"), x["m"].alias("value"), more[0].alias("one"), more[1].alias("two"))
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """All leftmost non-overlapping matches with positions. What stands between them gives the positions, so that no
-    text is searched by position."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    # there is one gap more than matches; its partner is null and ends the positions
-    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["m"])
-        span = F.struct(b.alias("at"), F.array_append(acc["spans"], F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("stop"), x["m"].alias("value"))).alias("spans"))
-        return F.when(x["m"].isNull(), acc).otherwise(span)
-
-    return F.when(text.rlike(pattern), F.aggregate(lengths, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
-
-
-def tokens_of(text: Column) -> Column:
-    """All identifier-like tokens with positions, and the one and the two words before each. The words are looked for in
-    what stands between a token and the one before it, from its end on, and in that token."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    pairs = F.zip_with(F.split(text, TOKEN, -1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(_TOKEN).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        back = F.reverse(F.concat(acc["before"], x["gap"]))
-        one = F.reverse(F.regexp_extract(back, r"^\s*+(\S++)", 1))
-        two = F.reverse(F.regexp_extract(back, r"^\s*+(\S++\s++\S++)", 1))
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["m"])
-        word = lambda w: F.nullif(F.regexp_replace(F.regexp_replace(F.lower(w), "[0-9]+", "#"), r"\s+", " "), F.lit(""))
-        token = F.struct(a.alias("start"), b.alias("stop"), x["m"].alias("value"), word(one).alias("one"), word(two).alias("two"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), x["m"].alias("before"), F.array_append(acc["found"], token).alias("found")))
-
-    return F.when(text.rlike(TOKEN), F.aggregate(pairs, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(_TOKEN))
+    return F.transform(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), piece)
 
 
 def _text_key(text_col: str) -> Column:
@@ -118,36 +91,47 @@ def _text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key, one array of spans for each kind, and seen: the spans and the tokens that are in none, each with the
-    token around it."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_key, found: each row's matches of the base patterns and its tokens."""
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    df = docs.select(F.col(id_col).alias("id"), t.alias("t"), _text_key(text_col).alias("text_key"))
     # most texts have nothing that any match must hold
-    df = docs.select(F.col(id_col).alias("id"), text.alias("t"), _text_key(text_col).alias("text_key")).withColumn("some", F.col("t").rlike(SOME))
-    for kind in KINDS:
-        got = matches(F.col("t"), PATTERNS[kind], kind)
-        good = F.filter(got, _checker(kind))
-        df = df.withColumn(kind, F.when(F.col("some"), good).otherwise(F.array().cast(_SPAN)))
-    df = df.withColumn("tokens", F.when(F.col("some"), tokens_of(F.col("t"))).otherwise(F.array().cast(_TOKEN)))
-    every = F.concat(*KINDS)
-
-    def around(s: Column) -> Column:
-        own = F.filter("tokens", lambda t: (t["start"] <= s["start"]) & (s["start"] < t["stop"]))[0]
-        lead = F.substring(own["value"], F.lit(1), s["start"] - own["start"])
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), lead.alias("lead"), own["one"].alias("one"), own["two"].alias("two"))
-
-    def alone(t: Column) -> Column:
-        opened = F.length(F.regexp_extract(t["value"], OPEN, 0))
-        bare = F.regexp_replace(t["value"], f"{OPEN}|{CLOSE}", "")
-        lead = F.regexp_extract(bare, NAME, 0)
-        start = t["start"] + opened + F.length(lead)
-        value = F.substring(bare, F.length(lead) + 1, F.length(bare))
-        kind = F.when(value.rlike(SEED), "secret").otherwise("")
-        return F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), lead.alias("lead"), t["one"].alias("one"), t["two"].alias("two"))
-
-    free = F.filter("tokens", lambda t: ~F.exists(every, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    seen = F.concat(F.transform(every, around), F.transform(free, alone))
-    return df.select("id", "text_key", *KINDS, F.when(F.size("tokens") > 0, seen).alias("seen"))
+    none = F.array().cast("array<string>")
+    for i, pattern in enumerate((*PATTERNS.values(), TOKEN)):
+        some = F.col("t").rlike(SOME) & F.col("t").rlike(pattern)
+        df = df.withColumns({f"m{i}": F.when(some, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(none), f"g{i}": F.when(some, F.split("t", pattern, -1)).otherwise(none)})
+    every = [pieces(F.col(f"m{i}"), F.col(f"g{i}"), k, not k) for i, k in enumerate((*KINDS, ""))]
+    return df.select("id", "text_key", F.concat(*every).alias("found"))
+
+
+def occurrences(scanned: DataFrame) -> DataFrame:
+    """id, text_key, rows (how many are alike), kind ('' if unknown), start, stop, value, lead, one, two: the valid base spans,
+    each with the token around it, and the tokens that overlap none. Windows run along the matches of one text: a text
+    of n matches costs n log n."""
+    rows = scanned.where(F.size("found") > 0).groupBy("id", "text_key").agg(F.first("found").alias("found"), F.count("*").alias("rows"))
+    each = rows.select("id", "text_key", "rows", F.explode("found").alias("p")).select("id", "text_key", "rows", "p.*")
+    text = ("id", "text_key")
+    along = W.partitionBy(*text, "kind").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    each = each.withColumn("stop", F.sum(F.col("gap") + F.length("value")).over(along).cast("int")).withColumn("start", F.col("stop") - F.length("value"))
+    good = F.coalesce(*[F.when(F.col("kind") == k, valid(k, F.col("value"))) for k in KINDS], F.lit(True))
+    each = each.where(good).withColumn("base", (F.col("kind") != "").cast("int"))
+    # a base span starts in the last token that starts no later; it overlaps a token that ends behind its start and starts
+    # before its end
+    by_start = W.partitionBy(*text).orderBy("start", "base").rowsBetween(W.unboundedPreceding, 0)
+    own = F.last(F.when(F.col("base") == 0, F.struct("start", "value", "one", "two")), ignorenulls=True).over(by_start)
+    by_stop = W.partitionBy(*text).orderBy("edge", "base").rowsBetween(W.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("base") == 1, F.col("stop"))).over(by_stop)
+    each = each.withColumn("own", own).withColumn("edge", F.when(F.col("base") == 1, F.col("start")).otherwise(F.col("stop"))).withColumn("reach", reach)
+    each = each.where((F.col("base") == 1) | (F.coalesce("reach", F.lit(0)) <= F.col("start")))
+    base = F.col("base") == 1
+    value, start = F.col("value"), F.col("start")
+    opened = F.length(F.regexp_extract(value, OPEN, 0))
+    bare = F.regexp_replace(value, f"{OPEN}|{CLOSE}", "")
+    named = F.regexp_extract(bare, NAME, 0)
+    lead = F.when(base, F.substring(F.col("own.value"), F.lit(1), start - F.col("own.start"))).otherwise(named)
+    inner = F.when(base, value).otherwise(F.substring(bare, F.length(named) + 1, F.length(bare)))
+    each = each.select(*text, "rows", F.when(base, F.col("kind")).when(inner.rlike(SEED), "secret").otherwise("").alias("kind"), F.when(base, start).otherwise(start + opened + F.length(named)).alias("start"), inner.alias("value"), lead.alias("lead"), F.when(base, F.col("own.one")).otherwise(F.col("one")).alias("one"), F.when(base, F.col("own.two")).otherwise(F.col("two")).alias("two"))
+    return each.withColumn("stop", F.col("start") + F.length("value"))
 
 
 def patterns_of(value: Column, lead: Column, one: Column, two: Column) -> Column:
@@ -162,10 +146,10 @@ def patterns_of(value: Column, lead: Column, one: Column, two: Column) -> Column
 
 
 def bootstrap(occurrences: DataFrame) -> DataFrame:
-    """occurrences: id, text_key, kind ('' if unknown), start, stop, value, lead, one, two -> discovered spans id, text_key,
-    kind, start, stop, value."""
-    occ = occurrences.select("id", "text_key", "kind", "start", "stop", "value", F.explode(patterns_of(*map(F.col, ("value", "lead", "one", "two")))).alias("pattern"))
-    edges = cut(occ.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")))
+    """occurrences: id, text_key, rows, kind ('' if unknown), start, stop, value, lead, one, two -> discovered spans id,
+    text_key, kind, start, stop, value."""
+    occ = occurrences.select("id", "text_key", "rows", "kind", "start", "stop", "value", F.explode(patterns_of(*map(F.col, ("value", "lead", "one", "two")))).alias("pattern"))
+    edges = cut(occ.groupBy("pattern", "value", "kind").agg(F.sum("rows").alias("n")))
     count = edges.count()
     # only a pattern with enough seeds of one kind can ever discover anything
     strong = cut(edges.where("kind != ''").groupBy("pattern", "kind").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT), rows=count)
@@ -189,38 +173,52 @@ def bootstrap(occurrences: DataFrame) -> DataFrame:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base array<span>, added array<span>, text_key: the base spans and those that the patterns discover."""
-    rows = cut(base_spans(docs, id_col, text_col))
-    occurrences = rows.where("seen is not null").select("id", "text_key", F.explode("seen").alias("s")).select("id", "text_key", "s.*")
-    added = bootstrap(occurrences).distinct().groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("kind", "start", "stop", "value")).alias("added"))
-    out = rows.join(added, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    rows = cut(scan(docs, id_col, text_col))
+    seen = cut(occurrences(rows))
+    spans = seen.where(F.col("kind").isin(*KINDS)).select("id", "text_key", F.lit(0).alias("more"), "kind", "start", "stop", "value")
+    spans = spans.unionByName(bootstrap(seen).distinct().withColumn("more", F.lit(1)))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, *MORE)) for x in (k, i)])
+    span = F.struct("start", F.element_at(rank, F.col("kind")).alias("rank"), "stop", "kind", "value")
+    texts = spans.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(*[F.array_sort(F.collect_list(F.when(F.col("more") == i, span))).alias(c) for i, c in enumerate(("base", "added"))])
+    out = rows.select("id", "text_key").join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string,value:string>>")
+    out = out.select("id", "text_key", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select(F.col("id").alias(id_col), *counts, "base", "added", "text_key")
 
-    def ordered(spans: Column) -> Column:
-        keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))
-        return F.array_sort(keyed)
 
-    base = ordered(F.concat(*KINDS))
-    more = ordered(F.coalesce("added", F.array().cast(_SPAN)))
-    return out.select(F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), more.alias("added"), "text_key")
+def _is(kind: str):
+    return lambda span: span["kind"] == kind
 
 
 def spans_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))))
 
 
+def stretch(blocks: Column, size: Column, a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of a text given as blocks of size code points."""
+    part = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * size, F.lit(0)) + 1, F.least(b - k * size, size) - F.greatest(a - k * size, F.lit(0)))
+    numbers = F.sequence(F.floor(a / size).cast("int"), F.floor((b - 1) / size).cast("int"))
+    return F.when(a < b, F.array_join(F.transform(numbers, part), "")).otherwise("")
+
+
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are replaced together, by the kind
-    of the first one. Rows are found by id and text."""
-    names = fresh(docs, "_id", "_key", "_s")
-    i, k, s_ = names
-    spans = found.select(F.col(id_col).alias(i), F.col("text_key").alias(k), F.array_sort(F.concat("base", "added")).alias(s_)).where(F.size(s_) > 0).dropDuplicates([i, k])
-    t = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.array_append(acc["parts"], piece).alias("parts"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["parts"].alias("parts")))
-
-    clean = F.aggregate(s_, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    of the first one. Rows are found by id and text. A text is cut into blocks of about the root of its length, so that no
+    span is looked for from the text's start."""
+    names = fresh(docs, "_id", "_key", "_s", "_b", "_z")
+    i, k, s_, b_, z = names
+    each = found.select(F.col(id_col).alias(i), F.col("text_key").alias(k), F.concat("base", "added").alias("s")).where(F.size("s") > 0).dropDuplicates([i, k])
+    each = each.select(i, k, F.explode("s").alias("s")).select(i, k, "s.*")
+    along = W.partitionBy(i, k).orderBy("start", "rank", "stop")
+    before = F.max("stop").over(along.rowsBetween(W.unboundedPreceding, -1))
+    each = each.withColumn("group", F.sum(F.when(F.coalesce(before, F.lit(0)) <= F.col("start"), 1).otherwise(0)).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    groups = each.groupBy(i, k, "group").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("kind", F.struct("start", "rank", "stop")).alias("kind"))
+    spans = groups.groupBy(i, k).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias(s_))
+    t, size, none = F.col(text_col), F.col(z), F.lit(0)
     out = docs.join(spans, docs[id_col].eqNullSafe(spans[i]) & (_text_key(text_col) == F.col(k)), "left")
+    out = out.withColumn(z, F.greatest(F.lit(1024), F.sqrt(F.length(t)).cast("int")))
+    out = out.withColumn(b_, F.when(F.col(s_).isNotNull(), F.transform(F.sequence(none, F.floor(F.length(t) / size).cast("int")), lambda n: F.substring(t, n * size + 1, size))))
+    piece = lambda s, n: F.concat(stretch(F.col(b_), size, F.when(n > 0, F.get(F.col(s_), n - 1)["stop"]).otherwise(0), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    clean = F.concat(F.array_join(F.transform(F.col(s_), piece), ""), stretch(F.col(b_), size, F.element_at(F.col(s_), -1)["stop"], F.length(t)))
     return out.withColumn(text_col, F.when(F.col(s_).isNotNull(), clean).otherwise(t)).drop(*names)
