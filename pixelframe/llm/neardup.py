@@ -8,8 +8,9 @@ counted without ever listing pairs. Cells with many vectors are dealt out as pai
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those without a label, link
 with nothing and are kept; vectors of different length or label are not compared; equal vectors are compared once and count
-as often as they stand; a pair at the threshold is a link; repeated rows (an id with one vector) stand as often as they are
-there in the counts and once in the result; an empty table gives no rows; other columns are ignored.
+as often as they stand; a pair at the threshold is a link; each row of the table has one row in the result, whether its
+id is repeated or null (an id of several vectors has each one's links in that one's row); vectors may be of any length
+above zero that doubles can tell, for they are scaled first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U64, connected_components, cut, mix64
 from .jaccard import _Forest
@@ -88,19 +89,28 @@ def lattice_keys(unit: np.ndarray, label: np.ndarray, tables: int = TABLES, prob
 
 def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     v = F.col(vec_col).cast("array<double>")
-    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
-    return vectors.where(fine & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(label_col).alias("label"), v.alias("v"))
+    return vectors.where(_usable(v) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), *_hashes(label_col), v.alias("v"))
+
+
+def _usable(v: Column) -> Column:
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def _hashes(label_col: str) -> list[Column]:
+    """label and label2: together 128 bits that stand for a label."""
+    return [F.xxhash64(label_col).alias("label"), F.xxhash64(F.lit(1), F.col(label_col)).alias("label2")]
 
 
 def _keyed(reps: DataFrame) -> DataFrame:
-    """id, w, cells (the own cell of each table and those that the vector visits), keys (the same as bytes), v: what a
-    comparison needs, written once."""
+    """id, w, cells (the own cell of each table and those that the vector visits), keys (the same as bytes), v (label2 and
+    the vector over its largest entry, as bytes): what a comparison needs, written once."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 5000):
                 some = batch.slice(a, 5000)
                 label, lists = np.array(some.column(1), dtype=np.int64), some.column(2)
+                second = np.array([x.tobytes() for x in np.array(some.column(4), dtype=np.int64)], dtype=object)
                 offsets, flat = np.asarray(lists.offsets), np.asarray(lists.values)
                 size = np.diff(offsets)
                 for dim in np.unique(size):
@@ -111,10 +121,10 @@ def _keyed(reps: DataFrame) -> DataFrame:
                     keys = lattice_keys(unit, mix64(label[rows].view(U64) + U64(dim)).view(np.int64)).reshape(len(rows), -1)
                     at, per = pa.array(rows), keys.shape[1]
                     cells = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * per), pa.array(keys.reshape(-1).view(np.int64)))
-                    own, vb = [k.tobytes() for k in keys], [x.tobytes() for x in v]
+                    own, vb = [k.tobytes() for k in keys], [b + x.tobytes() for b, x in zip(second[rows], v / np.abs(v).max(axis=1, keepdims=True))]
                     yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(3).take(at), cells, pa.array(own, pa.binary()), pa.array(vb, pa.binary())], ["id", "w", "cells", "keys", "v"])
 
-    return reps.select("id", "label", "v", "w").mapInArrow(run, "id long, w long, cells array<long>, keys binary, v binary")
+    return reps.select(F.col("rep").alias("id"), "label", "v", "w", "label2").mapInArrow(run, "id long, w long, cells array<long>, keys binary, v binary")
 
 
 def _owner(kx: np.ndarray, ky: np.ndarray) -> np.ndarray:
@@ -133,7 +143,8 @@ def _compare(key: int, i: int, j: int, held: list, cosine: float):
     weight = np.array([h[1] for h in held], np.int64)
     home = np.array([h[4] for h in held])
     part = np.array([h[5] for h in held])
-    v = np.stack([np.frombuffer(h[3]) for h in held])
+    v = np.stack([np.frombuffer(h[3][8:]) for h in held])
+    second = np.array([int.from_bytes(h[3][:8], "little", signed=True) for h in held])
     keys = np.stack([np.frombuffer(h[2], U64) for h in held]).reshape(len(held), TABLES, 1 + PROBES)
     norm = np.sqrt((v * v).sum(axis=1))
     unit = v / norm[:, None]
@@ -143,7 +154,7 @@ def _compare(key: int, i: int, j: int, held: list, cosine: float):
         near = unit[x] @ unit.T >= cosine - 1e-9
         p, q = np.nonzero(near)
         p = x[p]
-        ok = (ids[p] < ids[q]) & (home[p] | home[q])
+        ok = (ids[p] < ids[q]) & (home[p] | home[q]) & (second[p] == second[q])
         ok &= (part[p] != part[q]) if i != j else True
         p, q = p[ok], q[ok]
         exact = np.einsum("ij,ij->i", v[p], v[q]) / (norm[p] * norm[q]) >= cosine
@@ -187,7 +198,8 @@ def _search(cells: DataFrame, cosine: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """id, n_links, component_id, kept."""
     every = valid_vectors(vectors, id_col, vec_col, label_col)
-    reps = cut(every.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")))
+    # a representative's number is written with it, so it stays the same whatever is computed again
+    reps = cut(every.groupBy("label", "label2", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")).withColumn("rep", F.monotonically_increasing_id()))
     keyed = cut(_keyed(reps))
     payload = keyed.drop("cells")
     # a vector may come to one cell twice only by a clash of hashes, which changes nothing
@@ -201,11 +213,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = cut(_search(cells.join(payload, "id"), cosine), cells, keyed)
     groups = connected_components(found.where("b is not null").select("a", "b"))
     links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
-    per_rep = reps.select("label", "v", "id", "w").join(links, F.col("id") == F.col("a"), "left").drop("a").join(groups.withColumnRenamed("id", "g"), F.col("id") == F.col("g"), "left")
-    per_rep = cut(per_rep.select("label", "v", F.col("id").alias("rep"), (F.coalesce("n", F.lit(0).cast("long")) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"), "w").where("n_links > 0"))
-    alone = per_rep.where("w = 1").select(F.col("rep").alias("id"), "n_links", "component_id")
-    twins = every.join(per_rep.where("w > 1").drop("rep"), ["label", "v"]).select("id", "n_links", "component_id")
-    got = alone.unionByName(twins).withColumnRenamed("id", "_id").distinct()
-    out = vectors.select(F.col(id_col)).join(got, F.col(id_col) == F.col("_id"), "left")
+    per_rep = reps.select(*_vector_key("v"), "id", "rep", "w").join(links, F.col("rep") == F.col("a"), "left").drop("a").join(groups.withColumnRenamed("id", "g"), F.col("rep") == F.col("g"), "left")
+    per_rep = per_rep.select("k1", "k2", "id", F.coalesce("component", "rep").alias("root"), (F.coalesce("n", F.lit(0).cast("long")) + F.col("w") - 1).alias("n_links")).where("n_links > 0")
+    per_rep = cut(per_rep)
+    least = per_rep.groupBy("root").agg(F.min("id").alias("component_id"))
+    got = per_rep.join(least, "root").select("k1", "k2", "n_links", "component_id")
+    # rows find their vector by 128 bits of it and its label; no vector travels again
+    v = F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col), *_hashes(label_col), v.alias("v")).select(id_col, *[F.when(_usable(F.col("v")), k).alias(n) for k, n in zip(_vector_key("v"), ("_k1", "_k2"))])
+    out = rows.join(got, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
     component = F.coalesce("component_id", F.col(id_col).cast("long"))
     return out.select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (component == F.col(id_col)).alias("kept"))
+
+
+def _vector_key(v: str) -> list[Column]:
+    return [F.xxhash64("label", "label2", v).alias("k1"), F.xxhash64(F.lit(2), F.col(v), F.col("label2"), F.col("label")).alias("k2")]
