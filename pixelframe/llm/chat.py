@@ -36,7 +36,7 @@ def json_string(c: Column) -> Column:
     """A JSON string with the escapes that JSON asks for, lower-case hex, or null."""
     s = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    for code in range(1, 32):
+    for code in range(32):
         s = F.replace(s, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
     s = F.when(c.rlike(r'[\x00-\x1F"\\]'), s).otherwise(c)
     return F.coalesce(F.concat(F.lit('"'), s, F.lit('"')), F.lit("null"))
