@@ -9,7 +9,7 @@ twice. Shards then take disjoint runs of each source's permuted blocks, and shuf
 Defined results: a null or empty text has size 0 (it may be drawn, which takes nothing); a null source is a source of its
 own, ordered last; repeated rows are separate documents, but rows of one id are drawn together; ties go by hashes of ids, so
 that reruns agree; texts may be of any length; an empty table gives no rows; other columns are left alone, whatever
-their names. There may be at most SOURCES sources: each is one row of one task.
+their names. There may be at most SOURCES sources (more are an error): each is one row of one task.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Blocks of a source, and parts of the one block that a quota cuts through.
 BLOCKS = 1024
-#: Most sources: their targets and a node of the tree are made in one task, a row for each.
-SOURCES = 1_000_000
+#: Most sources: their targets and a node of the tree are made in one task, a row for each, and a draw is from less than
+#: 10**9 blocks (numpy's bound), of which a source gives at most MOST * BLOCKS.
+SOURCES = 480_000
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
