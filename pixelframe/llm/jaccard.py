@@ -465,11 +465,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group the document with the smallest id, a null id last. Rows are told apart by a hash of id and text, so
-    that null and repeated ids are documents of their own; repeated rows of one that stays are reduced to one (the
-    smallest by its columns). The decisions are columns of hashes; texts are joined once."""
+    """Of each group the document with the smallest id, a null id last. Null and repeated ids are documents of their
+    own, told apart by their texts; repeated rows of one that stays are reduced to one (the smallest by its
+    columns). The joins are on a hash of id and text; where two different documents share one, all their rows are told
+    apart by id and text themselves. The decisions are columns of hashes; texts are joined once."""
     key, own, row = fresh(docs, "_key", "_id", "_row")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), text))
+    # a second hash and the id tell whether a key is one document's only; the rare others get a key of all of them
+    proof = F.struct(F.col(id_col).alias("id"), F.xxhash64(text, F.lit(1)).alias("h"), F.length(text).alias("n"))
+    proofs = keyed.select(key, proof.alias("p")).groupBy(key).agg(F.min("p").alias("a"), F.max("p").alias("b"))
+    shared = cut(proofs.where(~F.col("a").eqNullSafe(F.col("b"))).select(key), rows=1)
+    if not shared.isEmpty():
+        other = F.xxhash64(F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))), 256))
+        twice = keyed.join(shared, key, "left_semi").withColumn(key, other)
+        keyed = keyed.join(shared, key, "left_anti").unionByName(twice)
     groups = cut(jaccard_groups(keyed, key, text_col).groupBy(key, "component_id").agg(F.count("*").alias("copies")))
     ids = keyed.select(key, F.col(id_col).alias(own)).distinct()
     first = F.min(F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), F.col(key).alias("key"))).alias("m")
