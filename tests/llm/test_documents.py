@@ -4,6 +4,7 @@ clashing columns."""
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -128,6 +129,20 @@ def test_base_spans_match_brute_force(spark):
         assert [got[i][f"n_{k}"] for k in PATTERNS] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
 
 
+def test_a_text_of_very_many_tokens(spark):
+    """100,000 tokens, 10,000 addresses among them: time grows with the text, not with its square."""
+    text = " ".join(f"user{i}@host.org" if i % 10 == 0 else f"item{i}" for i in range(100_000))
+    df = frame(spark, [text, "a@b.c", None])
+    began = time.time()
+    found = pii.find_pii(df)
+    got = {r.doc_id: r for r in found.collect()}
+    assert got[0].n_email == 10_000 and got[1].n_email == 1 and got[2].base == []
+    assert [text[s.start : s.stop] for s in got[0].base[:2]] == ["user0@host.org", "user10@host.org"]
+    clean = {r.doc_id: r.text for r in pii.redact(df, found).collect()}
+    assert clean[0] == " ".join("[EMAIL]" if i % 10 == 0 else f"item{i}" for i in range(100_000)) and clean[1] == "[EMAIL]" and clean[2] is None
+    assert time.time() - began < 200
+
+
 def test_addresses_with_zero_octets(spark):
     rng = random.Random(6)
     bits = ["0", "00", "000", "10", "01", "255", "256", "0256", "1", ".", ".", ".", ".", " ", "x"]

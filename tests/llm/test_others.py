@@ -48,6 +48,17 @@ def test_lattice_points_are_nearest():
     assert (here[:, None] <= ((x - p)[:, None] - neardup.ROOTS[None]).__pow__(2).sum(axis=2) + 1e-9).all()
 
 
+def test_repeated_ids_and_extreme_norms(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 1), (1, b, 1), (2, a, 1), (None, a, 1), (None, [0.0, 0.0, 1.0], 1), (3, [None, 1.0, 0.0], 1), (4, a, None), (5, a, 2)]
+    df = spark.createDataFrame([(i, v, l, "x", 0) for i, v, l in rows], "vec_id long, embedding array<double>, label int, id string, n long")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 0, 1), (2, 2, 1), (None, 2, 1), (None, 0, None), (3, 0, 3), (4, 0, 4), (5, 0, 5)], key=str)
+    far = [(k, [s, 2 * s, 0.1 * s * (k % 2)], 1) for k, s in enumerate((1e200, 1e-200, 3e200, 1.0))]
+    df = spark.createDataFrame([(i, v, l, "x", 0) for i, v, l in far], "vec_id long, embedding array<double>, label int, id string, n long")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in neardup.near_duplicates(df).collect()} == {(k, 3, 0) for k in range(4)}
+
+
 @pytest.mark.parametrize("part", [10_000, 7])
 def test_links_match_brute_force(spark, part, monkeypatch):
     monkeypatch.setattr(neardup, "PART", part)  # cells in one part, and in several
@@ -370,3 +381,17 @@ def test_pipeline_of_nothing_and_clashing_columns(spark):
         kept = docs.collect()
         assert kept and {tuple(r)[5:] for r in kept} == {rows[0][5:]}, name
     assert all("[EMAIL]" in r.text for r in kept)
+
+
+def test_all_control_characters_are_escaped(spark):
+    text = "".join(map(chr, range(32))) + '"\\é'
+    (row,) = spark.createDataFrame([(text,)], "t string").select(chat.json_string(F.col("t")).alias("j")).collect()
+    assert json.loads(row.j) == text
+
+
+def test_the_bound_of_sources_is_within_the_draws():
+    from pixelframe.llm import mixing
+
+    assert mixing.SOURCES * mixing.MOST * mixing.BLOCKS < 10**9
+    q = np.full(mixing.SOURCES, int(mixing.MOST * mixing.BLOCKS))
+    assert np.random.default_rng(1).multivariate_hypergeometric(q, int(q.sum()) // 2, method="marginals").sum() == q.sum() // 2
