@@ -4,76 +4,18 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import names as N
 from .chunks import SIZE, zonal_sums
+from .rings import RING, from_wkb, polygons  # noqa: F401
 from .runs import components, runs_to_pixels
 
-RING = "array<struct<x:double,y:double>>"
-
-
-def boundary_edges(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, label, side, at, lo: unit edges between a pixel of the component and one outside it. side h: an edge along x
-    above row at; side v: along y left of column at."""
-    px = labelled.select(*keys, "label", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    edges = px.select(*keys, "label", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), a.cast("long").alias("at"), b.cast("long").alias("lo"), F.lit(sign).alias("sign")) for s, a, b, sign in (("h", F.col("y"), F.col("x"), 1), ("h", F.col("y") + 1, F.col("x"), -1), ("v", F.col("x"), F.col("y"), 1), ("v", F.col("x") + 1, F.col("y"), -1))])).alias("e"))
-    # an edge that two pixels of the component share cancels out
-    return edges.groupBy(*keys, "label", "e.side", "e.at", "e.lo").agg(F.sum("e.sign").alias("sign")).where("sign != 0")
-
-
-def polygon_stats(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, label, area, perimeter in pixels."""
-    area = labelled.groupBy(*keys, "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
-    return area.join(boundary_edges(labelled, keys).groupBy(*keys, "label").agg(F.count("*").alias("perimeter")), [*keys, "label"])
-
-
-def _rings(edges: list[tuple]) -> list[list[tuple]]:
-    """Unit edges with the inside at their right -> closed rings; at a corner where two rings meet, each turns right, so
-    that 4-connected parts stay apart."""
-    out: dict[tuple, list[tuple]] = {}
-    for side, at, lo, sign in edges:
-        a, b = ((lo, at), (lo + 1, at)) if side == "h" else ((at, lo + 1), (at, lo))
-        a, b = (a, b) if sign > 0 else (b, a)
-        out.setdefault(a, []).append(b)
-    rings = []
-    while out:
-        start = min(out)
-        ring, here, came = [start], start, None
-        while True:
-            nexts = out[here]
-            if len(nexts) > 1 and came is not None:
-                dx, dy = here[0] - came[0], here[1] - came[1]
-                nexts.sort(key=lambda q: (q[0] - here[0], q[1] - here[1]) != (-dy, dx))
-            to = nexts.pop(0)
-            if not nexts:
-                del out[here]
-            came, here = here, to
-            if here == start:
-                break
-            ring.append(here)
-        corners = [p for i, p in enumerate(ring) if (ring[i - 1][0] - p[0], ring[i - 1][1] - p[1]) != (p[0] - ring[(i + 1) % len(ring)][0], p[1] - ring[(i + 1) % len(ring)][1])]
-        rings.append(corners + corners[:1])
-    return rings
 
 
 def polygonize(runs: DataFrame, keys: list[str], width: int, connectivity: int = 4, x0: float = 0.0, y0: float = 0.0, res: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """keys, label, DN, rings array<ring>: components as polygons in map coordinates; the first ring is the outer one. The
-    edges of one object go to one task."""
-    labelled = components(runs, keys, width, connectivity)
-    edges = boundary_edges(labelled, keys)
-
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = _rings(list(zip(pdf["side"], pdf["at"], pdf["lo"], pdf["sign"])))
-        size = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:])))
-        rings.sort(key=size, reverse=True)
-        coords = [[{"x": x0 + p[0] * res[0], "y": y0 + p[1] * res[1]} for p in r] for r in rings]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, "label"]}, "DN": [1], "rings": [coords]})
-
-    kinds = dict(edges.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "label"]) + f", DN int, rings array<{RING}>"
-    return edges.groupBy(*keys, "label").applyInPandas(assemble, schema)
+    """Components of runs as polygons in map coordinates; see rings.polygons."""
+    return polygons(components(runs, keys, width, connectivity), keys, x0, y0, res)
 
 
 def rasterize(polygons: DataFrame, keys: list[str], ident: str, rings: str, attr: str, order: str) -> DataFrame:

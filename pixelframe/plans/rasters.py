@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import cut, shared_dir
 from ..operators.tree import component_curves
-from ..operators import bands as B, chunks as C, ensemble as E, instances as I, morphology as MO, resample as RS, runs as R, tiling as T, vector as V
+from ..operators import bands as B, chunks as C, ensemble as E, instances as I, morphology as MO, resample as RS, rings as RG, runs as R, tiling as T, vector as V
 from . import fixtures as X
 from .fixtures import labels_sql, views
 from .scenes import r6
@@ -428,8 +428,35 @@ def water_filter(s, d):
 
 @query(views("px", more=labels_sql("lab", "select scene_id g, y, x from px where v>=0.1", False), recursive=True) + "select a.g scene_id, a.label, count(*) area, sum(4-(select count(*) from lab b where b.g=a.g and b.label=a.label and abs(a.y-b.y)+abs(a.x-b.x)=1))::bigint perimeter from lab a group by 1,2")
 def polygon_areas(s, d):
-    lab = R.components(R.to_runs(X.px(s, d), B.above(F.col("v"), 0.1), K), K, 64, 4)
-    return V.polygon_stats(lab, K)
+    return _outlines(s, d).select("scene_id", "label", "area", "perimeter")
+
+
+def _outlines(s, d, band=24):
+    """Bands of few rows, so that objects reach over several."""
+    lab = R.components(C.band_runs(X.chunks(s, d), K, "v", 0.1), K, 64, 4)
+    return RG.polygons(lab, K, 500000.0, 7600000.0, (3.0, -3.0), band)
+
+
+_QUADS = labels_sql("lab", "select scene_id g, y, x from px where v>=0.1", False) + """, c as (select g, label, y+dy cy, x+dx cx, count(*) n, min(dy*2+dx) a, max(dy*2+dx) b from lab, (select 0 dy union all select 1), (select 0 dx union all select 1) group by all),
+q as (select g, label, count(*) filter (n=1) q1, count(*) filter (n=3) q3, count(*) filter (n=2 and ((a=0 and b=3) or (a=1 and b=2))) qd from c group by all)"""
+
+
+@query(views("px", more=_QUADS, recursive=True) + "select g scene_id, label, q1+q3+2*qd vertices, 1-((q1-q3+2*qd)//4) holes from q")
+def polygon_corners(s, d):
+    """Corners and holes of each object; in SQL by counting the patterns of two by two pixels."""
+    return _outlines(s, d).select("scene_id", "label", "vertices", "holes")
+
+
+@query(views("px", more=labels_sql("lab", "select scene_id g, y, x from px where v>=0.1", False), recursive=True) + "select g scene_id, label, count(*)*9.0::double area, 500000.0+3*min(x)::double west, 7600000.0-3*(max(y)+1)::double south, true same from lab group by all")
+def polygons_as_wkb(s, d):
+    """Outlines written as well-known binary and read again: area in square metres, the lower left corner, and whether the
+    rings came back as they were."""
+    out = _outlines(s, d, 256).withColumn("wkb", RG.to_wkb(F.col("rings")))
+    out = out.withColumn("back", RG.from_wkb(F.col("wkb")))
+    cross = lambda r: F.aggregate(F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.get(r, i)["x"] * F.get(r, i + 1)["y"] - F.get(r, i + 1)["x"] * F.get(r, i)["y"]), F.lit(0.0), lambda a, v: a + v)
+    area = F.abs(F.aggregate(F.transform("back", cross), F.lit(0.0), lambda a, v: a + v)) / 2
+    corner = lambda c: F.array_min(F.transform(F.get("back", F.lit(0)), lambda p: p[c]))
+    return out.select("scene_id", "label", F.round(area, 3).alias("area"), corner("x").alias("west"), corner("y").alias("south"), (F.col("back") == F.col("rings")).alias("same"))
 
 
 @query()

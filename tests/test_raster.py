@@ -121,7 +121,7 @@ def test_polygons_keep_area_and_holes(spark):
         for v in brute_labels(np.pad(m, ((0, 0), (0, 11 - m.shape[1]))), False).values():
             want[v] = want.get(v, 0) + 1
         got = {p.label: abs(area(p.rings[0])) - sum(abs(area(r)) for r in p.rings[1:]) for p in polys if p.scene_id == i}
-        assert got == want
+        assert got == want and {p.label: p.area for p in polys if p.scene_id == i} == want
     assert len([p for p in polys if p.scene_id == 0][0].rings) == 2
     assert all(r[0] == r[-1] for p in polys for r in p.rings)
 
