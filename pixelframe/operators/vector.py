@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -21,15 +22,16 @@ def polygonize(runs: DataFrame, keys: list[str], width: int, connectivity: int =
 def rasterize(polygons: DataFrame, keys: list[str], ident: str, rings: str, attr: str, order: str) -> DataFrame:
     """keys, ident, attr, order, y, x0, x1: runs of the pixels whose centre is inside (even-odd). Scanlines: each edge meets the
     rows it crosses, crossings of a row are paired in order."""
-    seg = polygons.select(*keys, ident, attr, order, F.explode(rings).alias("_r")).select("*", F.explode(F.sequence(F.lit(0), F.size("_r") - 2)).alias("_i"))
-    seg = seg.select(*keys, ident, attr, order, F.get("_r", F.col("_i")).alias("a"), F.get("_r", F.col("_i") + 1).alias("b")).where("a.y != b.y")
+    own = list(dict.fromkeys([*keys, ident, attr, order]))
+    seg = polygons.select(*own, F.explode(rings).alias("_r")).select("*", F.explode(F.sequence(F.lit(0), F.size("_r") - 2)).alias("_i"))
+    seg = seg.select(*own, F.get("_r", F.col("_i")).alias("a"), F.get("_r", F.col("_i") + 1).alias("b")).where("a.y != b.y")
     lo, hi = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
     first, last = F.ceil(lo - 0.5).cast("int"), (F.ceil(hi - 0.5) - 1).cast("int")
     seg = seg.withColumn("_f", first).withColumn("_l", last).where("_f <= _l").withColumn("y", F.explode(F.sequence("_f", "_l")))
     cross = F.col("a.x") + (F.col("y") + 0.5 - F.col("a.y")) * (F.col("b.x") - F.col("a.x")) / (F.col("b.y") - F.col("a.y"))
-    row = seg.groupBy(*keys, ident, attr, order, "y").agg(F.array_sort(F.collect_list(cross)).alias("_c"))  # one polygon's crossings of one row
+    row = seg.groupBy(*own, "y").agg(F.array_sort(F.collect_list(cross)).alias("_c"))  # one polygon's crossings of one row
     pair = row.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.size("_c") / 2).cast("int") - 1)))
-    runs = pair.select(*keys, ident, attr, order, "y", F.ceil(F.get("_c", F.col("_k") * 2) - 0.5).cast("int").alias("x0"), (F.ceil(F.get("_c", F.col("_k") * 2 + 1) - 0.5) - 1).cast("int").alias("x1")).where("x0 <= x1")
+    runs = pair.select(*own, "y", F.ceil(F.get("_c", F.col("_k") * 2) - 0.5).cast("int").alias("x0"), (F.ceil(F.get("_c", F.col("_k") * 2 + 1) - 0.5) - 1).cast("int").alias("x1")).where("x0 <= x1")
     return runs
 
 
@@ -139,19 +141,48 @@ def read_detections(spark: SparkSession, path: str, schema: str, water: DataFram
     return rows if water is None else rows.join(water.where("share <= 0.2").select(ident), ident, "left_semi")
 
 
-def reproject(vertices: DataFrame, epsg: int, x: str = "x", y: str = "y") -> DataFrame:
-    """vertices with lon, lat; UTM zones on WGS84 (326zz, 327zz), the northern polar grid (3413) and EPSG:4326."""
+def read_outlines(spark: SparkSession, path: str, schema: str, epsg: int, water: DataFrame | None = None, grid: tuple[float, float, float, float] | None = None, keys: tuple[str, ...] = (), ident: str = "poly_id", geometry: str = "geometry", t: float = 0.2, size: int = SIZE) -> DataFrame:
+    """Detections with outlines in one call: geometry (WKB as base64) becomes rings in the coordinates of epsg and
+    rings_lonlat in degrees; lines without a polygon are left out. water: chunks with keys and a band water on the grid
+    (x0, y0, xres, yres): outlines with a mean water share over t go, the others have it as share; a pixel without a
+    value is water, and so is an outline that holds no pixel's centre."""
+    rows = read_detections(spark, path, schema).withColumn("rings", from_wkb(F.unbase64(geometry))).where("rings is not null").drop(geometry)
+    rows = rows.withColumn("rings_lonlat", rings_map(F.col("rings"), lambda x, y: to_lonlat(x, y, epsg)))
+    if water is None:
+        return rows
+    x0, y0, xres, yres = grid
+    on_grid = rows.withColumn("_r", rings_map(F.col("rings"), lambda x, y: ((x - x0) / xres, (y - y0) / yres)))
+    burnt = rasterize(on_grid, list(keys), ident, "_r", ident, ident)
+    return filter_water(rows, burnt, water, list(keys), ident, "water", t, size).withColumnRenamed("_w", "share")
+
+
+def to_lonlat(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    """Degrees; UTM zones on WGS84 (326zz, 327zz), the northern polar grid (3413) and EPSG:4326."""
     if epsg == 4326:
-        return vertices.withColumn("lon", F.col(x)).withColumn("lat", F.col(y))
+        return x, y
     if epsg == 3413:
-        lon, lat = polar_to_lonlat(F.col(x), F.col(y))
-        return vertices.withColumn("lon", lon).withColumn("lat", lat)
+        return polar_to_lonlat(x, y)
     if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
         raise ValueError(f"no projection for EPSG:{epsg}")
-    lon, lat = utm_to_lonlat(F.col(x), F.col(y), F.lit(epsg % 100), epsg // 100 == 327)
+    return utm_to_lonlat(x, y, F.lit(epsg % 100), epsg // 100 == 327)
+
+
+def reproject(vertices: DataFrame, epsg: int, x: str = "x", y: str = "y") -> DataFrame:
+    """vertices with lon, lat."""
+    lon, lat = to_lonlat(F.col(x), F.col(y), epsg)
     return vertices.withColumn("lon", lon).withColumn("lat", lat)
 
 
+def rings_map(rings: Column, point: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Rings with each vertex (x, y) moved to point(x, y)."""
+
+    def move(p: Column) -> Column:
+        x, y = point(p["x"], p["y"])
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    return F.transform(rings, lambda r: F.transform(r, move))
+
+
 def attach_scene_metadata(polygons: DataFrame, name: str = "name") -> DataFrame:
     p = N.parse_scene_id(F.col(name))
     return polygons.withColumn("_p", p).select("*", F.col(name).alias("image_id"), "_p.take_id", "_p.tile_id", "_p.date", "_p.year", "_p.satellite").drop("_p")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import cut, shared_dir
 from ..operators.tree import component_curves
 from ..operators import bands as B, chunks as C, ensemble as E, instances as I, morphology as MO, resample as RS, rings as RG, runs as R, tiling as T, vector as V
+from ..sources import store
 from . import fixtures as X
 from .fixtures import labels_sql, views
 from .scenes import r6
@@ -388,9 +389,40 @@ def scored_scenes(s, d):
     return C.to_pixels(out, K, ["b"]).select("scene_id", "y", "x", F.col("b").cast("int").alias("b"))
 
 
+@query(views("px", "hs", more=_NINE) + "select scene_id, count(*) filter (b=255) nodata, count(*) filter (b=1) ones, round(sum(p),4) total, count(*) filter (b=1)*9.0::double area from nb group by 1")
+def scene_products(s, d):
+    """Probability, binary and outlines of scored scenes, written and read again."""
+    at = f"{shared_dir(s).rstrip('/')}/products-{uuid.uuid4().hex}"
+    store.write_scene_products(cut(_scored_by_nine(s, d)), K, at, 64, 500000.0, 7600000.0, (3.0, -3.0))
+    read = lambda name: s.read.parquet(f"{at}/{name}")
+    none = lambda *names: [F.lit(0.0).alias(n) for n in names]
+    p = read("probability").select("scene_id", F.explode("p").alias("p")).where("not isnan(p)").select("scene_id", *none("nodata", "ones"), F.col("p").alias("total"), *none("area"))
+    b = read("binarized").select("scene_id", F.explode("b").alias("b")).select("scene_id", (F.col("b") == 255).cast("double").alias("nodata"), (F.col("b") == 1).cast("double").alias("ones"), *none("total", "area"))
+    rings = read("polygons").select("scene_id", F.explode(RG.from_wkb(F.col("geometry"))).alias("r"))
+    cross = F.aggregate(F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda i: F.get("r", i)["x"] * F.get("r", i + 1)["y"] - F.get("r", i + 1)["x"] * F.get("r", i)["y"]), F.lit(0.0), lambda a, v: a + v)
+    v = rings.select("scene_id", *none("nodata", "ones", "total"), (-cross / 2).alias("area"))  # northward rows turn rings round
+    each = p.unionByName(b).unionByName(v).groupBy("scene_id").agg(*[F.sum(c).alias(c) for c in ("nodata", "ones", "total", "area")])
+    return each.select("scene_id", F.col("nodata").cast("long").alias("nodata"), F.col("ones").cast("long").alias("ones"), F.round("total", 4).alias("total"), F.round("area", 3).alias("area"))
+
+
 # ------------------------------------------------------------------ vectors
 
 
+@query(views("prob", more="th as (select t, l from (values (0.55::double,'class_055'),(0.6,'class_06'),(0.65,'class_065')) r(t,l)), " + labels_sql("lab", "select struct_pack(s := scene_id, l := l) g, y, x from prob, th where not nod and (p1+p2)/2>=t", False), recursive=True) + "select g.l threshold_label, g.s scene_id, count(distinct label) objects, count(*)::double area from lab group by all")
+def threshold_vectors(s, d):
+    """Outlines of an ensemble, one folder for each threshold, read again."""
+    from ..functions.names import threshold_label
+
+    k = ["scene_id", "threshold"]
+    m = E.by_threshold(E.ensemble_mean(_models(s, d), K, ["m1", "m2"]), [0.55, 0.6, 0.65])
+    lab = R.components(R.to_runs(m, F.lit(True), k), k, 64, 4)
+    at = f"{shared_dir(s).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    store.write_outlines(RG.polygons(lab, k, band=24).withColumn("threshold_label", threshold_label(F.col("threshold"))), at, ("threshold_label",))
+    back = s.read.parquet(at).withColumn("r", F.explode(RG.from_wkb(F.col("geometry"))))
+    cross = F.aggregate(F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda i: F.get("r", i)["x"] * F.get("r", i + 1)["y"] - F.get("r", i + 1)["x"] * F.get("r", i)["y"]), F.lit(0.0), lambda a, v: a + v)
+    return back.groupBy("threshold_label", "scene_id").agg(F.count_distinct("label").alias("objects"), F.round(F.sum(cross / 2), 3).alias("area"))
+
+
 def _polygons(s, d):
     c = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x0, y0, w, h = (F.col(k) for k in ("x0", "y0", "w", "h"))
@@ -527,6 +559,22 @@ def detections_of_files(s, d):
     return found.select("poly_id", "image_id", "satellite", *r6("score"))
 
 
+@query(views("tri", "px", "tpx", more=_POLAR + ", w as (select scene_id, y, x, (v>0.12)::int water from px where (y*64+x)%31<>0), m as (select poly_id, avg(coalesce(water,1)) share from tpx left join w using(scene_id,y,x) group by 1)") + f"select k.poly_id, (20200100+k.poly_id%28+1)::varchar||'_'||lpad(k.poly_id::varchar,6,'0')||'_104e' image_id, round(share,6) share, {_polar_sql('x', 'y', 'lon', 'lat')} from k join m on m.poly_id=k.poly_id where share<=0.2 and k.poly_id%11<>0")
+def outlines_of_files(s, d):
+    """Lines with outlines on the northern polar grid, some cut off, in degrees and without those in water."""
+    at = f"{shared_dir(s).rstrip('/')}/outlines-{uuid.uuid4().hex}"
+    own = _polygons(s, d).withColumn("geometry", F.base64(RG.to_wkb(V.rings_map(F.col("rings"), lambda x, y: (x * 9000.0 - 200000, y * 8000.0 - 900000)))))
+    i = F.col("poly_id")
+    name = F.concat_ws("_", (20200100 + i % 28 + 1).cast("string"), F.lpad(i.cast("string"), 6, "0"), F.lit("104e"))
+    line = F.to_json(F.struct("poly_id", "scene_id", name.alias("name"), "geometry"))
+    own.select(F.when(i % 11 == 0, F.substring(line, 1, 60)).otherwise(line).alias("value")).write.text(at)
+    cell = lambda i: (F.col("y0") + F.floor(i / F.col("w"))) * 64 + F.col("x0") + i % F.col("w")
+    water = X.chunks(s, d).withColumn("water", F.transform("v", lambda v, i: F.when(cell(i) % 31 != 0, (v > 0.12).cast("double"))))
+    found = V.read_outlines(s, at, "poly_id long, scene_id long, name string, geometry string", 3413, water, (-200000.0, -900000.0, 9000.0, 8000.0), ("scene_id",), size=32)
+    first = F.get(F.get("rings_lonlat", F.lit(0)), F.lit(0))
+    return found.select("poly_id", "image_id", F.round("share", 6).alias("share"), F.round(first["x"], 6).alias("lon"), F.round(first["y"], 6).alias("lat"))
+
+
 @query(views("scene_names") + "select name image_id, o_orderkey DN, case when o_orderkey%3=2 then string_split(name,'_')[2] end tile_id, string_split(name,'_')[-1] satellite, 1.5::double score from scene_names where o_orderkey%2=0 union all select name, o_orderkey, case when o_orderkey%3=2 then string_split(name,'_')[2] end, string_split(name,'_')[-1], null from scene_names where o_orderkey%2=1")
 def merged_detections(s, d):
     n = X.scene_names(s, d).withColumnRenamed("o_orderkey", "DN")

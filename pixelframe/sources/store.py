@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.bands import SOURCES
+from ..operators.chunks import band_runs
+from ..operators.rings import polygons, to_wkb
+from ..operators.runs import components
 
 METRICS_LOG = ("accuracy", "precision", "recall", "f1", "iou", "loss")
 
@@ -42,6 +45,22 @@ def write_products(df: DataFrame, path: str) -> None:
     df.write.partitionBy("threshold_label").mode("overwrite").parquet(path)
 
 
+def write_scene_products(scored: DataFrame, keys: list[str], path: str, width: int, x0: float = 0.0, y0: float = 0.0, res: tuple[float, float] = (1.0, 1.0)) -> None:
+    """The three products of scored chunks (bands p and b): probability (NaN for nodata), binarized (0, 1, 255), and the
+    outlines of what is 1, as WKB."""
+    scored.drop("b").write.mode("overwrite").parquet(f"{path}/probability")
+    scored.select(*[c for c in scored.columns if c not in ("p", "b")], F.transform("b", lambda v: v.cast("smallint")).alias("b")).write.mode("overwrite").parquet(f"{path}/binarized")
+    ones = scored.withColumn("_one", F.transform("b", lambda v: (v == 1).cast("double")))
+    labelled = components(band_runs(ones, keys, "_one", 1.0), keys, width, 4)
+    write_outlines(polygons(labelled, keys, x0, y0, res), f"{path}/polygons")
+
+
+def write_outlines(outlines: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Outlines with their rings as WKB, one folder for each value of by (threshold labels)."""
+    w = outlines.withColumn("geometry", to_wkb(F.col("rings"))).drop("rings").write.mode("overwrite")
+    (w.partitionBy(*by) if by else w).parquet(path)
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
