@@ -106,10 +106,12 @@ def blur(tile: Column, n: int) -> Column:
 
 def join_sources(tiles: DataFrame, aux: dict[str, DataFrame], keys: tuple = ("scene_id", "row", "col")) -> DataFrame:
     """Tiles with the arrays of further sources (keys, array) of the same scene, row and column, each as a column of its name;
-    a tile that lacks one is left out."""
+    a tile that lacks one fails."""
     out = tiles
     for name, df in aux.items():
-        out = out.join(df.select(*keys, F.col(df.columns[-1]).alias(name)), list(keys))
+        out = out.join(df.select(*keys, F.col(df.columns[-1]).alias(name), F.lit(True).alias("_there")), list(keys), "left")
+        missing = F.raise_error(F.lit(f"tile without {name}")).cast("boolean")
+        out = out.where(F.when(F.col("_there"), True).otherwise(missing)).drop("_there")
     return out
 
 

@@ -141,9 +141,15 @@ def instance_matching(s, d):
 
 @query(views("px", more=_TWO + ", z as (select sum(tp)::double tp, sum(np-tp)::double fp, sum(nt-tp)::double fn from m)", recursive=True) + "select tp::bigint tp, fp::bigint fp, fn::bigint fn, round(tp/(tp+fp),6) \"precision\", round(tp/(tp+fn),6) recall, round(tp/(tp+fp+fn),6) accuracy, round(2*tp/(2*tp+fp+fn),6) f_beta, round(fp/(tp+fp+fn),6) n01, round(tp/(tp+fp+fn),6) n11 from z")
 def instance_scores(s, d):
-    m = cut(_matches(s, d))
-    conf = I.instance_confusion(m, True).select("n01", "n11")
-    return I.instance_scores(m).crossJoin(conf).select("tp", "fp", "fn", *r6("precision", "recall", "accuracy", "f_beta", "n01", "n11"))
+    m = I.instance_scores(_matches(s, d))
+    # the normalised confusion of the same sums
+    n = F.col("tp") + F.col("fp") + F.col("fn")
+    return m.withColumn("n01", F.col("fp") / n).withColumn("n11", F.col("tp") / n).select("tp", "fp", "fn", *r6("precision", "recall", "accuracy", "f_beta", "n01", "n11"))
+
+
+@query(views("px", more=_TWO + ", z as (select sum(tp)::double tp, sum(np-tp)::double fp, sum(nt-tp)::double fn from m)", recursive=True) + "select 0.0::double n00, round(fp/(tp+fp+fn),6) n01, round(fn/(tp+fp+fn),6) n10, round(tp/(tp+fp+fn),6) n11 from z")
+def instance_confusion(s, d):
+    return I.instance_confusion(_matches(s, d), True).select("n00", *r6("n01", "n10", "n11"))
 
 
 _WIDTH = "kw as (select scene_id, greatest(1, round_even(0.02*sqrt(height*height+64*64), 0))::int k from hs)"
@@ -317,11 +323,11 @@ def dihedral_tiles(s, d):
     return t.select("vec_id", "op", F.round(digest, 5).alias("digest"))
 
 
-@query(views("tile", more="a as (select vec_id, list_reverse(img) slope from tile where vec_id%5<>0)") + "select scene_id, (vec_id//8)::int \"row\", (vec_id%8)::int col, round(img[1]::double,6) \"first\", round(slope[1]::double,6) \"second\" from tile join a using(vec_id)")
+@query(views("tile", more="a as (select vec_id, list_reverse(img) slope from tile)") + "select scene_id, (vec_id//8)::int \"row\", (vec_id%8)::int col, round(img[1]::double,6) \"first\", round(slope[1]::double,6) \"second\" from tile join a using(vec_id)")
 def tile_sources(s, d):
     """Tiles and a second source of the same scene, row and column."""
     t = X.tile(s, d).withColumn("row", F.expr("cast(vec_id div 8 as int)")).withColumn("col", (F.col("vec_id") % 8).cast("int"))
-    aux = t.where("vec_id % 5 != 0").select("scene_id", "row", "col", F.reverse("img").alias("slope"))
+    aux = t.select("scene_id", "row", "col", F.reverse("img").alias("slope"))
     both = T.join_sources(t, {"slope": aux})
     return both.select("scene_id", "row", "col", *[F.round(F.get(c, F.lit(0)).cast("double"), 6).alias(n) for c, n in (("img", "first"), ("slope", "second"))])
 

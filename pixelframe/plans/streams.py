@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window as W, functions as F
 
 from ..operators.graph import shared_dir
-from ..streaming import incremental_scenes, meter_value, running_meter
+from ..streaming import accumulate, incremental_scenes, meter_value, running_meter
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -54,7 +54,51 @@ def incremental_intake_stream(s, d):
 
 ORACLES["incremental_intake_stream"] = X.views("scene_names") + "select name from scene_names where o_orderkey%7<>0"
 
-QUERIES |= {f.__name__: f for f in (running_meter_stream, incremental_intake_stream)}
+
+
+def epoch_counts_stream(s, d):
+    """Hits, false alarms and misses of each kind of event by day, over two runs from one checkpoint: rows add up, some reset
+    their day, and a day closes when the watermark has passed it. The last state of each day stands."""
+    at = f"{shared_dir(s).rstrip('/')}/epochs-{uuid.uuid4().hex}"
+    e = X.table(s, d, "events").withColumn("epoch", F.date_format("ts", "yyyy-MM-dd"))
+    pred, true = F.col("value") > 10, F.col("user_id") % 2 == 0
+    e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "epoch", (F.col("event_id") % 113 == 0).alias("again"), *[c.cast("long").alias(n) for n, c in (("tp", pred & true), ("fp", pred & ~true), ("fn", ~pred & true))])
+    schema = e.schema
+
+    def keep(batch, number):
+        batch.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{at}/out/run={run}/batch={number}")
+
+    for run, part in enumerate(("epoch < '2024-01-16'", "epoch >= '2024-01-16'")):
+        # what comes in arrives in order of time
+        e.where(part).write.mode("append").parquet(f"{at}/in")
+        rows = s.readStream.schema(schema).parquet(f"{at}/in")
+        accumulate(rows, ["event_type", "epoch"], ["tp", "fp", "fn"], keep, f"{at}/state", reset="again", order="event_id").awaitTermination()
+    last = F.row_number().over(W.partitionBy("event_type", "epoch").orderBy(F.col("run").desc(), F.col("batch").desc()))
+    got = s.read.parquet(f"{at}/out").withColumn("k", last).where("k = 1")
+    return got.select("event_type", "epoch", "tp", "fp", "fn", "n")
+
+
+ORACLES["epoch_counts_stream"] = """with e as (select *, strftime(ts, '%Y-%m-%d') epoch, max(case when event_id%113=0 then event_id end) over (partition by event_type, strftime(ts, '%Y-%m-%d')) again from events)
+select event_type, epoch, count(*) filter (k and "value">10 and user_id%2=0) tp, count(*) filter (k and "value">10 and user_id%2<>0) fp, count(*) filter (k and not "value">10 and user_id%2=0) fn, count(*) filter (k) n from (select *, event_id > coalesce(again,-1) k from e) group by 1,2"""
+QUERIES |= {f.__name__: f for f in (running_meter_stream, incremental_intake_stream, epoch_counts_stream)}
+
+
+def bucketed_sources(s, d):
+    """Tiles, masks and slopes as tables bucketed by their place: joined without a shuffle."""
+    from ..operators import tiling as T
+    from ..sources import store
+
+    t = X.tile(s, d).withColumn("row", F.expr("cast(vec_id div 8 as int)")).withColumn("col", (F.col("vec_id") % 8).cast("int"))
+    names = {n: f"{n}_{uuid.uuid4().hex}" for n in ("img", "mask", "slope")}
+    for n, name in names.items():
+        df = t.withColumn("slope", F.reverse("img")).select("scene_id", "row", "col", n)
+        store.write_bucketed(df, name, ["scene_id", "row", "col"], 8)
+    both = T.join_sources(s.table(names["img"]), {n: s.table(names[n]) for n in ("mask", "slope")})
+    return both.select("scene_id", "row", "col", *[F.round(F.get(c, F.lit(0)).cast("double"), 6).alias(n) for c, n in (("img", "first"), ("slope", "second"))], F.aggregate("mask", F.lit(0).cast("long"), lambda a, v: a + v).alias("positives"))
+
+
+QUERIES["bucketed_sources"] = bucketed_sources
+ORACLES["bucketed_sources"] = X.views("tile") + "select scene_id, (vec_id//8)::int \"row\", (vec_id%8)::int col, round(img[1]::double,6) \"first\", round(img[64]::double,6) \"second\", list_sum(mask)::bigint positives from tile"
 
 
 def tile_store(s, d):

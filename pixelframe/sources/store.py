@@ -26,6 +26,13 @@ def read_tiles(spark: SparkSession, path: str, sources: list[str], scenes: list
     return df.select("scene_id", "tile_idx", F.concat(*sorted(sources)).alias("x"), "mask")
 
 
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> None:
+    """A table whose rows are dealt and sorted by keys: tables of as many buckets are joined on these without a shuffle.
+    One task for each bucket, so that a bucket is one file."""
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").mode("overwrite").saveAsTable(name)
+
+
 def normalised(array: Column, source: str) -> Column:
     return F.transform(array, lambda v: v / F.lit(SOURCES[source][1]))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -42,3 +43,39 @@ def meter_value(parts: DataFrame) -> DataFrame:
 def running_meter(stream: DataFrame, keys: list[str], value: str, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """meter_parts as a stream in update mode; sink gets the changed keys of each batch."""
     return meter_parts(stream, keys, value).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def accumulate(stream: DataFrame, keys: list[str], sums: list[str], sink: Callable[[DataFrame, int], None], checkpoint: str, ts: str = "ts", order: str = "ts", reset: str | None = None, delay: str = "1 hour"):
+    """Sums of each key as state of its own, with three operations: update (every row adds its numbers), reset (a row
+    whose column reset is true starts from zero again; its own numbers do not count) and compute (each batch hands the
+    keys that it changed to sink: keys, sums, n, closed). A key closes when the watermark (delay behind the latest ts) has passed its last row:
+    a timer hands out its sums once more, with closed true, and forgets it. Rows of a closed key come too late and are
+    left out. State and timers survive a stop in the checkpoint. Rows of a batch count in the order of their column order.
+    Null numbers add nothing; null keys are a key; rows without a ts are left out. State is one row of numbers for each open key."""
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"{c} long" for c in sums], "n long, closed boolean"])
+    hold = ", ".join([*[f"{c} long" for c in sums], "n long, last long"])
+    late = round(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        total = list(state.get) if state.exists else [0] * (len(sums) + 2)
+        row = lambda closed: pd.DataFrame([[*key, *total[:-1], closed]], columns=[*keys, *sums, "n", "closed"])
+        if state.hasTimedOut:
+            state.remove()
+            yield row(True)
+            return
+        df = pd.concat(list(parts)).sort_values(order, kind="stable", ignore_index=True)
+        last = df["_ms"].max()
+        if reset is not None and (again := df[reset].eq(True)).any():
+            df = df.iloc[int(df.index[again][-1]) + 1 :]
+            total = [0] * (len(sums) + 1) + total[-1:]
+        for i, c in enumerate(sums):
+            total[i] += int(df[c].fillna(0).sum())
+        total[-2] += len(df)
+        total[-1] = max(total[-1], int(last))
+        state.update(tuple(total))
+        state.setTimeoutTimestamp(max(total[-1] + late, state.getCurrentWatermarkMs() + 1))
+        yield row(False)
+
+    rows = stream.where(F.col(ts).isNotNull()).withWatermark(ts, delay).withColumn("_ms", F.unix_millis(ts)).groupBy(*keys).applyInPandasWithState(step, out, hold, "update", "EventTimeTimeout")
+    return rows.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
