@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import names as N
@@ -69,29 +71,29 @@ _BETA = (_N3 / 2 - 2 * _N3**2 / 3 + 37 * _N3**3 / 96, _N3**2 / 48 + _N3**3 / 15,
 _DELTA = (2 * _N3 - 2 * _N3**2 / 3 - 2 * _N3**3, 7 * _N3**2 / 3 - 8 * _N3**3 / 5, 56 * _N3**3 / 15)
 
 
-def utm_to_lonlat(x: Column, y: Column, zone: Column, south: bool = False) -> tuple[Column, Column]:
+def utm_to_lonlat(x: Column, y: Column, zone: Column, south: bool = False, m=F) -> tuple[Column, Column]:
     """Krueger's series, to about a millimetre."""
     xi, eta = (y - (1e7 if south else 0.0)) / (_K0 * _AA), (x - _E0) / (_K0 * _AA)
     xp, ep = xi, eta
     for j, b in enumerate(_BETA, 1):
-        xp = xp - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        ep = ep - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xp) / F.cosh(ep))
+        xp = xp - b * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+        ep = ep - b * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+    chi = m.asin(m.sin(xp) / m.cosh(ep))
     lat = chi
     for j, d in enumerate(_DELTA, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(ep), F.cos(xp))), F.degrees(lat)
+        lat = lat + d * m.sin(2 * j * chi)
+    return zone * 6 - 183 + m.degrees(m.atan2(m.sinh(ep), m.cos(xp))), m.degrees(lat)
 
 
-def lonlat_to_utm(lon: Column, lat: Column, zone: Column, south: bool = False) -> tuple[Column, Column]:
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+def lonlat_to_utm(lon: Column, lat: Column, zone: Column, south: bool = False, m=F) -> tuple[Column, Column]:
+    phi, lam = m.radians(lat), m.radians(lon - (zone * 6 - 183))
     e = 2 * math.sqrt(_N3) / (1 + _N3)
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xp, ep = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    t = m.sinh(m.atanh(m.sin(phi)) - e * m.atanh(e * m.sin(phi)))
+    xp, ep = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(1 + t * t))
     x, y = ep, xp
     for j, a in enumerate(_ALPHA, 1):
-        x = x + a * F.cos(2 * j * xp) * F.sinh(2 * j * ep)
-        y = y + a * F.sin(2 * j * xp) * F.cosh(2 * j * ep)
+        x = x + a * m.cos(2 * j * xp) * m.sinh(2 * j * ep)
+        y = y + a * m.sin(2 * j * xp) * m.cosh(2 * j * ep)
     return _E0 + _K0 * _AA * x, _K0 * _AA * y + (1e7 if south else 0.0)
 
 
@@ -101,20 +103,20 @@ _ECC = math.sqrt(_E2)
 _POLAR = _A * (math.cos(_TRUE) / math.sqrt(1 - _E2 * math.sin(_TRUE) ** 2)) / (math.tan(math.pi / 4 - _TRUE / 2) / ((1 - _ECC * math.sin(_TRUE)) / (1 + _ECC * math.sin(_TRUE))) ** (_ECC / 2))
 
 
-def polar_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
+def polar_to_lonlat(x: Column, y: Column, m=F) -> tuple[Column, Column]:
     """Degrees of EPSG:3413 coordinates; the latitude is a series in the conformal one."""
-    chi = math.pi / 2 - 2 * F.atan(F.hypot(x, y) / F.lit(_POLAR))
+    chi = math.pi / 2 - 2 * m.atan(m.hypot(x, y) / m.lit(_POLAR))
     e2, e4, e6, e8 = (_E2**k for k in (1, 2, 3, 4))
     series = ((2, e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360), (4, 7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520), (6, 7 * e6 / 120 + 81 * e8 / 1120), (8, 4279 * e8 / 161280))
-    lat = sum((c * F.sin(k * chi) for k, c in series), chi)
-    return F.degrees(F.atan2(x, -y)) + _CENTRE, F.degrees(lat)
+    lat = sum((c * m.sin(k * chi) for k, c in series), chi)
+    return m.degrees(m.atan2(x, -y)) + _CENTRE, m.degrees(lat)
 
 
-def lonlat_to_polar(lon: Column, lat: Column) -> tuple[Column, Column]:
-    s = F.sin(F.radians(lat))
-    rho = _POLAR * F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow((1 - _ECC * s) / (1 + _ECC * s), F.lit(_ECC / 2))
-    turn = F.radians(lon - _CENTRE)
-    return rho * F.sin(turn), -rho * F.cos(turn)
+def lonlat_to_polar(lon: Column, lat: Column, m=F) -> tuple[Column, Column]:
+    s = m.sin(m.radians(lat))
+    rho = _POLAR * m.tan(math.pi / 4 - m.radians(lat) / 2) / m.pow((1 - _ECC * s) / (1 + _ECC * s), m.lit(_ECC / 2))
+    turn = m.radians(lon - _CENTRE)
+    return rho * m.sin(turn), -rho * m.cos(turn)
 
 
 def has_projection(epsg: Column) -> Column:
@@ -156,15 +158,33 @@ def read_outlines(spark: SparkSession, path: str, schema: str, epsg: int, water:
     return filter_water(rows, burnt, water, list(keys), ident, "water", t, size).withColumnRenamed("_w", "share")
 
 
-def to_lonlat(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
-    """Degrees; UTM zones on WGS84 (326zz, 327zz), the northern polar grid (3413) and EPSG:4326."""
+#: The projections' functions for arrays, under the names that columns have.
+numpy_math = SimpleNamespace(sin=np.sin, cos=np.cos, tan=np.tan, asin=np.arcsin, atan=np.arctan, atan2=np.arctan2, sinh=np.sinh, cosh=np.cosh, atanh=np.arctanh, hypot=np.hypot, sqrt=np.sqrt, pow=np.power, degrees=np.degrees, radians=np.radians, lit=float)
+
+
+def _zone(epsg: int) -> int:
+    if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
+        raise ValueError(f"no projection for EPSG:{epsg}")
+    return epsg % 100
+
+
+def to_lonlat(x: Column, y: Column, epsg: int, m=F) -> tuple[Column, Column]:
+    """Degrees; UTM zones on WGS84 (326zz, 327zz), the northern polar grid (3413) and EPSG:4326. With m numpy_math, x and y
+    are arrays."""
     if epsg == 4326:
         return x, y
     if epsg == 3413:
-        return polar_to_lonlat(x, y)
-    if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
-        raise ValueError(f"no projection for EPSG:{epsg}")
-    return utm_to_lonlat(x, y, F.lit(epsg % 100), epsg // 100 == 327)
+        return polar_to_lonlat(x, y, m)
+    return utm_to_lonlat(x, y, m.lit(_zone(epsg)), epsg // 100 == 327, m)
+
+
+def from_lonlat(lon: Column, lat: Column, epsg: int, m=F) -> tuple[Column, Column]:
+    """The way back."""
+    if epsg == 4326:
+        return lon, lat
+    if epsg == 3413:
+        return lonlat_to_polar(lon, lat, m)
+    return lonlat_to_utm(lon, lat, m.lit(_zone(epsg)), epsg // 100 == 327, m)
 
 
 def reproject(vertices: DataFrame, epsg: int, x: str = "x", y: str = "y") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import cut, shared_dir
 from ..operators.tree import component_curves
-from ..operators import bands as B, chunks as C, ensemble as E, instances as I, morphology as MO, resample as RS, rings as RG, runs as R, tiling as T, vector as V
+from ..operators import bands as B, chunks as C, ensemble as E, instances as I, morphology as MO, resample as RS, rings as RG, runs as R, tiling as T, vector as V, warp as WA
 from ..sources import store
 from . import fixtures as X
 from .fixtures import labels_sql, views
@@ -619,3 +619,48 @@ _W = "case when {0}<=1 then 1.5*{0}**3-2.5*{0}**2+1 when {0}<2 then -0.5*{0}**3+
 @query(views("px", "hs", more=_grid_sql(1.5) + ", t as (select scene_id, y::int y, x::int x, (y+0.5)*1.5-0.5 fy, (x+0.5)*1.5-0.5 fx from gr), n as (select t.scene_id, t.y, t.x, v, abs(fy-b.y) dy, abs(fx-b.x) dx from t join px b on b.scene_id=t.scene_id and b.y between floor(fy)-1 and floor(fy)+2 and b.x between floor(fx)-1 and floor(fx)+2), w as (select *, (" + _W.format("dy") + ")*(" + _W.format("dx") + ") w from n)") + "select scene_id, y, x, round(sum(w*v)/sum(w),6) v from w group by 1,2,3")
 def cubic_resampling(s, d):
     return RS.align_cubic(X.px(s, d), _grid(s, d, 1.5), K, "v", (1.5, 1.5)).select("scene_id", "y", "x", *r6("v"))
+
+
+# ------------------------------------------------------------------ other coordinate systems, mosaics
+
+_FAR = f"""g as (select scene_id, 500000.0+30*scene_id sx, -2275000+(b.i+0.5)*400 mx, 1000-(a.i+0.5)*400 my, a.i y, b.i x from hs, range(0,52) a(i), range(0,52) b(i)),
+c0 as (select *, 1/298.257223563::double*(2-1/298.257223563::double) e2, radians(70) c from g),
+c1 as (select *, 6378137.0*(cos(c)/sqrt(1-e2*sin(c)**2))/(tan(pi()/4-c/2)/((1-sqrt(e2)*sin(c))/(1+sqrt(e2)*sin(c)))**(sqrt(e2)/2)) r from c0),
+c2 as (select *, pi()/2-2*atan(sqrt(mx**2+my**2)/r) chi, atan2(mx,-my)-radians(45)+radians(135) lam from c1),
+c3 as (select *, chi+(e2/2+5*e2**2/24+e2**3/12+13*e2**4/360)*sin(2*chi)+(7*e2**2/48+29*e2**3/240+811*e2**4/11520)*sin(4*chi)+(7*e2**3/120+81*e2**4/1120)*sin(6*chi)+(4279*e2**4/161280)*sin(8*chi) phi from c2),
+c4 as (select *, sinh(atanh(sin(phi))-sqrt(e2)*atanh(sqrt(e2)*sin(phi))) t from c3),
+c5 as (select *, atan2(t,cos(lam)) xp, atanh(sin(lam)/sqrt(1+t*t)) ep from c4),
+c6 as (select *, 500000+{V._K0 * V._AA!r}*(ep{"".join(f"+{a!r}*cos({2 * j}*xp)*sinh({2 * j}*ep)" for j, a in enumerate(V._ALPHA, 1))}) e, {V._K0 * V._AA!r}*(xp{"".join(f"+{a!r}*sin({2 * j}*xp)*cosh({2 * j}*ep)" for j, a in enumerate(V._ALPHA, 1))}) n from c5),
+f as (select scene_id, y::int y, x::int x, (n-7700000)/-300-0.5 fy, (e-sx)/300-0.5 fx from c6)"""
+
+
+def _warped(s, d, method):
+    """Scenes of UTM zone 8 (300 m pixels, each begins 30 m further east) on the northern polar grid (400 m)."""
+    geo = lambda x, y, r, h, w: F.struct(x.alias("x0"), F.lit(y).alias("y0"), F.lit(r).alias("xres"), F.lit(-r).alias("yres"), h.alias("height"), F.lit(w).alias("width"))
+    grids = X.scenes(s, d).select("scene_id", geo(F.lit(500000.0) + 30 * F.col("scene_id"), 7700000.0, 300.0, F.col("height"), 64).alias("source"), geo(F.lit(-2275000.0), 1000.0, 400.0, F.lit(52), 52).alias("target"))
+    out = WA.warp(X.chunks(s, d), K, "v", grids, 32608, 3413, method, 24, 32)
+    return C.to_pixels(out, K, ["v"]).select("scene_id", "y", "x", *r6("v"))
+
+
+@query(views("px", "hs", more=_FAR) + "select f.scene_id, f.y, f.x, round(v,6) v from f join px b on b.scene_id=f.scene_id and b.y=floor(fy+0.5)::int and b.x=floor(fx+0.5)::int")
+def warped_nearest(s, d):
+    return _warped(s, d, "nearest")
+
+
+@query(views("px", "hs", more=_FAR + ", n as (select f.scene_id, f.y, f.x, b.v, abs(fy-b.y) dy, abs(fx-b.x) dx, b.y=floor(fy+0.5)::int and b.x=floor(fx+0.5)::int near from f join px b on b.scene_id=f.scene_id and b.y between floor(fy)-1 and floor(fy)+2 and b.x between floor(fx)-1 and floor(fx)+2), w as (select *, (" + _W.format("dy") + ")*(" + _W.format("dx") + ") w from n)") + "select scene_id, y, x, round(sum(w*v)/sum(w),6) v from w group by 1,2,3 having bool_or(near)")
+def warped_cubic(s, d):
+    return _warped(s, d, "cubic")
+
+
+@query(views("px", more="z as (select scene_id%2 grp, ceil((max(scene_id//2)*40+64)*10/15)::int+4 width from px group by 1), t as (select grp, a.i y, b.i x, 35-(a.i+0.5)*15 ym, -55+(b.i+0.5)*15 xm from z, range(0,60) a(i), range(0,10000) b(i) where b.i<width), o as (select distinct scene_id from px), c as (select grp, t.y ty, t.x tx, scene_id, floor((ym+10*(scene_id%3*7))/-10)::int y, floor((xm-10*(scene_id//2*40))/10)::int x from t join o on scene_id%2=grp)") + "select grp, ty::int y, tx::int x, round(arg_max(v, scene_id),6) v from c join px using(scene_id, y, x) where v>=-0.2 group by 1,2,3")
+def shifted_mosaic(s, d):
+    """Scenes as tiles with origins of their own, in two mosaics of coarser pixels; the last scene is on top, and low values
+    are gaps."""
+    i = F.col("scene_id")
+    half = F.expr("scene_id div 2")
+    origin = F.struct((half * 400.0).alias("x0"), ((i % 3) * -70.0).alias("y0"), F.lit(10.0).alias("xres"), F.lit(-10.0).alias("yres"))
+    tiles = X.chunks(s, d).withColumn("v", F.transform("v", lambda v: F.when(v >= -0.2, v))).withColumn("origin", origin).withColumn("grp", i % 2)
+    wide = (F.ceil((F.max(half) * 40 + 64) * 10 / 15) + 4).cast("int")
+    grids = X.scenes(s, d).groupBy((i % 2).alias("grp")).agg(wide.alias("w")).select("grp", F.struct(F.lit(-55.0).alias("x0"), F.lit(35.0).alias("y0"), F.lit(15.0).alias("xres"), F.lit(-15.0).alias("yres"), F.lit(60).alias("height"), F.col("w").alias("width")).alias("target"))
+    out = WA.mosaic(tiles, ["grp"], "v", grids, "scene_id", 25)
+    return C.to_pixels(out, ["grp"], ["v"]).select("grp", "y", "x", *r6("v"))
