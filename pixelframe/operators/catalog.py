@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import names as N
@@ -22,12 +24,17 @@ def file_counts(files: DataFrame) -> DataFrame:
 
 def clip_renames(files: DataFrame, folder: str = "scene_dir", file: str = "file") -> DataFrame:
     """folder, file, target, renamed, status for every file with _clip in its name: a target that is there already is kept, and
-    the file stays as it is. status is 1 for each folder with such files (2 would be a folder without)."""
+    the file stays as it is. status is 1, as it is in clip_status for each folder with such files."""
     there = files.select(folder, F.col(file).alias("target"), F.lit(True).alias("_there")).distinct()
     clips = files.where(F.col(file).contains("_clip")).select(folder, file, N.strip_clip(F.col(file)).alias("target"))
     return clips.join(there, [folder, "target"], "left").select(folder, file, "target", F.col("_there").isNull().alias("renamed"), F.lit(1).alias("status"))
 
 
+def clip_status(files: DataFrame, folder: str = "scene_dir", file: str = "file") -> DataFrame:
+    """folder, status: 1 if it holds files with _clip in their names, 2 if it does not."""
+    return files.groupBy(folder).agg(F.when(F.bool_or(F.col(file).contains("_clip")), 1).otherwise(2).alias("status"))
+
+
 def scene_catalog(scenes: DataFrame, preprocessed: bool = False, path: str = "path") -> DataFrame:
     """name (and path) -> the catalog's six columns; no rows give the empty schema."""
     at = F.col(path) if path in scenes.columns else F.lit(None).cast("string")
@@ -50,11 +57,13 @@ def file_roles(files: DataFrame, images=("_SR.tif", "_SR_clip.tif", "_AnalyticMS
 
 
 def processing_status(raw: DataFrame, processed: DataFrame, finished: DataFrame, min_files: int = 5) -> DataFrame:
-    """raw: name; processed: name, n_files; finished: name -> name, preprocessed, inference_finished."""
-    done = processed.where(F.col("n_files") >= min_files).select("name").distinct().withColumn("preprocessed", F.lit(True))
-    left = raw.select("name").distinct().join(done.select("name"), "name", "left_anti").withColumn("preprocessed", F.lit(False))
-    flags = finished.select("name").distinct().withColumn("f", F.lit(True))
-    return done.unionByName(left).join(flags, "name", "left").select("name", "preprocessed", F.col("f").isNotNull().alias("inference_finished"))
+    """raw: name; processed: name, n_files; finished: name -> name, preprocessed, inference_finished: one union with flags,
+    one shuffle by name."""
+    flags = ("done", "raw", "finished")
+    kinds = (processed.where(F.col("n_files") >= min_files), raw, finished)
+    every = reduce(DataFrame.unionByName, [df.select("name", *[F.lit(f == flag).alias(f) for f in flags]) for df, flag in zip(kinds, flags)])
+    names = every.groupBy("name").agg(*[F.bool_or(f).alias(f) for f in flags]).where("done or raw")
+    return names.select("name", F.col("done").alias("preprocessed"), F.col("finished").alias("inference_finished"))
 
 
 def processing_stats(status: DataFrame) -> DataFrame:

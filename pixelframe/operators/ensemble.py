@@ -40,21 +40,22 @@ def object_table(labelled: DataFrame, keys: list[str]) -> DataFrame:
     return component_stats(labelled, keys)
 
 
-def erode_valid(pixels: DataFrame, col: str, keys: list[str], r: int, height: Column, width: Column) -> DataFrame:
-    """col is NaN within a disk of radius r around NaN pixels, and in the first and last r rows and columns."""
-    hit = runs_to_pixels(dilate_disk(to_runs(pixels, F.isnan(col), keys), keys, r)).withColumn("_hit", F.lit(True))
+def erode_valid(pixels: DataFrame, col: str, keys: list[str], r: int, height: Column, width: Column, mask: str | None = None) -> DataFrame:
+    """col is NaN within a disk of radius r around the NaN pixels of mask (else of col), and in the first and last r rows
+    and columns."""
+    hit = runs_to_pixels(dilate_disk(to_runs(pixels, F.isnan(mask or col), keys), keys, r)).withColumn("_hit", F.lit(True))
     out = pixels.join(hit, [*keys, "y", "x"], "left")
     gone = F.coalesce("_hit", F.lit(False)) | on_edge(F.col("y"), F.col("x"), height, width, r)
     return out.withColumn(col, F.when(gone, float("nan")).otherwise(F.col(col))).drop("_hit")
 
 
-def ensemble_negative(probs: DataFrame, keys: list[str], negative: str | None = None, negative_t: float = 0.8, models=("p1", "p2"), erode: int = 0, height: Column | None = None, width: Column | None = None) -> DataFrame:
-    """Mean of two models; NaN stays NaN, and is widened by erode pixels, as is the edge; 0 where the negative class reaches
-    negative_t (or is NaN)."""
+def ensemble_negative(probs: DataFrame, keys: list[str], negative: str | None = None, negative_t: float = 0.8, models=("p1", "p2"), erode: int = 0, height: Column | None = None, width: Column | None = None, thresholds: list[float] | None = None) -> DataFrame:
+    """Mean of two models; NaN stays NaN, and that of the first model is widened by erode pixels, as is the edge; 0 where the
+    negative class reaches negative_t (or is NaN). thresholds: the pixels that pass each instead, with threshold."""
     out = probs.withColumn("p", (F.col(models[0]) + F.col(models[1])) / 2)
     if erode:
-        out = erode_valid(out, "p", keys, erode, height, width)
-    if negative is None:
-        return out
-    low = F.when(F.isnan(negative), 0.0).otherwise((F.col(negative) < negative_t).cast("double"))
-    return out.withColumn("p", F.when(F.isnan("p"), F.col("p")).otherwise(F.col("p") * low))
+        out = erode_valid(out, "p", keys, erode, height, width, models[0])
+    if negative is not None:
+        low = F.when(F.isnan(negative), 0.0).otherwise((F.col(negative) < negative_t).cast("double"))
+        out = out.withColumn("p", F.when(F.isnan("p"), F.col("p")).otherwise(F.col("p") * low))
+    return out if thresholds is None else by_threshold(out, thresholds)

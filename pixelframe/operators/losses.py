@@ -153,13 +153,15 @@ def lgamma(x: Column) -> Column:
     return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(s)
 
 
-def gamma_log_density(x: Column, a: Column, b: Column) -> Column:
-    return a * F.log(b) + (a - 1) * F.log(x) - b * x - lgamma(a)
+def gamma_log_density(x: Column, a: Column, b: Column, eps: float = 0.0) -> Column:
+    """eps is added to x in the logarithm only."""
+    return a * F.log(b) + (a - 1) * F.log(x + eps) - b * x - lgamma(a)
 
 
 def gamma_nll(df: DataFrame, x: Column, a: Column, b: Column, by: tuple = (), log_parameters: bool = False) -> DataFrame:
-    """Mean negative log-likelihood; with log_parameters a and b are exp'ed and 0.001 is added to x."""
-    d = gamma_log_density(x + 1e-3, F.exp(a), F.exp(b)) if log_parameters else gamma_log_density(x, a, b)
+    """Mean negative log-likelihood; with log_parameters a and b are exp'ed and x may be 0 (0.001 is added in the
+    logarithm)."""
+    d = gamma_log_density(x, F.exp(a), F.exp(b), 1e-3) if log_parameters else gamma_log_density(x, a, b)
     return df.groupBy(*by).agg((-F.avg(d)).alias("gamma_nll"))
 
 

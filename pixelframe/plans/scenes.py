@@ -73,12 +73,22 @@ def clip_names(s, d):
 
 @query(views("scene_names", more="f as (select o_orderkey%50 scene_dir, case when o_orderkey%2=0 then name||'_clip.tif' else name||'.tif' end file from scene_names union all select o_orderkey%50, name||'.tif' from scene_names where o_orderkey%6=0)") + "select scene_dir, file, replace(file,'_clip','') target, not exists(select 1 from f g where g.scene_dir=f.scene_dir and g.file=replace(f.file,'_clip','')) renamed, 1 status from f where file like '%\\_clip%' escape '\\'")
 def clip_targets(s, d):
+    return C.clip_renames(_clip_files(s, d))
+
+
+@query(views("scene_names", more="f as (select o_orderkey%50 scene_dir, o_orderkey%2=0 clip from scene_names union all select 50+o_orderkey%9, false from scene_names)") + "select scene_dir, case when bool_or(clip) then 1 else 2 end status from f group by 1")
+def clip_folders(s, d):
+    more = X.scene_names(s, d).select((50 + F.col("o_orderkey") % 9).alias("scene_dir"), F.concat("name", F.lit(".tif")).alias("file"))
+    return C.clip_status(_clip_files(s, d).select("scene_dir", "file").unionByName(more))
+
+
+def _clip_files(s, d):
     """Some files have their target beside them already."""
     k = F.col("o_orderkey")
     n = X.scene_names(s, d).withColumn("scene_dir", k % 50)
     files = n.select("scene_dir", F.when(k % 2 == 0, F.concat("name", F.lit("_clip.tif"))).otherwise(F.concat("name", F.lit(".tif"))).alias("file"))
     files = files.unionByName(n.where(k % 6 == 0).select("scene_dir", F.concat("name", F.lit(".tif")).alias("file")))
-    return C.clip_renames(files)
+    return files
 
 
 def _status(s, d):
@@ -373,6 +383,12 @@ def gamma_likelihood(s, d):
     return a.join(L.gamma_nll(df, x, F.col("score") + 0.5, F.lit(1.5), ("grp",)).withColumnRenamed("gamma_nll", "gamma_nll_var"), "grp").select("grp", *r6("gamma_nll", "gamma_nll_var"))
 
 
+@query(views("scored") + "select grp, round(-avg(exp(score)*0.3-lgamma(exp(score))+(exp(score)-1)*ln(2*score+0.001)-exp(0.3::double)*2*score),6) gamma_nll from scored group by 1")
+def gamma_likelihood_of_logs(s, d):
+    """Parameters as logarithms; targets may be 0."""
+    return L.gamma_nll(X.scored(s, d), 2 * F.col("score"), F.col("score"), F.lit(0.3), ("grp",), log_parameters=True).select("grp", *r6("gamma_nll"))
+
+
 @query(views("scored", more="w as (select grp, 1/(2*avg((target=0)::int)) w0, 1/(2*avg((target=1)::int)) w1 from scored group by 1), q as (select grp, case when target=1 then w1 else w0 end w, -ln(case when target=1 then 0.01+0.98*score else 0.99-0.98*score end) l from scored join w using(grp)), o as (select grp, sum(score*target) tp, sum(score) sp, sum(target) sy from scored group by 1), b as (select grp, sum(w*l)/sum(w) balanced_ce from q group by 1)") + "select grp, round(balanced_ce,6) balanced_ce, round(1-(tp+1)/(sp+sy-tp+1),6) jaccard_loss, round(1-(2*tp+1)/(sp+sy+1),6) dice_loss, round(0.5*(1-(tp+1)/(sp+sy-tp+1))+1-(2*tp+1)/(sp+sy+1),6) combined from b join o using(grp)")
 def balanced_and_smoothed_losses(s, d):
     df = X.scored(s, d)
@@ -395,11 +411,12 @@ def metric_names(s, d):
     return store.metric_names(X.log_lines(s, d).select(names.alias("names")), "names", ["loss", "f1"])
 
 
-@query("select event_type, event_id, round(avg(\"value\") over w,6) mean, case when count(*) over w = 1 then null else round(stddev_samp(\"value\") over w,6) end std from events window w as (partition by event_type order by event_id rows unbounded preceding)")
+@query("select event_type, event_id, round(avg(\"value\") over w,6) mean, case when count(*) over w = 1 then 'inf'::double else round(stddev_samp(\"value\") over w,6) end std from events window w as (partition by event_type order by event_id rows unbounded preceding)")
 def running_statistics(s, d):
     w = W.partitionBy("event_type").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
     e = X.table(s, d, "events")
-    return e.select("event_type", "event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.round(F.stddev_samp("value").over(w), 6).alias("std"))
+    parts = e.select("event_type", "event_id", F.count("value").over(w).alias("n"), F.avg("value").over(w).alias("mean"), (F.var_pop("value").over(w) * F.count("value").over(w)).alias("m2"))
+    return meter_value(parts).select("event_type", "event_id", *r6("mean", "std"))
 
 
 @query("select event_type, count(*) n, round(avg(\"value\"),6) mean, round(stddev_samp(\"value\"),6) std from events group by 1")
