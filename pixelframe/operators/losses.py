@@ -92,9 +92,10 @@ def combined(df: DataFrame, weights: dict[str, float], out: str = "loss") -> Dat
     return df.withColumn(out, sum(parts[1:], parts[0]))
 
 
-def lovasz_grad_sum_spread(df: DataFrame, error: Column, y: Column, keys: tuple, order: list) -> DataFrame:
-    """The same for keys that may hold any share of the rows: rows are dealt by range of their errors over the tasks, each of
-    which ranks its own; counts of the parts before give the rest."""
+def lovasz_grad_sum(df: DataFrame, error: Column, y: Column, keys: tuple, order: list) -> DataFrame:
+    """keys, loss, positives: the Lovasz extension of the Jaccard loss over errors from large to small within keys, which may
+    hold any share of the rows: rows are dealt by range of their errors over the tasks, each of which ranks its own; counts
+    of the parts before give the rest."""
     e = df.select(*keys, error.alias("e"), y.cast("double").alias("y"), *[F.col(o) for o in order if o not in keys])
     ends = [*keys, F.col("e").desc(), *order]
     e = cut(e.repartitionByRange(*ends).withColumn("_part", F.spark_partition_id()))
@@ -110,18 +111,6 @@ def lovasz_grad_sum_spread(df: DataFrame, error: Column, y: Column, keys: tuple,
     return e.groupBy(*keys).agg(F.sum(F.greatest("e", F.lit(0.0)) * grad).alias("loss"), F.sum("y").alias("positives"))
 
 
-def lovasz_grad_sum(df: DataFrame, error: Column, y: Column, keys: tuple, order: list) -> DataFrame:
-    """keys, loss, positives: the Lovasz extension of the Jaccard loss over errors from large to small within keys, each of
-    which is small (one image)."""
-    e = df.select(*keys, error.alias("e"), y.cast("double").alias("y"), *[F.col(o) for o in order if o not in keys])
-    ordered = W.partitionBy(*keys).orderBy(F.col("e").desc(), *order)
-    upto, every = ordered.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
-    e = e.withColumns({"g": F.sum("y").over(every), "cp": F.sum("y").over(upto), "k": F.row_number().over(ordered)})
-    e = e.withColumn("j", 1 - (F.col("g") - F.col("cp")) / (F.col("g") + F.col("k") - F.col("cp")))
-    e = e.withColumn("grad", F.col("j") - F.coalesce(F.lag("j").over(ordered), F.lit(0.0)))
-    return e.groupBy(*keys).agg(F.sum(F.greatest("e", F.lit(0.0)) * F.col("grad")).alias("loss"), F.sum("y").alias("positives"))
-
-
 def lovasz_hinge(df: DataFrame, x: Column, y: Column, image: tuple, order: list, by: tuple = ()) -> DataFrame:
     """Mean over images of the hinge form."""
     return lovasz_grad_sum(df, 1 - x * (2 * y - 1), y, (*by, *image), order).groupBy(*by).agg(F.avg("loss").alias("lovasz_hinge"))
@@ -129,7 +118,7 @@ def lovasz_hinge(df: DataFrame, x: Column, y: Column, image: tuple, order: list,
 
 def lovasz_softmax(df: DataFrame, p: Column, y: Column, cls: str, order: list, by: tuple = ()) -> DataFrame:
     """df: one row per pixel and class; mean over the classes that are present."""
-    per = lovasz_grad_sum_spread(df, F.abs(y - p), y, (*by, cls), order)
+    per = lovasz_grad_sum(df, F.abs(y - p), y, (*by, cls), order)
     return per.where("positives > 0").groupBy(*by).agg(F.avg("loss").alias("lovasz_softmax"))
 
 

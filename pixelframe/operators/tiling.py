@@ -137,11 +137,12 @@ GEOMETRY = ("HorizontalFlip", "VerticalFlip", "RandomRotate90")
 
 
 def augment(tiles: DataFrame, types: list[str], size: int, keys: list[str], image: str = "img", mask: str = "mask", n: int = 8, seed: int = 0) -> DataFrame:
-    """Each tile n times; each operation draws its number by hash of tile, copy and name, so that image and mask get the
-    same geometry."""
+    """Each tile n times; each operation draws its number from the md5 of tile, copy, name and seed, so that image and
+    mask get the same geometry."""
     df = tiles.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     for name in types:
-        r = F.pmod(F.xxhash64(*keys, "copy", F.lit(name), F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        drawn = F.md5(F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in (*keys, "copy")], F.lit(name), F.lit(str(seed))).cast("binary"))
+        r = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
         df = df.withColumn("_r", r).withColumn(image, AUGMENTATIONS[name](F.col(image), F.col("_r"), size))
         if name in GEOMETRY:
             df = df.withColumn(mask, AUGMENTATIONS[name](F.col(mask), F.col("_r"), size))

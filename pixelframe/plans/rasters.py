@@ -349,9 +349,34 @@ def tile_set_batches(s, d):
     return per.groupBy("scene_id").agg(F.sum("size").alias("n"), F.count("*").alias("n_batches"), F.max("size").alias("largest"), F.round(F.sum("total"), 4).alias("total"))
 
 
-@query()
+_AUGMENT = ["HorizontalFlip", "VerticalFlip", "Blur", "RandomRotate90", "RandomBrightnessContrast", "MultiplicativeNoise"]
+
+
+def _augment_sql() -> str:
+    """One clause for each operation, in which r is its number."""
+    turns = {"HorizontalFlip": ("false", "r<0.5", "false"), "VerticalFlip": ("r<0.5", "false", "false"), "RandomRotate90": ("r>=0.25 and r<0.75", "r>=0.5", "(r>=0.25 and r<0.5) or r>=0.75")}
+    values = {"RandomBrightnessContrast": "v*(0.8::double+0.4::double*r)+0.2::double*(r-0.5::double)", "MultiplicativeNoise": "v*(0.9::double+0.2::double*r)"}
+    turn = "list_transform(range(0,64), lambda i: {0}[case when tr then (case when fx then 7-i%8 else i%8 end)*8+(case when fy then 7-i//8 else i//8 end) else (case when fy then 7-i//8 else i//8 end)*8+(case when fx then 7-i%8 else i%8 end) end+1])"
+    near = lambda a, b: f"img[(case when i//8+{a}<0 then 1 when i//8+{a}>7 then 6 else i//8+{a} end)*8+(case when i%8+{b}<0 then 1 when i%8+{b}>7 then 6 else i%8+{b} end)+1]"
+    out, last = [], "tile, range(0,8) c(copy)"
+    for k, name in enumerate(_AUGMENT):
+        drawn = f"('0x'||md5(vec_id||':'||copy||':{name}:0')[1:8])::bigint/4294967296.0::double r"
+        if name in turns:
+            fy, fx, tr = turns[name]
+            img, mask = turn.format("img"), turn.format("mask")
+            out.append(f"a{k} as materialized (select scene_id, vec_id, copy, {img} img, {mask} mask from (select *, {fy} fy, {fx} fx, {tr} tr from (select scene_id, vec_id, copy, img, mask, {drawn} from {last})))")
+        else:
+            blur = "list_transform(range(0,64), lambda i: ((" + "+".join(near(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)) + ")::double/9)::float)"
+            img = blur if name == "Blur" else f"list_transform(img, lambda v: ({values[name]})::float)"
+            out.append(f"a{k} as materialized (select scene_id, vec_id, copy, {img} img, mask from (select scene_id, vec_id, copy, img, mask, {drawn} from {last}))")
+        last = f"a{k}"
+    return ",\n".join(out)
+
+
+@query(views("tile", more=_augment_sql()) + "select scene_id, vec_id, copy::int copy, list_transform(img, lambda v: round(v::double,5)) img, mask from a5")
 def augmented_tiles(s, d):
-    return T.augment(X.tile(s, d), ["HorizontalFlip", "VerticalFlip", "Blur", "RandomRotate90", "RandomBrightnessContrast", "MultiplicativeNoise"], 8, ["vec_id"])
+    t = T.augment(X.tile(s, d), _AUGMENT, 8, ["vec_id"])
+    return t.select("scene_id", "vec_id", "copy", F.transform("img", lambda v: F.round(v.cast("double"), 5)).alias("img"), "mask")
 
 
 # ------------------------------------------------------------------ scoring

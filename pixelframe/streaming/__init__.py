@@ -8,19 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Folders of the table of what has been taken in.
+PARTS = 64
+
+
 def incremental_scenes(spark: SparkSession, path: str, schema, process: Callable[[DataFrame, int], None], checkpoint: str, key: str = "name"):
     """Scenes that arrive under path are handed to process(batch, number) once each. What has been taken in is a table beside
-    the checkpoint, one folder for each batch, so that a replayed batch finds the same scenes new and memory does not
-    grow with them. Runs over what is there and ends."""
+    the checkpoint, dealt by a hash of the key into PARTS folders: a batch opens those that its own keys fall in. A replayed
+    batch finds the same scenes new, and memory does not grow with them. Runs over what is there and ends."""
     seen = f"{checkpoint}/taken"
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part")
 
     def take(batch: DataFrame, number: int) -> None:
         kind = batch.schema[key].dataType.simpleString()
-        batch.select(key).limit(0).write.mode("ignore").parquet(f"{seen}/batch=-1")
-        old = batch.sparkSession.read.schema(f"{key} {kind}, batch long").parquet(seen).where(F.col("batch") < number).select(key)
-        fresh = batch.dropDuplicates([key]).join(old, key, "left_anti")
-        fresh.select(key).write.mode("overwrite").parquet(f"{seen}/batch={number}")
-        now = batch.sparkSession.read.schema(f"{key} {kind}").parquet(f"{seen}/batch={number}")
+        session = batch.sparkSession
+        batch.select(key).limit(0).write.mode("ignore").parquet(f"{seen}/part=-1/batch=-1")
+        taken = session.read.schema(f"{key} {kind}, part int, batch long").option("basePath", seen).parquet(seen)
+        touched = [r["part"] for r in batch.select(part).distinct().collect()]  # at most PARTS
+        old = taken.where(F.col("part").isin(touched) & (F.col("batch") < number)).select(key)
+        new = batch.select(key).distinct().join(old, key, "left_anti")
+        dealt = new.select(key, part, F.lit(number).cast("long").alias("batch")).repartition(min(len(touched), PARTS) or 1, "part")
+        dealt.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("part", "batch").parquet(seen)
+        now = session.read.schema(f"{key} {kind}, part int, batch long").option("basePath", seen).parquet(seen).where(F.col("part").isin(touched) & (F.col("batch") == number)).select(key)
         process(batch.dropDuplicates([key]).join(now, key, "left_semi"), number)
 
     stream = spark.readStream.schema(schema).parquet(path)
