@@ -90,6 +90,15 @@ def focal_mean(s, d):
     return C.to_pixels(out, K, ["focal_mean"]).select("scene_id", "y", "x", *r6("focal_mean"))
 
 
+@query(views("px", more="m as (select a.scene_id, a.y, a.x, any_value(a.v) v, avg(b.v) f from px a join px b on a.scene_id=b.scene_id and (a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)<=4 group by a.scene_id, a.y, a.x)") + "select scene_id, y, x, trunc(round((v-f+30)*300,6))::int rel from m")
+def relative_elevation_of_disk(s, d):
+    """Against the mean of the disk around each pixel."""
+    v = X.chunks(s, d)
+    both = v.join(C.focal_mean(v, K, "v", 2, size=32).select("scene_id", "cy", "cx", "focal_mean"), ["scene_id", "cy", "cx"])
+    px = C.to_pixels(both, K, ["v", "focal_mean"])
+    return px.select("scene_id", "y", "x", B.relative_elevation(F.col("v"), F.col("focal_mean"), 6).cast("int").alias("rel"))
+
+
 @query(views("px", more="w as (select scene_id, y, x, v, lag(v) over a xa, lead(v) over a xb, lag(v) over b ya, lead(v) over b yb from px window a as (partition by scene_id, y order by x), b as (partition by scene_id, x order by y)), g as (select scene_id, y, x, (coalesce(xb,v)-coalesce(xa,v))/case when xa is null or xb is null then 1 else 2 end gx, (coalesce(yb,v)-coalesce(ya,v))/case when ya is null or yb is null then 1 else 2 end gy from w)") + "select scene_id, y, x, round(degrees(atan(sqrt(gx*gx+gy*gy))),6) slope from g")
 def terrain_slope(s, d):
     return MO.slope(X.px(s, d), "v", K).select("scene_id", "y", "x", *r6("slope"))

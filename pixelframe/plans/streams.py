@@ -148,19 +148,35 @@ ORACLES["metric_csv"] = X.views("scored") + "select grp, count(*) filter (score>
 
 
 def scene_files(s, d):
-    """Tiles written in a folder for each scene, then listed without being read: how many files each scene has."""
+    """Tiles written in a folder for each scene by four writes, not all of which have tiles of every scene, then listed
+    without being read: how many files each scene has."""
     from ..operators import catalog as C
     from ..sources import store
 
     at = f"{shared_dir(s).rstrip('/')}/listed-{uuid.uuid4().hex}"
     t = X.tile(s, d).select("scene_id", F.col("vec_id").alias("tile_idx"), F.col("img").alias("ndvi"), "mask")
-    store.write_tiles(t.repartition("scene_id"), at)
+    for k in range(4):
+        store.write_tiles(t.where(F.col("tile_idx") % (F.col("scene_id") % 4 + 1) == k).repartition("scene_id"), at, "append")
     files = C.scene_files(s, at).where(F.col("file").endswith(".parquet") & (F.col("length") > 0))
     return C.file_counts(files).select(F.regexp_extract("name", "([0-9]+)$", 1).cast("int").alias("scene_id"), "n_files")
 
 
 QUERIES["scene_files"] = scene_files
-ORACLES["scene_files"] = "select distinct label::int scene_id, 1 n_files from embeddings"
+ORACLES["scene_files"] = "select label::int scene_id, count(distinct vec_id%(label%4+1)) n_files from embeddings group by 1"
+
+
+def metrics_log_files(s, d):
+    """Log lines written as text files and read from their folder: the mean of each metric by kind of epoch."""
+    from ..sources import store
+
+    at = f"{shared_dir(s).rstrip('/')}/log-{uuid.uuid4().hex}"
+    X.log_lines(s, d).select("line").write.text(at)
+    log = store.read_metrics_log(s, at)
+    return log.groupBy("val_type").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in store.METRICS_LOG])
+
+
+QUERIES["metrics_log_files"] = metrics_log_files
+ORACLES["metrics_log_files"] = "select case when event_id%2=0 then 'Train' else 'Val' end val_type, count(*) n, " + ", ".join(f"round(avg(((event_id*{k})%1000)/1000.0::double),6) {n}" for n, k in (("accuracy", 37), ('"precision"', 41), ("recall", 43), ("f1", 47), ("iou", 53), ("loss", 59))) + " from events group by 1"
 
 
 def product_folders(s, d):
