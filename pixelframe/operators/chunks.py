@@ -61,8 +61,29 @@ def _gaps(column: pa.Array) -> np.ndarray:
 
 
 def _list(a: np.ndarray, gaps: np.ndarray | None = None) -> pa.Array:
-    flat = pa.array(np.ascontiguousarray(a, dtype=np.float64).ravel(), mask=None if gaps is None else gaps.ravel())
-    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+    return _lists([a], None if gaps is None else [gaps])
+
+
+def _lists(arrays: list[np.ndarray], gaps: list[np.ndarray] | None = None) -> pa.Array:
+    """An array column with one row for each array."""
+    flat = np.concatenate([np.asarray(a, np.float64).ravel() for a in arrays]) if arrays else np.zeros(0)
+    none = None if gaps is None or not gaps else np.concatenate([g.ravel() for g in gaps])
+    ends = np.cumsum([0, *[a.size for a in arrays]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, mask=none))
+
+
+def _rows(t, places: list[str], bands: list[str]) -> Iterator[tuple[dict, dict, dict]]:
+    """For each row of a table or batch its places, and of each band the values (rows of h pixels of w) and where they are null."""
+    at = {c: t.column(c).to_pylist() for c in places}
+    cols = {b: (c.combine_chunks() if isinstance(c := t.column(b), pa.ChunkedArray) else c) for b in bands}
+    flat = {b: (_values(c), _gaps(c), np.asarray(c.offsets) - (c.offsets[0].as_py() if len(c.offsets) else 0)) for b, c in cols.items()}
+    for i in range(t.num_rows):
+        place = {c: v[i] for c, v in at.items()}
+        shape = (place["h"], place["w"])
+        values, gaps = {}, {}
+        for b, (v, g, ends) in flat.items():
+            values[b], gaps[b] = v[ends[i] : ends[i + 1]].reshape(shape), g[ends[i] : ends[i + 1]].reshape(shape)
+        yield place, values, gaps
 
 
 def to_chunks(pixels: DataFrame, keys: list[str], bands: list[str], scenes: DataFrame, size: int = SIZE) -> DataFrame:
@@ -126,14 +147,14 @@ def _sent(chunks: DataFrame, keys: list[str], bands: list[str], targets: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a row is a whole chunk
-                row = batch.slice(i, 1)
-                at = {c: row.column(c)[0].as_py() for c in PLACE}
-                values = [(_values(row.column(b)).reshape(at["h"], at["w"]), _gaps(row.column(b)).reshape(at["h"], at["w"])) for b in bands]
-                for ty, tx, y0, y1, x0, x1 in targets(at):
-                    cut = np.s_[y0 - at["y0"] : y1 - at["y0"], x0 - at["x0"] : x1 - at["x0"]]
-                    place = [pa.array([v], pa.int32()) for v in (ty, tx, at["height"], at["width"], y0, x0, y1 - y0, x1 - x0)]
-                    yield pa.RecordBatch.from_arrays([*[row.column(k) for k in keys], *place, *[_list(a[cut], g[cut]) for a, g in values]], names)
+            for i, (at, values, gaps) in enumerate(_rows(batch, PLACE, bands)):  # a row is a whole chunk
+                found = list(targets(at))
+                if not found:
+                    continue
+                cuts = [np.s_[y0 - at["y0"] : y1 - at["y0"], x0 - at["x0"] : x1 - at["x0"]] for _, _, y0, y1, x0, x1 in found]
+                place = zip(*[(ty, tx, at["height"], at["width"], y0, x0, y1 - y0, x1 - x0) for ty, tx, y0, y1, x0, x1 in found])
+                ids = pa.array(np.full(len(found), i))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(ids) for k in keys], *[pa.array(v, pa.int32()) for v in place], *[_lists([values[b][c] for c in cuts], [gaps[b][c] for c in cuts]) for b in bands]], names)
 
     fields = [(c, "int") for c in names[len(keys) : len(names) - len(bands)]] + [(b, "array<double>") for b in bands]
     return chunks.select(*keys, *PLACE, *bands).mapInArrow(run, _schema(chunks, keys, fields))
@@ -142,16 +163,15 @@ def _sent(chunks: DataFrame, keys: list[str], bands: list[str], targets: Callabl
 def _assembled(t: pa.Table, bands: list[str], y0: int, x0: int, h: int, w: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Bands of the rectangle from the pieces of t (NaN where there is nothing), and where they have values."""
     out, there = {b: np.full((h, w), np.nan) for b in bands}, {b: np.zeros((h, w), bool) for b in bands}
-    for i in range(t.num_rows):
-        row = t.slice(i, 1)
-        py, px, ph, pw = (row.column(c)[0].as_py() for c in ("y0", "x0", "h", "w"))
-        a, b, c, d = max(py, y0), min(py + ph, y0 + h), max(px, x0), min(px + pw, x0 + w)
+    for at, values, gaps in _rows(t, ["y0", "x0", "h", "w"], bands):
+        py, px = at["y0"], at["x0"]
+        a, b, c, d = max(py, y0), min(py + at["h"], y0 + h), max(px, x0), min(px + at["w"], x0 + w)
         if a >= b or c >= d:
             continue
         to, of = np.s_[a - y0 : b - y0, c - x0 : d - x0], np.s_[a - py : b - py, c - px : d - px]
         for band in bands:
-            out[band][to] = _values(row.column(band)).reshape(ph, pw)[of]
-            there[band][to] = ~_gaps(row.column(band)).reshape(ph, pw)[of]
+            out[band][to] = values[band][of]
+            there[band][to] = ~gaps[band][of]
     return out, there
 
 
@@ -308,15 +328,15 @@ def score_patches(chunks: DataFrame, keys: list[str], bands: list[str], scorer:
         y0, x0 = int(_starts(height, patch, margin)[i]), int(_starts(width, patch, margin)[j])
         values, there = _assembled(t, bands, y0, x0, patch, patch)
         a = weights * scorer(np.stack([np.where(there[b], values[b], 0.0) for b in bands]))
-        parts = []
+        places, cuts = [], []
         for cy in range(y0 // size, (y0 + patch - 1) // size + 1):
             for cx in range(x0 // size, (x0 + patch - 1) // size + 1):
                 r0, r1 = max(y0, cy * size), min(y0 + patch, (cy + 1) * size)
                 c0, c1 = max(x0, cx * size), min(x0 + patch, (cx + 1) * size)
-                cut = np.s_[r0 - y0 : r1 - y0, c0 - x0 : c1 - x0]
-                place = [pa.array([v], pa.int32()) for v in (cy, cx, i, j, height, width, r0, c0, r1 - r0, c1 - c0)]
-                parts.append(pa.Table.from_arrays([*[t.column(k).slice(0, 1).combine_chunks() for k in keys], *place, _list(a[cut]), _list(weights[cut])], names=back))
-        return pa.concat_tables(parts)
+                cuts.append(np.s_[r0 - y0 : r1 - y0, c0 - x0 : c1 - x0])
+                places.append((cy, cx, i, j, height, width, r0, c0, r1 - r0, c1 - c0))
+        ids = pa.array(np.zeros(len(cuts), np.int64))
+        return pa.Table.from_arrays([*[t.column(k).combine_chunks().take(ids) for k in keys], *[pa.array(v, pa.int32()) for v in zip(*places)], _lists([a[c] for c in cuts]), _lists([weights[c] for c in cuts])], names=back)
 
     def blend(t: pa.Table) -> pa.Table:
         cy, cx, height, width = (t.column(c)[0].as_py() for c in ("cy", "cx", "height", "width"))
@@ -324,13 +344,10 @@ def score_patches(chunks: DataFrame, keys: list[str], bands: list[str], scorer:
         h, w = min(size, height - y0), min(size, width - x0)
         total = np.zeros((2, h, w))
         # in order of patches, so that reruns agree
-        order = np.lexsort((t.column("tx").to_numpy(), t.column("ty").to_numpy())).tolist()
-        for i in order:
-            row = t.slice(i, 1)
-            py, px, ph, pw = (row.column(c)[0].as_py() for c in ("y0", "x0", "h", "w"))
-            to = np.s_[py - y0 : py - y0 + ph, px - x0 : px - x0 + pw]
+        for at, values, _ in sorted(_rows(t, ["ty", "tx", "y0", "x0", "h", "w"], ["a", "b"]), key=lambda r: (r[0]["ty"], r[0]["tx"])):
+            to = np.s_[at["y0"] - y0 : at["y0"] - y0 + at["h"], at["x0"] - x0 : at["x0"] - x0 + at["w"]]
             for k, c in enumerate(("a", "b")):
-                total[k][to] += _values(row.column(c)).reshape(ph, pw)
+                total[k][to] += values[c]
         p = np.where(total[1] > 0, total[0] / np.where(total[1] > 0, total[1], 1.0), 0.0)
         place = [pa.array([v], pa.int32()) for v in (height, width, cy, cx, y0, x0, h, w)]
         return pa.Table.from_arrays([*[t.column(k).slice(0, 1).combine_chunks() for k in keys], *place, _list(p)], names=[*keys, *PLACE, out])
