@@ -16,14 +16,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pixelframe.llm.bpe import encode
-from pixelframe.llm.common import shared_dir
+from pixelframe.llm.common import drop, shared_dir
 from pixelframe.llm.jaccard import keep_one
 from pixelframe.llm.langid import learn_and_label
 from pixelframe.llm.mixing import mix
 from pixelframe.llm.pii import find_pii, redact
 
 
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go (null, or without a letter); lang is what the text is found to be in. A row is
     judged by its own text, whatever its id."""
@@ -61,12 +60,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written as Parquet in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each result written as Parquet in the shared folder; a stage's files go when its
+    successor is written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = f"{shared_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            if old is not None:
+                drop(old)
+            docs = old = spark.read.parquet(path)
+            old.cut_path = path
     return docs
