@@ -81,6 +81,32 @@ def fits_schema(c: Column, kind: T.StructType, fields: dict[str, tuple[str, bool
     return F.coalesce(good, F.lit(False))
 
 
+#: What a value of JSON is, by the types of the schemas.
+VALUES = {"string": "STRING", "integer": "BIGINT", "number": r"BIGINT|DOUBLE|DECIMAL\(.*", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*"}
+
+
+def fits_json_schema(text: Column, fields: dict[str, tuple[str, bool]]) -> Column:
+    """Whether JSON text is an object that has the fields that the schema requires, each value of its type, and no others
+    but nulls: each row is checked by its own values. False for null and for what is no JSON."""
+    v = F.try_parse_json(text)
+    whole = F.regexp_like(F.schema_of_variant(v), F.lit("(?s)^OBJECT<.*$"))
+    good = F.lit(True)
+    for name, (want, required) in fields.items():
+        value = F.try_variant_get(v, f'$["{name}"]', "variant")
+        there = value.isNotNull() & ~F.is_variant_null(value)
+        typed = F.regexp_like(F.schema_of_variant(value), F.lit(f"(?s)^({VALUES[want]})$"))
+        if want == "string" and required:
+            typed &= F.length(F.try_variant_get(value, "$", "string")) > 0
+        good &= F.when(there, typed).otherwise(not required)
+    strange = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, x: ~k.isin(*fields) & x.isNotNull())
+    return F.coalesce(v.isNotNull() & whole & good & (F.size(strange) == 0), F.lit(False))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text with keys in order and no white space; what is no JSON as a string."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), json_string(text))
+
+
 def as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """conv_id, turn, role, text -> calls and results. A turn that is not the assistant's calls 'reply' with its text, an
     assistant's turn behind another assistant's turn calls 'continue'; the next turn, if it is the assistant's, is the
@@ -128,7 +154,8 @@ def steps(deps: DataFrame) -> DataFrame:
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """calls: conv_id, turn, call_id, tool, arguments (a struct), needs (an identifier or an array of them);
+    """calls: conv_id, turn, call_id, tool, arguments (a struct, or JSON text, whose values are checked row by row), needs (an
+    identifier or an array of them);
     results: conv_id, call_id, result -> one row for each different call and different result of its identifier, each
     call without a result and each different result without a call: conv_id, call_id, step, tool, status, n_calls (rows
     of this call), n_results (rows of this result), canonical. A call whose identifier other calls have too has
@@ -143,12 +170,13 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
     both = results.join(ids.hint("shuffle_hash"), "call_id", "full_outer").join(order.hint("shuffle_hash"), "call_id", "left")
     df = both.join(calls, "call_id", "left").withColumn("conv_id", F.coalesce("conv_id", "_conv")).drop("_conv")
     kind = df.schema["arguments"].dataType
-    good = F.lit(False)
+    good, encoded = F.lit(False), isinstance(kind, T.StringType)
     for tool, fields in schemas.items():
-        good = F.when(F.col("tool") == tool, fits_schema(F.col("arguments"), kind, fields)).otherwise(good)
+        fits = fits_json_schema(F.col("arguments"), fields) if encoded else fits_schema(F.col("arguments"), kind, fields)
+        good = F.when(F.col("tool") == tool, fits).otherwise(good)
     status = F.when(F.col("n_calls").isNull(), "no_call").when(F.col("with_id") > 1, "repeated_id").when(~F.col("tool").isin(*schemas), "unknown_tool").when(F.col("step").isNull(), "cycle").when(~good, "bad_arguments").when(F.col("n_results").isNull(), "no_result").otherwise("ok")
     df = df.withColumn("status", status)
-    arguments = json_of(F.col("arguments"), kind)
+    arguments = canonical_json(F.col("arguments")) if encoded else json_of(F.col("arguments"), kind)
     needs = F.coalesce(F.concat(F.lit("["), F.array_join(F.transform("needs", json_string), ","), F.lit("]")), F.lit("null")) if several else json_string(F.col("needs"))
     canonical = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"id":'), json_string(F.col("call_id")), F.lit(',"needs":'), needs, F.lit(',"result":'), json_string(F.col("result")), F.lit(',"status":'), json_string(F.col("status")), F.lit(',"tool":'), json_string(F.col("tool")), F.lit("}"))
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_calls", "n_results")]

@@ -395,3 +395,57 @@ def test_the_bound_of_sources_is_within_the_draws():
     assert mixing.SOURCES * mixing.MOST * mixing.BLOCKS < 10**9
     q = np.full(mixing.SOURCES, int(mixing.MOST * mixing.BLOCKS))
     assert np.random.default_rng(1).multivariate_hypergeometric(q, int(q.sum()) // 2, method="marginals").sum() == q.sum() // 2
+
+
+SPECS = {"find": {"q": ("string", True), "n": ("integer", False), "near": ("number", False), "deep": ("boolean", False), "tags": ("array", False), "more": ("object", False)}, "stop": {}}
+
+
+def brute_fits(text, fields):
+    try:
+        v = json.loads(text)
+    except (TypeError, ValueError):
+        return False
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+    if not isinstance(v, dict) or any(k not in fields and x is not None for k, x in v.items()):
+        return False
+    for name, (want, required) in fields.items():
+        x = v.get(name)
+        if x is None:
+            if required:
+                return False
+        elif not isinstance(x, kinds[want]) or (isinstance(x, bool) and want != "boolean") or (want == "string" and required and not x):
+            return False
+    return True
+
+
+def test_arguments_as_json_are_checked_by_value(spark):
+    rng = random.Random(8)
+    values = ['"a"', '""', "1", "1.5", "true", "null", "[1]", '{"b":{"z":1,"a":[]}}', '"\\u0041"']
+    texts = [None, "", "{", "[]", "1", "{}", "null", '{"q":"x"}', '{ "q" : "x" , "n" : 3 }', '{"q":"x","zz":null}', '{"q":"x","zz":1}', '{"q":"","n":1}']
+    texts += ["{" + ",".join(f'"{k}":{rng.choice(values)}' for k in rng.sample(["q", "n", "near", "deep", "tags", "more", "x y"], rng.randint(0, 5))) + "}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", chat.fits_json_schema(F.col("t"), SPECS["find"]).alias("ok"), chat.canonical_json(F.col("t")).alias("c"))
+    for r in df.collect():
+        assert r.ok == brute_fits(r.t, SPECS["find"]), r.t
+        try:
+            assert json.loads(r.c) == json.loads(r.t) and list(json.loads(r.c)) == sorted(json.loads(r.t)) if isinstance(json.loads(r.t), dict) else True
+        except (TypeError, ValueError):
+            assert json.loads(r.c) == r.t
+
+
+def test_every_status_is_reached(spark):
+    calls = [
+        ("c", 0, "a", "find", '{"q":"x"}', None),
+        ("c", 1, "b", "find", '{"q":"x"}', "a"),
+        ("c", 2, "d", "find", '{"q":7}', "b"),
+        ("c", 3, "e", "fly", "{}", None),
+        ("c", 4, "f", "stop", "{}", "g"),
+        ("c", 5, "g", "stop", "{}", "f"),
+        ("c", 6, "h", "stop", "{}", None),
+        ("c", 7, "h", "stop", '{"x":null}', None),
+    ]
+    results = [(r, "c", r + "!") for r in "abdefghz"]
+    c = spark.createDataFrame(calls, "conv_id string, turn long, call_id string, tool string, arguments string, needs string")
+    r = spark.createDataFrame([x for x in results if x[0] != "b"], "call_id string, conv_id string, result string")
+    got = sorted((x.call_id, x.status, x.step) for x in chat.link_tools(c, r, SPECS).collect())
+    assert got == [("a", "ok", 1), ("b", "no_result", 2), ("d", "bad_arguments", 3), ("e", "unknown_tool", 1), ("f", "cycle", None), ("g", "cycle", None), ("h", "repeated_id", 1), ("h", "repeated_id", 1), ("z", "no_call", None)]
+    assert {s for _, s, _ in got} == set(chat.STATUS)
