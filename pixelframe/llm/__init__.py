@@ -1 +1 @@
-"""Training-data operators: ten jobs over documents, embeddings, pages and conversations."""
+"""Training-data operators over documents, embeddings, pages and conversations."""
