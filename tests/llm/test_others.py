@@ -449,3 +449,23 @@ def test_every_status_is_reached(spark):
     got = sorted((x.call_id, x.status, x.step) for x in chat.link_tools(c, r, SPECS).collect())
     assert got == [("a", "ok", 1), ("b", "no_result", 2), ("d", "bad_arguments", 3), ("e", "unknown_tool", 1), ("f", "cycle", None), ("g", "cycle", None), ("h", "repeated_id", 1), ("h", "repeated_id", 1), ("z", "no_call", None)]
     assert {s for _, s, _ in got} == set(chat.STATUS)
+
+
+def test_pipeline_stages_get_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "b"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('some text ', 500) as text")
+    try:
+        corpus_pipeline.byte_bpe(spark, docs, "")
+        got = docs.mapInArrow(sizes, "n long, b long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.b for r in got) < 2 * corpus_pipeline.BATCH
+    finally:
+        spark.conf.unset(name)
+    assert max(r.b for r in docs.mapInArrow(sizes, "n long, b long").collect()) > 2 * corpus_pipeline.BATCH
