@@ -38,10 +38,13 @@ def cubic(d: Column, a: float = -0.5) -> Column:
 
 
 def align_cubic(src: DataFrame, target: DataFrame, keys: list[str], col: str, scale: tuple, offset: tuple = (0.0, 0.0)) -> DataFrame:
-    """sum(w * v) / sum(w) over the neighbours that are there."""
+    """sum(w * v) / sum(w) over the neighbours that are there. w is a row's weight times a column's, so rows are summed up
+    first. The joins are merged: Spark takes a grid for as small as the scenes that it is made of, and would broadcast it."""
     t = target.select(*keys, "y", "x", _source(F.col("y"), scale[0], offset[0]).alias("_fy"), _source(F.col("x"), scale[1], offset[1]).alias("_fx"))
     around = lambda c: F.explode(F.sequence(F.floor(F.col(c)).cast("int") - 1, F.floor(F.col(c)).cast("int") + 2))
-    t = t.withColumn("_sy", around("_fy")).withColumn("_sx", around("_fx"))
-    w = cubic(F.col("_fy") - F.col("_sy")) * cubic(F.col("_fx") - F.col("_sx"))
-    m = t.join(src.select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"), col), [*keys, "_sy", "_sx"])
-    return m.groupBy(*keys, "y", "x").agg((F.sum(w * F.col(col)) / F.sum(w)).alias(col))
+    rows = t.select(*keys, "_fy").distinct().withColumn("_sy", around("_fy")).withColumn("_w", cubic(F.col("_fy") - F.col("_sy")))
+    met = rows.hint("merge").join(src.select(*keys, F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.col(col).alias("_v")), [*keys, "_sy"])
+    sums = met.groupBy(*keys, "_fy", "_sx").agg(F.sum(F.col("_w") * F.col("_v")).alias("_v"), F.sum("_w").alias("_w"))
+    m = t.withColumn("_sx", around("_fx")).hint("merge").join(sums, [*keys, "_fy", "_sx"])
+    w = cubic(F.col("_fx") - F.col("_sx"))
+    return m.groupBy(*keys, "y", "x").agg((F.sum(w * F.col("_v")) / F.sum(w * F.col("_w"))).alias(col))
