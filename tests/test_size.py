@@ -63,3 +63,11 @@ def test_cubic_resampling_with_gaps(spark):
             if (y, x) != (2, 2):
                 want[y, x] = sum(w[p] * a[p] for p in near if p != (4, 4)) / sum(w.values())
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_matching_by_boundary_broadcasts_no_runs(spark, tmp_path, small_broadcasts):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.1, 64).tolist(), 0) for i in range(150)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, want = both(spark, "instance_matching_by_boundary", str(tmp_path))
+    assert got == want and len(got) == 3
