@@ -42,14 +42,15 @@ def scene_catalog(scenes: DataFrame, preprocessed: bool = False, path: str = "pa
     return scenes.select(at.alias("path"), "name", F.lit(preprocessed).alias("preprocessed"), N.product_type(n).alias("product_type"), N.image_date(n).alias("image_date"), N.tile_id(n).alias("tile_id"))
 
 
-def file_roles(files: DataFrame, images=("_SR.tif", "_SR_clip.tif", "_AnalyticMS.tif"), fail_on_missing_mask: bool = True) -> DataFrame:
-    """name, udm, udm2, images, others; a scene with no mask fails if asked."""
+def file_roles(files: DataFrame, images=("_SR.tif", "_SR_clip.tif", "_AnalyticMS.tif"), fail_on_missing_mask: bool = True, keys: tuple = ("name",)) -> DataFrame:
+    """keys, udm, udm2, images, others; a scene with no mask fails if asked. keys tell scenes apart: more than the name (which
+    is one of them) where scenes share names."""
     f = F.col("file")
     is_udm2, is_udm = F.lower(f).contains("udm2"), F.lower(f).contains("udm") & ~F.lower(f).contains("udm2")
     is_image = F.lit(False)
     for suffix in images:
         is_image |= f.endswith(suffix)
-    out = files.groupBy("name").agg(F.max(F.when(is_udm, f)).alias("udm"), F.max(F.when(is_udm2, f)).alias("udm2"), F.array_sort(F.collect_list(F.when(is_image, f))).alias("images"), F.array_sort(F.collect_list(F.when(~(is_image | is_udm | is_udm2), f))).alias("others"))
+    out = files.groupBy(*keys).agg(F.max(F.when(is_udm, f)).alias("udm"), F.max(F.when(is_udm2, f)).alias("udm2"), F.array_sort(F.collect_list(F.when(is_image, f))).alias("images"), F.array_sort(F.collect_list(F.when(~(is_image | is_udm | is_udm2), f))).alias("others"))
     if fail_on_missing_mask:
         fine = F.col("udm").isNotNull() | F.col("udm2").isNotNull()
         out = out.where(F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("no usable-data mask: "), F.col("name"))).cast("boolean")))
@@ -96,7 +97,7 @@ def ensemble_status(products: DataFrame, models: list[str], ensemble: str) -> Da
     return out.withColumn("process", F.col("data_available") & F.col("proba_available") & ~F.col(f"has_{ensemble}"))
 
 
-def single_match(files: DataFrame, pattern: str) -> DataFrame:
-    """name, file of each scene's one file that matches; more or fewer fail."""
-    found = files.groupBy("name").agg(F.count_if(F.col("file").rlike(pattern)).alias("c"), F.max(F.when(F.col("file").rlike(pattern), F.col("file"))).alias("file"))
+def single_match(files: DataFrame, pattern: str, keys: tuple = ("name",)) -> DataFrame:
+    """keys (as in file_roles), file of each scene's one file that matches; more or fewer fail."""
+    found = files.groupBy(*keys).agg(F.count_if(F.col("file").rlike(pattern)).alias("c"), F.max(F.when(F.col("file").rlike(pattern), F.col("file"))).alias("file"))
     return found.where(F.when(F.col("c") == 1, True).otherwise(F.raise_error(F.concat(F.lit("not one match: "), F.col("name"))).cast("boolean"))).drop("c")

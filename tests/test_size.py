@@ -71,3 +71,21 @@ def test_matching_by_boundary_broadcasts_no_runs(spark, tmp_path, small_broadcas
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     got, want = both(spark, "instance_matching_by_boundary", str(tmp_path))
     assert got == want and len(got) == 3
+
+
+@pytest.fixture(scope="module")
+def same_names(spark, tmp_path_factory):
+    """Orders of seven-digit keys, whose names are cut to six digits: five scenes share each."""
+    import datetime
+
+    d = str(tmp_path_factory.mktemp("orders"))
+    day = datetime.datetime(1995, 1, 13)
+    rows = [(1000000 + 10 * (i // 10) + i % 10, i // 10, day) for i in range(200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    assert len({r.name for r in QUERIES["scene_catalog"](spark, d).select("name").collect()}) < 150
+    return d
+
+
+def test_file_roles_of_scenes_that_share_names(spark, same_names):
+    got, want = both(spark, "file_roles", same_names)
+    assert got == want and len(got) == 200
