@@ -89,9 +89,10 @@ def incomplete_inputs(counts: DataFrame, min_files: int = 4) -> DataFrame:
     return counts.where(F.col("n_files") < min_files)
 
 
-def ensemble_status(products: DataFrame, models: list[str], ensemble: str) -> DataFrame:
-    """products: name, model, has_proba -> one row per name with a flag for each model: one shuffle for all of them."""
-    wide = products.groupBy("name").agg(*[F.coalesce(F.max(F.when(F.col("model") == m, F.lit(True))), F.lit(False)).alias(f"has_{m}") for m in [*models, ensemble]], *[F.coalesce(F.max(F.when(F.col("model") == m, F.col("has_proba"))), F.lit(False)).alias(f"proba_{m}") for m in models])
+def ensemble_status(products: DataFrame, models: list[str], ensemble: str, keys: tuple = ("name",)) -> DataFrame:
+    """products: keys (as in file_roles), model, has_proba -> one row per scene with a flag for each model: one shuffle for
+    all of them."""
+    wide = products.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("model") == m, F.lit(True))), F.lit(False)).alias(f"has_{m}") for m in [*models, ensemble]], *[F.coalesce(F.max(F.when(F.col("model") == m, F.col("has_proba"))), F.lit(False)).alias(f"proba_{m}") for m in models])
     every = lambda p: F.forall(F.array(*[F.col(f"{p}_{m}") for m in models]), lambda x: x)
     out = wide.withColumn("data_available", every("has")).withColumn("proba_available", every("proba"))
     return out.withColumn("process", F.col("data_available") & F.col("proba_available") & ~F.col(f"has_{ensemble}"))

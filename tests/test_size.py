@@ -89,3 +89,8 @@ def same_names(spark, tmp_path_factory):
 def test_file_roles_of_scenes_that_share_names(spark, same_names):
     got, want = both(spark, "file_roles", same_names)
     assert got == want and len(got) == 200
+
+
+def test_ensemble_status_of_scenes_that_share_names(spark, same_names):
+    got, want = both(spark, "ensemble_status", same_names)
+    assert got == want and len(got) > 150
