@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 
 #: Folders of the table of what has been taken in.
@@ -42,6 +44,90 @@ def meter_parts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
 
 
+#: Rows of a block of running_parts, and how many rows, or sums of them, are added one after the other.
+BLOCK, FAN = 4096, 16
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """States (count, sum, mean, squared deviations) of rows and of those after them -> the state of both."""
+    n = a[0] + b[0]
+    some, delta = np.where(n == 0, 1.0, n), b[2] - a[2]
+    both = np.stack([n, a[1] + b[1], (b[0] * b[2] + a[0] * a[2]) / some, b[3] + a[3] + delta * delta * b[0] * a[0] / some])
+    return np.where(a[0] == 0, b, np.where(b[0] == 0, a, both))
+
+
+def _dealt(x: np.ndarray) -> np.ndarray:
+    """4 x n states as 4 x groups x FAN, empty ones at the end."""
+    return np.pad(x, ((0, 0), (0, -x.shape[1] % FAN))).reshape(4, -1, FAN)
+
+
+def _summed(x: np.ndarray) -> np.ndarray:
+    """The state of each group of FAN."""
+    groups, out = _dealt(x), np.zeros((4, -(-x.shape[1] // FAN)))
+    for j in range(FAN):
+        out = _merged(out, groups[:, :, j])
+    return out
+
+
+def _running(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The state of start (4 x 1) and of x up to each of its columns: a group begins with what the groups before it add up to,
+    and a whole group counts as its sum. So errors do not grow with the number of rows."""
+    groups, whole = _dealt(x), x.shape[1] // FAN
+    ends = _running(_summed(x), start) if whole else np.empty((4, 0))
+    state, out = np.concatenate([start, ends], axis=1)[:, : groups.shape[1]], np.empty_like(groups)
+    for j in range(FAN):
+        state = out[:, :, j] = _merged(state, groups[:, :, j])
+    out[:, :whole, -1] = ends[:, :whole]
+    return out.reshape(4, -1)[:, : x.shape[1]]
+
+
+def running_parts(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """keys, order, rows, and n, mean, m2 as in meter_parts, of each row and the rows of its keys before it. A window numbers the
+    rows; blocks of BLOCK rows are summed up by themselves, one row for each block is summed up for its keys, and each block
+    goes on from there."""
+    at = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    rows = df.select(*keys, order, F.col(value).cast("double").alias("_v"), at.cast("long").alias("rows")).withColumn("_block", F.floor((F.col("rows") - 1) / BLOCK))
+    state = ["_n", "_sum", "_mean", "_m2"]
+    names = [*keys, "_block", *state]
+    held = T.StructType([rows.schema[k] for k in [*keys, "_block"]] + [T.StructField(c, T.DoubleType()) for c in state])
+
+    def states(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """The rows in order, and a state of each."""
+        t = t.sort_by("rows")
+        v = t.column("_v")
+        there = v.is_valid().to_numpy()
+        x = np.where(there, v.fill_null(0.0).to_numpy(), 0.0)
+        return t, np.stack([there.astype(float), x, x, np.zeros(len(x))])
+
+    def block(t: pa.Table) -> pa.Table:
+        t, x = states(t)
+        while x.shape[1] > 1:
+            x = _summed(x)
+        return pa.table([*[t.column(c).slice(0, 1) for c in names[: -len(state)]], *[pa.array(c) for c in x]], names)
+
+    def ahead(t: pa.Table) -> pa.Table:
+        """What each block begins with and ends with."""
+        t = t.sort_by("_block")
+        ends = _running(np.stack([t.column(c).to_numpy() for c in state]), np.zeros((4, 1)))
+        starts = np.concatenate([np.zeros((4, 1)), ends[:, :-1]], axis=1)
+        return pa.table([*[t.column(c) for c in names[: -len(state)]], *[pa.array(c) for c in (*starts, *ends)]], [*names, *[f"{c}_end" for c in state]])
+
+    def fill(t: pa.Table, around: pa.Table) -> pa.Table:
+        t, x = states(t)
+        start, end = (np.array([[around.column(c + after)[0].as_py()] for c in state]) for after in ("", "_end"))
+        out = _running(x, start)
+        out[:, -1:] = end
+        n = out[0].astype(np.int64)
+        mean = pa.array(out[1] / np.maximum(n, 1), mask=n == 0)
+        return pa.table([*[t.column(c) for c in [*keys, order, "rows"]], pa.array(n), mean, pa.array(out[3], mask=n == 0)], [*keys, order, "rows", "n", "mean", "m2"])
+
+    per = [*keys, "_block"]
+    sums = rows.groupBy(*per).applyInArrow(block, held)
+    ends = sums.groupBy(*keys).applyInArrow(ahead, T.StructType([*held.fields, *[T.StructField(f"{c}_end", T.DoubleType()) for c in state]]))
+    full = T.StructType([rows.schema[c] for c in [*keys, order, "rows"]]).add("n", "long").add("mean", "double").add("m2", "double")
+    return rows.groupBy(*per).cogroup(ends.groupBy(*per)).applyInArrow(fill, full)
+
+
 def meter_value(parts: DataFrame) -> DataFrame:
     """mean and sample deviation: NaN without values, infinite deviation for one."""
     n, nan = F.col("n"), F.lit(float("nan"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelframe import streaming
 from pixelframe.operators import resample
 from pixelframe.plans import rasters, scenes
 
@@ -94,3 +95,31 @@ def test_file_roles_of_scenes_that_share_names(spark, same_names):
 def test_ensemble_status_of_scenes_that_share_names(spark, same_names):
     got, want = both(spark, "ensemble_status", same_names)
     assert got == want and len(got) > 150
+
+
+def test_running_statistics_to_the_last_digit(spark, tmp_path, monkeypatch):
+    """Means whose seventh digit is a half, values that are null, and rows of several blocks. The SQL's own sums depend on where
+    the rows of a type lie among others; so this is one type."""
+    monkeypatch.setattr(streaming, "BLOCK", 256, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(i, "a", None if i < 2 or i % 11 == 0 else round(float(v), 2)) for i, v in enumerate(rng.exponential(50, 20000))]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["running_statistics"](spark, str(tmp_path)).select("event_id", "event_type", "mean", "std").collect()
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = c.execute(f"select event_id, event_type, mean, std from ({ORACLES['running_statistics']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) == 20000
+
+
+def test_running_parts_of_several_keys(spark, monkeypatch):
+    monkeypatch.setattr(streaming, "BLOCK", 16, raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(i, [None, "a", "b", "b"][i % 4], float(v) + 1e6) for i, v in enumerate(rng.normal(size=1500))] + [(2000, "c", None), (2001, "c", 4.0)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, value double").repartition(3)
+    got = {r.event_id: r for r in streaming.running_parts(df, ["event_type"], "value", "event_id").collect()}
+    for kind in (None, "a", "b"):
+        mine = [(i, v) for i, k, v in rows if k == kind]
+        for n, (i, _) in enumerate(mine, 1):
+            x = np.array([v for _, v in mine[:n]])
+            assert (got[i].event_type, got[i].rows, got[i].n) == (kind, n, n) and got[i]["mean"] == pytest.approx(x.mean(), rel=1e-14) and got[i].m2 == pytest.approx(((x - x.mean()) ** 2).sum(), rel=1e-6, abs=1e-6)
+    assert (got[2000].n, got[2000]["mean"], got[2001].n, got[2001]["mean"], got[2001].m2) == (0, None, 1, 4.0, 0.0) and len(got) == 1502
