@@ -57,14 +57,14 @@ def file_roles(files: DataFrame, images=("_SR.tif", "_SR_clip.tif", "_AnalyticMS
     return out
 
 
-def processing_status(raw: DataFrame, processed: DataFrame, finished: DataFrame, min_files: int = 5) -> DataFrame:
-    """raw: name; processed: name, n_files; finished: name -> name, preprocessed, inference_finished: one union with flags,
-    one shuffle by name."""
+def processing_status(raw: DataFrame, processed: DataFrame, finished: DataFrame, min_files: int = 5, keys: tuple = ("name",)) -> DataFrame:
+    """raw: keys (as in file_roles); processed: keys, n_files; finished: keys -> keys, preprocessed, inference_finished: one
+    union with flags, one shuffle by keys."""
     flags = ("done", "raw", "finished")
     kinds = (processed.where(F.col("n_files") >= min_files), raw, finished)
-    every = reduce(DataFrame.unionByName, [df.select("name", *[F.lit(f == flag).alias(f) for f in flags]) for df, flag in zip(kinds, flags)])
-    names = every.groupBy("name").agg(*[F.bool_or(f).alias(f) for f in flags]).where("done or raw")
-    return names.select("name", F.col("done").alias("preprocessed"), F.col("finished").alias("inference_finished"))
+    every = reduce(DataFrame.unionByName, [df.select(*keys, *[F.lit(f == flag).alias(f) for f in flags]) for df, flag in zip(kinds, flags)])
+    scenes = every.groupBy(*keys).agg(*[F.bool_or(f).alias(f) for f in flags]).where("done or raw")
+    return scenes.select(*keys, F.col("done").alias("preprocessed"), F.col("finished").alias("inference_finished"))
 
 
 def processing_stats(status: DataFrame) -> DataFrame:

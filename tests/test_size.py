@@ -123,3 +123,8 @@ def test_running_parts_of_several_keys(spark, monkeypatch):
             x = np.array([v for _, v in mine[:n]])
             assert (got[i].event_type, got[i].rows, got[i].n) == (kind, n, n) and got[i]["mean"] == pytest.approx(x.mean(), rel=1e-14) and got[i].m2 == pytest.approx(((x - x.mean()) ** 2).sum(), rel=1e-6, abs=1e-6)
     assert (got[2000].n, got[2000]["mean"], got[2001].n, got[2001]["mean"], got[2001].m2) == (0, None, 1, 4.0, 0.0) and len(got) == 1502
+
+
+def test_processing_stats_of_scenes_that_share_names(spark, same_names):
+    got, want = both(spark, "processing_stats", same_names)
+    assert got == want and len(got) == 1
