@@ -128,3 +128,8 @@ def test_running_parts_of_several_keys(spark, monkeypatch):
 def test_processing_stats_of_scenes_that_share_names(spark, same_names):
     got, want = both(spark, "processing_stats", same_names)
     assert got == want and len(got) == 1
+
+
+def test_processing_status_of_scenes_that_share_names(spark, same_names):
+    got, want = both(spark, "processing_status", same_names)
+    assert got == want and len(got) == 200
